@@ -127,3 +127,61 @@ def regression_distribution(split: DataFrame) -> DataFrame:
         F.round(F.avg("label"), 6).alias("mean_label"),
         F.countDistinct("label").alias("n_unique"),
         F.count(F.lit(1)).alias("n"))
+
+
+MIN_PER_PARTITION = {"train": 2, "val": 1, "test": 2}
+
+
+def coverage_report(split: DataFrame, *, min_samples: dict[str, int] | None = None) -> DataFrame:
+    """X8 for single-label tasks: one row per finding
+    (task_name, severity, rule, partition, label, n).
+
+    Rules: class_too_small (warning, global count < sum of minima);
+    empty_partition (error, train/test); missing_in_train (error);
+    below_min and absent (errors in val/test; a class with 0 rows raises both,
+    as two rows); one_class (error, val/test hold a single class).  The
+    class x partition grid comes from exploding a literal array, not a join."""
+    mins = min_samples or MIN_PER_PARTITION
+    parts = F.array(*[F.lit(p) for p in ("train", "val", "test")])
+    min_of = F.create_map(*[x for p, n in mins.items() for x in (F.lit(p), F.lit(n))])
+    lab = F.col("label").cast("int")
+    counts = split.groupBy("task_name", "partition", lab.alias("label")).agg(
+        F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("task_name", "label").agg(F.sum("n").alias("total"))
+    psize = counts.groupBy("task_name", "partition").agg(
+        F.sum("n").alias("part_n"), F.count(F.lit(1)).alias("n_classes"))
+    tasks = totals.select("task_name").distinct()
+    part_grid = tasks.withColumn("partition", F.explode(parts)).join(
+        psize, ["task_name", "partition"], "left").fillna(0, ["part_n", "n_classes"])
+    grid = (totals.withColumn("partition", F.explode(parts))
+            .join(counts, ["task_name", "partition", "label"], "left")
+            .fillna(0, ["n"])
+            .join(part_grid, ["task_name", "partition"])
+            .withColumn("min_n", min_of[F.col("partition")]))
+    out_cols = ["task_name", "severity", "rule", "partition", "label", "n"]
+
+    def rows(df, severity, rule, n_col="n", partition=True, label=True):
+        return df.select(
+            "task_name", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
+            (F.col("partition") if partition else F.lit(None).cast("string")).alias("partition"),
+            (F.col("label") if label else F.lit(None).cast("int")).alias("label"),
+            F.col(n_col).cast("bigint").alias("n"))
+
+    too_small = rows(totals.filter(F.col("total") < sum(mins.values())), "warning",
+                     "class_too_small", n_col="total", partition=False)
+    empty = rows(part_grid.filter(F.col("partition").isin("train", "test")
+                                  & (F.col("part_n") == 0)),
+                 "error", "empty_partition", n_col="part_n", label=False)
+    checked = grid.filter(~(F.col("partition").isin("train", "test") & (F.col("part_n") == 0)))
+    missing = rows(checked.filter((F.col("partition") == "train") & (F.col("n") == 0)),
+                   "error", "missing_in_train")
+    evalp = checked.filter(F.col("partition").isin("val", "test"))
+    below = rows(evalp.filter((F.col("n") < F.col("min_n")) & (F.col("total") >= F.col("min_n"))),
+                 "error", "below_min")
+    absent = rows(evalp.filter((F.col("n") == 0) & (F.col("total") >= F.col("min_n"))),
+                  "error", "absent")
+    one = rows(part_grid.filter(F.col("partition").isin("val", "test")
+                                & (F.col("n_classes") == 1) & (F.col("part_n") > 0)),
+               "error", "one_class", n_col="part_n", label=False)
+    return (too_small.unionByName(empty).unionByName(missing).unionByName(below)
+            .unionByName(absent).unionByName(one).select(*out_cols))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import leakage, prepare, splits
 from tessera.plans import sqlfrag as S
 from tessera.plans.registry import query
@@ -92,3 +93,183 @@ def split_distribution(spark, sf_dir):
     """Flagship: documents x labels -> clean -> components -> stratified
     group split -> rows and components per (partition, quality class)."""
     return splits.class_distribution(_quality_split(spark, sf_dir))
+
+
+# --- records -------------------------------------------------------------------
+
+def _labels_str(col):
+    return F.array_join(F.col(col), ",")
+
+
+@query("canonical_records", oracle=f"""
+SELECT 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id, d.doc_id AS ord, d.source AS source,
+       d.lang AS language, 'tone' AS track, 'quality' AS task_name,
+       'classification' AS task_type, 'single_label' AS label_type,
+       CAST(l.quality AS DOUBLE) AS label, CAST(l.quality AS VARCHAR) AS labels,
+       false AS is_pair_task, 'train' AS split, '1.0' AS preprocessing_version,
+       length(t) AS text_length, md5(t) AS text_md5
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id,
+     LATERAL (SELECT {S.prepared_text('d.text')} AS t) x
+WHERE {S.norm_ws(S.clean(S.safe_text('d.text')))} <> ''
+""")
+def canonical_records(spark, sf_dir):
+    """Documents x labels as canonical
+    single-label records with metadata (language, source, split, version)."""
+    recs = tables.quality_records(spark, sf_dir)
+    recs = recs.filter(F.col("track").isin("tone")).filter(F.col("task_name") == "quality")
+    p = prepare.prepare_records(recs, deduplicate=False)
+    return p.select("record_id", "ord", "source", "language", "track", "task_name",
+                    "task_type", "label_type", "label", _labels_str("labels").alias("labels"),
+                    "is_pair_task", F.lit("train").alias("split"), "preprocessing_version",
+                    "text_length", F.md5("text").alias("text_md5"))
+
+
+@query("wide_binary_to_labels", oracle="""
+WITH b AS (
+  SELECT doc_id, list_filter([CASE WHEN coalesce(CAST(quality AS DOUBLE) <> 0, false) THEN 0 END,
+                              CASE WHEN coalesce(CAST(toxic AS DOUBLE) <> 0, false) THEN 1 END],
+                             lambda x: x IS NOT NULL) AS labs
+  FROM labels
+), w AS (SELECT coalesce(max(list_max(labs)), -1) + 1 AS width FROM b),
+h AS (
+  SELECT doc_id, labs, list_transform(range(greatest(width, 1)),
+         lambda j: CASE WHEN list_contains(labs, j) THEN 1 ELSE 0 END) AS mh
+  FROM b, w
+)
+SELECT doc_id, array_to_string(labs, ',') AS labels,
+       coalesce(labs[1], 0) AS primary_label, array_to_string(mh, ',') AS multi_hot,
+       CAST(list_position(mh, list_max(mh)) - 1 AS INTEGER) AS argmax_label
+FROM h
+""")
+def wide_binary_to_labels(spark, sf_dir):
+    """Wide 0/1 columns -> label array, primary label,
+    multi-hot of data-derived width, argmax class."""
+    from tessera.functions import labels as L
+    lab = tables.table(spark, sf_dir, "labels").select(
+        "doc_id", tables.binary_labels("quality", "toxic").alias("labs"))
+    width = L.multi_hot_width(lab, "labs")
+    mh = L.multi_hot(F.col("labs"), width)
+    return lab.select(
+        "doc_id", _labels_str("labs").alias("labels"),
+        F.coalesce(F.try_element_at("labs", F.lit(1)), F.lit(0)).alias("primary_label"),
+        F.array_join(mh, ",").alias("multi_hot"),
+        L.argmax(mh).alias("argmax_label"))
+
+
+PAIRS_SQL = f"""
+pairs AS (
+  SELECT u.conv_id, u.turn AS u_turn, u.text AS u_text, a.text AS a_text
+  FROM conversations u JOIN conversations a
+    ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+), precs AS (
+  SELECT 'conv_' || CAST(conv_id AS VARCHAR) || '_' || CAST(u_turn AS VARCHAR) AS record_id,
+         conv_id * 100000 + u_turn AS ord, CAST(conv_id AS VARCHAR) AS pair_id,
+         {S.safe_text('u_text')} AS text, {S.safe_text('a_text')} AS text_pair,
+         CAST(CAST(length(a_text) > length(u_text) AS INTEGER) AS DOUBLE) AS label
+  FROM pairs
+)"""
+
+
+@query("pair_records", oracle=f"""
+WITH {PAIRS_SQL}
+SELECT record_id, ord, pair_id, label, true AS is_pair_task,
+       length(text) AS text_length, length(text_pair) AS pair_length
+FROM precs
+""")
+def pair_records(spark, sf_dir):
+    """User turn + next assistant turn as a text pair."""
+    p = tables.conversation_pairs(spark, sf_dir)
+    return p.select("record_id", "ord", "pair_id", "label", "is_pair_task",
+                    F.length("text").alias("text_length"),
+                    F.length("text_pair").alias("pair_length"))
+
+
+@query("union_sources_capped", oracle="""
+WITH u AS (
+  SELECT 'documents' AS source, 'documents_' || CAST(doc_id AS VARCHAR) AS record_id FROM documents
+  UNION ALL
+  SELECT 'benchmark', 'benchmark_' || CAST(item_id AS VARCHAR) FROM benchmark
+)
+SELECT source, record_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY source
+                               ORDER BY md5('42:' || record_id), record_id) AS r FROM u)
+WHERE r <= 600
+""")
+def union_sources_capped(spark, sf_dir):
+    """Two sources unioned, each capped at 600 rows in seeded
+    order (the cap is the operator under test), then shuffled."""
+    u = tables.union_sources([tables.document_records(spark, sf_dir),
+                              tables.benchmark_records(spark, sf_dir)])
+    capped = prepare.cap_per_source(u, 600, seed=42)
+    return prepare.shuffle_order(capped).select("source", "record_id")
+
+
+DOCS_PREPARED = f"""
+drecs AS (
+  SELECT doc_id AS ord, 'documents_' || CAST(doc_id AS VARCHAR) AS record_id,
+         {S.norm_ws(S.clean(S.safe_text('text')))} AS text
+  FROM documents
+), dprep AS (
+  SELECT ord, record_id, {S.truncate('text')} AS text FROM drecs WHERE text <> ''
+)"""
+
+
+@query("prepare_documents", oracle=f"""
+WITH {DOCS_PREPARED},
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
+firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
+SELECT record_id, length(text) AS text_length, md5(text) AS text_md5,
+       '1.0' AS preprocessing_version
+FROM keyed JOIN firsts USING (k, ord)
+""")
+def prepare_documents(spark, sf_dir):
+    """Clean, collapse whitespace, drop empty, truncate,
+    keep-first dedupe on the normalized key."""
+    p = prepare.prepare_records(tables.document_records(spark, sf_dir))
+    return p.select("record_id", "text_length", F.md5("text").alias("text_md5"),
+                    "preprocessing_version")
+
+
+@query("balanced_classes", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED},
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM prep),
+dedup AS (SELECT keyed.* FROM keyed JOIN (SELECT k, min(ord) AS ord FROM keyed GROUP BY k) f
+          USING (k, ord)),
+target AS (SELECT min(n) AS t FROM (SELECT label, count(*) AS n FROM dedup GROUP BY label)),
+ranked AS (SELECT record_id, label,
+                  row_number() OVER (PARTITION BY label
+                                     ORDER BY md5('42:' || record_id), record_id) AS r
+           FROM dedup)
+SELECT record_id, label FROM ranked, target WHERE r <= t
+""")
+def balanced_classes(spark, sf_dir):
+    """E4 inside E2: every class cut to the smallest class size in seeded order."""
+    p = prepare.prepare_records(tables.quality_records(spark, sf_dir), balance_classes=True)
+    return p.select("record_id", "label")
+
+
+SENTENCE_BREAK_SQL = f"'({tx.SENTENCE_END})[{tx.WS_CLASS}]+'"
+
+
+@query("sentence_split", oracle=f"""
+WITH {DOCS_PREPARED},
+parts AS (
+  SELECT record_id, text,
+         list_filter(list_transform(string_split(regexp_replace(text, {SENTENCE_BREAK_SQL},
+             '\\1' || chr(57344), 'g'), chr(57344)), lambda s: {S.strip_ws('s')}),
+             lambda s: s <> '') AS s
+  FROM dprep
+), fixed AS (
+  SELECT record_id, CASE WHEN len(s) > 0 THEN s ELSE [text] END AS s FROM parts
+)
+SELECT record_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sentence_index,
+       md5(unnest(s)) AS sentence_md5, length(unnest(s)) AS sentence_length
+FROM fixed
+""")
+def sentence_split(spark, sf_dir):
+    """T5: sentences of every prepared document (whole texts)."""
+    p = prepare.clean_records(tables.document_records(spark, sf_dir))
+    return (p.select("record_id", F.posexplode(tx.sentences("text")).alias("sentence_index", "s"))
+            .select("record_id", "sentence_index", F.md5("s").alias("sentence_md5"),
+                    F.length("s").alias("sentence_length")))
