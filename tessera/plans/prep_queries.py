@@ -273,3 +273,92 @@ def sentence_split(spark, sf_dir):
     return (p.select("record_id", F.posexplode(tx.sentences("text")).alias("sentence_index", "s"))
             .select("record_id", "sentence_index", F.md5("s").alias("sentence_md5"),
                     F.length("s").alias("sentence_length")))
+
+
+# --- surface features -------------------------------------------------------------
+
+# Demo domain vocabulary for T14 (the reference's default list is empty).
+VOCABULARY = ["the", "und", "les", "los", "ment"]
+
+
+def _tokens_sql(e: str) -> str:
+    return f"regexp_extract_all(lower({e}), {S.q(tx.WORD_CLASS)})"
+
+
+def _vocab_sql(e: str) -> str:
+    return " + ".join(f"CASE WHEN strpos(lower({e}), {S.q(w)}) > 0 THEN 1 ELSE 0 END"
+                      for w in VOCABULARY)
+
+
+@query("surface_features", oracle=f"""
+WITH {DOCS_PREPARED},
+tk AS (SELECT record_id, text, {_tokens_sql('text')} AS tok FROM dprep),
+top AS (
+  SELECT record_id, max(c) AS top_c FROM (
+    SELECT record_id, t, count(*) AS c FROM (SELECT record_id, unnest(tok) AS t FROM tk)
+    GROUP BY record_id, t) GROUP BY record_id
+)
+SELECT tk.record_id, length(text) AS text_length,
+  round(len(regexp_extract_all(text, {S.q(tx.PUNCT_CLASS)})) / greatest(length(text), 1), 6)
+    AS punctuation_density,
+  len(regexp_extract_all(text, {S.q('[^' + tx.NOT_SPECIAL_CLASS + ']')})) AS special_char_count,
+  len(tok) AS token_count,
+  round(CASE WHEN len(tok) > 0 THEN coalesce(top_c, 0) / len(tok) ELSE 0.0 END, 6)
+    AS token_top_frequency,
+  round(CASE WHEN len(tok) > 0 THEN len(list_distinct(tok)) / len(tok) ELSE 0.0 END, 6)
+    AS token_unique_ratio,
+  0.0 AS lexical_overlap,
+  {_vocab_sql('text')} AS domain_vocab_hits
+FROM tk LEFT JOIN top ON tk.record_id = top.record_id
+""")
+def surface_features(spark, sf_dir):
+    """Surface scalars of every prepared document."""
+    from tessera.operators import surface
+    p = prepare.clean_records(tables.document_records(spark, sf_dir))
+    f = surface.surface_scalars(p, vocabulary=VOCABULARY)
+    r6 = lambda c: F.round(F.col(c), 6).alias(c)
+    return f.select("record_id", "text_length", r6("punctuation_density"),
+                    "special_char_count", "token_count", r6("token_top_frequency"),
+                    r6("token_unique_ratio"), r6("lexical_overlap"), "domain_vocab_hits")
+
+
+@query("char_ngrams", oracle=f"""
+WITH {DOCS_PREPARED},
+low AS (SELECT record_id, lower(text) AS t FROM dprep),
+g AS (
+  SELECT record_id, substring(t, i, 1) AS g FROM (SELECT record_id, t, unnest(range(1, length(t) + 1)) AS i FROM low)
+  UNION ALL
+  SELECT record_id, substring(t, i, 2) FROM (SELECT record_id, t, unnest(range(1, length(t))) AS i FROM low)
+  UNION ALL
+  SELECT record_id, substring(t, i, 3) FROM (SELECT record_id, t, unnest(range(1, length(t) - 1)) AS i FROM low)
+),
+pg AS (SELECT record_id, g, count(*) AS c FROM g GROUP BY record_id, g),
+b AS (SELECT record_id, CAST(('0x' || substr(md5(g), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket,
+             sum(c) AS c FROM pg GROUP BY 1, 2)
+SELECT record_id, bucket,
+       round(c / sqrt(sum(c * c) OVER (PARTITION BY record_id)), 6) AS value
+FROM b
+""")
+def char_ngrams(spark, sf_dir):
+    """Hashed char 1-3-gram vector (256 buckets, L2-normalized), long form."""
+    from tessera.operators import surface
+    p = prepare.clean_records(tables.document_records(spark, sf_dir))
+    v = surface.char_ngram_vectors(p)
+    return v.select("record_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@query("pair_overlap", oracle=f"""
+WITH {PAIRS_SQL},
+tk AS (SELECT record_id, {_tokens_sql('text')} AS a, {_tokens_sql('text_pair')} AS b FROM precs)
+SELECT record_id,
+  round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+        ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6)
+    AS lexical_overlap
+FROM tk
+""")
+def pair_overlap(spark, sf_dir):
+    """Jaccard overlap of the token sets of question and answer."""
+    from tessera.functions import text as tx_
+    p = tables.conversation_pairs(spark, sf_dir)
+    return p.select("record_id", F.round(tx_.lexical_overlap(
+        tx_.tokens("text"), tx_.tokens("text_pair")), 6).alias("lexical_overlap"))
