@@ -49,7 +49,12 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hash_col: str,
         *([F.sum("_hr_n").over(Window.partitionBy(*group_cols)).alias(size_col)]
           if size_col else []),
     )
-    joined = with_bucket.join(offsets, on=[*group_cols, bucket], how="inner")
+    keys = [*group_cols, bucket]
+    # null-safe: a NULL group (e.g. unlabelled rows) is a group of its own
+    cond = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
+    extra = ["_hr_offset"] + ([size_col] if size_col else [])
+    joined = (with_bucket.alias("_l").join(offsets.alias("_r"), cond, "inner")
+              .select("_l.*", *[F.col(f"_r.{c}") for c in extra]))
     w_in = Window.partitionBy(*group_cols, bucket).orderBy(hash_col, tiebreak_col)
     return (joined
             .withColumn(rank_col, F.col("_hr_offset") + F.row_number().over(w_in))
@@ -62,3 +67,20 @@ def first_n_by_hash(df: DataFrame, group_cols: Sequence[str], hash_col: str,
     limit = F.lit(n) if isinstance(n, int) else n
     return (hash_rank(df, group_cols, hash_col, tiebreak_col, rank_col="_fn_rank")
             .filter(F.col("_fn_rank") <= limit).drop("_fn_rank"))
+
+
+def first_n_by_order(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                     n: int, salts: int = 64) -> DataFrame:
+    """The first ``n`` rows per group in ``order_cols`` order, for small ``n``.
+
+    Two stages: rows are first cut to ``n`` per (group, salt) -- salt spreads
+    a hot group over ``salts`` tasks -- and the at most ``n * salts``
+    survivors per group are ranked again.  Exact: the global first ``n`` are
+    among the first ``n`` of their salt."""
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_cols), F.lit(salts)))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+    stage1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n)
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return (stage1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n)
+            .drop("_salt", "_r1", "_r2"))

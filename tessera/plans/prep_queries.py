@@ -362,3 +362,350 @@ def pair_overlap(spark, sf_dir):
     p = tables.conversation_pairs(spark, sf_dir)
     return p.select("record_id", F.round(tx_.lexical_overlap(
         tx_.tokens("text"), tx_.tokens("text_pair")), 6).alias("lexical_overlap"))
+
+
+# --- leakage components, splits, reports ---------------------------------------------
+
+STRIDE = tables.SOURCE_ORD_STRIDE
+
+MIXED_SQL = f"""
+{DOCS_PREPARED}, {PAIRS_SQL},
+mixed AS (
+  SELECT record_id, ord, text, CAST(NULL AS VARCHAR) AS text_pair, CAST(NULL AS VARCHAR) AS pair_id
+  FROM dprep
+  UNION ALL
+  SELECT record_id, ord + {STRIDE}, {S.truncate('t')}, text_pair, pair_id FROM (
+    SELECT *, {S.norm_ws(S.clean('text'))} AS t FROM precs) WHERE t <> ''
+)"""
+
+
+def _mixed(spark, sf_dir):
+    u = tables.union_sources([tables.document_records(spark, sf_dir),
+                              tables.conversation_pairs(spark, sf_dir)])
+    return prepare.clean_records(u)
+
+
+@query("leakage_components", oracle=f"""
+WITH RECURSIVE {MIXED_SQL},
+{components_cte('mixed', with_pairs=True)}
+SELECT record_id, component_id FROM comp
+""")
+def leakage_components(spark, sf_dir):
+    """G1: connected components over documents and conversation pairs linked
+    by shared normalized texts (text or text_pair) and pair ids."""
+    return leakage.connected_components(_mixed(spark, sf_dir)).select(
+        "record_id", "component_id")
+
+
+@query("split_grouped", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED},
+{components_cte('prep')},
+{SINGLE_LABEL_SPLIT}
+SELECT record_id, component_id, partition FROM split
+""")
+def split_grouped(spark, sf_dir):
+    """Label-stratified group split, one row per record."""
+    return _quality_split(spark, sf_dir).select("record_id", "component_id", "partition")
+
+
+@query("split_rows", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED},
+ranked AS (
+  SELECT record_id, row_number() OVER (PARTITION BY task_name, CAST(label AS BIGINT)
+             ORDER BY {S.seeded_hash(42, 'record_id')}, record_id) AS r,
+         count(*) OVER (PARTITION BY task_name, CAST(label AS BIGINT)) AS m
+  FROM prep
+)
+SELECT record_id, {S.allocate('r', 'm', min_eval=None)} AS partition FROM ranked
+""")
+def split_rows(spark, sf_dir):
+    """Row split stratified by the integer label."""
+    p = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
+    return splits.row_split(p).select("record_id", "partition")
+
+
+@query("split_groups_plain", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED},
+{components_cte('prep')},
+ranked AS (
+  SELECT task_name, component_id,
+         row_number() OVER (PARTITION BY task_name
+                            ORDER BY {S.seeded_hash(42, 'component_id')}, component_id) AS r,
+         count(*) OVER (PARTITION BY task_name) AS m
+  FROM (SELECT DISTINCT task_name, component_id FROM comp)
+)
+SELECT c.record_id, {S.allocate('r', 'm')} AS partition
+FROM comp c JOIN ranked USING (task_name, component_id)
+""")
+def split_groups_plain(spark, sf_dir):
+    """Unstratified group split (shares are of components)."""
+    p = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
+    comps = leakage.connected_components(p)
+    return splits.group_split(comps, stratify=False).select("record_id", "partition")
+
+
+def coverage_sql(prepared: str) -> str:
+    return f"""
+WITH RECURSIVE {prepared},
+{components_cte('prep')},
+{SINGLE_LABEL_SPLIT},
+counts AS (SELECT task_name, partition, CAST(label AS INTEGER) AS label, count(*) AS n
+           FROM split GROUP BY ALL),
+totals AS (SELECT task_name, label, sum(n) AS total FROM counts GROUP BY ALL),
+psize AS (SELECT task_name, partition, sum(n) AS part_n, count(*) AS n_classes
+          FROM counts GROUP BY ALL),
+parts AS (SELECT * FROM (VALUES ('train', 2), ('val', 1), ('test', 2)) t(partition, min_n)),
+pgrid AS (SELECT t.task_name, p.partition, p.min_n, coalesce(s.part_n, 0) AS part_n,
+                 coalesce(s.n_classes, 0) AS n_classes
+          FROM (SELECT DISTINCT task_name FROM totals) t CROSS JOIN parts p
+          LEFT JOIN psize s ON s.task_name = t.task_name AND s.partition = p.partition),
+grid AS (SELECT t.task_name, t.label, t.total, g.partition, g.min_n, g.part_n,
+                coalesce(c.n, 0) AS n
+         FROM totals t JOIN pgrid g ON g.task_name = t.task_name
+         LEFT JOIN counts c ON c.task_name = t.task_name AND c.partition = g.partition
+                           AND c.label = t.label
+         WHERE NOT (g.partition IN ('train', 'test') AND g.part_n = 0))
+SELECT task_name, 'warning' AS severity, 'class_too_small' AS rule, CAST(NULL AS VARCHAR) AS partition,
+       label, CAST(total AS BIGINT) AS n FROM totals WHERE total < 5
+UNION ALL SELECT task_name, 'error', 'empty_partition', partition, NULL, CAST(part_n AS BIGINT)
+  FROM pgrid WHERE partition IN ('train', 'test') AND part_n = 0
+UNION ALL SELECT task_name, 'error', 'missing_in_train', partition, label, CAST(n AS BIGINT)
+  FROM grid WHERE partition = 'train' AND n = 0
+UNION ALL SELECT task_name, 'error', 'below_min', partition, label, CAST(n AS BIGINT)
+  FROM grid WHERE partition IN ('val', 'test') AND n < min_n AND total >= min_n
+UNION ALL SELECT task_name, 'error', 'absent', partition, label, CAST(n AS BIGINT)
+  FROM grid WHERE partition IN ('val', 'test') AND n = 0 AND total >= min_n
+UNION ALL SELECT task_name, 'error', 'one_class', partition, NULL, CAST(part_n AS BIGINT)
+  FROM pgrid WHERE partition IN ('val', 'test') AND n_classes = 1 AND part_n > 0
+"""
+
+
+@query("split_coverage", oracle=coverage_sql(QUALITY_PREPARED))
+def split_coverage(spark, sf_dir):
+    """X8 (+F5): coverage findings of the stratified group split."""
+    return splits.coverage_report(_quality_split(spark, sf_dir))
+
+
+MULTI_PREPARED = f"""
+mrecs AS (
+  SELECT d.doc_id AS ord, 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id,
+         'quality_toxic' AS task_name,
+         list_filter([CASE WHEN coalesce(CAST(l.quality AS DOUBLE) <> 0, false) THEN 0 END,
+                      CASE WHEN coalesce(CAST(l.toxic AS DOUBLE) <> 0, false) THEN 1 END],
+                     lambda x: x IS NOT NULL) AS labels,
+         {S.norm_ws(S.clean(S.safe_text('d.text')))} AS text
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+prep AS (SELECT ord, record_id, task_name, labels, {S.truncate('text')} AS text
+         FROM mrecs WHERE text <> '')"""
+
+
+@query("split_distribution_multi", oracle=f"""
+WITH RECURSIVE {MULTI_PREPARED},
+{components_cte('prep')},
+pos AS (SELECT DISTINCT task_name, component_id, unnest(labels) AS lab FROM comp),
+freq AS (SELECT task_name, lab, count(*) AS f FROM
+           (SELECT task_name, unnest(labels) AS lab FROM comp) GROUP BY ALL),
+rare AS (SELECT task_name, component_id, arg_min(lab, (f, lab)) AS stratum
+         FROM pos JOIN freq USING (task_name, lab) GROUP BY ALL),
+groups AS (SELECT g.task_name, g.component_id, CAST(coalesce(r.stratum, -1) AS BIGINT) AS stratum
+           FROM (SELECT DISTINCT task_name, component_id FROM comp) g
+           LEFT JOIN rare r USING (task_name, component_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY task_name, stratum
+                       ORDER BY {S.seeded_hash(42, 'component_id')}, component_id) AS r,
+                  count(*) OVER (PARTITION BY task_name, stratum) AS m FROM groups),
+split AS (SELECT c.*, {S.allocate('r', 'm')} AS partition
+          FROM comp c JOIN ranked USING (task_name, component_id)),
+part AS (SELECT task_name, partition, count(*) AS n_rows,
+                sum(CASE WHEN len(labels) > 0 THEN 1 ELSE 0 END) AS n_with_positive
+         FROM split GROUP BY ALL),
+lab AS (SELECT task_name, partition, label, count(*) AS frequency FROM
+          (SELECT task_name, partition, unnest(labels) AS label FROM split) GROUP BY ALL)
+SELECT lab.task_name, lab.partition, lab.label, lab.frequency, part.n_rows,
+       CAST(part.n_with_positive AS BIGINT) AS n_with_positive
+FROM lab JOIN part USING (task_name, partition)
+""")
+def split_distribution_multi(spark, sf_dir):
+    """X3/X4/X7 multi-label: groups stratified by their rarest positive label;
+    label frequency per partition."""
+    p = prepare.prepare_records(tables.multilabel_records(spark, sf_dir), deduplicate=False)
+    split = splits.group_split(leakage.connected_components(p))
+    return splits.multilabel_distribution(split).select(
+        "task_name", "partition", "label", "frequency", "n_rows",
+        F.col("n_with_positive").cast("bigint").alias("n_with_positive"))
+
+
+def _overlap_sql(src: str, check: str, severity: str) -> str:
+    return f"""
+SELECT '{check}' AS "check", '{severity}' AS severity, a.partition AS partition_a,
+       b.partition AS partition_b, count(*) AS n_shared
+FROM (SELECT DISTINCT partition, key FROM {src}) a
+JOIN (SELECT DISTINCT partition, key FROM {src}) b ON a.key = b.key AND a.partition < b.partition
+GROUP BY a.partition, b.partition"""
+
+
+def _leak_sql(src: str) -> str:
+    return f"""
+tkeys AS (
+  SELECT partition, md5(key) AS key FROM (
+    SELECT partition, {S.text_key('text')} AS key FROM {src}
+    UNION ALL
+    SELECT partition, {S.text_key('text_pair')} FROM {src} WHERE text_pair IS NOT NULL)
+  WHERE key <> ''
+),
+pkeys AS (SELECT partition, pair_id AS key FROM {src} WHERE pair_id IS NOT NULL AND pair_id <> ''),
+skeys AS (SELECT partition, coalesce(source, '') || '::' || record_id AS key FROM {src})
+{_overlap_sql('tkeys', 'duplicate_text', 'violation')}
+UNION ALL {_overlap_sql('pkeys', 'pair_id', 'violation')}
+UNION ALL {_overlap_sql('skeys', 'source_record', 'warning')}"""
+
+
+@query("leakage_report", oracle=f"""
+WITH {DOCS_PREPARED},
+ranked AS (SELECT *, row_number() OVER (ORDER BY {S.seeded_hash(42, 'record_id')}, record_id) AS r,
+                  count(*) OVER () AS m FROM dprep),
+split AS (SELECT record_id, text, CAST(NULL AS VARCHAR) AS text_pair, CAST(NULL AS VARCHAR) AS pair_id,
+                 'documents' AS source, {S.allocate('r', 'm', min_eval=None)} AS partition FROM ranked),
+{_leak_sql('split')}
+""")
+def leakage_report(spark, sf_dir):
+    """Overlap of texts and source ids between partitions of a
+    plain row split of the documents (dedupe off, so duplicates leak)."""
+    p = prepare.clean_records(tables.document_records(spark, sf_dir))
+    return leakage.leakage_report(splits.row_split(p, stratify=False))
+
+
+@query("leakage_pairs", oracle=f"""
+WITH {PAIRS_SQL},
+ranked AS (SELECT *, row_number() OVER (ORDER BY {S.seeded_hash(42, 'record_id')}, record_id) AS r,
+                  count(*) OVER () AS m FROM precs),
+split AS (SELECT record_id, text, text_pair, pair_id, 'conversations' AS source,
+                 {S.allocate('r', 'm', min_eval=None)} AS partition FROM ranked)
+{_overlap_sql('(SELECT partition, pair_id AS key FROM split)', 'pair_id', 'violation')}
+""")
+def leakage_pairs(spark, sf_dir):
+    """Pair ids (conversations) that a plain row split puts into two
+    partitions."""
+    p = tables.conversation_pairs(spark, sf_dir)
+    rep = leakage.leakage_report(splits.row_split(p, stratify=False))
+    return rep.filter(F.col("check") == "pair_id")
+
+
+COMBO_PREPARED = f"""
+recs AS (
+  SELECT d.doc_id AS ord, 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id,
+         'quality_toxic_combo' AS task_name, CAST(l.quality * 2 + l.toxic AS DOUBLE) AS label,
+         {S.norm_ws(S.clean(S.safe_text('d.text')))} AS text
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+),
+prep AS (
+  SELECT ord, record_id, task_name, label, {S.truncate('text')} AS text
+  FROM recs WHERE text <> ''
+)"""
+
+
+@query("split_coverage_combo", oracle=coverage_sql(COMBO_PREPARED))
+def split_coverage_combo(spark, sf_dir):
+    """X8 on a four-class task (2*quality + toxic) whose rare class triggers
+    coverage findings."""
+    p = prepare.prepare_records(tables.combo_records(spark, sf_dir), deduplicate=False)
+    split = splits.group_split(leakage.connected_components(p))
+    return splits.coverage_report(split)
+
+
+@query("split_distribution_combo", oracle=f"""
+WITH RECURSIVE {COMBO_PREPARED},
+{components_cte('prep')},
+{SINGLE_LABEL_SPLIT}
+SELECT task_name, partition, CAST(label AS INTEGER) AS label,
+       count(*) AS n_records, count(DISTINCT component_id) AS n_components
+FROM split GROUP BY task_name, partition, CAST(label AS INTEGER)
+""")
+def split_distribution_combo(spark, sf_dir):
+    """X3/X7 on the four-class task."""
+    p = prepare.prepare_records(tables.combo_records(spark, sf_dir), deduplicate=False)
+    return splits.class_distribution(splits.group_split(leakage.connected_components(p)))
+
+
+# --- file sources and sinks -------------------------------------------------------------
+
+@query("partition_counts", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED},
+{components_cte('prep')},
+{SINGLE_LABEL_SPLIT}
+SELECT 'tone' AS track, task_name, partition, count(*) AS n, count(DISTINCT record_id) AS n_ids
+FROM split GROUP BY ALL
+""")
+def partition_counts(spark, sf_dir):
+    """S13/S14 (+S12 manifest counts): export the split partitioned by
+    track/task/partition under the shared scratch folder, read each partition
+    back with partition pruning, count."""
+    from functools import reduce as _reduce
+
+    from tessera.sources import files
+    split = _quality_split(spark, sf_dir)
+    root = files.scratch_path(spark, "partitions")
+    files.export_partitions(split, root)
+    frames = [files.load_partition(spark, root, track="tone", task_name="quality", partition=p)
+              for p in ("train", "val", "test")]
+    back = _reduce(lambda a, b: a.unionByName(b), frames)
+    return back.groupBy("track", "task_name", "partition").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("n_ids"))
+
+
+@query("track_preview", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED}, {DOCS_PREPARED},
+tracks AS (
+  SELECT 'tone' AS track, record_id, ord FROM prep
+  UNION ALL SELECT 'semantic', record_id, ord FROM dprep
+)
+SELECT track, record_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY track ORDER BY ord, record_id) AS r FROM tracks)
+WHERE r <= 5
+""")
+def track_preview(spark, sf_dir):
+    """First five prepared rows of every track (the preview size is the
+    feature).  Two-stage top-n: at most 5 per (track, salt) survive the first
+    window, so a huge track never sorts in one task."""
+    from tessera.operators.ranking import first_n_by_order
+    tone = prepare.clean_records(tables.quality_records(spark, sf_dir))
+    sem = prepare.clean_records(tables.document_records(spark, sf_dir))
+    both = tone.select("track", "record_id", "ord").unionByName(
+        sem.select("track", "record_id", "ord"))
+    return first_n_by_order(both, ["track"], ["ord", "record_id"], 5).select("track", "record_id")
+
+
+@query("format_round_trip", oracle="""
+SELECT fmt, doc_id, md5(text) AS text_md5, lang, source, n_chars
+FROM documents, (VALUES ('jsonl'), ('json'), ('csv')) f(fmt)
+""")
+def format_round_trip(spark, sf_dir):
+    """Documents written as JSONL, JSON documents
+    ({records: [...]}) and CSV under the shared scratch folder, read back by
+    the suffix-dispatching loader; every format must return the source rows."""
+    from tessera.sources import files
+    docs = tables.table(spark, sf_dir, "documents")
+    out = []
+    for fmt in ("jsonl", "json", "csv"):
+        path = files.scratch_path(spark, "roundtrip") + "." + fmt
+        if fmt == "json":
+            files.write_json_records(docs, path)
+        else:
+            files.write_records(docs, path, fmt=fmt)
+        back = files.load_file_dataset(spark, path)
+        out.append(back.select(
+            F.lit(fmt).alias("fmt"), F.col("doc_id").cast("bigint").alias("doc_id"),
+            F.md5(F.col("text").cast("string")).alias("text_md5"), F.col("lang"),
+            F.col("source"), F.col("n_chars").cast("bigint").alias("n_chars")))
+    return files.union_all(out)
+
+
+@query("txt_scan")
+def txt_scan(spark, sf_dir):
+    """Document texts written as a text file (one line per text line),
+    read back as one record per non-blank line with id = line_<index>."""
+    from tessera.sources import files
+    docs = tables.table(spark, sf_dir, "documents")
+    path = files.scratch_path(spark, "lines") + ".txt"
+    docs.select("text").coalesce(1).write.mode("overwrite").text(path)
+    return files.read_txt(spark, path).select("id", "text")

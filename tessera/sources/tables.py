@@ -79,6 +79,20 @@ def quality_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels=F.array(F.col("quality")))
 
 
+def combo_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-label records over four classes: label = 2 * quality + toxic."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    df = docs.join(labels, "doc_id", "inner")
+    lab = F.col("quality") * 2 + F.col("toxic")
+    return _records(
+        df, record_id=F.concat(F.lit("doc_"), F.col("doc_id")), ord_=F.col("doc_id"),
+        source=F.col("source"), language=F.col("lang"), track="tone",
+        task_name="quality_toxic_combo", task_type="classification",
+        label_type="single_label", text=tx.safe_text("text"), label=lab,
+        labels=F.array(lab))
+
+
 def multilabel_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-label records: (quality, toxic) binary columns -> labels array;
     primary label = first positive label, else 0 (P10)."""
