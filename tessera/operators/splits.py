@@ -64,6 +64,11 @@ def group_labels(df: DataFrame) -> DataFrame:
             .select("task_name", "component_id",
                     F.col("label").cast("bigint").alias("stratum")))
 
+    regr = (df.filter(F.col("label_type") == "regression")
+            .select("task_name", "component_id").distinct()
+            .withColumn("stratum", F.lit(0).cast("bigint")))
+    if "labels" not in df.columns:
+        return mode.unionByName(regr)
     multi = df.filter(F.col("label_type") == "multi_label")
     pos = multi.select("task_name", "component_id", F.explode("labels").alias("lab"))
     freq = pos.groupBy("task_name", "lab").agg(F.count(F.lit(1)).alias("_f"))
@@ -74,10 +79,6 @@ def group_labels(df: DataFrame) -> DataFrame:
     multi_all = multi.select("task_name", "component_id").distinct().join(
         rare, ["task_name", "component_id"], "left").select(
         "task_name", "component_id", F.coalesce("stratum", F.lit(-1).cast("bigint")).alias("stratum"))
-
-    regr = (df.filter(F.col("label_type") == "regression")
-            .select("task_name", "component_id").distinct()
-            .withColumn("stratum", F.lit(0).cast("bigint")))
     return mode.unionByName(multi_all).unionByName(regr)
 
 

@@ -1,6 +1,7 @@
 """Named query plans: each module registers Spark builders and oracle SQL."""
 
-from tessera.plans import metric_queries, prep_queries, report_queries, vector_queries  # noqa: F401,E501  (registers queries)
+from tessera.plans import (  # noqa: F401  (importing registers the queries)
+    learn_queries, metric_queries, prep_queries, report_queries, vector_queries)
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
