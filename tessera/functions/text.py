@@ -49,11 +49,22 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    # Rows that are NULL here were pure ASCII (or NULL) and are kept as is by
-    # the caller, so only non-ASCII rows cross into Python.
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _make_nfkc():
+    # Built inside a factory so the function is shipped to Python workers by
+    # value (workers need not have this package installed).
+    def nfkc_batch(texts: pd.Series) -> pd.Series:
+        # NULL rows were pure ASCII (or NULL) and are kept as is by the
+        # caller, so only non-ASCII rows cross into Python.
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    # Nondeterministic so the optimizer evaluates it exactly once: a
+    # deterministic UDF lets a later ``text <> ''`` filter be pushed below the
+    # projection, which duplicates the whole cleaning chain and the Arrow
+    # round trip.
+    return F.pandas_udf(nfkc_batch, T.StringType()).asNondeterministic()
+
+
+_nfkc = _make_nfkc()
 
 
 def is_ascii(col) -> Column:

@@ -2,10 +2,9 @@
 n-gram vector.
 
 The scalars are column expressions over whole texts (no Python).  The n-gram
-vector is built by generating the n-grams with array functions, counting
-them with a partial aggregate keyed on (record, n-gram) -- so each distinct
-n-gram of a text is hashed once -- and folding the counts into ``dim``
-buckets.  Python's salted ``hash`` cannot be reproduced, so the bucket is
+vector is built by generating the n-grams with array functions and counting
+their hash buckets with a partial aggregate keyed on (record, bucket), so at
+most ``dim`` rows per text cross the shuffle.  Python's salted ``hash`` cannot be reproduced, so the bucket is
 ``md5(n-gram)`` read as an unsigned 32-bit number modulo ``dim``.
 """
 
@@ -77,9 +76,11 @@ def char_ngram_vectors(df: DataFrame, *, id_col: str = "record_id", text_col: st
     """T15 in long form: (id, bucket, value) for non-zero buckets, L2-normalized."""
     chars = df.select(id_col, code_points(F.col(text_col)).alias("_chars"))
     grams = chars.select(id_col, F.explode(char_ngrams(F.col("_chars"), sizes)).alias("g"))
-    per_gram = grams.groupBy(id_col, "g").agg(F.count(F.lit(1)).alias("c"))
-    buckets = (per_gram.groupBy(id_col, ngram_bucket(F.col("g"), dim).alias("bucket"))
-               .agg(F.sum("c").alias("c")))
+    # bucket every occurrence in the map stage: the partial aggregate then
+    # holds at most ``dim`` entries per text, so the shuffle carries a
+    # histogram per text instead of every distinct n-gram
+    buckets = (grams.groupBy(id_col, ngram_bucket(F.col("g"), dim).alias("bucket"))
+               .agg(F.count(F.lit(1)).alias("c")))
     from pyspark.sql import Window
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
     return buckets.select(id_col, F.col("bucket").cast("int").alias("bucket"),

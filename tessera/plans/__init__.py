@@ -1,7 +1,13 @@
-"""Named query plans: each module registers Spark builders and oracle SQL."""
+"""Named query plans: each module registers Spark builders and oracle SQL.
 
-from tessera.plans import (  # noqa: F401  (importing registers the queries)
-    learn_queries, metric_queries, prep_queries, report_queries, vector_queries)
+Import order is registration order (records, vectors, metrics, reports,
+learning)."""
+
+from tessera.plans import prep_queries  # noqa: F401  (importing registers the queries)
+from tessera.plans import vector_queries  # noqa: F401
+from tessera.plans import metric_queries  # noqa: F401
+from tessera.plans import report_queries  # noqa: F401
+from tessera.plans import learn_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
