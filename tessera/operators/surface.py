@@ -2,10 +2,12 @@
 n-gram vector.
 
 The scalars are column expressions over whole texts (no Python).  The n-gram
-vector is built by generating the n-grams with array functions and counting
-their hash buckets with a partial aggregate keyed on (record, bucket), so at
-most ``dim`` rows per text cross the shuffle.  Python's salted ``hash`` cannot be reproduced, so the bucket is
-``md5(n-gram)`` read as an unsigned 32-bit number modulo ``dim``.
+vector hashes every overlapping n-gram straight from the text's code-point
+array (a polynomial hash, exact integer arithmetic that SQL can repeat) and
+counts the buckets with a partial aggregate keyed on (record, bucket), so at
+most ``dim`` rows per text cross the shuffle.  Python's salted ``hash``
+cannot be reproduced, so any deterministic hash is as faithful; this one
+creates no per-n-gram strings and no digests.
 """
 
 from __future__ import annotations
@@ -44,42 +46,62 @@ def surface_scalars(df: DataFrame, *, vocabulary: list[str] | None = None,
     )
 
 
-def code_points(col: Column) -> Column:
-    """The lower-cased text as an array of code points (one linear pass)."""
-    return F.regexp_extract_all(F.lower(col), F.lit("(?s)."), F.lit(0))
+# Fixed parameters of the n-gram hash (ours; the reference's salted Python
+# hash cannot be reproduced): h(c1) = c1, h(c1..ck) = (h(c1..ck-1) * P + ck) mod M
+# over code points, bucket = h mod dim.
+NGRAM_HASH_P = 1000003
+NGRAM_HASH_M = 2147483647
 
 
-def char_ngrams(chars: Column, sizes=NGRAM_SIZES) -> Column:
-    """All character n-grams of a code-point array column.
+def code_point_values(col: Column) -> Column:
+    """The lower-cased text as an ARRAY<BIGINT> of code points (one linear pass)."""
+    chars = F.regexp_extract_all(F.lower(col), F.lit("(?s)."), F.lit(0))
+    return F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
 
-    ``chars`` must be a column reference (materialize ``code_points`` first):
-    expressions inside array lambdas are not shared, so passing the regex
-    expression itself would re-split the text for every n-gram."""
-    n_chars = F.size(chars)
-    empty = F.array().cast("array<string>")
 
-    def gram_at(n):
-        return lambda i: F.array_join(F.slice(chars, i, n), "")
+def _poly(n: int):
+    # a one-argument lambda (transform passes the index to two-argument ones)
+    def poly(s):
+        acc = s["c0"]
+        for k in range(1, n):
+            acc = (acc * NGRAM_HASH_P + s[f"c{k}"]) % NGRAM_HASH_M
+        return acc
+    return poly
 
-    grams = [F.when(n_chars >= n, F.transform(F.sequence(F.lit(1), n_chars - n + 1), gram_at(n)))
-             .otherwise(empty)
-             for n in sizes]
-    return F.concat(*grams)
+
+def ngram_hashes(cps: Column, sizes=NGRAM_SIZES) -> Column:
+    """Hashes of all overlapping n-grams of a code-point array.
+
+    Built from shifted slices of the array (``arrays_zip``), so no lambda
+    refers to an outer column and no n-gram string is ever created."""
+    n_cp = F.size(cps)
+    out = []
+    for n in sizes:
+        m = n_cp - n + 1
+        parts = [F.slice(cps, k + 1, F.greatest(m, F.lit(0))) for k in range(n)]
+        if n == 1:
+            h = parts[0]
+        else:
+            z = F.arrays_zip(*[p.alias(f"c{k}") for k, p in enumerate(parts)])
+
+            h = F.transform(z, _poly(n))
+        out.append(F.when(m > 0, h).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*out)
 
 
 def ngram_bucket(gram: Column, dim: int = NGRAM_DIM) -> Column:
+    """Bucket of a whole string (used for word tokens): md5 as a 32-bit number."""
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
 def char_ngram_vectors(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
                        dim: int = NGRAM_DIM, sizes=NGRAM_SIZES) -> DataFrame:
     """T15 in long form: (id, bucket, value) for non-zero buckets, L2-normalized."""
-    chars = df.select(id_col, code_points(F.col(text_col)).alias("_chars"))
-    grams = chars.select(id_col, F.explode(char_ngrams(F.col("_chars"), sizes)).alias("g"))
-    # bucket every occurrence in the map stage: the partial aggregate then
-    # holds at most ``dim`` entries per text, so the shuffle carries a
-    # histogram per text instead of every distinct n-gram
-    buckets = (grams.groupBy(id_col, ngram_bucket(F.col("g"), dim).alias("bucket"))
+    cps = df.select(id_col, code_point_values(F.col(text_col)).alias("_cp"))
+    hashes = cps.select(id_col, F.explode(ngram_hashes(F.col("_cp"), sizes)).alias("h"))
+    # the partial aggregate holds at most ``dim`` entries per text, so the
+    # shuffle carries a histogram per text, not every n-gram
+    buckets = (hashes.groupBy(id_col, F.pmod(F.col("h"), F.lit(dim)).alias("bucket"))
                .agg(F.count(F.lit(1)).alias("c")))
     from pyspark.sql import Window
     norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))

@@ -322,19 +322,24 @@ def surface_features(spark, sf_dir):
                     r6("token_unique_ratio"), r6("lexical_overlap"), "domain_vocab_hits")
 
 
+_P, _M = 1000003, 2147483647
+
+
 @query("char_ngrams", oracle=f"""
 WITH {DOCS_PREPARED},
 low AS (SELECT record_id, lower(text) AS t FROM dprep),
 g AS (
-  SELECT record_id, substring(t, i, 1) AS g FROM (SELECT record_id, t, unnest(range(1, length(t) + 1)) AS i FROM low)
+  SELECT record_id, CAST(ord(substring(t, i, 1)) AS BIGINT) AS h
+    FROM (SELECT record_id, t, unnest(range(1, length(t) + 1)) AS i FROM low)
   UNION ALL
-  SELECT record_id, substring(t, i, 2) FROM (SELECT record_id, t, unnest(range(1, length(t))) AS i FROM low)
+  SELECT record_id, (CAST(ord(substring(t, i, 1)) AS BIGINT) * {_P} + CAST(ord(substring(t, i + 1, 1)) AS BIGINT)) % {_M}
+    FROM (SELECT record_id, t, unnest(range(1, length(t))) AS i FROM low)
   UNION ALL
-  SELECT record_id, substring(t, i, 3) FROM (SELECT record_id, t, unnest(range(1, length(t) - 1)) AS i FROM low)
+  SELECT record_id, (((CAST(ord(substring(t, i, 1)) AS BIGINT) * {_P} + CAST(ord(substring(t, i + 1, 1)) AS BIGINT)) % {_M}) * {_P}
+                     + CAST(ord(substring(t, i + 2, 1)) AS BIGINT)) % {_M}
+    FROM (SELECT record_id, t, unnest(range(1, length(t) - 1)) AS i FROM low)
 ),
-pg AS (SELECT record_id, g, count(*) AS c FROM g GROUP BY record_id, g),
-b AS (SELECT record_id, CAST(('0x' || substr(md5(g), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket,
-             sum(c) AS c FROM pg GROUP BY 1, 2)
+b AS (SELECT record_id, CAST(h % 256 AS INTEGER) AS bucket, count(*) AS c FROM g GROUP BY 1, 2)
 SELECT record_id, bucket,
        round(c / sqrt(sum(c * c) OVER (PARTITION BY record_id)), 6) AS value
 FROM b
