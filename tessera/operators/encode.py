@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -92,39 +92,48 @@ def token_vectors(df: DataFrame, *, id_col: str = "record_id", text_col: str = "
 
 def sentence_segments(df: DataFrame, *, id_col: str = "record_id",
                       text_col: str = "text") -> DataFrame:
-    """(id, seg, start, end) token ranges per sentence (V7 apportioning)."""
-    sents = F.transform(tx.sentences(text_col), lambda s: F.greatest(F.size(tx.tokens(s)), F.lit(1)))
-    base = df.select(id_col, sents.alias("sizes"), F.size(tx.tokens(text_col)).alias("T"))
+    """(id, seg, start, end) token ranges per sentence (V7 apportioning).
+
+    The sequential rule (cursor += max(1, round_half_even(size * T / total)),
+    capped at T, at least one step while below T) equals
+    end_i = min(T, cumsum_i), start_i = min(T, cumsum_{i-1}) because every
+    step is at least 1; the cumulative sum is a window per text."""
+    sizes = F.transform(tx.sentences(text_col),
+                        lambda s: F.greatest(F.size(tx.tokens(s)), F.lit(1)))
+    base = df.select(id_col, sizes.alias("sizes"), F.size(tx.tokens(text_col)).alias("T"))
     base = base.withColumn("total", F.aggregate("sizes", F.lit(0), lambda a, x: a + x))
-    init = F.struct(F.lit(0).alias("cursor"), F.col("T").alias("T"),
-                    F.col("total").cast("double").alias("total"),
-                    F.array().cast("array<struct<start:int,end:int>>").alias("segs"))
+    rows = base.select(id_col, "T", "total", F.posexplode("sizes").alias("seg", "size"))
+    scaled = F.greatest(F.lit(1), F.bround(F.col("size") * F.col("T") / F.col("total"), 0)
+                        .cast("int"))
+    w = Window.partitionBy(id_col).orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    cum = rows.withColumn("_cum", F.sum(scaled).over(w))
+    return cum.select(id_col, "seg",
+                      F.least(F.col("T"), F.col("_cum") - scaled).cast("int").alias("start"),
+                      F.least(F.col("T"), F.col("_cum")).cast("int").alias("end"))
 
-    def step(acc, size):
-        scaled = F.greatest(F.lit(1), F.bround(size * acc["T"] / acc["total"], 0).cast("int"))
-        end0 = F.least(acc["T"], acc["cursor"] + scaled)
-        end = F.when(end0 <= acc["cursor"], F.least(acc["T"], acc["cursor"] + 1)).otherwise(end0)
-        seg = F.struct(acc["cursor"].alias("start"), end.alias("end"))
-        return F.struct(end.alias("cursor"), acc["T"].alias("T"), acc["total"].alias("total"),
-                        F.concat(acc["segs"], F.array(seg)).alias("segs"))
 
-    segs = base.select(id_col, F.aggregate("sizes", init, step)["segs"].alias("segs"))
-    return segs.select(id_col, F.posexplode("segs").alias("seg", "s")).select(
-        id_col, "seg", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+def _mean_rows(vecs) -> Column:
+    ones = F.array_repeat(F.lit(1.0), F.size(vecs))
+    total = F.aggregate(F.arrays_zip(vecs.alias("t"), ones.alias("w")),
+                        F.array_repeat(F.lit(0.0), F.size(F.element_at(vecs, 1))),
+                        lambda acc, s: F.zip_with(acc, s["t"], lambda a, x: a + x * s["w"]))
+    return F.zip_with(total, F.array_repeat(F.size(vecs).cast("double"), F.size(total)),
+                      lambda a, n: a / n)
 
 
 def sentence_pool(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
-    """V7: (id, layer, seg, vec) -- one vector per sentence and layer."""
+    """V7: (id, layer, seg, vec) -- one vector per sentence and layer.
+    A segment's token vectors are collected (bounded by the text's length)
+    and averaged with array functions."""
     tv = token_vectors(df, id_col=id_col, text_col=text_col)
     segs = sentence_segments(df, id_col=id_col, text_col=text_col)
     covered = segs.filter(F.col("end") > F.col("start")).select(
         id_col, "seg", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    m = Summarizer.metrics("mean")
     seg_mean = (covered.join(tv, [id_col, "pos"])
-                .groupBy(id_col, "layer", "seg").agg(m.summary(array_to_vector("w")).alias("_s"))
-                .select(id_col, "layer", "seg", vector_to_array("_s.mean").alias("vec")))
-    overall = (tv.groupBy(id_col, "layer").agg(m.summary(array_to_vector("w")).alias("_s"))
-               .select(id_col, "layer", vector_to_array("_s.mean").alias("vec")))
+                .groupBy(id_col, "layer", "seg").agg(F.collect_list("w").alias("_v"))
+                .select(id_col, "layer", "seg", _mean_rows(F.col("_v")).alias("vec")))
+    overall = (tv.groupBy(id_col, "layer").agg(F.collect_list("w").alias("_v"))
+               .select(id_col, "layer", _mean_rows(F.col("_v")).alias("vec")))
     empty = segs.filter(F.col("end") <= F.col("start")).select(id_col, "seg").join(
         overall, id_col).select(id_col, "layer", "seg", "vec")
     return seg_mean.unionByName(empty)
