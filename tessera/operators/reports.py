@@ -134,3 +134,18 @@ def order_layers(df: DataFrame, layer_col: str = "layer") -> DataFrame:
     """Numeric layer names first (by value), then the rest by name."""
     c = F.col(layer_col).cast("string")
     return df.orderBy(F.expr(f"try_cast(`{layer_col}` AS INT)").asc_nulls_last(), c)
+
+
+def generate_all_reports(scores: DataFrame, *, interventions: DataFrame | None = None,
+                         directions: DataFrame | None = None,
+                         robustness: DataFrame | None = None) -> dict[str, DataFrame]:
+    """K7: the report tables -- layer profile (K2), interventions (K5, only
+    when present), direction index (K6) and robustness (K3, optional)."""
+    out = {"layer_profile": layer_profile_report(scores)}
+    if interventions is not None:
+        out["interventions"] = interventions
+    if directions is not None:
+        out["directions"] = direction_index(directions)
+    if robustness is not None:
+        out["robustness"] = robustness
+    return out

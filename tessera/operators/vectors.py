@@ -288,3 +288,22 @@ def layer_zscore(vecs: DataFrame) -> DataFrame:
     sd = F.stddev_pop("value").over(w)
     return m.select("layer", "dim", ((F.col("value") - F.avg("value").over(w))
                                      / F.when(sd == 0, 1.0).otherwise(sd)).alias("value"))
+
+
+def filter_layers(vecs: DataFrame, *, mode: str = "all", indices: Sequence[int] | None = None,
+                  last_n: int | None = None) -> DataFrame:
+    """``all``; explicit ``indices`` (order and repeats kept, negative
+    counts from the end; adds ``slot`` = position in the list); else the last
+    ``last_n`` layers.  The index list is a tiny broadcast table."""
+    if mode == "all" and indices is None and last_n is None:
+        return vecs
+    n_layers = vecs.agg(F.max("layer")).first()[0] + 1
+    if indices is not None:
+        spark = vecs.sparkSession
+        sel = spark.createDataFrame(
+            [(slot, int(i) % n_layers if int(i) < 0 else int(i)) for slot, i in enumerate(indices)],
+            "slot int, layer int")
+        return vecs.join(F.broadcast(sel), "layer")
+    if last_n is not None and last_n > 0:
+        return vecs.filter(F.col("layer") >= n_layers - last_n)
+    return vecs

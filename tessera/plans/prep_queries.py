@@ -714,3 +714,26 @@ def txt_scan(spark, sf_dir):
     path = files.scratch_path(spark, "lines") + ".txt"
     docs.select("text").coalesce(1).write.mode("overwrite").text(path)
     return files.read_txt(spark, path).select("id", "text")
+
+
+@query("file_records", oracle="""
+SELECT 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id, length(d.text) AS text_length,
+       CAST(l.quality AS DOUBLE) AS label, d.lang AS language, 'train' AS split,
+       d.source AS source, 'tone' AS track, 'quality' AS task_name, false AS is_pair_task
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""")
+def file_records(spark, sf_dir):
+    """S5-S7 + S10: labelled documents written as a flat JSONL file
+    (sentence, label, source, language, record_id) and read back through the
+    suffix dispatch, canonicalization and track binding."""
+    from tessera.sources import files
+    d = tables.table(spark, sf_dir, "documents").join(tables.table(spark, sf_dir, "labels"), "doc_id")
+    flat = d.select(F.col("text").alias("sentence"), F.col("quality").alias("label"), "source",
+                    F.col("lang").alias("language"),
+                    F.concat(F.lit("doc_"), F.col("doc_id")).alias("record_id"))
+    path = files.scratch_path(spark, "flat") + ".jsonl"
+    files.write_records(flat, path, fmt="jsonl")
+    canon = files.canonicalize(files.load_file_dataset(spark, path), "flat.jsonl")
+    bound = files.bind_track(canon.withColumn("_row", F.lit(None)), "tone", "quality")
+    return bound.select("record_id", "text_length", "label", "language", "split", "source",
+                        "track", "task_name", "is_pair_task")

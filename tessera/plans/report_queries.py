@@ -303,3 +303,19 @@ def attention_salience(spark, sf_dir):
     sal = INF.attention_salience(emb)
     out = sal.select("vec_id", F.posexplode("salience").alias("key", "salience"))
     return _r(out.withColumn("key", F.col("key").cast("int")), "salience")
+
+
+@query("result_scan", oracle=f"""
+WITH {SCORES}
+SELECT track, task, family, level, layer, {R6.format('score')} AS score FROM scores
+""")
+def result_scan(spark, sf_dir):
+    """Layer scores written under track/task/family/level folders and
+    scanned back; the keys come from the folder names."""
+    from tessera.sources import files
+    path = files.scratch_path(spark, "results")
+    files.write_records(_scores(spark, sf_dir), path, partition_by=KEYS)
+    back = spark.read.option("basePath", path).parquet(path)
+    return _r(RP.order_layers(back.select(*[F.col(k).cast("string").alias(k) for k in KEYS],
+                                          F.col("layer").cast("int").alias("layer"), "score")),
+              "score")

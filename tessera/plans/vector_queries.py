@@ -273,3 +273,44 @@ def layer_zscore(spark, sf_dir):
     """Per-dimension z-score of the layer means across layers."""
     z = VO.layer_zscore(_vectors(spark, sf_dir))
     return z.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query("layer_filter", oracle=f"""
+WITH {EV},
+sel AS (SELECT * FROM (VALUES (0, 3), (1, 0), (2, 3), (3, 3)) t(slot, layer))
+SELECT 'indices' AS mode, slot, layer, count(DISTINCT id) AS n FROM ev JOIN sel USING (layer) GROUP BY ALL
+UNION ALL
+SELECT 'last_n', -1, layer, count(DISTINCT id) FROM ev WHERE layer >= 2 GROUP BY ALL
+""")
+def layer_filter(spark, sf_dir):
+    """explicit layer indices [3, 0, 3, -1] (order and repeats kept) and
+    the last two layers."""
+    v = _vectors(spark, sf_dir)
+    a = VO.filter_layers(v, mode="explicit", indices=[3, 0, 3, -1]).groupBy("slot", "layer").agg(
+        F.countDistinct("id").alias("n")).withColumn("mode", F.lit("indices"))
+    b = VO.filter_layers(v, mode="last_n", last_n=2).groupBy("layer").agg(
+        F.countDistinct("id").alias("n")).withColumn("mode", F.lit("last_n")).withColumn(
+        "slot", F.lit(-1))
+    return a.unionByName(b).select("mode", F.col("slot").cast("int").alias("slot"),
+                                   F.col("layer").cast("int").alias("layer"), "n")
+
+
+@query("vector_store_round_trip", oracle=f"""
+WITH {EV}
+SELECT id, layer, dim, {R6.format('x')} AS value FROM ev
+""")
+def vector_store_round_trip(spark, sf_dir):
+    """Vectors written partitioned by layer under the shared
+    scratch folder and read back (ragged samples averaged on read, layers
+    ordered numerically)."""
+    from tessera.sources import files
+    v = _vectors(spark, sf_dir).select("id", "layer", "vec")
+    path = files.scratch_path(spark, "vectors")
+    files.write_records(v, path, partition_by=["layer"])
+    back = spark.read.parquet(path)
+    per_id = back.groupBy("id", "layer").agg(F.collect_list("vec").alias("_v")).select(
+        "id", F.col("layer").cast("int").alias("layer"),
+        VO.V.divide(F.aggregate("_v", F.array_repeat(F.lit(0.0), F.size(F.element_at("_v", 1))),
+                                lambda acc, x: VO.V.add(acc, x)),
+                    F.size("_v").cast("double")).alias("vec"))
+    return VO.to_long(per_id, ["id", "layer"])
