@@ -9,8 +9,6 @@ component's largest-magnitude entry is positive.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -21,7 +19,6 @@ from tessera.functions import vectors as V
 from tessera.operators.vectors import group_stats
 
 PCA_COMPONENTS = 8
-FIT_THREADS = 4
 
 
 def pca_components(vecs: DataFrame, k: int = PCA_COMPONENTS) -> DataFrame:
@@ -44,8 +41,11 @@ def pca_components(vecs: DataFrame, k: int = PCA_COMPONENTS) -> DataFrame:
             rows.append((int(layer), i, [float(x) for x in c], float(ratio[i])))
         return rows
 
-    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        rows = [r for part in pool.map(fit, layers) for r in part]
+    # Sequential on purpose: the d x d SVD runs on the driver in a pure-Java
+    # LAPACK that is not thread-safe (concurrent fits can corrupt its shared
+    # state).  The distributed part -- the covariance pass -- is unaffected.
+    rows = [r for layer in layers for r in fit(layer)]
+    data.unpersist()
     return spark.createDataFrame(
         rows, "layer int, k int, vec array<double>, explained_variance_ratio double").select(
         F.lit("pca").alias("method"), "layer", "k", F.lit(None).cast("int").alias("label"), "vec",

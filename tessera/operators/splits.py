@@ -186,3 +186,17 @@ def coverage_report(split: DataFrame, *, min_samples: dict[str, int] | None = No
                "error", "one_class", n_col="part_n", label=False)
     return (too_small.unionByName(empty).unionByName(missing).unionByName(below)
             .unionByName(absent).unionByName(one).select(*out_cols))
+
+
+def label_evaluability(df: DataFrame, *, min_frequency: int = MIN_EVAL,
+                       min_positive: int = 1, min_negative: int = 1) -> DataFrame:
+    """F5 (multi-label): per label, global positives and whether the label can
+    be evaluated (positives >= min_frequency, and enough positives and
+    negatives for a two-class score)."""
+    per = (df.select("task_name", F.explode("labels").alias("label"))
+           .groupBy("task_name", "label").agg(F.count(F.lit(1)).alias("positives")))
+    totals = df.groupBy("task_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = per.join(totals, "task_name")
+    return out.withColumn("evaluable", (F.col("positives") >= min_frequency)
+                          & (F.col("positives") >= min_positive)
+                          & (F.col("n_rows") - F.col("positives") >= min_negative))

@@ -737,3 +737,65 @@ def file_records(spark, sf_dir):
     bound = files.bind_track(canon.withColumn("_row", F.lit(None)), "tone", "quality")
     return bound.select("record_id", "text_length", "label", "language", "split", "source",
                         "track", "task_name", "is_pair_task")
+
+
+@query("label_evaluability", oracle=f"""
+WITH {MULTI_PREPARED},
+per AS (SELECT task_name, label, count(*) AS positives FROM
+          (SELECT task_name, unnest(labels) AS label FROM prep) GROUP BY ALL),
+tot AS (SELECT task_name, count(*) AS n_rows FROM prep GROUP BY ALL)
+SELECT task_name, label, positives, n_rows,
+       (positives >= 5 AND positives >= 1 AND n_rows - positives >= 1) AS evaluable
+FROM per JOIN tot USING (task_name)
+""")
+def label_evaluability(spark, sf_dir):
+    """which multi-label labels are frequent enough to evaluate."""
+    p = prepare.prepare_records(tables.multilabel_records(spark, sf_dir), deduplicate=False)
+    return splits.label_evaluability(p).select(
+        "task_name", F.col("label").cast("int").alias("label"), "positives", "n_rows", "evaluable")
+
+
+@query("raw_dump", oracle=f"""
+WITH RECURSIVE {QUALITY_PREPARED}, {DOCS_PREPARED},
+tracks AS (
+  SELECT 'tone' AS track, record_id, {S.text_key('text')} AS k FROM prep
+  UNION ALL SELECT 'semantic', record_id, {S.text_key('text')} FROM dprep
+)
+SELECT track, count(*) AS n_rows, count(DISTINCT md5(k)) AS n_text_keys FROM tracks GROUP BY track
+""")
+def raw_dump(spark, sf_dir):
+    """Every track's prepared rows dumped with a ``_text_key`` column,
+    partitioned by track under the shared scratch folder; the manifest is the
+    row and distinct-key count per track, read back from the dump."""
+    from tessera.functions import text as tx_
+    from tessera.sources import files
+    tone = prepare.clean_records(tables.quality_records(spark, sf_dir))
+    sem = prepare.clean_records(tables.document_records(spark, sf_dir))
+    dump = tone.unionByName(sem).withColumn("_text_key", F.md5(tx_.text_key("text")))
+    path = files.scratch_path(spark, "dump")
+    files.write_records(dump.select("track", "record_id", "_text_key"), path, partition_by=["track"])
+    back = spark.read.parquet(path)
+    return back.groupBy("track").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.countDistinct("_text_key").alias("n_text_keys"))
+
+
+@query("prepare_once", oracle=f"""
+WITH {DOCS_PREPARED},
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
+firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
+SELECT record_id, length(text) AS text_length, md5(text) AS text_md5
+FROM keyed JOIN firsts USING (k, ord)
+""")
+def prepare_once(spark, sf_dir):
+    """Idempotent prepare -- the second call finds the output and skips
+    the build; the result is read from the written table."""
+    from tessera.sources import files
+    path = files.scratch_path(spark, "prepared")
+
+    def build():
+        return prepare.prepare_records(tables.document_records(spark, sf_dir)).select(
+            "record_id", "text_length", F.md5("text").alias("text_md5"))
+
+    files.prepare_once(build, path)
+    out = files.prepare_once(build, path)  # skipped: output exists
+    return out

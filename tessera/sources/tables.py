@@ -169,3 +169,36 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     shifted = [f.withColumn("ord", F.col("ord") + F.lit(i * SOURCE_ORD_STRIDE))
                for i, f in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b), shifted)
+
+
+def canonical_view(df: DataFrame, version: str = "1.0") -> DataFrame:
+    """P11 + P12: record frame -> canonical shape with a ``metadata`` struct.
+    Style tracks carry ``y_style`` (labels for multi-label, else [label]);
+    tone / semantic tracks carry ``y_semantic``; pair rows get
+    ``pair_id`` = own id when absent and ``contrast_type`` = task name."""
+    is_pair = F.col("is_pair_task")
+    y_style = F.when(F.col("track") == "style",
+                     F.when(F.col("label_type") == "multi_label", F.col("labels"))
+                     .otherwise(F.array(F.col("label").cast("int"))))
+    y_sem = F.when(F.col("track") != "style", F.col("label"))
+    meta = F.struct(
+        F.col("source").alias("source"), F.lit("").alias("domain"),
+        F.col("language").alias("language"), F.lit("train").alias("split"),
+        F.when(is_pair, F.coalesce("pair_id", "record_id")).alias("pair_id"),
+        F.when(is_pair, F.col("task_name")).alias("contrast_type"),
+        F.lit(version).alias("preprocessing_version"),
+        F.length("text").cast("int").alias("text_length"),
+        F.col("task_name").alias("task_name"), F.col("track").alias("track"),
+        F.col("record_id").alias("record_id"))
+    return df.select("text", y_style.alias("y_style"), y_sem.alias("y_semantic"),
+                     meta.alias("metadata"), *[c for c in df.columns if c != "text"])
+
+
+def probing_labels(df: DataFrame) -> DataFrame:
+    """The label a probe is trained on -- multi-label rows use
+    ``labels`` (else []), all others ``label``."""
+    return df.withColumn(
+        "probe_label",
+        F.when(F.col("label_type") == "multi_label",
+               F.coalesce(F.col("labels"), F.array().cast("array<int>")).cast("array<double>"))
+        .otherwise(F.array(F.col("label"))))
