@@ -82,8 +82,9 @@ def surface_baseline(spark, sf_dir):
     recs = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
     split = splits.group_split(leakage.connected_components(recs))
     feats = surface.feature_vectors(split.select("record_id", "text", "label", "partition"))
+    # both estimators read one cached feature table (built once)
     vecs = feats.select(F.col("record_id").alias("id"), F.lit(0).alias("layer"),
-                        F.col("features").alias("vec"), "label", "partition")
+                        F.col("features").alias("vec"), "label", "partition").cache()
     out = []
     for est in ("logistic", "svm"):
         s, _ = probes.probe_layers(vecs, estimator=est, strict_test_coverage=False)
