@@ -799,3 +799,37 @@ def prepare_once(spark, sf_dir):
     files.prepare_once(build, path)
     out = files.prepare_once(build, path)  # skipped: output exists
     return out
+
+
+REGR_PREPARED = f"""
+recs AS (
+  SELECT doc_id AS ord, 'doc_' || CAST(doc_id AS VARCHAR) AS record_id, 'length' AS task_name,
+         log10(n_chars + 1) AS label, {S.norm_ws(S.clean(S.safe_text('text')))} AS text
+  FROM documents
+),
+prep AS (SELECT ord, record_id, task_name, label, {S.truncate('text')} AS text
+         FROM recs WHERE text <> '')"""
+
+
+@query("split_distribution_regression", oracle=f"""
+WITH RECURSIVE {REGR_PREPARED},
+{components_cte('prep')},
+ranked AS (
+  SELECT task_name, component_id,
+         row_number() OVER (PARTITION BY task_name
+                            ORDER BY {S.seeded_hash(42, 'component_id')}, component_id) AS r,
+         count(*) OVER (PARTITION BY task_name) AS m
+  FROM (SELECT DISTINCT task_name, component_id FROM comp)
+),
+split AS (SELECT c.*, {S.allocate('r', 'm')} AS partition
+          FROM comp c JOIN ranked USING (task_name, component_id))
+SELECT task_name, partition, round(min(label), 6) AS min_label, round(max(label), 6) AS max_label,
+       round(avg(label), 6) AS mean_label, count(DISTINCT label) AS n_unique, count(*) AS n
+FROM split GROUP BY ALL
+""")
+def split_distribution_regression(spark, sf_dir):
+    """X3/X7 for a regression target (log10 of the length): group split and
+    min / max / mean / distinct values per partition."""
+    p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
+    split = splits.group_split(leakage.connected_components(p))
+    return splits.regression_distribution(split)
