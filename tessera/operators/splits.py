@@ -9,7 +9,7 @@ stratum of ``m`` units (rows or components) ranked by ``md5(seed:unit)``,
 
 Strata: single-label -> the group's mode label (lowest on ties); multi-label ->
 the group's globally rarest positive label (groups without positives share
-stratum -1); regression -> one stratum.  Unlike a sequential greedy loop this
+stratum -1); regression -> one of five quantile strata of the group median.  Unlike a sequential greedy loop this
 is fully parallel; per stratum the share error is at most half a unit (plus
 the floor of one).
 """
@@ -64,9 +64,7 @@ def group_labels(df: DataFrame) -> DataFrame:
             .select("task_name", "component_id",
                     F.col("label").cast("bigint").alias("stratum")))
 
-    regr = (df.filter(F.col("label_type") == "regression")
-            .select("task_name", "component_id").distinct()
-            .withColumn("stratum", F.lit(0).cast("bigint")))
+    regr = regression_strata(df.filter(F.col("label_type") == "regression"))
     if "labels" not in df.columns:
         return mode.unionByName(regr)
     multi = df.filter(F.col("label_type") == "multi_label")
@@ -82,6 +80,28 @@ def group_labels(df: DataFrame) -> DataFrame:
     return mode.unionByName(multi_all).unionByName(regr)
 
 
+REGRESSION_STRATA = 5
+
+
+def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataFrame:
+    """X4 + strata for regression: a component's label is the median of its
+    rows; components are cut into ``n_strata`` quantile strata by the rank of
+    that median (equal medians share a stratum):
+    stratum = floor(n_strata * (#components with a smaller median) / m).
+    The ranks come from a bucketed prefix sum, so no task sorts a whole task."""
+    from tessera.operators.metrics import ordered_prefix_sum
+    med = df.groupBy("task_name", "component_id").agg(
+        F.percentile(F.col("label"), 0.5).alias("_med"))
+    per_val = med.groupBy("task_name", "_med").agg(F.count(F.lit(1)).alias("_c"))
+    below = ordered_prefix_sum(per_val, ["task_name"], "_med", "_c", "_below")
+    sizes = per_val.groupBy("task_name").agg(F.sum("_c").alias("_m"))
+    return (med.join(below.select("task_name", "_med", "_below"), ["task_name", "_med"])
+            .join(sizes, "task_name")
+            .select("task_name", "component_id",
+                    F.floor(n_strata * F.col("_below") / F.col("_m")).cast("bigint")
+                    .alias("stratum")))
+
+
 def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PCT,
                 val_pct: int = VAL_PCT, min_eval: int = MIN_EVAL, seed: int = SEED) -> DataFrame:
     """X2 (stratify=False) / X3 (stratify=True) + X5: assign whole components

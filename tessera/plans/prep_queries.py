@@ -814,12 +814,19 @@ prep AS (SELECT ord, record_id, task_name, label, {S.truncate('text')} AS text
 @query("split_distribution_regression", oracle=f"""
 WITH RECURSIVE {REGR_PREPARED},
 {components_cte('prep')},
+meds AS (SELECT task_name, component_id, median(label) AS med FROM comp GROUP BY ALL),
+strata AS (
+  SELECT task_name, component_id,
+         CAST(floor(5 * (rank() OVER (PARTITION BY task_name ORDER BY med) - 1)
+                    / count(*) OVER (PARTITION BY task_name)) AS BIGINT) AS stratum
+  FROM meds
+),
 ranked AS (
   SELECT task_name, component_id,
-         row_number() OVER (PARTITION BY task_name
+         row_number() OVER (PARTITION BY task_name, stratum
                             ORDER BY {S.seeded_hash(42, 'component_id')}, component_id) AS r,
-         count(*) OVER (PARTITION BY task_name) AS m
-  FROM (SELECT DISTINCT task_name, component_id FROM comp)
+         count(*) OVER (PARTITION BY task_name, stratum) AS m
+  FROM strata
 ),
 split AS (SELECT c.*, {S.allocate('r', 'm')} AS partition
           FROM comp c JOIN ranked USING (task_name, component_id))
@@ -828,8 +835,9 @@ SELECT task_name, partition, round(min(label), 6) AS min_label, round(max(label)
 FROM split GROUP BY ALL
 """)
 def split_distribution_regression(spark, sf_dir):
-    """X3/X7 for a regression target (log10 of the length): group split and
-    min / max / mean / distinct values per partition."""
+    """X3/X4/X7 for a regression target (log10 of the length): groups
+    stratified by quantile of their median; min / max / mean / distinct values
+    per partition."""
     p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
     split = splits.group_split(leakage.connected_components(p))
     return splits.regression_distribution(split)

@@ -45,3 +45,11 @@ def test_allocation_shares(spark):
                                   (F.col("id") % 2).cast("double").alias("label"))
     counts = {r.partition: r["count"] for r in splits.row_split(df).groupBy("partition").count().collect()}
     assert counts == {"test": 200, "val": 100, "train": 700}
+
+
+def test_regression_strata_quantiles_and_ties(spark):
+    rows = [("t", c, float(c // 2 if c < 6 else c)) for c in range(10)]
+    df = spark.createDataFrame(rows, "task_name string, component_id long, label double")
+    got = {r.component_id: r.stratum for r in splits.regression_strata(df).collect()}
+    # medians 0,0,1,1,2,2,6,7,8,9 -> ranks 0,0,2,2,4,4,6,7,8,9 -> floor(5 * rank / 10)
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3, 8: 4, 9: 4}
