@@ -36,7 +36,9 @@ def ordered_prefix_sum(df: DataFrame, group_cols: Sequence[str], order_col: str,
     group_cols = list(group_cols)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     cuts = sorted(set(c for c in df.approxQuantile(order_col, probs, 1e-4) if c is not None))
-    splits = [float("-inf"), *cuts, float("inf")]
+    # Bucketizer needs at least one inner cut; with no cut (empty or constant
+    # input) any single cut gives the same exact result
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
     b = Bucketizer(splits=splits, inputCol=order_col, outputCol="_pb", handleInvalid="keep")
     bucketed = b.transform(df.withColumn(order_col, F.col(order_col).cast("double")))
     totals = bucketed.groupBy(*group_cols, "_pb").agg(F.sum(value_col).alias("_pt"))
