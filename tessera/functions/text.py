@@ -184,3 +184,9 @@ def domain_vocab_hits(col, vocabulary: list[str]) -> Column:
         return F.lit(0)
     low = F.lower(_c(col))
     return sum((F.when(F.instr(low, w) > 0, 1).otherwise(0) for w in words), F.lit(0))
+
+
+def first_text(a, b) -> Column:
+    """P5: the first non-empty (after strip) of two text columns."""
+    sa, sb = safe_text(a), safe_text(b)
+    return F.coalesce(F.nullif(sa, F.lit("")), sb)

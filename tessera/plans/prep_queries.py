@@ -841,3 +841,27 @@ def split_distribution_regression(spark, sf_dir):
     p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
     split = splits.group_split(leakage.connected_components(p))
     return splits.regression_distribution(split)
+
+
+@query("pair_regression_records", oracle=f"""
+WITH {PAIRS_SQL}
+SELECT 'sts_' || CAST(ord AS VARCHAR) AS record_id, ord, CAST(ord AS VARCHAR) AS pair_id,
+       round(coalesce(CAST(length(text_pair) AS DOUBLE) / nullif(length(text) + length(text_pair), 0), 0.0), 6)
+         AS label,
+       length(text) AS text_length, length(text_pair) AS pair_length
+FROM precs
+""")
+def pair_regression_records(spark, sf_dir):
+    """Question-answer pairs as a pair-regression task; score = the
+    answer's share of the pair's characters (NULL -> 0.0)."""
+    from tessera.functions import text as tx_
+    p = tables.conversation_pairs(spark, sf_dir).select(
+        "ord", "text", "text_pair",
+        (F.length("text_pair") / F.nullif(F.length("text") + F.length("text_pair"), F.lit(0)))
+        .alias("score"))
+    r = tables.pair_regression_records(p, text_a="text", text_b="text_pair", score="score",
+                                       id_col="ord", source_name="sts",
+                                       text_b_fallback="text_pair")
+    return r.select("record_id", "ord", "pair_id", F.round("label", 6).alias("label"),
+                    F.length("text").alias("text_length"),
+                    F.length("text_pair").alias("pair_length"))

@@ -202,3 +202,17 @@ def probing_labels(df: DataFrame) -> DataFrame:
         F.when(F.col("label_type") == "multi_label",
                F.coalesce(F.col("labels"), F.array().cast("array<int>")).cast("array<double>"))
         .otherwise(F.array(F.col("label"))))
+
+
+def pair_regression_records(df: DataFrame, *, text_a: str, text_b: str, score: str,
+                            id_col: str, source_name: str, task_name: str = "semantic_similarity",
+                            text_b_fallback: str | None = None) -> DataFrame:
+    """Pair-regression mapper -- two texts and a float score (default
+    0.0).  ``text_b_fallback`` applies P5 (first non-empty of two columns)."""
+    tb = tx.first_text(text_b, text_b_fallback) if text_b_fallback else tx.safe_text(text_b)
+    return _records(
+        df, record_id=F.concat(F.lit(f"{source_name}_"), F.col(id_col)), ord_=F.col(id_col),
+        source=F.lit(source_name), language=F.lit(None), track="semantic", task_name=task_name,
+        task_type="regression", label_type="regression", text=tx.safe_text(text_a),
+        text_pair=tb, pair_id=F.col(id_col),
+        label=F.coalesce(F.col(score).cast("double"), F.lit(0.0)))
