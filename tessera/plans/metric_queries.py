@@ -160,7 +160,8 @@ def metrics_regression(spark, sf_dir):
 WITH {PREDS_SQL}
 SELECT 'binary' AS task, y AS class, count(*) AS n FROM bin GROUP BY ALL
 UNION ALL SELECT 'multiclass', y, count(*) FROM mc GROUP BY ALL
-UNION ALL SELECT 'multilabel', k, CAST(sum(y[k + 1]) AS BIGINT) FROM ml, range(2) t(k) GROUP BY ALL
+UNION ALL SELECT 'multilabel', CAST(k AS INTEGER), CAST(sum(y[k + 1]) AS BIGINT)
+  FROM ml, range(2) t(k) GROUP BY ALL
 """)
 def class_distribution(spark, sf_dir):
     """A1: class counts (single-label) and label frequencies (multi-label)."""

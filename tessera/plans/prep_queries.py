@@ -107,7 +107,7 @@ SELECT 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id, d.doc_id AS ord, d.sour
        'classification' AS task_type, 'single_label' AS label_type,
        CAST(l.quality AS DOUBLE) AS label, CAST(l.quality AS VARCHAR) AS labels,
        false AS is_pair_task, 'train' AS split, '1.0' AS preprocessing_version,
-       length(t) AS text_length, md5(t) AS text_md5
+       CAST(length(t) AS INTEGER) AS text_length, md5(t) AS text_md5
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id,
      LATERAL (SELECT {S.prepared_text('d.text')} AS t) x
 WHERE {S.norm_ws(S.clean(S.safe_text('d.text')))} <> ''
@@ -174,7 +174,7 @@ pairs AS (
 @query("pair_records", oracle=f"""
 WITH {PAIRS_SQL}
 SELECT record_id, ord, pair_id, label, true AS is_pair_task,
-       length(text) AS text_length, length(text_pair) AS pair_length
+       CAST(length(text) AS INTEGER) AS text_length, CAST(length(text_pair) AS INTEGER) AS pair_length
 FROM precs
 """)
 def pair_records(spark, sf_dir):
@@ -219,7 +219,7 @@ drecs AS (
 WITH {DOCS_PREPARED},
 keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
-SELECT record_id, length(text) AS text_length, md5(text) AS text_md5,
+SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5,
        '1.0' AS preprocessing_version
 FROM keyed JOIN firsts USING (k, ord)
 """)
@@ -264,7 +264,7 @@ parts AS (
   SELECT record_id, CASE WHEN len(s) > 0 THEN s ELSE [text] END AS s FROM parts
 )
 SELECT record_id, CAST(unnest(range(0, len(s))) AS INTEGER) AS sentence_index,
-       md5(unnest(s)) AS sentence_md5, length(unnest(s)) AS sentence_length
+       md5(unnest(s)) AS sentence_md5, CAST(length(unnest(s)) AS INTEGER) AS sentence_length
 FROM fixed
 """)
 def sentence_split(spark, sf_dir):
@@ -298,16 +298,16 @@ top AS (
     SELECT record_id, t, count(*) AS c FROM (SELECT record_id, unnest(tok) AS t FROM tk)
     GROUP BY record_id, t) GROUP BY record_id
 )
-SELECT tk.record_id, length(text) AS text_length,
+SELECT tk.record_id, CAST(length(text) AS INTEGER) AS text_length,
   round(len(regexp_extract_all(text, {S.q(tx.PUNCT_CLASS)})) / greatest(length(text), 1), 6)
     AS punctuation_density,
-  len(regexp_extract_all(text, {S.q('[^' + tx.NOT_SPECIAL_CLASS + ']')})) AS special_char_count,
-  len(tok) AS token_count,
+  CAST(len(regexp_extract_all(text, {S.q('[^' + tx.NOT_SPECIAL_CLASS + ']')})) AS INTEGER) AS special_char_count,
+  CAST(len(tok) AS INTEGER) AS token_count,
   round(CASE WHEN len(tok) > 0 THEN coalesce(top_c, 0) / len(tok) ELSE 0.0 END, 6)
     AS token_top_frequency,
   round(CASE WHEN len(tok) > 0 THEN len(list_distinct(tok)) / len(tok) ELSE 0.0 END, 6)
     AS token_unique_ratio,
-  0.0 AS lexical_overlap,
+  CAST(0.0 AS DOUBLE) AS lexical_overlap,
   {_vocab_sql('text')} AS domain_vocab_hits
 FROM tk LEFT JOIN top ON tk.record_id = top.record_id
 """)
@@ -717,7 +717,7 @@ def txt_scan(spark, sf_dir):
 
 
 @query("file_records", oracle="""
-SELECT 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id, length(d.text) AS text_length,
+SELECT 'doc_' || CAST(d.doc_id AS VARCHAR) AS record_id, CAST(length(d.text) AS INTEGER) AS text_length,
        CAST(l.quality AS DOUBLE) AS label, d.lang AS language, 'train' AS split,
        d.source AS source, 'tone' AS track, 'quality' AS task_name, false AS is_pair_task
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
@@ -783,7 +783,7 @@ def raw_dump(spark, sf_dir):
 WITH {DOCS_PREPARED},
 keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
-SELECT record_id, length(text) AS text_length, md5(text) AS text_md5
+SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5
 FROM keyed JOIN firsts USING (k, ord)
 """)
 def prepare_once(spark, sf_dir):
@@ -848,7 +848,7 @@ WITH {PAIRS_SQL}
 SELECT 'sts_' || CAST(ord AS VARCHAR) AS record_id, ord, CAST(ord AS VARCHAR) AS pair_id,
        round(coalesce(CAST(length(text_pair) AS DOUBLE) / nullif(length(text) + length(text_pair), 0), 0.0), 6)
          AS label,
-       length(text) AS text_length, length(text_pair) AS pair_length
+       CAST(length(text) AS INTEGER) AS text_length, CAST(length(text_pair) AS INTEGER) AS pair_length
 FROM precs
 """)
 def pair_regression_records(spark, sf_dir):
