@@ -6,6 +6,10 @@ min-label propagation over the bipartite (row, key) graph:
 
 * keys held by a single row connect nothing and are dropped up front, so on
   typical data only duplicated texts and real pairs enter the loop;
+* the edge-to-key join is salted (edges by row id, the one-row-per-key
+  minimum replicated per salt), so a key shared by a third of all rows is
+  split over many tasks; the pointer-jumping join is left to AQE's skew
+  splitting (its build side is one row per node);
 * each round is two partial aggregates (min label per key, then per row) and
   one pointer-jumping join (label of my label), which roughly halves the
   remaining path length;
@@ -40,17 +44,22 @@ def leakage_keys(df: DataFrame, id_col: str = "ord") -> DataFrame:
 
 
 def connected_components(df: DataFrame, *, id_col: str = "ord",
-                         max_rounds: int = 64) -> DataFrame:
+                         max_rounds: int = 64, salts: int = 16) -> DataFrame:
     """G1: add ``component_id`` = smallest ``id_col`` of the row's component."""
-    edges = leakage_keys(df, id_col)
+    # every edge carries a salt from its row id: a key held by millions of rows
+    # is joined in ``salts`` pieces against one-row-per-key tables replicated
+    # per salt
+    edges = leakage_keys(df, id_col).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    salt_range = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     shared = (edges.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 1).select("k"))
-    e = edges.join(shared, "k", "left_semi").checkpoint(eager=True)
+              .filter(F.col("_n") > 1).select("k").withColumn("_salt", salt_range))
+    e = edges.join(shared, ["k", "_salt"], "left_semi").checkpoint(eager=True)
 
     labels = e.groupBy("id").agg(F.min("id").alias("c"))
     for _ in range(max_rounds):
         key_min = e.join(labels, "id").groupBy("k").agg(F.min("c").alias("kc"))
-        row_min = e.join(key_min, "k").groupBy("id").agg(F.min("kc").alias("c"))
+        key_min = key_min.withColumn("_salt", salt_range)
+        row_min = e.join(key_min, ["k", "_salt"]).groupBy("id").agg(F.min("kc").alias("c"))
         jump = row_min.alias("a").join(
             row_min.alias("b"), F.col("a.c") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"),

@@ -53,3 +53,12 @@ def test_row_split_leaks_and_is_reported(spark):
         raise AssertionError("expected a violation")
     except ValueError:
         pass
+
+
+def test_hot_key_third_of_rows(spark):
+    rows = [("hot text", None, None) if i % 3 == 0 else (f"t{i}", None, None) for i in range(3000)]
+    comp = leakage.connected_components(_pairs(spark, rows))
+    hot = comp.filter(F.col("text") == "hot text").select("component_id").distinct().collect()
+    assert [r.component_id for r in hot] == [0]
+    assert comp.filter(F.col("text") != "hot text").filter(
+        F.col("component_id") != F.col("ord")).count() == 0
