@@ -103,7 +103,8 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
 
 
 def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PCT,
-                val_pct: int = VAL_PCT, min_eval: int = MIN_EVAL, seed: int = SEED) -> DataFrame:
+                val_pct: int = VAL_PCT, min_eval: int = MIN_EVAL, seed: int = SEED,
+                salts: int = 16) -> DataFrame:
     """X2 (stratify=False) / X3 (stratify=True) + X5: assign whole components
     to partitions; rows of one component never straddle partitions.
     Needs ``component_id`` (from ``connected_components``)."""
@@ -119,7 +120,13 @@ def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PC
         "task_name", "component_id",
         allocate(F.col("_r"), F.col("_m"), test_pct=test_pct, val_pct=val_pct,
                  min_eval=min_eval).alias("partition"))
-    return df.join(assigned, ["task_name", "component_id"], "inner")
+    # salted join back: a component holding a third of all rows is spread
+    # over ``salts`` tasks (rows salted by their hash, the one-row-per-
+    # component assignment replicated per salt)
+    salt_src = [c for c in ("ord", "record_id", "id") if c in df.columns][:1] or df.columns
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salts)))
+    assigned = assigned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(assigned, ["task_name", "component_id", "_salt"], "inner").drop("_salt")
 
 
 def class_distribution(split: DataFrame) -> DataFrame:
