@@ -98,9 +98,14 @@ def sentence_segments(df: DataFrame, *, id_col: str = "record_id",
     capped at T, at least one step while below T) equals
     end_i = min(T, cumsum_i), start_i = min(T, cumsum_{i-1}) because every
     step is at least 1; the cumulative sum is a window per text."""
-    sizes = F.transform(tx.sentences(text_col),
-                        lambda s: F.greatest(F.size(tx.tokens(s)), F.lit(1)))
-    base = df.select(id_col, sizes.alias("sizes"), F.size(tx.tokens(text_col)).alias("T"))
+    # tokens per sentence, counted once; a word token never straddles a
+    # sentence break (breaks are whitespace), so the text's token count T is
+    # the sum of these counts -- no second regex pass over the whole text
+    counts = df.select(id_col, F.transform(tx.sentences(text_col),
+                                           lambda s: F.size(tx.tokens(s))).alias("_cnt"))
+    base = counts.select(
+        id_col, F.transform("_cnt", lambda c: F.greatest(c, F.lit(1))).alias("sizes"),
+        F.aggregate("_cnt", F.lit(0), lambda a, x: a + x).alias("T"))
     base = base.withColumn("total", F.aggregate("sizes", F.lit(0), lambda a, x: a + x))
     rows = base.select(id_col, "T", "total", F.posexplode("sizes").alias("seg", "size"))
     scaled = F.greatest(F.lit(1), F.bround(F.col("size") * F.col("T") / F.col("total"), 0)
