@@ -190,3 +190,14 @@ def first_text(a, b) -> Column:
     """P5: the first non-empty (after strip) of two text columns."""
     sa, sb = safe_text(a), safe_text(b)
     return F.coalesce(F.nullif(sa, F.lit("")), sb)
+
+
+def with_sentences(df, text_col: str = "text", out_col: str = "sentences"):
+    """T5 as two projections: the split is materialized once and then read
+    twice (an expression with lambdas is never shared by subexpression
+    elimination, so ``sentences()`` evaluates its split twice)."""
+    c = F.col(text_col)
+    parts = F.split(c, f"(?<={SENTENCE_END})[{WS_CLASS}]+")
+    kept = df.withColumn("_kept", F.filter(F.transform(parts, strip_ws), lambda s: s != ""))
+    return kept.withColumn(out_col, F.when(F.size("_kept") > 0, F.col("_kept"))
+                           .otherwise(F.array(c))).drop("_kept")

@@ -101,8 +101,8 @@ def sentence_segments(df: DataFrame, *, id_col: str = "record_id",
     # tokens per sentence, counted once; a word token never straddles a
     # sentence break (breaks are whitespace), so the text's token count T is
     # the sum of these counts -- no second regex pass over the whole text
-    counts = df.select(id_col, F.transform(tx.sentences(text_col),
-                                           lambda s: F.size(tx.tokens(s))).alias("_cnt"))
+    sent = tx.with_sentences(df.select(id_col, text_col), text_col, "_sent")
+    counts = sent.select(id_col, F.transform("_sent", lambda s: F.size(tx.tokens(s))).alias("_cnt"))
     base = counts.select(
         id_col, F.transform("_cnt", lambda c: F.greatest(c, F.lit(1))).alias("sizes"),
         F.aggregate("_cnt", F.lit(0), lambda a, x: a + x).alias("T"))

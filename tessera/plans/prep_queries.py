@@ -269,8 +269,8 @@ FROM fixed
 """)
 def sentence_split(spark, sf_dir):
     """T5: sentences of every prepared document (whole texts)."""
-    p = prepare.clean_records(tables.document_records(spark, sf_dir))
-    return (p.select("record_id", F.posexplode(tx.sentences("text")).alias("sentence_index", "s"))
+    p = tx.with_sentences(prepare.clean_records(tables.document_records(spark, sf_dir)))
+    return (p.select("record_id", F.posexplode("sentences").alias("sentence_index", "s"))
             .select("record_id", "sentence_index", F.md5("s").alias("sentence_md5"),
                     F.length("s").alias("sentence_length")))
 
