@@ -50,7 +50,13 @@ def sentiment_name(pred: Column, id2label: dict[int, str] | None = None) -> Colu
 def decode_single(df: DataFrame, logits_col: str = "logits",
                   id2label: dict[int, str] | None = None) -> DataFrame:
     """Softmax, argmax (first max), confidence, display name."""
-    p = df.withColumn("_p", softmax(logits_col))
+    x = F.col(logits_col)
+    # exp(x - max) materialized once: expressions with lambdas are not shared
+    e = df.withColumn("_e", F.zip_with(x, F.array_repeat(F.array_max(x), F.size(x)),
+                                       lambda v, m: F.exp(v - m)))
+    z = F.aggregate("_e", F.lit(0.0), lambda a, v: a + v)
+    p = e.withColumn("_p", F.zip_with("_e", F.array_repeat(z, F.size("_e")),
+                                      lambda a, b: a / b)).drop("_e")
     pred = (F.array_position("_p", F.array_max("_p")) - 1).cast("int")
     return (p.withColumn("pred", pred)
             .withColumn("confidence", F.array_max("_p"))
