@@ -12,9 +12,8 @@ Targets: sources share a total by weight, stop at twice their own words, and
 the excess goes to the others by weight until none is above.
 
 Defined results: a null or empty text has size 0 and is taken as 0 words; null
-sources form one source, last in order; repeated rows are separate documents
-with equal order keys, told apart by a row number; an empty table gives an
-empty result.
+sources form one source, last in order; repeated rows are separate documents;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ MAX_EPOCHS = 2
 #: Weight at the start and at the end of training, by rank of the source.
 SCHEDULES = ((2.0, 1.0), (1.0, 1.0), (1.0, 3.0))
 BUCKETS = 4096
-ROW_COLS = ("_size", "_key", "_source", "_bucket")
+SEED = 7
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE,
@@ -83,21 +82,17 @@ def position(demand: Column, target: Column, w0: Column, w1: Column) -> Column:
     return F.when(need > 0, F.least(2 * need / (w0 + root), F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document, range-sorted by position: size, source_size,
-    target, taken, epochs, position of the first reading and of the second.
+def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """Small rows, one per document: _id, _source, _size, _key, source_size,
+    target, epochs and a position per epoch.
 
     Sums are cut into hash buckets per source, so a source with a third of all
     rows is spread over ``BUCKETS`` groups."""
-    sized = docs.select(
-        F.col(id_col), F.col(source_col).alias("_source"), *keep,
-        F.size(words_of(whole_text(text_col))).cast("long").alias("_size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)).alias("_key"))
-    sized = sized.withColumn("_bucket", F.pmod(F.shiftright("_key", 20), F.lit(BUCKETS)).cast("int"))
     # the text is read once; later steps work on the small rows
-    sized = saved(sized)
-
+    sized = saved(with_key(docs, id_col, text_col, seed).select(
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_key",
+        F.size(words_of(whole_text(text_col))).cast("long").alias("_size"),
+        F.pmod(F.shiftright("_key", 20), F.lit(BUCKETS)).cast("int").alias("_bucket")))
     targets = source_targets(sized)
     sums = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
     run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +101,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                .join(targets.withColumnRenamed("_source", "_t"),
                      F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"))
     inside = Window.partitionBy("_source", "_bucket").orderBy(
-        "_key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+        "_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (sized.join(offsets, F.col("_source").eqNullSafe(F.col("_s"))
                          & (F.col("_bucket") == F.col("_b")))
               .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))))
@@ -117,8 +112,39 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     epochs = F.least(epochs, F.lit(MAX_EPOCHS)).cast("int")
     at = [position((F.col("_start") + F.col("source_size") * k).cast("double"), F.col("target"),
                    F.col("_w0"), F.col("_w1")) for k in range(MAX_EPOCHS)]
-    out = placed.select(
-        F.col(id_col), *keep, F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * epochs).cast("long").alias("taken"), epochs.alias("epochs"),
-        *[F.when(epochs > k, p).alias(f"position_{k + 1}") for k, p in enumerate(at)])
+    return placed.select("_id", "_source", "_size", "_key", "source_size", "target",
+                         epochs.alias("epochs"),
+                         *[F.when(epochs > k, p).alias(f"position_{k + 1}") for k, p in enumerate(at)])
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
+    """Add the order key of a document within its source."""
+    return docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)))
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """One row per document, range-sorted by position: size, source_size,
+    target, taken, epochs, position of the first reading and of the second."""
+    out = place(docs, id_col, text_col, source_col, seed).select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target",
+        (F.col("_size") * F.col("epochs")).cast("long").alias("taken"), "epochs",
+        *[f"position_{k + 1}" for k in range(MAX_EPOCHS)])
     return out.orderBy(F.col("position_1").asc_nulls_last(), id_col)
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """The documents as the mix reads them: a row with all columns for every
+    reading, in order of position.  Documents that the mix does not take are
+    absent.  Texts pass one shuffle to meet their positions and one to be
+    sorted."""
+    same = Window.partitionBy("_key").orderBy("_id", "_source")
+    places = place(docs, id_col, text_col, source_col, seed).withColumn("_n", F.row_number().over(same))
+    readings = places.select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), F.explode(F.array(
+        *[f"position_{k + 1}" for k in range(MAX_EPOCHS)])).alias("_at")).filter(F.col("_at").isNotNull())
+    texts = with_key(docs, id_col, text_col, seed).withColumn("_n", F.row_number().over(
+        Window.partitionBy("_key").orderBy(id_col, source_col)))
+    # the second condition mixes both sides so that rows stay partitioned by key alone
+    read = texts.join(readings, (F.col("_key") == F.col("_k")) & (F.col("_n") - F.col("_m") == 0))
+    return read.orderBy("_at", id_col).select(*docs.columns)
