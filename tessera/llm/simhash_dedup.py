@@ -155,7 +155,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     order = F.col(id_col).cast("string")
     if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         # digits in the order of the numbers
-        order = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(2 ** 63).cast("decimal(20,0)"))
+        order = F.lpad((F.col(id_col).cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)"))
                        .cast("string"), 21, "0")
     key = F.concat(F.when(F.col(id_col).isNull(), "1").otherwise("0"), F.coalesce(order, F.lit("")),
                    F.lit(":"), F.sha2(whole_text(text_col), 256))
