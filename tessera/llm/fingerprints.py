@@ -101,8 +101,13 @@ def as_text(signature: Column) -> Column:
         F.concat(F.lit("0000000"), F.lower(F.hex(F.shiftrightunsigned(s, 32)))), F.lit(8))), "")
 
 
+def id_key(id_col: Column) -> Column:
+    """Ids as text, null too, so that joins and windows share one partitioning."""
+    return F.coalesce(id_col.cast("string"), F.lit("\0"))
+
+
 def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, next): the next lower id, and the highest after the lowest; null is
+    """(key of an id, key of the next): the next lower id, and the highest after the lowest; null is
     the lowest id.  Ids are range-partitioned; only the first id of each
     partition is looked at across partitions."""
     ids = docs.groupBy(F.col(id_col).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
@@ -115,8 +120,8 @@ def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
     inside = Window.partitionBy("_p").orderBy(F.col("_o").desc())
     # one row per partition of the ranged ids
     out = ids.withColumn("_inner", F.lead("_o").over(inside)).join(F.broadcast(heads), "_p")
-    return out.select(F.col("_key").alias("_id"),
-                      F.coalesce("_inner", "_next_head", "_first")["_key"].alias("_next"))
+    return out.select(id_key(F.col("_key")).alias("_id"),
+                      id_key(F.coalesce("_inner", "_next_head", "_first")["_key"]).alias("_next"))
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -127,25 +132,26 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     A text passes one shuffle by id; the half that its neighbour needs passes
     another."""
     numbered = Window.partitionBy("_id").orderBy("_h")
-    base = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"),
+    base = docs.select(F.col(id_col).alias("_oid"), id_key(F.col(id_col)).alias("_id"),
+                       whole_text(text_col).alias("_text"),
                        F.xxhash64(whole_text(text_col)).alias("_h"))
-    texts = base.withColumn("_dup", F.row_number().over(numbered)).drop("_h")
-    thin = (base.select("_id", "_h", F.length("_text").alias("_n"))
+    texts = base.drop("_oid").withColumn("_dup", F.row_number().over(numbered)).drop("_h")
+    thin = (base.select("_oid", "_id", "_h", F.length("_text").alias("_n"))
             .withColumn("_dup", F.row_number().over(numbered))
             .withColumn("_more", F.lead(F.lit(True)).over(numbered)))
     link = next_ids(docs, id_col)
     thin = (thin.withColumnRenamed("_id", "_me")
-            .join(link, F.col("_me").eqNullSafe(F.col("_id"))).drop("_id"))
+            .join(link, F.col("_me") == F.col("_id")).drop("_id"))
     want = saved(thin.select(
-        F.col("_me"), F.col("_dup").alias("_me_dup"), F.floor(F.col("_n") / 2).cast("int").alias("_half"),
+        "_oid", F.col("_me"), F.col("_dup").alias("_me_dup"), F.floor(F.col("_n") / 2).cast("int").alias("_half"),
         F.when(F.col("_more"), F.col("_me")).otherwise(F.col("_next")).alias("_to"),
         F.when(F.col("_more"), F.col("_dup") + 1).otherwise(F.lit(1)).alias("_to_dup")))
 
     # the second condition mixes both sides so that rows stay partitioned by id alone
-    given = (texts.join(want, F.col("_id").eqNullSafe(F.col("_to"))
+    given = (texts.join(want, (F.col("_id") == F.col("_to"))
                         & (F.col("_dup") - F.col("_to_dup") == 0))
              .select("_me", "_me_dup", "_half", F.left("_text", F.col("_half")).alias("_part")))
-    both = (texts.join(given, F.col("_id").eqNullSafe(F.col("_me"))
+    both = (texts.join(given, (F.col("_id") == F.col("_me"))
                        & (F.col("_dup") - F.col("_me_dup") == 0))
             .select("_id", "_dup", "_text", F.concat(
                 F.left("_text", F.length("_text") - F.col("_half")), F.col("_part")).alias("_edited")))
@@ -161,10 +167,10 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     follower = pair.select(F.col("_id").alias("_fid"), F.col("_dup").alias("_fdup"),
                            F.col("_sig").alias("_fsig"))
-    step = pair.join(want, F.col("_id").eqNullSafe(F.col("_me")) & (F.col("_dup") == F.col("_me_dup")))
-    out = step.join(follower, F.col("_to").eqNullSafe(F.col("_fid")) & (F.col("_to_dup") == F.col("_fdup")))
+    step = pair.join(want, (F.col("_id") == F.col("_me")) & (F.col("_dup") == F.col("_me_dup")))
+    out = step.join(follower, (F.col("_to") == F.col("_fid")) & (F.col("_to_dup") == F.col("_fdup")))
     return out.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.col("_sha").alias("edited_sha256"),
+        F.col("_oid").alias(id_col), F.col("_n").alias("n_chars"), F.col("_sha").alias("edited_sha256"),
         as_text(F.col("_sig")).alias("fingerprint"), as_text(F.col("_esig")).alias("edited_fingerprint"),
         likeness(F.col("_sig"), F.col("_esig")).alias("near_edited"),
         likeness(F.col("_sig"), F.col("_fsig")).alias("near_next"))
