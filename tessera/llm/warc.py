@@ -1,9 +1,10 @@
 """WARC archives: writer with revisit records, and a salvage reader (operator 10).
 
 Writer: pages with equal payloads share one response record; the others are
-revisit records that refer to it.  Records are separated by two line ends, so
-a text sink with that separator writes valid archives, on any file system that
-Spark can reach, with no file access from tasks.
+revisit records that refer to it.  Every record is a gzip member of its own.
+Members are written by a text sink whose line separator is an empty member, so
+the files are valid archives on any file system that Spark can reach, with no
+file access from tasks.
 
 Salvage reader: an archive is walked record by record.  A record must have a
 version line, a readable header block, its whole content and a matching block
@@ -19,6 +20,7 @@ the id of a response are responses too; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -33,6 +35,9 @@ from tessera.session import ensure_checkpoint_dir
 
 VERSION = b"WARC/1.1"
 SEPARATOR = "\r\n\r\n"
+#: An empty gzip member, as characters of one byte each.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
+INFLATE_BYTES = 1 << 16
 #: Smallest payload, in bytes, of which later copies become revisits.
 REVISIT_BYTES = 0
 #: Payload bytes per archive file, about; a file is read as one row.
@@ -62,6 +67,15 @@ def with_digests(pages: DataFrame, html_col: str) -> DataFrame:
             .withColumn("payload_digest", _digest_udf()(payload)))
 
 
+def _member_udf():
+    """Bytes of a record as a gzip member."""
+    def members(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda b: gzip.compress(bytes(b), 6, mtime=0))
+
+    return F.pandas_udf(members, "binary")
+
+
 def record_roles(digests: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Per (page_id, payload_digest): record_type and refers_to.  The response
     of a digest is found by a partial aggregate; hot digests are joined apart."""
@@ -106,11 +120,12 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
              F.when(~revisit, F.concat(F.lit("WARC-Block-Digest: sha1:"), F.col("payload_digest"))),
              F.lit("Content-Type: text/html"),
              F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))]
-    record = F.concat(F.concat_ws("\r\n", *lines), F.lit(SEPARATOR), body)
+    record = F.concat(F.concat_ws("\r\n", *lines), F.lit(SEPARATOR), body, F.lit(SEPARATOR))
+    member = _member_udf()(record.cast("binary")).cast("string")
     size = small.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     per_file = max(1, FILE_BYTES * (size[1] or 1) // max(1, size[0] or 0))
-    (full.select(record.alias("value")).write.option("lineSep", SEPARATOR)
-     .option("maxRecordsPerFile", per_file).text(path))
+    (full.select(member.alias("value")).write.option("encoding", "ISO-8859-1")
+     .option("lineSep", EMPTY_MEMBER).option("maxRecordsPerFile", per_file).text(path))
 
 
 def _header(block: bytes) -> dict[str, str] | None:
@@ -173,17 +188,20 @@ def salvage_plain(data: bytes):
 def _member(data: bytes, at: int):
     """(end, content) of the gzip member at ``at``, or None."""
     d = zlib.decompressobj(31)
+    view, pieces, fed = memoryview(data), [], at
     try:
-        content = d.decompress(data[at:]) + d.flush()
+        while not d.eof and fed < len(data):
+            pieces.append(d.decompress(view[fed:fed + INFLATE_BYTES]))
+            fed += INFLATE_BYTES
     except zlib.error:
         return None
-    return (len(data) - len(d.unused_data), content) if d.eof else None
+    return (min(fed, len(data)) - len(d.unused_data), b"".join(pieces)) if d.eof else None
 
 
 def salvage(data: bytes):
     """Records and gaps of an archive, plain or made of gzip members.  Offsets
     are those of the file."""
-    if b"\x1f\x8b" not in data[:2] and not (data[:5] != b"WARC/" and b"\x1f\x8b\x08" in data):
+    if data[:5] == b"WARC/" or b"\x1f\x8b\x08" not in data:
         yield from salvage_plain(data)
         return
     at = 0
