@@ -90,9 +90,9 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     rows is spread over ``BUCKETS`` groups."""
     # the text is read once; later steps work on the small rows
     sized = saved(with_key(docs, id_col, text_col, seed).select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_key",
+        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), "_mix_key",
         F.size(words_of(whole_text(text_col))).cast("long").alias("_size"),
-        F.pmod(F.shiftright("_key", 20), F.lit(BUCKETS)).cast("int").alias("_bucket")))
+        F.pmod(F.shiftright("_mix_key", 20), F.lit(BUCKETS)).cast("int").alias("_bucket")))
     targets = source_targets(sized)
     sums = sized.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_in_bucket"))
     run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,7 +101,7 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
                .join(targets.withColumnRenamed("_source", "_t"),
                      F.col("_s").eqNullSafe(F.col("_t"))).drop("_t"))
     inside = Window.partitionBy("_source", "_bucket").orderBy(
-        "_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
+        "_mix_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (sized.join(offsets, F.col("_source").eqNullSafe(F.col("_s"))
                          & (F.col("_bucket") == F.col("_b")))
               .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))))
@@ -112,14 +112,14 @@ def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     epochs = F.least(epochs, F.lit(MAX_EPOCHS)).cast("int")
     at = [position((F.col("_start") + F.col("source_size") * k).cast("double"), F.col("target"),
                    F.col("_w0"), F.col("_w1")) for k in range(MAX_EPOCHS)]
-    return placed.select("_id", "_source", "_size", "_key", "source_size", "target",
+    return placed.select("_id", "_source", "_size", "_mix_key", "source_size", "target",
                          epochs.alias("epochs"),
                          *[F.when(epochs > k, p).alias(f"position_{k + 1}") for k, p in enumerate(at)])
 
 
 def with_key(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     """Add the order key of a document within its source."""
-    return docs.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)))
+    return docs.withColumn("_mix_key", F.xxhash64(F.lit(seed), F.col(id_col), whole_text(text_col)))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -139,12 +139,12 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reading, in order of position.  Documents that the mix does not take are
     absent.  Texts pass one shuffle to meet their positions and one to be
     sorted."""
-    same = Window.partitionBy("_key").orderBy("_id", "_source")
-    places = place(docs, id_col, text_col, source_col, seed).withColumn("_n", F.row_number().over(same))
-    readings = places.select(F.col("_key").alias("_k"), F.col("_n").alias("_m"), F.explode(F.array(
-        *[f"position_{k + 1}" for k in range(MAX_EPOCHS)])).alias("_at")).filter(F.col("_at").isNotNull())
-    texts = with_key(docs, id_col, text_col, seed).withColumn("_n", F.row_number().over(
-        Window.partitionBy("_key").orderBy(id_col, source_col)))
+    same = Window.partitionBy("_mix_key").orderBy("_id", "_source")
+    places = place(docs, id_col, text_col, source_col, seed).withColumn("_mix_n", F.row_number().over(same))
+    readings = places.select(F.col("_mix_key").alias("_k"), F.col("_mix_n").alias("_m"), F.explode(F.array(
+        *[f"position_{k + 1}" for k in range(MAX_EPOCHS)])).alias("_mix_at")).filter(F.col("_mix_at").isNotNull())
+    texts = with_key(docs, id_col, text_col, seed).withColumn("_mix_n", F.row_number().over(
+        Window.partitionBy("_mix_key").orderBy(id_col, source_col)))
     # the second condition mixes both sides so that rows stay partitioned by key alone
-    read = texts.join(readings, (F.col("_key") == F.col("_k")) & (F.col("_n") - F.col("_m") == 0))
-    return read.orderBy("_at", id_col).select(*docs.columns)
+    read = texts.join(readings, (F.col("_mix_key") == F.col("_k")) & (F.col("_mix_n") - F.col("_m") == 0))
+    return read.orderBy("_mix_at", id_col).select(*docs.columns)

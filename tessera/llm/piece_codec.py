@@ -65,6 +65,7 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.scores[piece] = lib.get_score(i)
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
+        self.prefixed = lib.normalize("x")[:1] == SPACE
         self.byte_fallback = len(self.byte_values) == 256
         self.memo: dict[str, bytes] = {}
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
@@ -138,16 +139,16 @@ class PieceCodec:
 
     def decode(self, ids) -> str:
         """Text of ids: byte pieces in a row are read as UTF-8, each invalid
-        byte as U+FFFD; the space that encoding adds in front is dropped."""
+        byte as U+FFFD; the space that encoding adds in front is dropped, unless
+        it is a byte piece."""
         plain = self.pieces
         out: list[bytes] = []
         for i in ids:
             if i in self.byte_values:
                 out.append(bytes((self.byte_values[i],)))
             elif i not in self.hidden:
-                out.append(plain[i])
-        if out and out[0][:1] == b" " and self.library.normalize("x")[:1] == SPACE:
-            out[0] = out[0][1:]
+                out.append(plain[i][1:] if not out and self.prefixed and plain[i][:1] == b" "
+                           and i != self.unk else plain[i])
         return _utf8(b"".join(out))
 
 

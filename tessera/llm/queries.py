@@ -13,6 +13,7 @@ from tessera.llm.quality_rules import judge_quality
 from tessera.llm.registry import query
 from tessera.llm.secret_scans import scan_secrets
 from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.token_counts import length_histogram, with_lengths
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.warc import round_trip
 
@@ -60,6 +61,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return length_histogram(with_lengths(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 @query("op9_mixing_sources")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))

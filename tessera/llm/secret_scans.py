@@ -99,14 +99,15 @@ def ownership(candidates: DataFrame, hash_col: str, owner_col: str, repo_col: st
 
 
 def _with_verdicts(docs: DataFrame, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """Rows of ``docs`` that may hold a candidate, with ``_base`` spans and
-    ``_spans`` (array of start, rank, end, kind, class)."""
+    """Rows of ``docs`` that may hold a candidate, packed in ``_doc``, with
+    ``_base`` spans and ``_spans`` (array of start, rank, end, kind, class)."""
     text = whole_text(text_col)
-    rows = saved(docs.filter(has_candidate(text))
-                 .withColumn("_base", base_spans(text)).withColumn("_generic", generic_spans(text))
-                 .withColumn("_row", F.monotonically_increasing_id()))
+    rows = saved(docs.filter(has_candidate(text)).select(
+        F.struct(*docs.columns).alias("_doc"), F.col(owner_col).alias("_owner"),
+        F.col(repo_col).alias("_repo"), base_spans(text).alias("_base"),
+        generic_spans(text).alias("_generic"), F.monotonically_increasing_id().alias("_row")))
     # a generic token that touches a base span is that base span
-    cands = saved(rows.select("_row", F.col(owner_col).alias("_owner"), F.col(repo_col).alias("_repo"),
+    cands = saved(rows.select("_row", "_owner", "_repo",
                          F.explode(F.concat("_base", F.filter("_generic", lambda g: ~F.exists(
                              "_base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"]))))
                              ).alias("s"))
@@ -121,7 +122,7 @@ def _with_verdicts(docs: DataFrame, text_col: str, owner_col: str, repo_col: str
               .filter((F.col("kind") != "live") | (F.col("class") == "live")))
     spans = judged.groupBy("_row").agg(F.sort_array(F.collect_list(
         F.struct("start", "rank", "end", "kind", "class"))).alias("_spans"))
-    return rows.drop("_generic").join(spans, "_row", "left").drop("_row")
+    return rows.select("_doc", "_base", "_row").join(spans, "_row", "left").drop("_row")
 
 
 def _joined(spans) -> Column:
@@ -144,16 +145,17 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             "array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string>>"))
         classes = [_count(spans, "class", c).alias(f"n_{n}")
                    for c, n in (("live", "owned"), ("example", "copied"), ("unclear", "unclear"))]
-        return df.select(F.col(id_col), *per, F.sha2(_joined(base), 256).alias("base_sha256"),
+        return df.select(F.col(f"_doc.{id_col}").alias(id_col), *per, F.sha2(_joined(base), 256).alias("base_sha256"),
                          _joined(spans).alias("spans"), *classes)
 
     text = whole_text(text_col)
+    slim = docs.select(*dict.fromkeys((id_col, text_col, owner_col, repo_col)))
     zero = F.lit(0).cast("long")
     clean = docs.filter(~has_candidate(text)).select(
         F.col(id_col), zero.alias("n_assign"), zero.alias("n_access"), zero.alias("n_hex"),
         F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"),
         zero.alias("n_owned"), zero.alias("n_copied"), zero.alias("n_unclear"))
-    return clean.unionByName(shaped(_with_verdicts(docs, text_col, owner_col, repo_col)))
+    return clean.unionByName(shaped(_with_verdicts(slim, text_col, owner_col, repo_col)))
 
 
 def _without(text: Column, spans: Column, mark: str) -> Column:
@@ -177,10 +179,12 @@ def _without(text: Column, spans: Column, mark: str) -> Column:
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source",
                    repo_col: str = "lang", mark: str = "[secret]") -> DataFrame:
     """All rows with their columns; reported spans of the text become ``mark``."""
-    text = whole_text(text_col)
     found = _with_verdicts(docs, text_col, owner_col, repo_col)
-    out = _without(text, F.coalesce("_spans", F.expr("array()").cast(
-        "array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string>>")), mark)
+    text = whole_text(F.col(f"_doc.{text_col}"))
+    none = F.expr("array()").cast(
+        "array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string>>")
+    out = _without(text, F.coalesce("_spans", none), mark)
     tail = F.concat(out["out"], F.substring(text, (out["pos"] + 1).cast("int"), F.length(text)))
-    changed = found.withColumn(text_col, F.when(F.size("_spans") > 0, tail).otherwise(F.col(text_col)))
-    return docs.filter(~has_candidate(text)).unionByName(changed.select(*docs.columns))
+    masked = F.when(F.size("_spans") > 0, tail).otherwise(F.col(f"_doc.{text_col}"))
+    changed = found.withColumn("_doc", F.col("_doc").withField(text_col, masked)).select("_doc.*")
+    return docs.filter(~has_candidate(whole_text(text_col))).unionByName(changed)
