@@ -109,8 +109,8 @@ def key_hash(col) -> Column:
     return F.md5(text_key(col))
 
 
-def truncate(col, max_length: int | None = MAX_TEXT_LENGTH) -> Column:
-    """T4: keep the first ``max_length`` code points."""
+def truncate(col, max_length: int | None = None) -> Column:
+    """T4: keep the first ``max_length`` code points; None keeps the whole text."""
     c = _c(col)
     if not max_length:
         return c

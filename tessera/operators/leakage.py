@@ -44,7 +44,7 @@ def leakage_keys(df: DataFrame, id_col: str = "ord") -> DataFrame:
 
 
 def connected_components(df: DataFrame, *, id_col: str = "ord",
-                         max_rounds: int = 64, salts: int = 16) -> DataFrame:
+                         salts: int = 16) -> DataFrame:
     """G1: add ``component_id`` = smallest ``id_col`` of the row's component."""
     # every edge carries a salt from its row id: a key held by millions of rows
     # is joined in ``salts`` pieces against one-row-per-key tables replicated
@@ -56,7 +56,7 @@ def connected_components(df: DataFrame, *, id_col: str = "ord",
     e = edges.join(shared, ["k", "_salt"], "left_semi").checkpoint(eager=True)
 
     labels = e.groupBy("id").agg(F.min("id").alias("c"))
-    for _ in range(max_rounds):
+    while True:
         key_min = e.join(labels, "id").groupBy("k").agg(F.min("c").alias("kc"))
         key_min = key_min.withColumn("_salt", salt_range)
         row_min = e.join(key_min, ["k", "_salt"]).groupBy("id").agg(F.min("kc").alias("c"))
@@ -70,8 +70,6 @@ def connected_components(df: DataFrame, *, id_col: str = "ord",
         labels = new
         if changed == 0:
             break
-    else:
-        raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
 
     comp = labels.select(F.col("id").alias(id_col), F.col("c").alias("component_id"))
     return (df.join(comp, id_col, "left")

@@ -18,7 +18,7 @@ PREPROCESSING_VERSION = "1.0"
 
 def clean_records(df: DataFrame, *, clean: bool = True, normalize_ws: bool = True,
                   filter_empty: bool = True,
-                  max_text_length: int | None = tx.MAX_TEXT_LENGTH) -> DataFrame:
+                  max_text_length: int | None = None) -> DataFrame:
     """T1 -> T2 -> F2 -> T4 on the ``text`` column; adds ``text_length``.
 
     Plan shape: the emptiness test is one regex search for a character that
@@ -66,7 +66,7 @@ def dedupe_first(df: DataFrame, key_col: str = "text", order_col: str = "ord",
 
 def prepare_records(df: DataFrame, *, clean: bool = True, normalize_ws: bool = True,
                     deduplicate: bool = True, filter_empty: bool = True,
-                    max_text_length: int | None = tx.MAX_TEXT_LENGTH,
+                    max_text_length: int | None = None,
                     balance_classes: bool = False, balance_max_per_class: int | None = None,
                     seed: int = 42, version: str = PREPROCESSING_VERSION) -> DataFrame:
     """The full prepare pipeline; each step has a switch."""

@@ -217,7 +217,8 @@ drecs AS (
 
 @query("prepare_documents", oracle=f"""
 WITH {DOCS_PREPARED},
-keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
+cut AS (SELECT ord, record_id, {S.truncate('text', 10000)} AS text FROM dprep),
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM cut),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
 SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5,
        '1.0' AS preprocessing_version
@@ -226,7 +227,7 @@ FROM keyed JOIN firsts USING (k, ord)
 def prepare_documents(spark, sf_dir):
     """Clean, collapse whitespace, drop empty, truncate,
     keep-first dedupe on the normalized key."""
-    p = prepare.prepare_records(tables.document_records(spark, sf_dir))
+    p = prepare.prepare_records(tables.document_records(spark, sf_dir), max_text_length=10000)
     return p.select("record_id", "text_length", F.md5("text").alias("text_md5"),
                     "preprocessing_version")
 
@@ -781,7 +782,8 @@ def raw_dump(spark, sf_dir):
 
 @query("prepare_once", oracle=f"""
 WITH {DOCS_PREPARED},
-keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
+cut AS (SELECT ord, record_id, {S.truncate('text', 10000)} AS text FROM dprep),
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM cut),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
 SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5
 FROM keyed JOIN firsts USING (k, ord)

@@ -32,11 +32,13 @@ def text_key(e: str) -> str:
     return f"regexp_replace(lower({strip_ws(e)}), {q(tx.WS_RUN)}, ' ', 'g')"
 
 
-def truncate(e: str, n: int = tx.MAX_TEXT_LENGTH) -> str:
+def truncate(e: str, n: int | None = None) -> str:
+    if n is None:
+        return e
     return f"CASE WHEN length({e}) > {n} THEN substring({e}, 1, {n}) ELSE {e} END"
 
 
-def prepared_text(e: str, n: int = tx.MAX_TEXT_LENGTH) -> str:
+def prepared_text(e: str, n: int | None = None) -> str:
     """T1 -> T2 -> T4 (the emptiness filter is the caller's WHERE)."""
     return truncate(norm_ws(clean(safe_text(e))), n)
 

@@ -61,7 +61,7 @@ def _records(df: DataFrame, *, record_id: Column, ord_: Column, source: Column,
 def binary_labels(*cols: str) -> Column:
     """P3 + P4: wide 0/1 columns -> sorted distinct array of the positions that
     are on (position = index of the column)."""
-    on = [F.when(F.coalesce(F.col(c).cast("double") != 0, F.lit(False)), F.lit(i))
+    on = [F.when(F.coalesce(F.col(c).try_cast("double") != 0, F.lit(False)), F.lit(i))
           for i, c in enumerate(cols)]
     return F.filter(F.array(*on), lambda x: x.isNotNull())
 

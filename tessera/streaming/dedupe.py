@@ -20,7 +20,7 @@ from tessera.operators.prepare import PREPROCESSING_VERSION, clean_records
 
 def prepared_stream(spark: SparkSession, path: str, schema, *, fmt: str = "parquet",
                     event_time: str | None = None, watermark: str = "1 hour",
-                    max_text_length: int | None = tx.MAX_TEXT_LENGTH) -> DataFrame:
+                    max_text_length: int | None = None) -> DataFrame:
     stream = spark.readStream.schema(schema).format(fmt).load(path)
     out = clean_records(stream, max_text_length=max_text_length).withColumn(
         "_key", tx.key_hash("text"))

@@ -44,8 +44,11 @@ def test_empty_after_cleaning_dropped(spark):
 
 
 def test_truncation(spark):
-    out = prepare.prepare_records(_records(spark, ["a" * 10001])).first()
-    assert len(out.text) == 10000 and out.text_length == 10000
+    rows = _records(spark, ["a" * 10001, "a" * 10000 + "b"])
+    whole = prepare.prepare_records(rows).collect()
+    assert sorted(len(r.text) for r in whole) == [10001, 10001]
+    out = prepare.prepare_records(rows, max_text_length=10000).collect()
+    assert [(len(r.text), r.text_length) for r in out] == [(10000, 10000)]
 
 
 def test_sentences(spark):
