@@ -65,6 +65,9 @@ class PieceCodec:
                 self.ids[piece] = i
                 self.scores[piece] = lib.get_score(i)
         self.bos, self.eos, self.unk = lib.bos_id(), lib.eos_id(), lib.unk_id()
+        #: bytes of every id; control ids have none
+        self.table = [bytes((self.byte_values[i],)) if i in self.byte_values else
+                      b"" if i in self.hidden else piece for i, piece in enumerate(self.pieces)]
         self.prefixed = lib.normalize("x")[:1] == SPACE
         self.byte_fallback = len(self.byte_values) == 256
         self.memo: dict[str, bytes] = {}
@@ -141,15 +144,11 @@ class PieceCodec:
         """Text of ids: byte pieces in a row are read as UTF-8, each invalid
         byte as U+FFFD; the space that encoding adds in front is dropped, unless
         it is a byte piece."""
-        plain = self.pieces
-        out: list[bytes] = []
-        for i in ids:
-            if i in self.byte_values:
-                out.append(bytes((self.byte_values[i],)))
-            elif i not in self.hidden:
-                out.append(plain[i][1:] if not out and self.prefixed and plain[i][:1] == b" "
-                           and i != self.unk else plain[i])
-        return _utf8(b"".join(out))
+        data = b"".join(map(self.table.__getitem__, ids))
+        first = next((i for i in ids if i not in self.hidden), None)
+        if self.prefixed and data[:1] == b" " and first not in self.byte_values and first != self.unk:
+            data = data[1:]
+        return _utf8(data)
 
 
 def _utf8(data: bytes) -> str:
