@@ -7,7 +7,8 @@ that are no piece become byte pieces.  No piece of such a vocabulary holds a
 space mark after another character, so merges never cross the start of a run
 of space marks, and a character that is in no longer piece stands alone.
 Texts are therefore cut there and the parts are encoded one by one, with a
-bounded memo per worker.  A vocabulary without that property is not cut.
+bounded memo per worker.  A vocabulary without that property is not cut there.
+Parts are cut once more between characters that no piece holds side by side.
 
 Every Arrow batch is checked against the sentencepiece library; column
 ``agrees`` holds the outcome per row.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -32,8 +33,29 @@ from pyspark.sql import functions as F
 from tessera.llm.common import whole_text
 
 SPACE = "▁"
-#: Parts whose ids a worker remembers.
-MEMO = 300_000
+#: Strings whose ids a worker remembers at a time, twice over, and their longest.
+MEMO = 400_000
+MEMO_CHARS = 64
+
+
+class Memo(dict):
+    """Remembered results of a function of a string.  When full, it starts
+    anew and takes over from its former content what is asked for again."""
+
+    def __init__(self, function: Callable[[str], bytes]):
+        super().__init__()
+        self.function, self.former = function, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.former.get(key)
+        if found is None:
+            found = self.function(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.former = dict(self)
+                self.clear()
+            self[key] = found
+        return found
 
 
 class PieceCodec:
@@ -70,7 +92,14 @@ class PieceCodec:
                       b"" if i in self.hidden else piece for i, piece in enumerate(self.pieces)]
         self.prefixed = lib.normalize("x")[:1] == SPACE
         self.byte_fallback = len(self.byte_values) == 256
-        self.memo: dict[str, bytes] = {}
+        better = sorted(set(self.scores.values()), reverse=True)
+        place = {score: r for r, score in enumerate(better)}
+        #: place of a piece's score, best first; equal scores share one
+        self.ranks = {piece: place[score] for piece, score in self.scores.items() if len(piece) > 1}
+        #: pairs of characters that some piece holds side by side
+        self.adjacent = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
+        self.run_memo = Memo(self.run_ids).__getitem__
+        self.part_memo = Memo(self.part_ids).__getitem__
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         joined = set().union(*(p for p in self.ids if len(p) > 1))
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
@@ -79,42 +108,48 @@ class PieceCodec:
                                 + f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+")
 
     def merge(self, part: str) -> list[str]:
-        """Merge the symbols of one part by the agenda."""
-        symbols: list[str | None] = list(part)
-        n = len(symbols)
-        if n == 1:
-            return [part]
-        scores = self.scores
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        """Merge the symbols of one part by the agenda.
+
+        An entry is one number, rank and left position.  It is stale if the
+        pair that now stands there has another rank."""
+        symbols = list(part)
+        n, rank = len(symbols), self.ranks.get
         agenda = []
         for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in scores:
-                agenda.append((-scores[pair], i, i + 1, pair))
+            r = rank(part[i:i + 2])
+            if r is not None:
+                agenda.append(r << 32 | i)
+        if not agenda:
+            return symbols
         heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, left, right, pair = heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or after[left] != right \
-                    or len(symbols[left]) + len(symbols[right]) != len(pair):
-                continue  # one side was merged meanwhile
-            symbols[left], symbols[right] = pair, None
+            entry = heappop(agenda)
+            left = entry & 0xFFFFFFFF
+            right = after[left]
+            if not symbols[left] or right == n:
+                continue  # merged into its left neighbour meanwhile
+            pair = symbols[left] + symbols[right]
+            if rank(pair) != entry >> 32:
+                continue
+            symbols[left], symbols[right] = pair, ""
             nxt = after[left] = after[right]
             if nxt < n:
                 before[nxt] = left
-                new = pair + symbols[nxt]
-                if new in scores:
-                    heappush(agenda, (-scores[new], left, nxt, new))
+                r = rank(pair + symbols[nxt])
+                if r is not None:
+                    heappush(agenda, r << 32 | left)
             prev = before[left]
             if prev >= 0:
-                new = symbols[prev] + pair
-                if new in scores:
-                    heappush(agenda, (-scores[new], prev, left, new))
-        return [s for s in symbols if s is not None]
+                r = rank(symbols[prev] + pair)
+                if r is not None:
+                    heappush(agenda, r << 32 | prev)
+        return [s for s in symbols if s]
 
-    def part_ids(self, part: str) -> bytes:
-        """Ids of a part as native unsigned 32-bit integers."""
+    def run_ids(self, run: str) -> bytes:
+        """Ids of a run without a cut as native unsigned 32-bit integers."""
         out = array("I")
-        for symbol in self.merge(part):
+        for symbol in self.merge(run):
             i = self.ids.get(symbol)
             if i is not None:
                 out.append(i)
@@ -124,17 +159,19 @@ class PieceCodec:
                 out.append(self.unk)
         return out.tobytes()
 
+    def part_ids(self, part: str) -> bytes:
+        """Ids of a part: it is cut between characters that stand side by side
+        in no piece, as no merge crosses such a place."""
+        adjacent, memo, at, found = self.adjacent, self.run_memo, 0, []
+        for i in range(1, len(part)):
+            if part[i - 1:i + 1] not in adjacent:
+                found.append(memo(part[at:i]))
+                at = i
+        found.append(memo(part[at:]))
+        return b"".join(found)
+
     def encode(self, text: str) -> array:
-        memo, found = self.memo, []
-        for part in self.parts.findall(self.library.normalize(text)):
-            ids = memo.get(part)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = self.part_ids(part)
-                if len(part) <= 64:
-                    memo[part] = ids
-            found.append(ids)
+        found = map(self.part_memo, self.parts.findall(self.library.normalize(text)))
         out = array("I", [self.bos])
         out.frombytes(b"".join(found))
         out.append(self.eos)
