@@ -25,6 +25,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,10 @@ SPACE = "▁"
 #: Strings whose ids a worker remembers at a time, twice over, and their longest.
 MEMO = 400_000
 MEMO_CHARS = 64
+#: Longest part whose agenda is a plain list; longer ones keep it as a heap.
+LIST_CHARS = 32
+#: Place of a pair that is no piece, behind all others.
+NO_PIECE = 1 << 31
 
 
 class Memo(dict):
@@ -108,10 +113,33 @@ class PieceCodec:
                                 + f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+")
 
     def merge(self, part: str) -> list[str]:
-        """Merge the symbols of one part by the agenda.
+        """Merge the symbols of one part by the agenda."""
+        if len(part) <= LIST_CHARS:
+            return self.merge_short(part)
+        return self.merge_long(part)
 
-        An entry is one number, rank and left position.  It is stale if the
-        pair that now stands there has another rank."""
+    def merge_short(self, part: str) -> list[str]:
+        """The agenda is the list of the ranks of all adjacent pairs by
+        position; the first of the best is merged."""
+        symbols, rank = list(part), self.ranks.get
+        agenda = [rank(pair, NO_PIECE) for pair in map(add, part, part[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NO_PIECE:
+                break
+            left = agenda.index(best)
+            del agenda[left]
+            pair = symbols[left] = symbols[left] + symbols.pop(left + 1)
+            if left:
+                agenda[left - 1] = rank(symbols[left - 1] + pair, NO_PIECE)
+            if left < len(agenda):
+                agenda[left] = rank(pair + symbols[left + 1], NO_PIECE)
+        return symbols
+
+    def merge_long(self, part: str) -> list[str]:
+        """The agenda is a heap.  An entry is one number, rank and left
+        position; it is stale if the pair that now stands there has another
+        rank."""
         symbols = list(part)
         n, rank = len(symbols), self.ranks.get
         agenda = []
@@ -163,10 +191,9 @@ class PieceCodec:
         """Ids of a part: it is cut between characters that stand side by side
         in no piece, as no merge crosses such a place."""
         adjacent, memo, at, found = self.adjacent, self.run_memo, 0, []
-        for i in range(1, len(part)):
-            if part[i - 1:i + 1] not in adjacent:
-                found.append(memo(part[at:i]))
-                at = i
+        for i in [i for i, pair in enumerate(map(add, part, part[1:]), 1) if pair not in adjacent]:
+            found.append(memo(part[at:i]))
+            at = i
         found.append(memo(part[at:]))
         return b"".join(found)
 
@@ -219,8 +246,9 @@ def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
                 id_digests.append(hashlib.sha256(le.tobytes()).hexdigest())
                 text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if check:
-                    theirs = c.library.encode(text, add_bos=True, add_eos=True)
-                    agrees.append(theirs == ids.tolist() and c.library.decode(theirs) == decoded)
+                    # 32-bit integers on both sides
+                    theirs = c.library.encode_as_numpy(text, add_bos=True, add_eos=True)
+                    agrees.append(theirs.tobytes() == ids.tobytes() and c.library.decode(theirs) == decoded)
                 else:
                     agrees.append(None)
             yield pd.DataFrame({"_id": batch["_id"], "n_tokens": counts, "ids_sha256": id_digests,

@@ -211,6 +211,16 @@ def test_sentencepiece_random_texts_and_ids():
         assert c.decode(ids) == c.library.decode(ids)
 
 
+def test_both_agendas_merge_alike():
+    import random
+
+    c, rnd = piece_codec.codec(tokenizer_path()), random.Random(5)
+    for alphabet in ("ab", "theraino▁", "aaa ▁▁ée\n", "日本0123"):
+        for n in range(0, 70):
+            part = "".join(rnd.choice(alphabet) for _ in range(n))
+            assert c.merge_short(part) == c.merge_long(part)
+
+
 def test_fingerprints(docs, rows, none):
     got = by_row(fingerprints.fingerprint_edits(docs))
     assert sum(map(len, got.values())) == len(rows)
