@@ -17,6 +17,10 @@ from tessera.llm.secret_scans import redact_secrets
 from tessera.llm.simhash_dedup import keep_one
 from tessera.llm.toxicity import drop_toxic, fit_toxicity
 
+#: Strings that an encoding worker remembers: it outlives its stage, and the
+#: memory is needed by the next job's stages.
+ENCODE_MEMO = 50_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not reject."""
@@ -45,7 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every reading."""
     ship_package(spark)
-    return encode_texts(docs, tokenizer_path())
+    return encode_texts(docs, tokenizer_path(), memo=ENCODE_MEMO)
 
 
 STAGES = [

@@ -47,16 +47,16 @@ class Memo(dict):
     """Remembered results of a function of a string.  When full, it starts
     anew and takes over from its former content what is asked for again."""
 
-    def __init__(self, function: Callable[[str], bytes]):
+    def __init__(self, function: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.function, self.former = function, {}
+        self.function, self.limit, self.former = function, limit, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.former.get(key)
         if found is None:
             found = self.function(key)
         if len(key) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= self.limit:
                 self.former = dict(self)
                 self.clear()
             self[key] = found
@@ -66,7 +66,7 @@ class Memo(dict):
 class PieceCodec:
     """Vocabulary of a model file with its merge agenda."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -103,8 +103,8 @@ class PieceCodec:
         self.ranks = {piece: place[score] for piece, score in self.scores.items() if len(piece) > 1}
         #: pairs of characters that some piece holds side by side
         self.adjacent = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
-        self.run_memo = Memo(self.run_ids).__getitem__
-        self.part_memo = Memo(self.part_ids).__getitem__
+        self.run_memo = Memo(self.run_ids, memo).__getitem__
+        self.part_memo = Memo(self.part_ids, memo).__getitem__
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         joined = set().union(*(p for p in self.ids if len(p) > 1))
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
@@ -223,17 +223,20 @@ def _utf8(data: bytes) -> str:
         return re.sub("[\udc80-\udcff]", "�", data.decode("utf-8", "surrogateescape"))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+@lru_cache(maxsize=1)
+def codec(path: str, memo: int = MEMO) -> PieceCodec:
+    return PieceCodec(path, memo)
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
-                 text_col: str = "text", check: bool = True) -> DataFrame:
+                 text_col: str = "text", check: bool = True, memo: int = MEMO) -> DataFrame:
     """One row per document: number of ids, digests of ids and of the decoded
-    text, and whether the library gives the same."""
+    text, and whether the library gives the same.
+
+    Workers keep their memos after the task; ``memo`` bounds them, for jobs
+    whose other stages need the memory."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model_path)
+        c = codec(model_path, memo)
         for batch in batches:
             counts, id_digests, text_digests, agrees = [], [], [], []
             for text in batch["_text"]:

@@ -211,6 +211,13 @@ def test_sentencepiece_random_texts_and_ids():
         assert c.decode(ids) == c.library.decode(ids)
 
 
+def test_small_memo_gives_the_same(docs):
+    key = ["doc_id", "ids_sha256"]
+    full = piece_codec.encode_texts(docs, tokenizer_path()).select(key).collect()
+    small = piece_codec.encode_texts(docs, tokenizer_path(), memo=2).select(key).collect()
+    assert sorted(map(str, full)) == sorted(map(str, small))
+
+
 def test_both_agendas_merge_alike():
     import random
 
