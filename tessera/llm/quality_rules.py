@@ -31,6 +31,8 @@ COMMON = {
 #: Words of the pooled reference, for null and unlisted languages.
 POOLED = "*"
 WORDS = {**COMMON, POOLED: tuple(sorted({w for ws in COMMON.values() for w in ws[:2]})[:12])}
+#: Words of the longest list; shorter lists leave their last bins empty.
+WORD_BINS = max(map(len, WORDS.values()))
 CLASSES = ("plain", "upper", "digit", "space", "symbol", "wide")
 
 # fixed values: the base rules
@@ -115,7 +117,7 @@ def class_counts(text: str, word_chars: Column, symbols: Column) -> Column:
 
 def with_word_counts(df: DataFrame) -> DataFrame:
     """From ``_words`` and ``_lang``, add ``_wc``: occurrences of each common
-    word of the language, then of all other words."""
+    word of the language (``WORD_BINS`` of them), then of all other words."""
     vocabulary = F.lit(None).cast("array<string>")
     few = F.lit(None).cast("array<string>")
     for code, listed in WORDS.items():
@@ -127,8 +129,7 @@ def with_word_counts(df: DataFrame) -> DataFrame:
     at = F.zip_with("_few", F.array_repeat("_listed", F.size("_few")),
                     lambda w, listed: F.array_position(listed, w))
     df = settle(df, _few=at).drop("_listed")
-    size = len(WORDS[POOLED])
-    counts = [F.size(F.filter("_few", _is_one_of([k + 1]))).cast("double") for k in range(size)]
+    counts = [F.size(F.filter("_few", _is_one_of([k + 1]))).cast("double") for k in range(WORD_BINS)]
     others = (F.col("n_words") - F.size("_few")).cast("double")
     return settle(df, _wc=F.array(*counts, others)).drop("_few")
 
@@ -144,10 +145,9 @@ def language_key(lang: Column) -> Column:
 def references(measured: DataFrame) -> DataFrame:
     """Histogram sums over all documents of a language: one row per listed
     language that occurs, and one for the others."""
-    size = len(WORDS[POOLED]) + 1
     return measured.groupBy("_lang").agg(
         F.array(*[F.sum(F.col("_cc")[i]) for i in range(len(CLASSES))]).alias("_rc"),
-        F.array(*[F.sum(F.col("_wc")[i]) for i in range(size)]).alias("_rw"))
+        F.array(*[F.sum(F.col("_wc")[i]) for i in range(WORD_BINS + 1)]).alias("_rw"))
 
 
 def shares(counts: Column) -> Column:

@@ -122,6 +122,48 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules.judge_quality(none).count() == 0
 
 
+def test_word_histograms_hold_every_listed_word(spark):
+    import random
+    rnd = random.Random(6)
+    made = [(k, " ".join(rnd.choices([*listed, "Word", "x1"], k=150)), lang) for k, (lang, listed) in enumerate(
+        (x for x in quality_rules.WORDS.items() for _ in range(4)))]
+    made += [(90, " ".join(rnd.choices(["on", "with", "Word"], k=160)), "en"),
+             (91, " ".join(rnd.choices(["para", "con", "é#"], k=160)), "es"), (92, None, "de"), (93, "", None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+
+    def histograms(text, key):
+        w, listed = words(text), quality_rules.WORDS[key]
+        size = max(len(v) for v in quality_rules.WORDS.values())
+        wc = [w.count(x) for x in listed] + [0] * (size - len(listed)) + [sum(x not in listed for x in w)]
+        t = text or ""
+        cc = [sum(c.isascii() and c.isupper() for c in t), sum(c in "0123456789" for c in t),
+              len(t) - sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(t.encode()) - len(t)]
+        return wc, [max(0, len(t) - sum(cc)), *cc]
+
+    def distance(a, b):
+        a, b = ([x / max(1, sum(v)) for x in v] for v in (a, b))
+        return math.sqrt(max(0, sum(0.5 * x * math.log2(x / ((x + y) / 2)) for p, q in ((a, b), (b, a))
+                                    for x, y in zip(p, q) if x)))
+
+    key = {i: lang if lang in quality_rules.COMMON else quality_rules.POOLED for i, _, lang in made}
+    brute = {i: histograms(t, key[i]) for i, t, _ in made}
+    assert all(sum(wc) == len(words(t)) for (wc, _), (_, t, _) in zip(brute.values(), made))
+    measured = quality_rules.base_measures(df.select("doc_id", F.col("text").alias("_raw"), quality_rules.language_key(
+        F.col("lang")).alias("_lang")), "_raw")
+    for i, rs in by_row(quality_rules.with_word_counts(measured)).items():
+        assert list(rs[0]["_wc"]) == brute[i][0], i
+    total = {k: [[sum(x) for x in zip(*(brute[i][n] for i in key if key[i] == k))] for n in (0, 1)]
+             for k in set(key.values())}
+    got = by_row(quality_rules.judge_quality(df))
+    for i, t, _ in made:
+        r, far = got[i][0], [distance(brute[i][n], total[key[i]][n]) for n in (0, 1)]
+        assert (r.word_distance, r.class_distance) == (pytest.approx(far[0]), pytest.approx(far[1])), i
+        n = len(words(t))
+        assert r.kept == (not r.base_failed and not (n >= 20 and far[1] > quality_rules.MAX_CLASS_DISTANCE)
+                          and not (n >= 100 and far[0] > quality_rules.MAX_WORD_DISTANCE)), i
+    assert not got[90][0].kept and not got[91][0].kept
+
+
 def test_distance_closed_form(spark):
     row = spark.range(1).select(
         quality_rules.distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"),
