@@ -790,13 +790,14 @@ FROM keyed JOIN firsts USING (k, ord)
 """)
 def prepare_once(spark, sf_dir):
     """Idempotent prepare -- the second call finds the output and skips
-    the build; the result is read from the written table."""
+    the build; the result is read from the written table.  Texts end at 10,000
+    characters (T4), as in the SQL."""
     from tessera.sources import files
     path = files.scratch_path(spark, "prepared")
 
     def build():
-        return prepare.prepare_records(tables.document_records(spark, sf_dir)).select(
-            "record_id", "text_length", F.md5("text").alias("text_md5"))
+        records = prepare.prepare_records(tables.document_records(spark, sf_dir), max_text_length=10000)
+        return records.select("record_id", "text_length", F.md5("text").alias("text_md5"))
 
     files.prepare_once(build, path)
     out = files.prepare_once(build, path)  # skipped: output exists
