@@ -2,11 +2,11 @@
 
 Candidates are spans found by patterns.  Every candidate value is hashed and
 the hashes are aggregated over the whole corpus by distinct repository and
-owner.  A value seen with several owners is a copied example; a value that
-only one owner has, and that looks random, is a live credential.  Spans of the
-three base kinds are always reported; a *generic* token (long, mixed letters
-and digits) is reported as kind ``live`` only if the ownership table says that
-one owner has it.
+owner.  A value seen with several owners, in many repositories or in many rows
+is a copied example; another value that only one owner has, and that looks
+random, is a live credential; the rest is unclear.  Spans of the three base
+kinds are always reported; a *generic* token (long, mixed letters and digits)
+is reported unless it is a copied example, as kind ``live`` or ``unclear``.
 
 Defined results: a null text is empty; null owners or repositories count as
 one owner or repository of their own; repeated rows each get their result;
@@ -29,13 +29,19 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 GENERIC = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "live")
+TOLD = ("owners", "repos", "rows", "found")
 
 #: Distinct characters that a random-looking value has at least.
 LIVE_DISTINCT = 10
-#: Owners from which on a value is a copied example.
+#: Owners, repositories and rows from which on a value is a copied example.
+#: Rows count, not occurrences: a row may repeat its own credential.
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOS = 6
+EXAMPLE_ROWS = 100
 
 SPAN_TYPE = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
+JUDGED_TYPE = ("array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string,"
+               "owners:bigint,repos:bigint,rows:bigint,found:bigint>>")
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
@@ -85,22 +91,26 @@ def has_candidate(text: Column) -> Column:
             | text.rlike(GENERIC))
 
 
-def ownership(candidates: DataFrame, hash_col: str, owner_col: str, repo_col: str) -> DataFrame:
+def ownership(candidates: DataFrame, hash_col: str, owner_col: str, repo_col: str,
+              row_col: str = "_row") -> DataFrame:
     """Per hash: distinct owners, distinct repositories (an owner's repository
-    of equal name elsewhere is another one) and occurrences.  Three nested
+    of equal name elsewhere is another one), rows and occurrences.  Nested
     aggregations, each with map-side partial sums, so a value copied into a
     third of all rows never gathers in one task."""
-    per_repo = candidates.groupBy(hash_col, owner_col, repo_col).agg(F.count(F.lit(1)).alias("n_found"))
+    per_row = candidates.groupBy(hash_col, owner_col, repo_col, row_col).agg(F.count(F.lit(1)).alias("n_found"))
+    per_repo = per_row.groupBy(hash_col, owner_col, repo_col).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_found").alias("n_found"))
     per_owner = per_repo.groupBy(hash_col, owner_col).agg(
-        F.count(F.lit(1)).alias("n_repos"), F.sum("n_found").alias("n_found"))
+        F.count(F.lit(1)).alias("n_repos"), F.sum("n_rows").alias("n_rows"), F.sum("n_found").alias("n_found"))
     return per_owner.groupBy(hash_col).agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"),
-        F.sum("n_found").alias("n_found"))
+        F.sum("n_rows").alias("n_rows"), F.sum("n_found").alias("n_found"))
 
 
 def _with_verdicts(docs: DataFrame, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
     """Rows of ``docs`` that may hold a candidate, packed in ``_doc``, with
-    ``_base`` spans and ``_spans`` (array of start, rank, end, kind, class)."""
+    ``_base`` spans and ``_spans`` (array of start, rank, end, kind, class and
+    what the ownership table says of the value)."""
     text = whole_text(text_col)
     rows = saved(docs.filter(has_candidate(text)).select(
         F.struct(*docs.columns).alias("_doc"), F.col(owner_col).alias("_owner"),
@@ -115,13 +125,17 @@ def _with_verdicts(docs: DataFrame, text_col: str, owner_col: str, repo_col: str
                      F.sha2("s.value", 256).alias("_hash"),
                      looks_random(F.col("s.value")).alias("_random")))
     owners = saved(ownership(cands, "_hash", "_owner", "_repo"))
+    copied = ((F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
+              | (F.col("n_rows") >= EXAMPLE_ROWS))
     judged = (join_by_key(cands, owners, "_hash", "n_found")
-              .withColumn("class", F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
+              .withColumn("class", F.when(copied, "example")
                           .when((F.col("n_owners") == 1) & F.col("_random"), "live")
                           .otherwise("unclear"))
-              .filter((F.col("kind") != "live") | (F.col("class") == "live")))
-    spans = judged.groupBy("_row").agg(F.sort_array(F.collect_list(
-        F.struct("start", "rank", "end", "kind", "class"))).alias("_spans"))
+              .filter((F.col("kind") != "live") | (F.col("class") != "example"))
+              .withColumn("kind", F.when(F.col("kind") == "live", F.col("class")).otherwise(F.col("kind"))))
+    spans = judged.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
+        "start", "rank", "end", "kind", "class", F.col("n_owners").alias("owners"), F.col("n_repos").alias("repos"),
+        F.col("n_rows").alias("rows"), F.col("n_found").alias("found")))).alias("_spans"))
     return rows.select("_doc", "_base", "_row").join(spans, "_row", "left").drop("_row")
 
 
@@ -130,6 +144,10 @@ def _joined(spans) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _told(spans: Column, field: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: s[field].cast("string")), ",")
+
+
 def _count(spans: Column, field: str, value: str) -> Column:
     return F.size(F.filter(spans, lambda s: s[field] == value)).cast("long")
 
@@ -137,16 +155,18 @@ def _count(spans: Column, field: str, value: str) -> Column:
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  owner_col: str = "source", repo_col: str = "lang") -> DataFrame:
     """One row per document: counts of base kinds, digest of base spans, all
-    spans, and how many spans are live, copied examples or unclear."""
+    spans, how many spans are live, copied examples or unclear, and, in the
+    order of ``spans``, the owners, repositories, rows and occurrences of each
+    span's value."""
     def shaped(df: DataFrame) -> DataFrame:
         base = F.sort_array("_base")
         per = [_count(F.col("_base"), "kind", k).alias(f"n_{k}") for k in KINDS[:3]]
-        spans = F.coalesce("_spans", F.expr("array()").cast(
-            "array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string>>"))
+        spans = F.coalesce("_spans", F.expr("array()").cast(JUDGED_TYPE))
         classes = [_count(spans, "class", c).alias(f"n_{n}")
                    for c, n in (("live", "owned"), ("example", "copied"), ("unclear", "unclear"))]
         return df.select(F.col(f"_doc.{id_col}").alias(id_col), *per, F.sha2(_joined(base), 256).alias("base_sha256"),
-                         _joined(spans).alias("spans"), *classes)
+                         _joined(spans).alias("spans"), *classes,
+                         *[_told(spans, name).alias(f"span_{name}") for name in TOLD])
 
     text = whole_text(text_col)
     slim = docs.select(*dict.fromkeys((id_col, text_col, owner_col, repo_col)))
@@ -154,7 +174,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     clean = docs.filter(~has_candidate(text)).select(
         F.col(id_col), zero.alias("n_assign"), zero.alias("n_access"), zero.alias("n_hex"),
         F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"),
-        zero.alias("n_owned"), zero.alias("n_copied"), zero.alias("n_unclear"))
+        zero.alias("n_owned"), zero.alias("n_copied"), zero.alias("n_unclear"),
+        *[F.lit("").alias(f"span_{name}") for name in TOLD])
     return clean.unionByName(shaped(_with_verdicts(slim, text_col, owner_col, repo_col)))
 
 
@@ -181,8 +202,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str =
     """All rows with their columns; reported spans of the text become ``mark``."""
     found = _with_verdicts(docs, text_col, owner_col, repo_col)
     text = whole_text(F.col(f"_doc.{text_col}"))
-    none = F.expr("array()").cast(
-        "array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string>>")
+    none = F.expr("array()").cast(JUDGED_TYPE)
     out = _without(text, F.coalesce("_spans", none), mark)
     tail = F.concat(out["out"], F.substring(text, (out["pos"] + 1).cast("int"), F.length(text)))
     masked = F.when(F.size("_spans") > 0, tail).otherwise(F.col(f"_doc.{text_col}"))

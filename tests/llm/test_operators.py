@@ -95,6 +95,27 @@ def test_copied_values_are_examples(spark):
     assert masked[99][0].text == "only [secret] here" and masked[3][0].text == rows[3][1]
 
 
+def test_ownership_judges_generic_tokens(spark):
+    two, hot, wide, own = ("Bq9Zt4Lm8Wp2Rk7Vb3Ny", "Cq9Zt4Lm8Wp2Rk7Vb3Ny", "Dq9Zt4Lm8Wp2Rk7Vb3Ny", "Eq9Zt4Lm8Wp2Rk7Vb3Ny")
+    rows = [(0, f"see {two} here", "en", "a"), (1, f"see {two} here", "en", "b"), (2, f"{own} " * 300, "en", "a")]
+    rows += [(10 + k, f"see {hot} here", "en", "hot") for k in range(secret_scans.EXAMPLE_ROWS)]
+    rows += [(500 + k, f"see {wide} here", f"l{k}", "a") for k in range(secret_scans.EXAMPLE_REPOS)]
+    rows += [(600 + k, "see Fq9Zt4Lm8Wp2Rk7Vb3Ny here", f"l{k % 2}", "a") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got, masked = by_row(secret_scans.scan_secrets(df)), by_row(secret_scans.redact_secrets(df))
+    for k in (0, 1):
+        r = got[k][0]
+        assert (r.spans, r.n_owned, r.n_unclear) == ("unclear:4:24", 0, 1)
+        assert (r.span_owners, r.span_repos, r.span_rows, r.span_found) == ("2", "2", "2", "2")
+        assert masked[k][0].text == "see [secret] here"
+    assert got[2][0].n_owned == 300 and own not in masked[2][0].text
+    assert got[2][0].span_rows.split(",") == ["1"] * 300 and got[2][0].span_found.split(",") == ["300"] * 300
+    for k in (10, 500):
+        assert got[k][0].spans == "" and masked[k][0].text == next(r[1] for r in rows if r[0] == k)
+    r = got[600][0]
+    assert (r.spans, r.span_owners, r.span_repos, r.span_rows) == ("live:4:24", "1", "2", "5")
+
+
 def test_redaction_keeps_rows(docs, rows):
     got = by_row(secret_scans.redact_secrets(docs).select("doc_id", "text"))
     assert sum(map(len, got.values())) == len(rows)
