@@ -8,9 +8,9 @@ file access from tasks.
 
 Salvage reader: an archive is walked record by record.  A record must have a
 version line, a readable header block, its whole content and a matching block
-digest.  After a failed check the reader looks for the next version line (in
-plain archives) or the next gzip member that inflates (in compressed ones),
-goes on from there, and logs the bytes passed over as a gap with the reason.
+digest.  After a failed check the reader looks for whichever comes first, a
+version line with a valid record or a gzip member that holds one, goes on from
+there, and logs the bytes passed over as a gap with the reason.
 
 Defined results: a null page is empty; a null url is an empty target; pages
 without an id are responses that others may not refer to; repeated rows with
@@ -37,6 +37,7 @@ VERSION = b"WARC/1.1"
 SEPARATOR = "\r\n\r\n"
 #: An empty gzip member, as characters of one byte each.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
+GZIP_MAGIC = b"\x1f\x8b\x08"
 INFLATE_BYTES = 1 << 16
 #: Smallest payload, in bytes, of which later copies become revisits.
 REVISIT_BYTES = 0
@@ -198,83 +199,104 @@ def _member(data: bytes, at: int):
     return (min(fed, len(data)) - len(d.unused_data), b"".join(pieces)) if d.eof else None
 
 
+def _next(data: bytes, at: int):
+    """(offset, member or None) of what first verifies from ``at`` on: a version
+    line with a valid record or a gzip member that holds one."""
+    line, magic = data.find(b"WARC/", at), data.find(GZIP_MAGIC, at)
+    while line >= 0 or magic >= 0:
+        if magic < 0 or 0 <= line < magic:
+            if not isinstance(_record(data, line), str):
+                return line, None
+            line = data.find(b"WARC/", line + 1)
+        else:
+            got = _member(data, magic)
+            if got is not None and any(x[0] == "record" for x in salvage_plain(got[1])):
+                return magic, got
+            magic = data.find(GZIP_MAGIC, magic + 1)
+    return len(data), None
+
+
 def salvage(data: bytes):
-    """Records and gaps of an archive, plain or made of gzip members.  Offsets
-    are those of the file."""
-    if data[:5] == b"WARC/" or b"\x1f\x8b\x08" not in data:
-        yield from salvage_plain(data)
-        return
-    at = 0
+    """Records and gaps of an archive of plain records, gzip members or both.
+    Offsets are those of the file."""
+    at, got = 0, None
     while at < len(data):
-        got = _member(data, at) if data[at:at + 2] == b"\x1f\x8b" else None
+        plain = _record(data, at)
+        if not isinstance(plain, str):
+            yield "record", at, plain[1], plain[2]
+            at = plain[0]
+            continue
+        packed = data.startswith(GZIP_MAGIC, at)
+        if got is None and packed:
+            got = _member(data, at)
         if got is not None:
             for item in salvage_plain(got[1]):
                 if item[0] == "record":
                     yield "record", at, item[2], item[3]
                 else:
                     yield "gap", at, got[0], item[3]
-            at = got[0]
+            at, got = got[0], None
             continue
-        found = at + 1
-        while True:
-            found = data.find(b"\x1f\x8b\x08", found)
-            if found < 0:
-                found = len(data)
-                break
-            if _member(data, found) is not None:
-                break
-            found += 1
-        yield "gap", at, found, "no valid member"
+        found, got = _next(data, at + 1)
+        yield "gap", at, found, "no valid member" if packed else plain
         at = found
 
 
-def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of all archives under ``path``.  Records: path, at,
-    headers, payload; gaps: path, start, end, reason."""
+def read_items(spark: SparkSession, path: str, *kinds: str) -> DataFrame:
+    """Records, gaps or both (``kinds``) of all archives under ``path``; a gap
+    has end and reason, a record headers and payload."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    names = ["path", "at", "headers", "payload", "end", "reason"]
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 some = []
-                for kind, at, headers, payload in salvage(bytes(content)):
-                    if kind == "record":
-                        some.append((path, at, headers, payload))
+                for kind, at, a, b in salvage(bytes(content)):
+                    if kind in kinds:
+                        some.append((path, at, a, b, None, None) if kind == "record" else
+                                    (path, at, None, None, a, b))
                     if len(some) == 256:
-                        yield pd.DataFrame(some, columns=["path", "at", "headers", "payload"])
+                        yield pd.DataFrame(some, columns=names, dtype=object)
                         some = []
                 if some:
-                    yield pd.DataFrame(some, columns=["path", "at", "headers", "payload"])
+                    yield pd.DataFrame(some, columns=names, dtype=object)
 
-    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(p, a, b, why) for p, c in zip(batch["path"], batch["content"], strict=True)
-                     for kind, a, b, why in salvage(bytes(c)) if kind == "gap"]
-            yield pd.DataFrame(found, columns=["path", "start", "end", "reason"])
+    return files.mapInPandas(items, f"{RECORD_TYPES}, end long, reason string")
 
-    return (files.mapInPandas(records, RECORD_TYPES),
-            files.mapInPandas(gaps, "path string, start long, end long, reason string"))
+
+def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of all archives under ``path``.  Records: path, at,
+    headers, payload; gaps: path, start, end, reason."""
+    return (read_items(spark, path, "record").select("path", "at", "headers", "payload"),
+            read_items(spark, path, "gap").select("path", F.col("at").alias("start"), "end", "reason"))
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html") -> DataFrame:
-    """Write the pages, read the archives back, and give one row per record;
-    sizes and digests of responses are taken from what was read."""
+    """Write the pages and read the archives back."""
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, id_col=id_col, url_col=url_col, html_col=html_col)
-    records, _ = read_archives(spark, path)
-    kind = pages.schema[id_col].dataType.simpleString()
+    return read_back(spark, path, id_col, pages.schema[id_col].dataType.simpleString())
+
 
-    told = records.select("headers", F.octet_length("payload").cast("long").alias("n"),
-                          _digest_udf()("payload").alias("digest"))
+def read_back(spark: SparkSession, path: str, id_col: str, kind: str) -> DataFrame:
+    """One row per record of the archives under ``path``, sizes and digests of
+    responses taken from what was read, and one row per gap: no id, the bytes
+    passed over and ``gap: <reason>`` as type."""
+    told = read_items(spark, path, "record", "gap").select(
+        "headers", F.octet_length("payload").cast("long").alias("n"),
+        _digest_udf()(F.coalesce("payload", F.lit("").cast("binary"))).alias("digest"),
+        (F.col("end") - F.col("at")).alias("lost"), "reason")
     h = F.col("headers")
     number = lambda name: F.nullif(F.regexp_extract(F.coalesce(h[name], F.lit("")), r"^<urn:page:(.*)>$", 1),
                                    F.lit("")).cast(kind)
     response = h["warc-type"] == "response"
     return told.select(
         number("warc-record-id").alias(id_col),
-        F.when(response, F.col("n")).otherwise(h["x-payload-length"].cast("long")).alias("payload_bytes"),
+        F.when(response, F.col("n")).otherwise(F.coalesce("lost", h["x-payload-length"].cast("long")))
+        .alias("payload_bytes"),
         F.when(response, F.col("digest")).otherwise(
             F.regexp_replace(h["warc-payload-digest"], "^sha1:", "")).alias("payload_digest"),
-        h["warc-type"].alias("record_type"), number("warc-refers-to").alias("refers_to"))
+        F.coalesce(F.concat(F.lit("gap: "), F.col("reason")), h["warc-type"]).alias("record_type"), number("warc-refers-to").alias("refers_to"))

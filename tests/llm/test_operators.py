@@ -507,5 +507,39 @@ def test_salvage_plain_and_members(spark, tmp_path):
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_of_a_broken_start():
+    import random
+    body = gzip.compress(random.Random(7).randbytes(300))
+    parts = [record(n, body if n % 2 == 0 else b"plain body") for n in range(4)]
+    data = b"XXXX" + b"".join(parts)[4:]
+    items = list(warc.salvage(data))
+    assert items[0] == ("gap", 0, len(parts[0]), "no version line")
+    assert [x[3] for x in items[1:]] == [b"plain body", body, b"plain body"]
+    # what verifies first goes on, of either kind
+    mixed = b"XXXX" + parts[0][4:] + gzip.compress(parts[1]) + parts[2] + b"\x1f\x8b\x08bad" + parts[3]
+    items = list(warc.salvage(mixed))
+    assert [x[0] for x in items] == ["gap", "record", "record", "gap", "record"]
+    assert [x[3] for x in items if x[0] == "record"] == [b"plain body", body, b"plain body"]
+    assert items[3][3] == "no valid member"
+
+
+def test_round_trip_reports_gaps(spark, tmp_path):
+    ship_package(spark)
+    df = spark.createDataFrame([(n, f"http://{n}", f"page {n} " * 50) for n in range(5)],
+                               "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "archives"
+    warc.write_archives(df, str(path))
+    files = sorted(f for f in path.iterdir() if f.name.startswith("part") and f.stat().st_size)
+    data = bytearray(files[0].read_bytes())
+    data[60] ^= 0xFF
+    for f in path.iterdir():
+        if f.name == f".{files[0].name}.crc":
+            f.unlink()
+    files[0].write_bytes(bytes(data))
+    got = warc.read_back(spark, str(path), "page_id", "bigint").collect()
+    lost = [r for r in got if r.page_id is None]
+    assert len(got) == 5 and [r.record_type for r in lost] == ["gap: no valid member"] and lost[0].payload_bytes > 100
+
+
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in llm.QUERIES] == [f"op{n}" for n in range(1, 11)]
