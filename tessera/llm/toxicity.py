@@ -2,7 +2,7 @@
 
 The lexicon is learned: for every word start of 3 to 12 letters the training
 texts with and without the label are counted, and the starts that mark toxic
-texts form a trie.  A word is run through the intersection of that trie with
+texts form a trie, with the frequent whole words that begin with them.  A word is run through the intersection of that trie with
 the Levenshtein automaton: a state is the set of (trie node, edits so far)
 that the letters read can have led to.  States are built when first needed and
 remembered, so a word costs one lookup per letter and most words die after two
@@ -49,6 +49,9 @@ FEATURES = ("abuse", "quoted", "fuzzy", "strongest", "density", "address")
 STATES = 200_000
 WORDS = 200_000
 
+#: Marks a counted whole word; no letter or digit.
+WORD_END = "$"
+
 _WORD = re.compile(r"[^\W_]+")
 # fixed values: marks of quotation, reporting words, words of address
 _QUOTES = "\"'«»„“”‘’‚"
@@ -193,7 +196,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Word starts that mark toxic texts, with smoothed log-odds as weights."""
+    """Word starts that mark toxic texts, with smoothed log-odds as weights, and
+    the whole words under them that do, with the weight of their start: they add
+    nothing to a word as it is spelled, but misspelled ones are near to them."""
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -201,6 +206,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
                 words = set(_WORD.findall(text.lower()))
                 counts[int(label > 0)].update({w[:k] for w in words for k in range(
                     START_LETTERS, min(len(w), END_LETTERS) + 1)})
+                counts[int(label > 0)].update(w + WORD_END for w in words if len(w) >= FUZZY_LETTERS)
                 if len(counts[0]) + len(counts[1]) > 300_000:
                     yield _flat(counts)
                     counts = (Counter(), Counter())
@@ -212,10 +218,11 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     n1 = sum(v for k, v in n.items() if k > 0)
     n0 = sum(v for k, v in n.items() if k <= 0)
     weight = (F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1)))
-    rows = (sums.withColumn("weight", weight)
-            .filter((F.col("toxic") >= LEAST_TOXIC_TEXTS)
-                    & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))))
-            .orderBy(F.col("toxic").desc(), "start").limit(8 * LEXICON).collect())
+    marks = saved(sums.withColumn("weight", weight)
+                  .filter((F.col("toxic") >= LEAST_TOXIC_TEXTS)
+                          & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))))
+    whole, most = F.col("start").endswith(WORD_END), (F.col("toxic").desc(), "start")
+    rows = marks.filter(~whole).orderBy(*most).limit(8 * LEXICON).collect()
     found = {r["start"]: (r["toxic"], r["weight"]) for r in rows}
     # of starts that mark the same texts the longest says most
     longer = Counter()
@@ -227,7 +234,14 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         if not any(s[:k] in out for k in range(START_LETTERS, len(s))):
             out[s] = closed[s][1]
     best = sorted(out, key=lambda s: (-closed[s][0], s))[:LEXICON]
-    return {s: out[s] for s in best}
+    lexicon = {s: out[s] for s in best}
+    forms = {}
+    for r in marks.filter(whole).orderBy(*most).limit(8 * LEXICON).collect():
+        word = r["start"][:-len(WORD_END)]
+        stem = next((word[:k] for k in range(START_LETTERS, len(word)) if word[:k] in lexicon), None)
+        if stem is not None:
+            forms[word] = lexicon[stem]
+    return lexicon | forms
 
 
 def _flat(counts: tuple[Counter, Counter]) -> pd.DataFrame:

@@ -229,6 +229,21 @@ def test_edit_distance_by_brute_force():
         assert lex.match(w) == want, w
 
 
+def test_misspelled_inflected_and_long_words(spark):
+    ship_package(spark)
+    toxic = ["you idiots", "an idiot", "idiotic talk", "scums", "scumbags", "vequestrationalists"]
+    rows = [(f"{t} n{k}", 1) for k in range(4) for t in toxic] + [(f"clean words here n{k}", 0) for k in range(30)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "_text string, label int"))
+    lex = toxicity.FuzzyLexicon(lexicon)
+    for word in ("idiots", "idiot", "idiotic", "scums", "scumbags", "vequestrationalists"):
+        stem = next(word[:k] for k in range(3, len(word) + 1) if word[:k] in lexicon)
+        assert lex.match(word) == (lexicon[stem], 0.0), word
+    for word in ("jdiots", "jdiotic", "xcumbags", "xcums", "vxquestrationalists", "vquestrationalists"):
+        exact, near = lex.match(word)
+        assert exact == 0 and near > 0, word
+    assert lex.match("clean") is None and lex.match("words") is None
+
+
 def test_toxicity_held_out(spark):
     ship_package(spark)
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
