@@ -1,7 +1,10 @@
 """License scans by an exact set-similarity join (operator 7).
 
-Templates are sets of words; a text block is a window of a template's length
-that starts at a template word.  A block meets a template if it holds at least
+Templates are sets of words; a text block starts at a template word and runs
+up to ``block_words`` of the template's length, so that a notice with words put
+in stays whole.  A word that only a larger template has (``nc`` of cc-by-nc,
+whose words include those of cc-by) ends a block that is longer than the
+template.  A block meets a template if it holds at least
 ``THRESHOLD`` of its words.  Words are ordered by their frequency over the
 whole corpus, rarest first.  With ``need`` words required of ``size``:
 
@@ -49,11 +52,19 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = 0.85
+#: Words that a block may have beyond a template's length over the threshold.
+SLACK_WORDS = 4
 
 #: ASCII letters in lower case, digits, and every byte of other characters stay; the rest breaks words.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(128)) + bytes(range(128, 256))
 
 
+def block_words(length: int, threshold: float) -> int:
+    """Words of the longest block: the length over the threshold, at most twice
+    the length, and a few more, which matter for short templates."""
+    return math.ceil(length / max(threshold, 0.5) - 1e-9) + SLACK_WORDS
+
+
 def scan_words(text: str, phrases: dict[str, str], vocabulary: dict[bytes, int]):
     """(number of words, [(place, label)], word positions and numbers of the
     vocabulary words) of one text."""
@@ -100,13 +111,20 @@ def template_blocks(rows: DataFrame, templates, threshold: float) -> DataFrame:
     counts = dict(rows.select(F.explode("_word").alias("w")).groupBy("w")
                   .agg(F.count(F.lit(1)).alias("n")).collect())
     index, prefix = [], set()
-    for t, (label, numbers, length) in enumerate(templates):
+    blocks = []
+    for label, numbers, length in templates:
+        ends = {w for _, other, _ in templates if set(numbers) < set(other) for w in other} - set(numbers)
+        blocks.append((label, numbers, block_words(length, threshold), ends))
+        if ends:
+            blocks.append((label, numbers, length, set()))
+    for t, (label, numbers, length, ends) in enumerate(blocks):
         ordered = sorted(numbers, key=lambda w: (counts.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
         for rank, w in enumerate(ordered):
-            index.append((w, t, label, rank, len(ordered), need, length))
+            index.append((w, t, label, rank, len(ordered), need, length, w))
+        index += [(w, t, label, None, len(ordered), need, length, None) for w in sorted(ends)]
         prefix.update(ordered[:len(ordered) - need + 1])
-    table = spark.createDataFrame(index, "w int, t int, label string, rank int, size int, need int, span int")
+    table = spark.createDataFrame(index, "w int, t int, label string, rank int, size int, need int, span int, own int")
     may = rows.select("_row", "_at", "_word").filter(
         F.exists("_word", lambda w: w.isin(*sorted(prefix))))
     hits = may.select("_row", F.explode(F.arrays_zip("_at", "_word")).alias("h")).select(
@@ -114,13 +132,15 @@ def template_blocks(rows: DataFrame, templates, threshold: float) -> DataFrame:
     # the table has one row per template word
     hits = hits.join(F.broadcast(table), "w")
     text = Window.partitionBy("_row", "t")
-    hits = hits.withColumn("_have", F.size(F.collect_set("w").over(text))).filter("_have >= need")
+    # words that end a block have no number of their own; their part begins with them
+    hits = hits.withColumn("_have", F.size(F.collect_set("own").over(text))).filter("_have >= need")
+    hits = hits.withColumn("_part", F.sum(F.col("own").isNull().cast("int")).over(text.orderBy("at")))
     found = None
-    for span in sorted({length for _, _, length in templates}):
-        block = text.orderBy("at").rangeBetween(0, span - 1)
+    for span in sorted({length for _, _, length, _ in blocks}):
+        block = Window.partitionBy("_row", "t", "_part").orderBy("at").rangeBetween(0, span - 1)
         own = (hits.filter(F.col("span") == span)
                .withColumn("_rarest", F.min("rank").over(block))
-               .withColumn("_held", F.size(F.collect_set("w").over(block)))
+               .withColumn("_held", F.size(F.collect_set("own").over(block)))
                .filter((F.col("_rarest") <= F.col("size") - F.col("need")) & (F.col("_held") >= F.col("need")))
                .select("_row", "label", (F.col("_held") / F.col("size")).alias("share")))
         found = own if found is None else found.unionByName(own)

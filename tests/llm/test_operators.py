@@ -417,6 +417,37 @@ def test_license_scans(docs, rows, none):
     assert license_scans.scan_licenses(none).count() == 0
 
 
+def test_license_blocks_with_words_put_in(spark):
+    import random
+    ship_package(spark)
+    rnd = random.Random(8)
+    made = ["licensed under the CC BY 4.0 license", "Licensed under CC BY-NC 4.0.", "licensed under the CC BY-NC 4.0 license",
+            "licensed " + "x " * 6 + "under cc by 4 0", "licensed " + "x " * 7 + "under cc by 4 0"]
+    for _, template in license_scans.TEMPLATES:
+        for _ in range(8):
+            w = template.split()
+            for _ in range(rnd.randrange(len(w) // 2)):
+                w.insert(rnd.randrange(len(w) + 1), rnd.choice(["x", "nc", "the", "license"]))
+            made.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = by_row(license_scans.scan_licenses(df, phrases={}))
+    sets = [set(t.split()) for _, t in license_scans.TEMPLATES]
+    for i, text in enumerate(made):
+        w, labels = re.findall("[a-z0-9]+", text.lower()), set()
+        for label, template in license_scans.TEMPLATES:
+            own, length = set(template.split()), len(template.split())
+            ends = {x for s in sets if own < s for x in s} - own
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + math.ceil(length / license_scans.THRESHOLD - 1e-9) + 4) + 1):
+                    if (b - a <= length or not ends & set(w[a:b])) and (
+                            len(own & set(w[a:b])) >= license_scans.THRESHOLD * len(own) - 1e-9):
+                        labels.add(label)
+        assert got[i][0].labels == ",".join(sorted(labels)), (text, labels)
+    assert "cc-by" in got[0][0].labels.split(",") and got[0][0].score == 1.0
+    assert got[1][0].labels == got[2][0].labels == "cc-by-nc"
+    assert "cc-by" in got[3][0].labels.split(",") and "cc-by" not in got[4][0].labels.split(",")
+
+
 def test_mixing(docs, rows, none):
     got = [r for rs in by_row(mixing.mix(docs)).values() for r in rs]
     assert len(got) == len(rows)
