@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import read_table
 from tessera.llm.fingerprints import fingerprint_edits
 from tessera.llm.license_scans import scan_licenses
+from tessera.llm.merkle import verify_tampering
 from tessera.llm.mixing import mix
+from tessera.llm.phrase_mining import mine_phrases
 from tessera.llm.piece_codec import encode_texts
 from tessera.llm.quality_rules import judge_quality
 from tessera.llm.registry import query
 from tessera.llm.secret_scans import scan_secrets
 from tessera.llm.simhash_dedup import near_duplicates
+from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import length_histogram, with_lengths
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.llm.warc import round_trip
@@ -78,3 +81,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query("op11_phrase_mining")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_substring_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tampering(read_table(spark, sf_dir, "documents"))
