@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ ABSORBED = 80
 SCALE = 2_000_000
 #: Distinct words that a task remembers before it spills all.
 WORD_TABLE = 300_000
+#: Words and phrases that a task holds over all its languages.
+TASK_ENTRIES = 800_000
 PREFIXES = 1 << 12
 _SALTS = 64
 
@@ -124,6 +127,9 @@ class PhraseCounter:
         if len(self.names) > WORD_TABLE:
             yield from self.runs(0)
 
+    def held(self) -> int:
+        return len(self.trie) + len(self.names)
+
     def runs(self, keep: int) -> Iterator[tuple[list, list, list]]:
         """Spilled subtrees as sorted runs: phrases, numbers of the words that
         stand alone (else 0), counts."""
@@ -166,7 +172,7 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
         for batch in batches:
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
-                own = batch.column("_text").filter(pa.compute.equal(langs, lang))
+                own = batch.column("_text").filter(pc.equal(langs, lang))
                 counter = counters.get(lang)
                 if counter is None:
                     counter = counters[lang] = PhraseCounter(sizes, word_bits, pair_bits, _language_seed(lang), limit)
@@ -181,6 +187,11 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
                         apart[1:] = (level[1:] != level[:-1]) | (found.text[1:] != found.text[:-1])
                     for run in counter.add(found, apart):
                         yield from out(lang, run)
+                # the limit holds for all languages of a task together
+                while sum(c.held() for c in counters.values()) > TASK_ENTRIES:
+                    largest = max(counters, key=lambda name: counters[name].held())
+                    for run in counters[largest].runs(0):
+                        yield from out(largest, run)
         for lang, counter in counters.items():
             for run in counter.runs(0):
                 yield from out(lang, run)
@@ -223,7 +234,7 @@ def _looked_up(asks: DataFrame, table: DataFrame, column: str) -> DataFrame:
     keys = ["lang", column]
     uses = asks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
     known = saved(table.drop("_uses").join(uses, keys))
-    return join_by_key(asks, known, keys, "_asked")
+    return join_by_key(asks, known, keys, "_asked").drop("_asked")
 
 
 def _pair_numbers(ends: DataFrame) -> DataFrame:
