@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bitmaps import bitmap, perhaps
 from tessera.llm.common import join_by_key, saved, whole_text
-from tessera.llm.phrase_trie import PhraseTrie
+from tessera.llm.phrase_trie import LIMIT, PhraseTrie
 from tessera.llm.word_arrays import Words, byte_class, mixed, slices, words_in
 
 #: Least occurrences of a candidate, words of the longest one, rows per language.
@@ -44,10 +44,13 @@ TOP = 2000
 #: A candidate goes when a longer one has this share of its occurrences, in per cent.
 ABSORBED = 80
 SCALE = 2_000_000
+#: Words that are counted at a time, and rows of a run.
+CHUNK = 1 << 20
+RUN_ROWS = 1 << 16
 #: Distinct words that a task remembers before it spills all.
-WORD_TABLE = 300_000
+WORD_TABLE = 600_000
 #: Words and phrases that a task holds over all its languages.
-TASK_ENTRIES = 800_000
+TASK_ENTRIES = 2_000_000
 PREFIXES = 1 << 12
 _SALTS = 64
 
@@ -65,83 +68,109 @@ def pair_numbers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class PhraseCounter:
     """Counts phrases of the given sizes of one language and yields runs.
 
-    ``words`` and ``pairs`` are bitmaps that words and neighbours must pass."""
+    ``words`` and ``pairs`` are bitmaps that words and neighbours must pass.
+    Words are buffered and counted ``CHUNK`` at a time; the distinct phrases of
+    a chunk go into the tries."""
 
-    def __init__(self, sizes, words, pairs, seed: np.uint64, limit: int | None = None):
+    def __init__(self, sizes, words, pairs, seed: np.uint64, limit: int = LIMIT, chunk: int = CHUNK):
         self.sizes, self.words, self.pairs, self.seed = sizes, words, pairs, seed
-        self.trie = PhraseTrie(**({"limit": limit} if limit else {}))
+        self.limit, self.chunk = limit, chunk
+        self.tries = {size: PhraseTrie(size, limit=limit) for size in sizes}
         self.names: list[bytes] = []
         self.ids: dict[bytes, int] = {}
         self.numbers: list[int] = []
+        self.buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.buffered = 0
 
-    def add(self, words: Words, apart: np.ndarray) -> Iterator[tuple[list, list, list]]:
-        """Count a slice; ``apart`` says of each word whether its piece begins
+    def held(self) -> int:
+        return sum(map(len, self.tries.values())) + len(self.names)
+
+    def add(self, words: Words, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take a slice; ``apart`` says of each word whether a piece begins
         with it."""
         hashes = words.numbers() ^ self.seed
         if not len(hashes):
             return
-        allowed = np.ones(len(hashes), dtype=bool) if self.words is None else perhaps(self.words, hashes)
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        used = allowed[at]
-        data = words.data.tobytes()
-        ids = np.full(len(distinct), -1, dtype=np.int64)
-        for d in np.flatnonzero(used).tolist():
-            i = at[d]
-            name = data[words.starts[i]:words.ends[i]]
-            known = self.ids.get(name)
-            if known is None:
-                known = self.ids[name] = len(self.names)
+        wanted = range(len(distinct)) if self.words is None else np.flatnonzero(perhaps(self.words, distinct)).tolist()
+        data, ids, known = words.data.tobytes(), np.full(len(distinct), -1, dtype=np.int64), self.ids
+        starts, ends = words.starts[at].tolist(), words.ends[at].tolist()
+        for d in wanted:
+            name = data[starts[d]:ends[d]]
+            own = known.get(name)
+            if own is None:
+                own = known[name] = len(self.names)
                 self.names.append(name)
                 self.numbers.append(int(distinct[d].view(np.int64)))
-            ids[d] = known
-        ids = ids[which]
-        run, packed = allowed, ids  # of one word each
-        pair_id = None
+            ids[d] = own
+        linked = np.ones(len(hashes), dtype=bool)
+        if self.pairs is not None:
+            linked[1:] = perhaps(self.pairs, pair_numbers(hashes[:-1], hashes[1:]))
+        self.buffer.append((ids[which], apart, linked))
+        self.buffered += len(hashes)
+        if self.buffered >= self.chunk:
+            yield from self.count()
+
+    def count(self) -> Iterator[pa.RecordBatch]:
+        """Count the buffered words' phrases."""
+        if not self.buffer:
+            return
+        ids, apart, linked = (np.concatenate(x) for x in zip(*self.buffer))
+        self.buffer, self.buffered = [], 0
+        allowed = ids >= 0
+        run = allowed
+        # a pair by the place of its second word
+        pair = np.zeros(len(ids), dtype=bool)
+        pair[1:] = allowed[1:] & allowed[:-1] & ~apart[1:] & linked[1:]
+        numbers = None
         for size in range(1, max(self.sizes) + 1):
+            n = len(ids) - size + 1
+            if n <= 0:
+                break
             if size > 1:
-                n = len(hashes) - size + 1
-                if n <= 0:
-                    break
-                run = run[:n] & allowed[size - 1:] & ~apart[size - 1:]
-                if size == 2:
-                    if self.pairs is not None:
-                        run = run & perhaps(self.pairs, pair_numbers(hashes[:-1], hashes[1:]))
-                    packed = (ids[:-1] << 32) | ids[1:]
-                    if max(self.sizes) > 2:
-                        good = run
-                        _, pair_id = np.unique(np.where(run, packed, -1), return_inverse=True)
-                else:
-                    # the last pair of the phrase is frequent as well
-                    run = run & good[size - 2:]
-                    last = pair_id[size - 2:] if size == 4 else ids[size - 1:]
-                    packed = (pair_id[:n].astype(np.int64) << 32) | last
-            if size in self.sizes:
-                where = np.flatnonzero(run)
-                _, first, counts = np.unique(packed[where], return_index=True, return_counts=True)
-                first = where[first]
-                columns = [ids[first + k].tolist() for k in range(size)]
-                for phrase, count in zip(zip(*columns), counts.tolist()):
-                    self.trie.add(phrase, count)
-                if self.trie.full():
-                    yield from self.runs(self.trie.limit // 2)
+                run = run[:n] & pair[size - 1:]
+            if size not in self.sizes:
+                continue
+            where = np.flatnonzero(run)
+            if size <= 2:
+                packed = ids[where] if size == 1 else (ids[where] << 32) | ids[where + 1]
+            else:
+                if numbers is None:
+                    # pairs numbered in their order
+                    both = np.where(pair[1:], (ids[:-1] << 32) | ids[1:], -1)
+                    numbers = np.unique(both, return_inverse=True)[1].astype(np.int64)
+                packed = (numbers[where] << 32) | (ids[where + 2] if size == 3 else numbers[where + 2])
+            _, first, counts = np.unique(packed, return_index=True, return_counts=True)
+            first = where[first]
+            self.tries[size].add([ids[first + k] for k in range(size)], counts)
+            if len(self.tries[size]) >= self.limit:
+                yield from self.runs(self.limit // 4)
         if len(self.names) > WORD_TABLE:
             yield from self.runs(0)
 
-    def held(self) -> int:
-        return len(self.trie) + len(self.names)
-
-    def runs(self, keep: int) -> Iterator[tuple[list, list, list]]:
-        """Spilled subtrees as sorted runs: phrases, numbers of the words that
-        stand alone (else 0), counts."""
-        names, numbers = self.names, self.numbers
-        for subtree in self.trie.spill(keep):
-            rows = sorted((b" ".join([names[w] for w in phrase]), numbers[phrase[0]] if len(phrase) == 1 else 0, count)
-                          for phrase, count in subtree)
-            phrases, own, counts = zip(*rows)
-            yield list(phrases), list(own), list(counts)
+    def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
+        """Spilled subtrees as sorted runs: phrase, size, number of a word that
+        stands alone (else 0), n."""
+        names = pa.array(self.names, pa.binary())
+        numbers = np.array(self.numbers, dtype=np.int64)
+        for size, trie in self.tries.items():
+            for columns, counts in trie.spill(keep, RUN_ROWS):
+                phrases = names.take(pa.array(columns[0]))
+                if size > 1:
+                    phrases = pc.binary_join_element_wise(
+                        phrases, *[names.take(pa.array(c)) for c in columns[1:]], pa.scalar(b" "))
+                own = numbers[columns[0]] if size == 1 else np.zeros(len(counts), dtype=np.int64)
+                order = pc.sort_indices(phrases)
+                yield pa.RecordBatch.from_arrays(
+                    [phrases.take(order).cast(pa.string()), pa.array(np.full(len(counts), size, dtype=np.int32)),
+                     pa.array(own).take(order), pa.array(counts).take(order)], ["phrase", "size", "number", "n"])
         if not keep:
             self.names, self.ids, self.numbers = [], {}, []
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from self.count()
+        yield from self.runs(0)
+
 
 def _language_seed(lang: str) -> np.uint64:
     import xxhash
@@ -150,7 +179,7 @@ def _language_seed(lang: str) -> np.uint64:
 
 
 def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | None = None,
-                pairs: np.ndarray | None = None, limit: int | None = None) -> DataFrame:
+                pairs: np.ndarray | None = None, **bounds: int) -> DataFrame:
     """Sorted runs of all tasks: lang, phrase, size, number, n.
 
     ``texts`` has lang and _text as binary."""
@@ -161,13 +190,10 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
         word_bits, pair_bits = held.value
         counters: dict[str, PhraseCounter] = {}
 
-        def out(lang, run):
-            phrases, numbers, counts = run
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                 pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()),
-                 pa.array(numbers, pa.int64()), pa.array(counts, pa.int64())],
-                ["lang", "phrase", "size", "number", "n"])
+        def out(lang, runs):
+            for run in runs:
+                yield run.add_column(0, "lang", pa.array([lang], pa.string()).take(
+                    pa.array(np.zeros(run.num_rows, dtype=np.int32))))
 
         for batch in batches:
             langs = batch.column("lang")
@@ -175,26 +201,23 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
                 own = batch.column("_text").filter(pc.equal(langs, lang))
                 counter = counters.get(lang)
                 if counter is None:
-                    counter = counters[lang] = PhraseCounter(sizes, word_bits, pair_bits, _language_seed(lang), limit)
+                    counter = counters[lang] = PhraseCounter(sizes, word_bits, pair_bits, _language_seed(lang), **bounds)
                 for first, _, data, offsets in slices(own, _PIECES):
                     data = _FOLD[data]
                     found = words_in(data, offsets, first, _BREAKS)
                     # a word begins a piece if its text or a piece break stands between it and the word before
-                    ends = np.cumsum(_PIECES[data])
+                    ends = np.cumsum(_PIECES[data], dtype=np.int32)
                     apart = np.ones(len(found.starts), dtype=bool)
                     if len(found.starts):
                         level = ends[found.starts]
                         apart[1:] = (level[1:] != level[:-1]) | (found.text[1:] != found.text[:-1])
-                    for run in counter.add(found, apart):
-                        yield from out(lang, run)
+                    yield from out(lang, counter.add(found, apart))
                 # the limit holds for all languages of a task together
                 while sum(c.held() for c in counters.values()) > TASK_ENTRIES:
                     largest = max(counters, key=lambda name: counters[name].held())
-                    for run in counters[largest].runs(0):
-                        yield from out(largest, run)
+                    yield from out(largest, counters[largest].rest())
         for lang, counter in counters.items():
-            for run in counter.runs(0):
-                yield from out(lang, run)
+            yield from out(lang, counter.rest())
 
     return texts.select("lang", "_text").mapInArrow(
         rows, "lang string, phrase string, size int, number long, n long")
@@ -208,14 +231,14 @@ def merged_runs(runs: DataFrame) -> DataFrame:
             .groupBy("prefix", "lang", "phrase", "size", "number").agg(F.sum("n").alias("n")).drop("prefix"))
 
 
-def phrase_counts(texts: DataFrame, *, least: int = LEAST, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(texts: DataFrame, *, least: int = LEAST, **bounds: int) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of up to four words (lang, phrase, size, n), and all
     words of each language (lang, n_all)."""
-    words = saved(merged_runs(phrase_runs(texts, (1,), limit=limit)))
+    words = saved(merged_runs(phrase_runs(texts, (1,), **bounds)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_all"))
     frequent = words.filter(F.col("n") >= least)
     word_bits = bitmap(frequent, "number")
-    pairs = saved(merged_runs(phrase_runs(texts, (2,), word_bits, limit=limit)).filter(F.col("n") >= least))
+    pairs = saved(merged_runs(phrase_runs(texts, (2,), word_bits, **bounds)).filter(F.col("n") >= least))
     # the numbers of both words, as the counting tasks see them
     part = F.split("phrase", " ")
     one = frequent.select("lang", F.col("phrase").alias("_w"), F.col("number").alias("_number"),
@@ -223,7 +246,7 @@ def phrase_counts(texts: DataFrame, *, least: int = LEAST, limit: int | None = N
     ends = pairs.select("lang", part[0].alias("_w"), part[1].alias("_v"))
     ends = _looked_up(ends, one, "_w").select("lang", F.col("_v").alias("_w"), F.col("_number").alias("_first"))
     ends = _looked_up(ends, one, "_w").select("_first", F.col("_number").alias("_second"))
-    longer = saved(merged_runs(phrase_runs(texts, (3, 4), word_bits, bitmap(_pair_numbers(ends), "number"), limit=limit))
+    longer = saved(merged_runs(phrase_runs(texts, (3, 4), word_bits, bitmap(_pair_numbers(ends), "number"), **bounds))
                    .filter(F.col("n") >= least))
     counts = frequent.unionByName(pairs).unionByName(longer).select("lang", "phrase", "size", "n")
     return counts, totals
@@ -281,11 +304,14 @@ def inner_phrases(counts: DataFrame) -> DataFrame:
 
 
 def mine_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST,
-                 top: int = TOP, absorbed: int = ABSORBED, limit: int | None = None) -> DataFrame:
-    """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
+                 top: int = TOP, absorbed: int = ABSORBED, **bounds: int) -> DataFrame:
+    """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
+
+    ``bounds`` are the sizes of tries and chunks (see PhraseCounter); results
+    do not depend on them."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         whole_text(text_col).cast("binary").alias("_text"))
-    counts, totals = phrase_counts(texts, least=least, limit=limit)
+    counts, totals = phrase_counts(texts, least=least, **bounds)
     counts = saved(counts)
     around = inner_phrases(counts)
     scored = best_cuts(counts).join(around, ["lang", "phrase"], "left").filter(
