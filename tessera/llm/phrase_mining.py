@@ -223,18 +223,19 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
         rows, "lang string, phrase string, size int, number long, n long")
 
 
-def merged_runs(runs: DataFrame) -> DataFrame:
-    """Merge runs per prefix partition: lang, phrase, size, number, n."""
+def merged_runs(runs: DataFrame, *more: str) -> DataFrame:
+    """Merge runs per prefix partition: lang, phrase, n and columns that follow
+    from the phrase."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(PREFIXES * parts))
-    return (runs.withColumn("prefix", prefix).repartition(parts, "prefix")
-            .groupBy("prefix", "lang", "phrase", "size", "number").agg(F.sum("n").alias("n")).drop("prefix"))
+    return (runs.select(prefix.alias("prefix"), "lang", "phrase", *more, "n").repartition(parts, "prefix")
+            .groupBy("prefix", "lang", "phrase", *more).agg(F.sum("n").alias("n")).drop("prefix"))
 
 
 def phrase_counts(texts: DataFrame, *, least: int = LEAST, **bounds: int) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of up to four words (lang, phrase, size, n), and all
     words of each language (lang, n_all)."""
-    words = saved(merged_runs(phrase_runs(texts, (1,), **bounds)))
+    words = saved(merged_runs(phrase_runs(texts, (1,), **bounds), "number"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_all"))
     frequent = words.filter(F.col("n") >= least)
     word_bits = bitmap(frequent, "number")
@@ -248,7 +249,10 @@ def phrase_counts(texts: DataFrame, *, least: int = LEAST, **bounds: int) -> tup
     ends = _looked_up(ends, one, "_w").select("_first", F.col("_number").alias("_second"))
     longer = saved(merged_runs(phrase_runs(texts, (3, 4), word_bits, bitmap(_pair_numbers(ends), "number"), **bounds))
                    .filter(F.col("n") >= least))
-    counts = frequent.unionByName(pairs).unionByName(longer).select("lang", "phrase", "size", "n")
+    counts = None
+    for found, size in ((frequent, F.lit(1)), (pairs, F.lit(2)), (longer, F.size(F.split("phrase", " ")))):
+        own = found.select("lang", "phrase", size.alias("size"), "n")
+        counts = own if counts is None else counts.unionByName(own)
     return counts, totals
 
 

@@ -166,13 +166,12 @@ def repeated_spans(texts: DataFrame, *, window: int = WINDOW, k: int = ANCHOR_WO
     whole = join_by_key(seeds.select("_key", "first", "last", *same), counts.filter("n > 1"), same, "n").select(
         "_key", "first", "last").distinct()
 
-    # one seed for each context of the anchors that have several
-    mixed_seeds = seeds.filter(F.size("windows") > 0)
-    lone = mixed_seeds.join(counts.filter("n = 1").select(*same), same, "left_semi").select(
-        "_key", "anchor", "first", F.posexplode("windows").alias("step", "hash"))
-    met = (mixed_seeds.join(counts.filter("n > 1").select(*same), same, "left_semi")
-           .select(*same, F.explode("windows").alias("hash")).distinct().select("anchor", "hash"))
-    lone = saved(lone.select("_key", (F.col("first") + F.col("step")).alias("first"), "anchor", "hash"))
+    # one seed for each context of the anchors that have several; what many rows have is one row here
+    contexts = saved(seeds.filter(F.size("windows") > 0).groupBy(*same).agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("_key", "first", "windows")).alias("seed")))
+    lone = saved(contexts.filter("n = 1").select("seed._key", "seed.first", "anchor", F.posexplode("seed.windows").alias(
+        "step", "hash")).select("_key", (F.col("first") + F.col("step")).alias("first"), "anchor", "hash"))
+    met = contexts.filter("n > 1").select("anchor", F.explode("seed.windows").alias("hash"))
     held = saved(lone.select("anchor", "hash").unionByName(met).groupBy("anchor", "hash")
                  .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     part = join_by_key(lone, held, ["anchor", "hash"], "n").select("_key", "first", F.col("first").alias("last"))
