@@ -6,10 +6,11 @@ Phrases of one to four words are counted exactly, per language:
   (``phrase_trie``).  Whole subtrees are spilled as sorted runs; a run belongs
   to the prefix partition of its phrases (their first two words), in which runs
   of all tasks are merged by adding up equal phrases.
-* Three passes: words; pairs of words that are both frequent; phrases of three
-  and four words whose pairs are all frequent.  "Frequent" is asked of a bitmap
-  of fixed size, so what it lets through in vain costs time and never a result.
-  No phrase with ``least`` occurrences is lost, as all its parts have as many.
+* Three passes: words; buckets of pairs of words that are both frequent; phrases
+  of two to four words whose pairs are all in frequent buckets.  "Frequent" is
+  asked of a bitmap of fixed size, so what it lets through in vain costs time
+  and never a result.  No phrase with ``least`` occurrences is lost, as all its
+  parts have as many.
 
 Scores compare a phrase with its two parts at every cut, all in exact decimal
 arithmetic.  Parts are looked up by joins on the phrase; parts that many
@@ -52,6 +53,8 @@ WORD_TABLE = 600_000
 #: Words and phrases that a task holds over all its languages.
 TASK_ENTRIES = 2_000_000
 PREFIXES = 1 << 12
+#: Pairs are counted in this many buckets (less one, a mask) before they are counted themselves.
+BUCKETS = np.uint64((1 << 36) - 1)
 _SALTS = 64
 
 # fixed values: piece breaks, word breaks within a piece
@@ -78,7 +81,6 @@ class PhraseCounter:
         self.tries = {size: PhraseTrie(size, limit=limit) for size in sizes}
         self.names: list[bytes] = []
         self.ids: dict[bytes, int] = {}
-        self.numbers: list[int] = []
         self.buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.buffered = 0
 
@@ -101,7 +103,6 @@ class PhraseCounter:
             if own is None:
                 own = known[name] = len(self.names)
                 self.names.append(name)
-                self.numbers.append(int(distinct[d].view(np.int64)))
             ids[d] = own
         linked = np.ones(len(hashes), dtype=bool)
         if self.pairs is not None:
@@ -149,23 +150,19 @@ class PhraseCounter:
             yield from self.runs(0)
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Spilled subtrees as sorted runs: phrase, size, number of a word that
-        stands alone (else 0), n."""
+        """Spilled subtrees as sorted runs: phrase, n."""
         names = pa.array(self.names, pa.binary())
-        numbers = np.array(self.numbers, dtype=np.int64)
         for size, trie in self.tries.items():
             for columns, counts in trie.spill(keep, RUN_ROWS):
                 phrases = names.take(pa.array(columns[0]))
                 if size > 1:
                     phrases = pc.binary_join_element_wise(
                         phrases, *[names.take(pa.array(c)) for c in columns[1:]], pa.scalar(b" "))
-                own = numbers[columns[0]] if size == 1 else np.zeros(len(counts), dtype=np.int64)
                 order = pc.sort_indices(phrases)
                 yield pa.RecordBatch.from_arrays(
-                    [phrases.take(order).cast(pa.string()), pa.array(np.full(len(counts), size, dtype=np.int32)),
-                     pa.array(own).take(order), pa.array(counts).take(order)], ["phrase", "size", "number", "n"])
+                    [phrases.take(order).cast(pa.string()), pa.array(counts).take(order)], ["phrase", "n"])
         if not keep:
-            self.names, self.ids, self.numbers = [], {}, []
+            self.names, self.ids = [], {}
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self.count()
@@ -180,7 +177,7 @@ def _language_seed(lang: str) -> np.uint64:
 
 def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | None = None,
                 pairs: np.ndarray | None = None, **bounds: int) -> DataFrame:
-    """Sorted runs of all tasks: lang, phrase, size, number, n.
+    """Sorted runs of all tasks: lang, phrase, n.
 
     ``texts`` has lang and _text as binary."""
     # bitmaps of fixed size
@@ -196,21 +193,11 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
                     pa.array(np.zeros(run.num_rows, dtype=np.int32))))
 
         for batch in batches:
-            langs = batch.column("lang")
-            for lang in langs.unique().to_pylist():
-                own = batch.column("_text").filter(pc.equal(langs, lang))
+            for lang in batch.column("lang").unique().to_pylist():
                 counter = counters.get(lang)
                 if counter is None:
                     counter = counters[lang] = PhraseCounter(sizes, word_bits, pair_bits, _language_seed(lang), **bounds)
-                for first, _, data, offsets in slices(own, _PIECES):
-                    data = _FOLD[data]
-                    found = words_in(data, offsets, first, _BREAKS)
-                    # a word begins a piece if its text or a piece break stands between it and the word before
-                    ends = np.cumsum(_PIECES[data], dtype=np.int32)
-                    apart = np.ones(len(found.starts), dtype=bool)
-                    if len(found.starts):
-                        level = ends[found.starts]
-                        apart[1:] = (level[1:] != level[:-1]) | (found.text[1:] != found.text[:-1])
+                for found, apart in _pieces(batch, lang):
                     yield from out(lang, counter.add(found, apart))
                 # the limit holds for all languages of a task together
                 while sum(c.held() for c in counters.values()) > TASK_ENTRIES:
@@ -220,59 +207,97 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
             yield from out(lang, counter.rest())
 
     return texts.select("lang", "_text").mapInArrow(
-        rows, "lang string, phrase string, size int, number long, n long")
+        rows, "lang string, phrase string, n long")
 
 
-def merged_runs(runs: DataFrame, *more: str) -> DataFrame:
-    """Merge runs per prefix partition: lang, phrase, n and columns that follow
-    from the phrase."""
+def _pieces(batch: pa.RecordBatch, lang: str) -> Iterator[tuple[Words, np.ndarray]]:
+    """Folded slices of the texts of a language, and which words begin a piece:
+    those with the start of a text or a piece break before them."""
+    own = batch.column("_text").filter(pc.equal(batch.column("lang"), lang))
+    for first, _, data, offsets in slices(own, _PIECES):
+        data = _FOLD[data]
+        found = words_in(data, offsets, first, _BREAKS)
+        passed = np.cumsum(_PIECES[data], dtype=np.int32)
+        apart = np.ones(len(found.starts), dtype=bool)
+        if len(found.starts):
+            level = passed[found.starts]
+            apart[1:] = (level[1:] != level[:-1]) | (found.text[1:] != found.text[:-1])
+        yield found, apart
+
+
+def pair_buckets(texts: DataFrame, words: np.ndarray, chunk: int = CHUNK) -> DataFrame:
+    """(bucket, n): occurrences of pairs of words that pass the bitmap, by a
+    bucket of the pair's number."""
+    held = texts.sparkSession.sparkContext.broadcast(words)  # of fixed size
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bits, waiting, n = held.value, [], 0
+
+        def counted():
+            buckets, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(buckets.view(np.int64)), pa.array(counts)], ["bucket", "n"])
+
+        for batch in batches:
+            for lang in batch.column("lang").unique().to_pylist():
+                seed = _language_seed(lang)
+                for found, apart in _pieces(batch, lang):
+                    hashes = found.numbers() ^ seed
+                    good = perhaps(word_bits, hashes)
+                    pair = np.flatnonzero(good[1:] & good[:-1] & ~apart[1:])
+                    waiting.append(pair_numbers(hashes[pair], hashes[pair + 1]) & BUCKETS)
+                    n += len(pair)
+                    if n >= 4 * chunk:
+                        yield counted()
+                        waiting, n = [], 0
+        if n:
+            yield counted()
+
+    return texts.select("lang", "_text").mapInArrow(rows, "bucket long, n long")
+
+
+def word_numbers(words: DataFrame) -> DataFrame:
+    """(number): the numbers of words (lang, phrase) as the counting tasks see them."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang in batch.column("lang").unique().to_pylist():
+                for found, _ in _pieces(batch, lang):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((found.numbers() ^ _language_seed(lang)).view(np.int64))], ["number"])
+
+    return words.select("lang", F.col("phrase").cast("binary").alias("_text")).mapInArrow(rows, "number long")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Merge runs per prefix partition: lang, phrase, n."""
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prefix = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 2)), F.lit(PREFIXES * parts))
-    return (runs.select(prefix.alias("prefix"), "lang", "phrase", *more, "n").repartition(parts, "prefix")
-            .groupBy("prefix", "lang", "phrase", *more).agg(F.sum("n").alias("n")).drop("prefix"))
+    return (runs.select(prefix.alias("prefix"), "lang", "phrase", "n").repartition(parts, "prefix")
+            .groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix"))
 
 
 def phrase_counts(texts: DataFrame, *, least: int = LEAST, **bounds: int) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of up to four words (lang, phrase, size, n), and all
     words of each language (lang, n_all)."""
-    words = saved(merged_runs(phrase_runs(texts, (1,), **bounds), "number"))
+    words = saved(merged_runs(phrase_runs(texts, (1,), **bounds)))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_all"))
     frequent = words.filter(F.col("n") >= least)
-    word_bits = bitmap(frequent, "number")
-    pairs = saved(merged_runs(phrase_runs(texts, (2,), word_bits, **bounds)).filter(F.col("n") >= least))
-    # the numbers of both words, as the counting tasks see them
-    part = F.split("phrase", " ")
-    one = frequent.select("lang", F.col("phrase").alias("_w"), F.col("number").alias("_number"),
-                          F.lit(1).cast("long").alias("_uses"))
-    ends = pairs.select("lang", part[0].alias("_w"), part[1].alias("_v"))
-    ends = _looked_up(ends, one, "_w").select("lang", F.col("_v").alias("_w"), F.col("_number").alias("_first"))
-    ends = _looked_up(ends, one, "_w").select("_first", F.col("_number").alias("_second"))
-    longer = saved(merged_runs(phrase_runs(texts, (3, 4), word_bits, bitmap(_pair_numbers(ends), "number"), **bounds))
+    word_bits = bitmap(word_numbers(frequent), "number")
+    pairs = pair_buckets(texts, word_bits).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    pair_bits = bitmap(pairs, "bucket")
+    longer = saved(merged_runs(phrase_runs(texts, (2, 3, 4), word_bits, pair_bits, **bounds))
                    .filter(F.col("n") >= least))
-    counts = None
-    for found, size in ((frequent, F.lit(1)), (pairs, F.lit(2)), (longer, F.size(F.split("phrase", " ")))):
-        own = found.select("lang", "phrase", size.alias("size"), "n")
-        counts = own if counts is None else counts.unionByName(own)
-    return counts, totals
+    counts = frequent.unionByName(longer)
+    return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n"), totals
 
 
 def _looked_up(asks: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Join by (lang, column); what many rows ask for is joined apart."""
     keys = ["lang", column]
     uses = asks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
-    known = saved(table.drop("_uses").join(uses, keys))
+    known = saved(table.join(uses, keys))
     return join_by_key(asks, known, keys, "_asked").drop("_asked")
 
 
-def _pair_numbers(ends: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("_first", "_second"))
-            yield pa.RecordBatch.from_arrays([pa.array(pair_numbers(first, second).view(np.int64))], ["number"])
-
-    return ends.mapInArrow(rows, "number long")
-
-
 def _exact(value: Column) -> Column:
     return value.cast("decimal(38,0)")
 
