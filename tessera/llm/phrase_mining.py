@@ -46,12 +46,12 @@ TOP = 2000
 ABSORBED = 80
 SCALE = 2_000_000
 #: Words that are counted at a time, and rows of a run.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 RUN_ROWS = 1 << 16
 #: Distinct words that a task remembers before it spills all.
-WORD_TABLE = 600_000
+WORD_TABLE = 250_000
 #: Words and phrases that a task holds over all its languages.
-TASK_ENTRIES = 2_000_000
+TASK_ENTRIES = 700_000
 PREFIXES = 1 << 12
 #: Pairs are counted in this many buckets (less one, a mask) before they are counted themselves.
 BUCKETS = np.uint64((1 << 36) - 1)

@@ -17,7 +17,7 @@ import numpy as np
 #: Entries of a container, levels of the trie above the containers, and entries of a trie.
 BURST = 16_384
 DEPTH = 2
-LIMIT = 1_000_000
+LIMIT = 250_000
 
 
 class _Node:
