@@ -70,15 +70,15 @@ def auc(df: DataFrame, score_col: str, pos_col: str,
                       .alias("auc"))
 
 
-def _per_class(pred: DataFrame, y: str, p: str) -> DataFrame:
+def _per_class(pred: DataFrame, y: str, p: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """(class, support, pred_n, tp) from one partial aggregate of (y, pred)."""
-    cm = pred.groupBy(F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cm.select(F.explode(F.array(
+    cm = pred.groupBy(*group_cols, F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    rows = cm.select(*group_cols, F.explode(F.array(
         F.struct(F.col("_y").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("pred_n"),
                  F.when(F.col("_y") == F.col("_p"), F.col("n")).otherwise(0).cast("long").alias("tp")),
         F.struct(F.col("_p").alias("c"), F.lit(0).cast("long").alias("support"),
                  F.col("n").alias("pred_n"), F.lit(0).cast("long").alias("tp")))).alias("r"))
-    return rows.groupBy("r.c").agg(F.sum("r.support").alias("support"),
+    return rows.groupBy(*group_cols, "r.c").agg(F.sum("r.support").alias("support"),
                                    F.sum("r.pred_n").alias("pred_n"), F.sum("r.tp").alias("tp"))
 
 
@@ -86,14 +86,15 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def single_label_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
-    """A2-A5, A12 for single-label classification, long form (metric, value)."""
-    cls = _per_class(pred, y, p)
+def single_label_metrics(pred: DataFrame, y: str = "y", p: str = "pred",
+                         group_cols: Sequence[str] = ()) -> DataFrame:
+    """A2-A5, A12 for single-label classification, long form (groups, metric, value)."""
+    cls = _per_class(pred, y, p, group_cols)
     prec = _ratio(F.col("tp"), F.col("pred_n"))
     rec = _ratio(F.col("tp"), F.col("support"))
     f1 = _ratio(2 * F.col("tp"), F.col("support") + F.col("pred_n"))
     total = F.sum("support")
-    wide = cls.agg(
+    wide = cls.groupBy(*group_cols).agg(
         (F.sum("tp") / total).alias("accuracy"),
         (F.sum(F.col("support") * prec) / total).alias("precision"),
         (F.sum(F.col("support") * rec) / total).alias("recall"),
@@ -108,21 +109,22 @@ def single_label_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> Data
     ).withColumn("primary_score", F.col("f1_macro"))
     return _stack(wide, ["accuracy", "precision", "recall", "f1", "f1_macro", "f1_micro",
                          "majority_accuracy", "random_accuracy", "n_samples", "n_classes",
-                         "primary_score"])
+                         "primary_score"], group_cols)
 
 
-def multilabel_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
+def multilabel_metrics(pred: DataFrame, y: str = "y", p: str = "pred",
+                       group_cols: Sequence[str] = ()) -> DataFrame:
     """A2, A3, A6, A12 for multi-label rows (0/1 arrays of equal width)."""
     items = F.transform(F.arrays_zip(F.col(y).alias("a"), F.col(p).alias("b")),
                         lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
-    per = pred.select(F.posexplode(items).alias("j", "s"), (F.col(y) == F.col(p)).alias("exact"))
-    lab = per.groupBy("j").agg(
+    per = pred.select(*group_cols, F.posexplode(items).alias("j", "s"), (F.col(y) == F.col(p)).alias("exact"))
+    lab = per.groupBy(*group_cols, "j").agg(
         F.sum(F.when((F.col("s.a") == 1) & (F.col("s.b") == 1), 1).otherwise(0)).alias("tp"),
         F.sum(F.when((F.col("s.a") == 0) & (F.col("s.b") == 1), 1).otherwise(0)).alias("fp"),
         F.sum(F.when((F.col("s.a") == 1) & (F.col("s.b") == 0), 1).otherwise(0)).alias("fn"),
         F.sum(F.col("exact").cast("int")).alias("exact"), F.count(F.lit(1)).alias("n"))
     f1 = _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    wide = lab.agg(
+    wide = lab.groupBy(*group_cols).agg(
         F.avg(f1).alias("f1_macro"),
         _ratio(2 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("f1_micro"),
         F.avg(_ratio(F.col("tp"), F.col("tp") + F.col("fp"))).alias("precision_macro"),
@@ -134,17 +136,19 @@ def multilabel_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFr
     ).withColumn("primary_score", F.col("f1_macro"))
     return _stack(wide, ["f1_macro", "f1_micro", "precision_macro", "recall_macro", "accuracy",
                          "random_f1_macro", "majority_f1_macro", "n_samples", "n_labels",
-                         "primary_score"])
+                         "primary_score"], group_cols)
 
 
-def regression_metrics(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
+def regression_metrics(pred: DataFrame, y: str = "y", p: str = "pred",
+                       group_cols: Sequence[str] = ()) -> DataFrame:
     """A2, A11, A12 for regression."""
     mse = F.avg(F.pow(F.col(y) - F.col(p), 2))
-    wide = pred.agg(mse.alias("mse"), (-mse).alias("neg_mse"),
+    wide = pred.groupBy(*group_cols).agg(mse.alias("mse"), (-mse).alias("neg_mse"),
                     F.lit(0.0).alias("mean_baseline_neg_mse"),
                     F.count(F.lit(1)).alias("n_samples")).withColumn("primary_score",
                                                                      F.col("neg_mse"))
-    return _stack(wide, ["mse", "neg_mse", "mean_baseline_neg_mse", "n_samples", "primary_score"])
+    return _stack(wide, ["mse", "neg_mse", "mean_baseline_neg_mse", "n_samples", "primary_score"],
+                  group_cols)
 
 
 def class_distribution(pred: DataFrame, y: str = "y") -> DataFrame:
@@ -164,15 +168,15 @@ def confusion(pred: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def auc_one_vs_rest(pred: DataFrame, y: str, proba: str) -> DataFrame:
+def auc_one_vs_rest(pred: DataFrame, y: str, proba: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """A9 (multi-class, y = class id) and A10 (multi-label, y = 0/1 array):
     AUC per column, NULL for a column with one class; macro over the rest."""
     multi = dict(pred.dtypes)[y].startswith("array")
     if multi:
-        long = pred.select(F.posexplode(F.arrays_zip(F.col(y).alias("a"), F.col(proba).alias("s")))
-                           .alias("k", "z")).select("k", F.col("z.a").alias("pos"),
+        long = pred.select(*group_cols, F.posexplode(F.arrays_zip(F.col(y).alias("a"), F.col(proba).alias("s")))
+                           .alias("k", "z")).select(*group_cols, "k", F.col("z.a").alias("pos"),
                                                     F.col("z.s").alias("score"))
     else:
-        long = pred.select(F.posexplode(proba).alias("k", "score"), y).select(
-            "k", "score", (F.col(y) == F.col("k")).cast("int").alias("pos"))
-    return auc(long, "score", "pos", ["k"])
+        long = pred.select(*group_cols, F.posexplode(proba).alias("k", "score"), y).select(
+            *group_cols, "k", "score", (F.col(y) == F.col("k")).cast("int").alias("pos"))
+    return auc(long, "score", "pos", [*group_cols, "k"])

@@ -15,7 +15,7 @@ from tessera.operators import decompose as DC
 from tessera.operators import leakage, prepare, probes, reports, splits, surface
 from tessera.operators import vectors as VO
 from tessera.plans.registry import query
-from tessera.sources import tables
+from tessera.sources import files, tables
 
 
 def _vectors(spark, sf_dir):
@@ -24,12 +24,7 @@ def _vectors(spark, sf_dir):
 
 def _split_vectors(spark, sf_dir, seed: int = 42):
     """Vectors with a label-stratified row split of their ids."""
-    v = _vectors(spark, sf_dir)
-    ids = v.select("id", "label").distinct().select(
-        "id", "label", F.col("id").cast("string").alias("record_id"),
-        F.lit("label").alias("task_name"), F.lit("single_label").alias("label_type"))
-    part = splits.row_split(ids, seed=seed).select("id", "partition")
-    return v.join(part, "id")
+    return probes.with_split(_vectors(spark, sf_dir), seed)
 
 
 def _r(df, col="value"):
@@ -82,9 +77,10 @@ def surface_baseline(spark, sf_dir):
     recs = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
     split = splits.group_split(leakage.connected_components(recs))
     feats = surface.feature_vectors(split.select("record_id", "text", "label", "partition"))
-    # both estimators read one cached feature table (built once)
+    # both estimators read one feature table (built once)
     vecs = feats.select(F.col("record_id").alias("id"), F.lit(0).alias("layer"),
-                        F.col("features").alias("vec"), "label", "partition").cache()
+                        F.col("features").alias("vec"), "label", "partition")
+    vecs = files.materialize(vecs, "surface")
     out = []
     for est in ("logistic", "svm"):
         s, _ = probes.probe_layers(vecs, estimator=est, strict_test_coverage=False)
@@ -135,24 +131,27 @@ def interventions(spark, sf_dir):
     split; drift on test rows; selectivity."""
     sv = _split_vectors(spark, sf_dir)
     last = sv.agg(F.max("layer")).first()[0]
-    lv = sv.filter(F.col("layer") == last).cache()
+    lv = files.materialize(sv.filter(F.col("layer") == last), "interventions")
     dirs = DC.build_directions(lv, methods=("probe_directions", "mean_difference", "pca",
                                             "class_separation"))
-    before = probes.layer_primary_scores(probes.probe_layers(lv, strict_test_coverage=False)[0])
-    rows = []
     variants = {m: VO.project_out(lv, dirs.filter(F.col("method") == m), n_drop=1)
                 for m in ("pca", "probe_directions", "mean_difference", "class_separation")}
     variants["null_space"] = DC.null_space_remove(
         lv, dirs.filter(F.col("method") == "probe_directions"))
+    # before and after of all methods are one set of problems
+    every = reduce(lambda a, b: a.unionByName(b), [
+        v.select("id", "layer", "vec", "label", "partition", F.lit(m).alias("method"))
+        for m, v in {"": lv, **variants}.items()])
+    scored = probes.layer_primary_scores(
+        probes.probe_groups(every, ("method", "layer"), strict_test_coverage=False)[0], ("method", "layer"))
+    scored = scored.withColumnRenamed("primary_score", "score").drop("estimator")
+    before = scored.filter(F.col("method") == "").drop("method")
+    rows = []
     for method, after_v in variants.items():
-        after = probes.layer_primary_scores(
-            probes.probe_layers(after_v, strict_test_coverage=False)[0])
         drift = VO.cosine_drift(lv.filter(F.col("partition") == "test"),
                                 after_v.filter(F.col("partition") == "test"))
         rep = reports.intervention_report(
-            before.withColumnRenamed("primary_score", "score").drop("estimator"),
-            after.withColumnRenamed("primary_score", "score").drop("estimator"),
-            drift, ["layer"])
+            before, scored.filter(F.col("method") == method).drop("method"), drift, ["layer"])
         rows.append(rep.withColumn("method", F.lit(method)))
     out = reduce(lambda a, b: a.unionByName(b), rows)
     cols = ["before", "after", "target_score_drop", "relative_target_drop", "cosine_drift_mean",
@@ -168,17 +167,11 @@ def robustness_probe(spark, sf_dir):
     subsamples (each with its own seeded split); summary per layer."""
     v = _vectors(spark, sf_dir)
     sub = reports.bootstrap_subsample(v)
-    per_seed = []
-    for seed in reports.BOOTSTRAP_SEEDS:
-        s = sub.filter(F.col("seed") == seed).drop("seed")
-        ids = s.select("id", "label").distinct().select(
-            "id", "label", F.col("id").cast("string").alias("record_id"),
-            F.lit("label").alias("task_name"), F.lit("single_label").alias("label_type"))
-        part = splits.row_split(ids, seed=seed).select("id", "partition")
-        sc, _ = probes.probe_layers(s.join(part, "id"), strict_test_coverage=False)
-        per_seed.append(probes.layer_primary_scores(sc).withColumn("seed", F.lit(seed)))
+    every = reduce(lambda a, b: a.unionByName(b), [
+        probes.with_split(sub.filter(F.col("seed") == seed), seed) for seed in reports.BOOTSTRAP_SEEDS])
+    scores, _ = probes.probe_groups(every, ("seed", "layer"), strict_test_coverage=False)
     summary = reports.robustness_summary(
-        reduce(lambda a, b: a.unionByName(b), per_seed), score_col="primary_score")
+        probes.layer_primary_scores(scores, ("seed", "layer")), score_col="primary_score")
     for c in ("mean", "std", "min", "max", "ci95_low", "ci95_high"):
         summary = _r(summary, c)
     return summary
