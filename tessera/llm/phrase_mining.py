@@ -6,11 +6,12 @@ Phrases of one to four words are counted exactly, per language:
   (``phrase_trie``).  Whole subtrees are spilled as sorted runs; a run belongs
   to the prefix partition of its phrases (their first two words), in which runs
   of all tasks are merged by adding up equal phrases.
-* Three passes: words; buckets of pairs of words that are both frequent; phrases
-  of two to four words whose pairs are all in frequent buckets.  "Frequent" is
-  asked of a bitmap of fixed size, so what it lets through in vain costs time
-  and never a result.  No phrase with ``least`` occurrences is lost, as all its
-  parts have as many.
+* Before phrases are counted as words, hashed phrases are counted in buckets:
+  pairs of frequent words, then phrases of three and four words whose pairs are
+  in frequent buckets.  Only phrases whose parts and whose own bucket are
+  frequent go into the tries.  "Frequent" is asked of bitmaps of fixed size, so
+  what they let through in vain costs time and never a result.  No phrase with
+  ``least`` occurrences is lost, as its parts and its bucket have as many.
 
 Scores compare a phrase with its two parts at every cut, all in exact decimal
 arithmetic.  Parts are looked up by joins on the phrase; parts that many
@@ -53,7 +54,7 @@ WORD_TABLE = 250_000
 #: Words and phrases that a task holds over all its languages.
 TASK_ENTRIES = 700_000
 PREFIXES = 1 << 12
-#: Pairs are counted in this many buckets (less one, a mask) before they are counted themselves.
+#: Phrases are counted in this many buckets (less one, a mask) before they are counted themselves.
 BUCKETS = np.uint64((1 << 36) - 1)
 _SALTS = 64
 
@@ -68,35 +69,61 @@ def pair_numbers(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first ^ ((second << np.uint64(1)) | (second >> np.uint64(63))))
 
 
+def phrase_numbers(hashes: np.ndarray) -> dict[int, np.ndarray]:
+    """Numbers of the phrases of two to four words at every place."""
+    pairs = pair_numbers(hashes[:-1], hashes[1:])
+    return {2: pairs, 3: pair_numbers(~pairs[:-1], hashes[2:]), 4: pair_numbers(pairs[:-2], ~pairs[2:])}
+
+
+def allowed_phrases(hashes: np.ndarray, apart: np.ndarray, words, pairs, longer) -> dict[int, np.ndarray]:
+    """Of each place and size, whether a phrase that may be frequent begins
+    there: it lies within a piece and passes the bitmaps given."""
+    none = np.zeros(0, dtype=bool)
+    run = np.ones(len(hashes), dtype=bool) if words is None else perhaps(words, hashes)
+    out = {1: run}
+    numbers = phrase_numbers(hashes) if pairs is not None or longer is not None else {}
+    for size in range(2, LONGEST + 1):
+        if len(hashes) < size:
+            out[size] = none
+            continue
+        run = out[size - 1][:-1] & out[size - 1][1:] & ~apart[size - 1:]
+        bits = pairs if size == 2 else longer
+        if bits is not None:
+            run = run & perhaps(bits, numbers[size])
+        out[size] = run
+    return out
+
+
 class PhraseCounter:
     """Counts phrases of the given sizes of one language and yields runs.
 
-    ``words`` and ``pairs`` are bitmaps that words and neighbours must pass.
+    ``words``, ``pairs`` and ``longer`` are bitmaps that phrases must pass.
     Words are buffered and counted ``CHUNK`` at a time; the distinct phrases of
     a chunk go into the tries."""
 
-    def __init__(self, sizes, words, pairs, seed: np.uint64, limit: int = LIMIT, chunk: int = CHUNK):
-        self.sizes, self.words, self.pairs, self.seed = sizes, words, pairs, seed
+    def __init__(self, sizes, bitmaps, seed: np.uint64, limit: int = LIMIT, chunk: int = CHUNK):
+        self.sizes, self.bitmaps, self.seed = sizes, bitmaps, seed
         self.limit, self.chunk = limit, chunk
         self.tries = {size: PhraseTrie(size, limit=limit) for size in sizes}
         self.names: list[bytes] = []
         self.ids: dict[bytes, int] = {}
-        self.buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.buffer: list[tuple[np.ndarray, ...]] = []
         self.buffered = 0
 
     def held(self) -> int:
         return sum(map(len, self.tries.values())) + len(self.names)
 
-    def add(self, words: Words, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, found: Words, apart: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Take a slice; ``apart`` says of each word whether a piece begins
         with it."""
-        hashes = words.numbers() ^ self.seed
+        hashes = found.numbers() ^ self.seed
         if not len(hashes):
             return
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        wanted = range(len(distinct)) if self.words is None else np.flatnonzero(perhaps(self.words, distinct)).tolist()
-        data, ids, known = words.data.tobytes(), np.full(len(distinct), -1, dtype=np.int64), self.ids
-        starts, ends = words.starts[at].tolist(), words.ends[at].tolist()
+        words = self.bitmaps[0]
+        wanted = range(len(distinct)) if words is None else np.flatnonzero(perhaps(words, distinct)).tolist()
+        data, ids, known = found.data.tobytes(), np.full(len(distinct), -1, dtype=np.int64), self.ids
+        starts, ends = found.starts[at].tolist(), found.ends[at].tolist()
         for d in wanted:
             name = data[starts[d]:ends[d]]
             own = known.get(name)
@@ -104,10 +131,13 @@ class PhraseCounter:
                 own = known[name] = len(self.names)
                 self.names.append(name)
             ids[d] = own
-        linked = np.ones(len(hashes), dtype=bool)
-        if self.pairs is not None:
-            linked[1:] = perhaps(self.pairs, pair_numbers(hashes[:-1], hashes[1:]))
-        self.buffer.append((ids[which], apart, linked))
+        # a slice ends with a piece, so no phrase runs on into the next one
+        begins = []
+        for size, run in allowed_phrases(hashes, apart, *self.bitmaps).items():
+            if size in self.sizes:
+                begins.append(np.zeros(len(hashes), dtype=bool))
+                begins[-1][:len(run)] = run
+        self.buffer.append((ids[which], *begins))
         self.buffered += len(hashes)
         if self.buffered >= self.chunk:
             yield from self.count()
@@ -116,30 +146,17 @@ class PhraseCounter:
         """Count the buffered words' phrases."""
         if not self.buffer:
             return
-        ids, apart, linked = (np.concatenate(x) for x in zip(*self.buffer))
+        ids, *begins = (np.concatenate(x) for x in zip(*self.buffer))
         self.buffer, self.buffered = [], 0
-        allowed = ids >= 0
-        run = allowed
-        # a pair by the place of its second word
-        pair = np.zeros(len(ids), dtype=bool)
-        pair[1:] = allowed[1:] & allowed[:-1] & ~apart[1:] & linked[1:]
         numbers = None
-        for size in range(1, max(self.sizes) + 1):
-            n = len(ids) - size + 1
-            if n <= 0:
-                break
-            if size > 1:
-                run = run[:n] & pair[size - 1:]
-            if size not in self.sizes:
-                continue
-            where = np.flatnonzero(run)
+        for size, begin in zip(sorted(self.sizes), begins):
+            where = np.flatnonzero(begin)
             if size <= 2:
                 packed = ids[where] if size == 1 else (ids[where] << 32) | ids[where + 1]
             else:
                 if numbers is None:
                     # pairs numbered in their order
-                    both = np.where(pair[1:], (ids[:-1] << 32) | ids[1:], -1)
-                    numbers = np.unique(both, return_inverse=True)[1].astype(np.int64)
+                    numbers = np.unique((ids[:-1] << 32) | (ids[1:] & 0xFFFFFFFF), return_inverse=True)[1].astype(np.int64)
                 packed = (numbers[where] << 32) | (ids[where + 2] if size == 3 else numbers[where + 2])
             _, first, counts = np.unique(packed, return_index=True, return_counts=True)
             first = where[first]
@@ -176,15 +193,14 @@ def _language_seed(lang: str) -> np.uint64:
 
 
 def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | None = None,
-                pairs: np.ndarray | None = None, **bounds: int) -> DataFrame:
+                pairs: np.ndarray | None = None, longer: np.ndarray | None = None, **bounds: int) -> DataFrame:
     """Sorted runs of all tasks: lang, phrase, n.
 
     ``texts`` has lang and _text as binary."""
     # bitmaps of fixed size
-    held = texts.sparkSession.sparkContext.broadcast((words, pairs))
+    held = texts.sparkSession.sparkContext.broadcast((words, pairs, longer))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, pair_bits = held.value
         counters: dict[str, PhraseCounter] = {}
 
         def out(lang, runs):
@@ -196,7 +212,7 @@ def phrase_runs(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | No
             for lang in batch.column("lang").unique().to_pylist():
                 counter = counters.get(lang)
                 if counter is None:
-                    counter = counters[lang] = PhraseCounter(sizes, word_bits, pair_bits, _language_seed(lang), **bounds)
+                    counter = counters[lang] = PhraseCounter(sizes, held.value, _language_seed(lang), **bounds)
                 for found, apart in _pieces(batch, lang):
                     yield from out(lang, counter.add(found, apart))
                 # the limit holds for all languages of a task together
@@ -225,13 +241,14 @@ def _pieces(batch: pa.RecordBatch, lang: str) -> Iterator[tuple[Words, np.ndarra
         yield found, apart
 
 
-def pair_buckets(texts: DataFrame, words: np.ndarray, chunk: int = CHUNK) -> DataFrame:
-    """(bucket, n): occurrences of pairs of words that pass the bitmap, by a
-    bucket of the pair's number."""
-    held = texts.sparkSession.sparkContext.broadcast(words)  # of fixed size
+def phrase_buckets(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray, pairs: np.ndarray | None = None,
+                   chunk: int = CHUNK) -> DataFrame:
+    """(bucket, n): occurrences of phrases that pass the bitmaps, by a bucket
+    of the phrase's number."""
+    held = texts.sparkSession.sparkContext.broadcast((words, pairs))  # of fixed size
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_bits, waiting, n = held.value, [], 0
+        waiting, n = [], 0
 
         def counted():
             buckets, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -242,10 +259,11 @@ def pair_buckets(texts: DataFrame, words: np.ndarray, chunk: int = CHUNK) -> Dat
                 seed = _language_seed(lang)
                 for found, apart in _pieces(batch, lang):
                     hashes = found.numbers() ^ seed
-                    good = perhaps(word_bits, hashes)
-                    pair = np.flatnonzero(good[1:] & good[:-1] & ~apart[1:])
-                    waiting.append(pair_numbers(hashes[pair], hashes[pair + 1]) & BUCKETS)
-                    n += len(pair)
+                    begins, numbers = allowed_phrases(hashes, apart, *held.value, None), phrase_numbers(hashes)
+                    for size in sizes:
+                        if len(begins[size]):
+                            waiting.append(numbers[size][begins[size]] & BUCKETS)
+                            n += len(waiting[-1])
                     if n >= 4 * chunk:
                         yield counted()
                         waiting, n = [], 0
@@ -282,9 +300,14 @@ def phrase_counts(texts: DataFrame, *, least: int = LEAST, **bounds: int) -> tup
     totals = words.groupBy("lang").agg(F.sum("n").alias("n_all"))
     frequent = words.filter(F.col("n") >= least)
     word_bits = bitmap(word_numbers(frequent), "number")
-    pairs = pair_buckets(texts, word_bits).groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    pair_bits = bitmap(pairs, "bucket")
-    longer = saved(merged_runs(phrase_runs(texts, (2, 3, 4), word_bits, pair_bits, **bounds))
+
+    def frequent_buckets(*asked) -> np.ndarray:
+        sums = phrase_buckets(texts, *asked).groupBy("bucket").agg(F.sum("n").alias("n"))
+        return bitmap(sums.filter(F.col("n") >= least), "bucket")
+
+    pair_bits = frequent_buckets((2,), word_bits)
+    longer_bits = frequent_buckets((3, 4), word_bits, pair_bits)
+    longer = saved(merged_runs(phrase_runs(texts, (2, 3, 4), word_bits, pair_bits, longer_bits, **bounds))
                    .filter(F.col("n") >= least))
     counts = frequent.unionByName(longer)
     return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n"), totals
