@@ -1,60 +1,50 @@
 """Text encoding stand-in and sentence-level pooling.
 
 No model runtime ships with the library.  ``encode_texts`` is the default
-encoder: hashed character n-gram counts (T15, computed by Spark) projected by
-one fixed random matrix per layer.  The matrices are generated from a seed
-(layers x buckets x dim doubles -- bounded by the encoder shape) and
-broadcast.  ``encode_with`` plugs in any real encoder through
+encoder: hashed character n-gram counts (T15) projected by one fixed random
+matrix per layer.  The matrices are generated from a seed (layers x buckets x
+dim doubles -- bounded by the encoder shape) and sent with the function.  ``encode_with`` plugs in any real encoder through
 ``mapInPandas`` (Arrow batches, one batch per call).
 
 ``sentence_pool`` is the V7 rule over word tokens: each sentence gets a share
 of the token positions proportional to its own token count (at least one,
 half-even rounding), segments are consecutive, a segment's vector is the mean
 of its token vectors and an empty segment falls back to the mean of all
-tokens.
+tokens.  A token's state is its hash bucket's row of the layers' matrices.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import surface
+from tessera.session import ship_package
 
 N_LAYERS = 4
 DIM = 16
 SEED = 7
 
 
-def projection_table(spark: SparkSession, *, n_layers: int = N_LAYERS, dim: int = DIM,
-                     buckets: int = surface.NGRAM_DIM, seed: int = SEED) -> DataFrame:
-    """(layer, bucket, w ARRAY<DOUBLE>(dim)): row ``bucket`` of layer's matrix."""
+def projection_matrix(*, n_layers: int = N_LAYERS, dim: int = DIM, buckets: int = surface.NGRAM_DIM,
+                      seed: int = SEED) -> np.ndarray:
+    """The matrices of all layers side by side: buckets x (layers * dim)."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for layer in range(n_layers):
-        w = rng.standard_normal((buckets, dim)) / np.sqrt(buckets)
-        rows.extend((layer, b, [float(x) for x in w[b]]) for b in range(buckets))
-    return spark.createDataFrame(rows, "layer int, bucket int, w array<double>")
-
-
-def _weighted_sum(df: DataFrame, keys, weight_col: str) -> DataFrame:
-    s = Summarizer.metrics("sum")
-    scaled = df.withColumn("_wv", F.zip_with(
-        "w", F.array_repeat(F.col(weight_col).cast("double"), F.size("w")), lambda a, b: a * b))
-    return (scaled.groupBy(*keys).agg(s.summary(array_to_vector("_wv")).alias("_s"))
-            .select(*keys, vector_to_array("_s.sum").alias("vec")))
+    return np.hstack([rng.standard_normal((buckets, dim)) / np.sqrt(buckets) for _ in range(n_layers)])
 
 
 def encode_texts(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
                  n_layers: int = N_LAYERS, dim: int = DIM) -> DataFrame:
-    """I1 default encoder: (id, layer, vec) for every text, all layers."""
-    grams = surface.char_ngram_vectors(df, id_col=id_col, text_col=text_col)
-    proj = F.broadcast(projection_table(df.sparkSession, n_layers=n_layers, dim=dim))
-    return _weighted_sum(grams.join(proj, "bucket"), [id_col, "layer"], "value")
+    """I1 default encoder: (id, layer, vec) for every text, all layers.  Map-only:
+    one matrix product per batch gives all layers; a text without characters
+    has zero vectors."""
+    flat = df.select(id_col, surface.ngram_vector(
+        text_col, weights=projection_matrix(n_layers=n_layers, dim=dim)).alias("_v"))
+    return flat.select(id_col, F.posexplode(F.array(*[
+        F.slice("_v", layer * dim + 1, dim) for layer in range(n_layers)])).alias("layer", "vec"))
 
 
 def encode_with(df: DataFrame, encoder, *, id_col: str = "record_id", text_col: str = "text",
@@ -80,65 +70,51 @@ def encode_with(df: DataFrame, encoder, *, id_col: str = "record_id", text_col:
     return df.select(*cols).mapInPandas(run, f"{id_col} string, layer int, vec array<double>")
 
 
-def token_vectors(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
+def segment_bounds(sizes, n_tokens: int):
+    """(start, end) token positions of consecutive segments (V7).
+
+    Each segment gets a share of the tokens in proportion to its size, rounded
+    half to even and at least one, until none is left.  As every share is at
+    least one, the ends are the shares' running sum, cut at ``n_tokens``."""
+    sizes = np.maximum(np.asarray(sizes, dtype=np.int64), 1)
+    shares = np.maximum(1, np.rint(sizes * n_tokens / sizes.sum()).astype(np.int64))
+    ends = np.minimum(np.cumsum(shares), n_tokens)
+    return np.concatenate([[0], ends[:-1]]), ends
+
+
+def segment_means(states: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Mean state of each segment as a difference of running sums; an empty
+    segment has the mean of all."""
+    sums = np.vstack([np.zeros((1, states.shape[1])), np.cumsum(states, axis=0)])
+    lengths = (ends - starts)[:, None]
+    return np.where(lengths > 0, (sums[ends] - sums[starts]) / np.maximum(lengths, 1), sums[-1] / len(states))
+
+
+def sentence_pool(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
                   n_layers: int = N_LAYERS, dim: int = DIM) -> DataFrame:
-    """(id, pos, layer, w) for every word token: the projection row of the
-    token's hash bucket (a stand-in for contextual token states)."""
-    toks = df.select(id_col, F.posexplode(tx.tokens(text_col)).alias("pos", "tok"))
-    toks = toks.withColumn("bucket", surface.ngram_bucket(F.col("tok")).cast("int"))
-    proj = F.broadcast(projection_table(df.sparkSession, n_layers=n_layers, dim=dim))
-    return toks.join(proj, "bucket").select(id_col, "pos", "layer", "w")
-
-
-def sentence_segments(df: DataFrame, *, id_col: str = "record_id",
-                      text_col: str = "text") -> DataFrame:
-    """(id, seg, start, end) token ranges per sentence (V7 apportioning).
-
-    The sequential rule (cursor += max(1, round_half_even(size * T / total)),
-    capped at T, at least one step while below T) equals
-    end_i = min(T, cumsum_i), start_i = min(T, cumsum_{i-1}) because every
-    step is at least 1; the cumulative sum is a window per text."""
-    # tokens per sentence, counted once; a word token never straddles a
-    # sentence break (breaks are whitespace), so the text's token count T is
-    # the sum of these counts -- no second regex pass over the whole text
+    """V7: (id, layer, seg, vec) -- one vector per sentence and layer; a text
+    without tokens has one zero vector per layer.
+
+    A segmented reduction inside the row: token buckets and sentence sizes are
+    arrays of a text, and its segments' means come from running sums over its
+    token states.  No token becomes a row and nothing is shuffled."""
+    ship_package(df.sparkSession)
+    weights = projection_matrix(n_layers=n_layers, dim=dim)
+
+    @F.pandas_udf("array<array<double>>")
+    def pooled(buckets: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for own, lengths in zip(buckets, sizes):
+            if len(own) == 0:
+                out.append([np.zeros(weights.shape[1])])
+                continue
+            out.append(list(segment_means(weights[own], *segment_bounds(lengths, len(own)))))
+        return pd.Series(out)
+
+    # a word token never straddles a sentence break (breaks are whitespace)
     sent = tx.with_sentences(df.select(id_col, text_col), text_col, "_sent")
-    counts = sent.select(id_col, F.transform("_sent", lambda s: F.size(tx.tokens(s))).alias("_cnt"))
-    base = counts.select(
-        id_col, F.transform("_cnt", lambda c: F.greatest(c, F.lit(1))).alias("sizes"),
-        F.aggregate("_cnt", F.lit(0), lambda a, x: a + x).alias("T"))
-    base = base.withColumn("total", F.aggregate("sizes", F.lit(0), lambda a, x: a + x))
-    rows = base.select(id_col, "T", "total", F.posexplode("sizes").alias("seg", "size"))
-    scaled = F.greatest(F.lit(1), F.bround(F.col("size") * F.col("T") / F.col("total"), 0)
-                        .cast("int"))
-    w = Window.partitionBy(id_col).orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
-    cum = rows.withColumn("_cum", F.sum(scaled).over(w))
-    return cum.select(id_col, "seg",
-                      F.least(F.col("T"), F.col("_cum") - scaled).cast("int").alias("start"),
-                      F.least(F.col("T"), F.col("_cum")).cast("int").alias("end"))
-
-
-def _mean_rows(vecs) -> Column:
-    ones = F.array_repeat(F.lit(1.0), F.size(vecs))
-    total = F.aggregate(F.arrays_zip(vecs.alias("t"), ones.alias("w")),
-                        F.array_repeat(F.lit(0.0), F.size(F.element_at(vecs, 1))),
-                        lambda acc, s: F.zip_with(acc, s["t"], lambda a, x: a + x * s["w"]))
-    return F.zip_with(total, F.array_repeat(F.size(vecs).cast("double"), F.size(total)),
-                      lambda a, n: a / n)
-
-
-def sentence_pool(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text") -> DataFrame:
-    """V7: (id, layer, seg, vec) -- one vector per sentence and layer.
-    A segment's token vectors are collected (bounded by the text's length)
-    and averaged with array functions."""
-    tv = token_vectors(df, id_col=id_col, text_col=text_col)
-    segs = sentence_segments(df, id_col=id_col, text_col=text_col)
-    covered = segs.filter(F.col("end") > F.col("start")).select(
-        id_col, "seg", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    seg_mean = (covered.join(tv, [id_col, "pos"])
-                .groupBy(id_col, "layer", "seg").agg(F.collect_list("w").alias("_v"))
-                .select(id_col, "layer", "seg", _mean_rows(F.col("_v")).alias("vec")))
-    overall = (tv.groupBy(id_col, "layer").agg(F.collect_list("w").alias("_v"))
-               .select(id_col, "layer", _mean_rows(F.col("_v")).alias("vec")))
-    empty = segs.filter(F.col("end") <= F.col("start")).select(id_col, "seg").join(
-        overall, id_col).select(id_col, "layer", "seg", "vec")
-    return seg_mean.unionByName(empty)
+    counted = sent.select(id_col, F.transform("_sent", lambda s: F.size(tx.tokens(s))).alias("_sizes"), F.transform(
+        tx.tokens(text_col), lambda t: surface.ngram_bucket(t).cast("int")).alias("_buckets"))
+    segments = counted.select(id_col, F.posexplode(pooled("_buckets", "_sizes")).alias("seg", "_v"))
+    return segments.select(id_col, F.posexplode(F.array(*[
+        F.slice("_v", layer * dim + 1, dim) for layer in range(n_layers)])).alias("layer", "vec"), "seg")

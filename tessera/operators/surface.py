@@ -2,12 +2,11 @@
 n-gram vector.
 
 The scalars are column expressions over whole texts (no Python).  The n-gram
-vector hashes every overlapping n-gram straight from the text's code-point
-array (a polynomial hash, exact integer arithmetic that SQL can repeat) and
-counts the buckets with a partial aggregate keyed on (record, bucket), so at
-most ``dim`` rows per text cross the shuffle.  Python's salted ``hash``
-cannot be reproduced, so any deterministic hash is as faithful; this one
-creates no per-n-gram strings and no digests.
+vector hashes every overlapping n-gram of a batch of texts from one array of
+code points (a polynomial hash, exact integer arithmetic that SQL can repeat)
+and counts the buckets of all its texts at once; nothing is shuffled.  Python's
+salted ``hash`` cannot be reproduced, so any deterministic hash is as faithful;
+this one creates no per-n-gram strings and no digests.
 """
 
 from __future__ import annotations
@@ -53,40 +52,70 @@ NGRAM_HASH_P = 1000003
 NGRAM_HASH_M = 2147483647
 
 
-def code_point_values(col: Column) -> Column:
-    """The lower-cased text as an ARRAY<BIGINT> of code points (one linear pass)."""
-    chars = F.regexp_extract_all(F.lower(col), F.lit("(?s)."), F.lit(0))
-    return F.transform(chars, lambda c: F.ascii(c).cast("bigint"))
-
-
-def _poly(n: int):
-    # a one-argument lambda (transform passes the index to two-argument ones)
-    def poly(s):
-        acc = s["c0"]
-        for k in range(1, n):
-            acc = (acc * NGRAM_HASH_P + s[f"c{k}"]) % NGRAM_HASH_M
-        return acc
-    return poly
-
-
-def ngram_hashes(cps: Column, sizes=NGRAM_SIZES) -> Column:
-    """Hashes of all overlapping n-grams of a code-point array.
-
-    Built from shifted slices of the array (``arrays_zip``), so no lambda
-    refers to an outer column and no n-gram string is ever created."""
-    n_cp = F.size(cps)
-    out = []
-    for n in sizes:
-        m = n_cp - n + 1
-        parts = [F.slice(cps, k + 1, F.greatest(m, F.lit(0))) for k in range(n)]
-        if n == 1:
-            h = parts[0]
-        else:
-            z = F.arrays_zip(*[p.alias(f"c{k}") for k, p in enumerate(parts)])
-
-            h = F.transform(z, _poly(n))
-        out.append(F.when(m > 0, h).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*out)
+def ngram_kernel(dim: int, sizes=NGRAM_SIZES, weights=None):
+    """A function of a batch of lower-cased texts: their n-gram vectors, or,
+    with ``weights`` (dim x outputs), the products with that matrix.
+
+    The code points of many texts stand in one array; hashes of all n-grams
+    come from shifted views of it and one ``bincount`` counts the buckets of
+    all texts.  A longer text is cut into blocks that overlap by the longest
+    n-gram, so memory is bounded by the block.  Everything the function needs is
+    inside it, so workers need no import of this package."""
+    p, m = NGRAM_HASH_P, NGRAM_HASH_M
+    block = 1 << 20
+
+    def vectors(texts):
+        import numpy as np
+        import pandas as pd
+
+        longest = max(sizes)
+        counts = np.zeros((len(texts), dim))
+
+        def add(rows, parts, starts):
+            """Count n-grams that begin in the first ``starts`` code points of each part."""
+            cps = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            lengths = np.array([len(x) for x in parts])
+            ends = np.repeat(np.cumsum(lengths), lengths)
+            begun = np.arange(len(cps)) - (ends - np.repeat(lengths, lengths)) < np.repeat(starts, lengths)
+            local = np.repeat(np.arange(len(parts)), lengths)
+            total = np.zeros(len(parts) * dim, dtype=np.int64)
+            h = cps
+            for n in range(1, longest + 1):
+                if n > 1:
+                    h = (h[:-1] * p + cps[n - 1:]) % m
+                if n in sizes:
+                    own = np.flatnonzero((np.arange(len(h)) + n <= ends[:len(h)]) & begun[:len(h)])
+                    total += np.bincount(local[own] * dim + h[own] % dim, minlength=len(total))
+            np.add.at(counts, rows, total.reshape(len(parts), dim))
+
+        rows, parts, held = [], [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if len(text) > block:
+                for at in range(0, len(text), block):
+                    add([i], [text[at:at + block + longest - 1]], np.array([min(block, len(text) - at)]))
+                continue
+            rows.append(i)
+            parts.append(text)
+            held += len(text)
+            if held >= block:
+                add(rows, parts, np.array([len(x) for x in parts]))
+                rows, parts, held = [], [], 0
+        if rows:
+            add(rows, parts, np.array([len(x) for x in parts]))
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        unit = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
+        return pd.Series(list(unit if weights is None else unit @ weights))
+
+    return vectors
+
+
+def ngram_vector(text, dim: int = NGRAM_DIM, sizes=NGRAM_SIZES, weights=None) -> Column:
+    """T15 as a column: the L2-normalized bucket counts of a text's n-grams
+    (all zero for an empty or null text), or their product with ``weights``."""
+    kernel = F.pandas_udf(ngram_kernel(dim, tuple(sizes), weights), "array<double>")
+    return kernel(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
 
 def ngram_bucket(gram: Column, dim: int = NGRAM_DIM) -> Column:
@@ -96,36 +125,18 @@ def ngram_bucket(gram: Column, dim: int = NGRAM_DIM) -> Column:
 
 def char_ngram_vectors(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
                        dim: int = NGRAM_DIM, sizes=NGRAM_SIZES) -> DataFrame:
-    """T15 in long form: (id, bucket, value) for non-zero buckets, L2-normalized."""
-    cps = df.select(id_col, code_point_values(F.col(text_col)).alias("_cp"))
-    hashes = cps.select(id_col, F.explode(ngram_hashes(F.col("_cp"), sizes)).alias("h"))
-    # the partial aggregate holds at most ``dim`` entries per text, so the
-    # shuffle carries a histogram per text, not every n-gram
-    buckets = (hashes.groupBy(id_col, F.pmod(F.col("h"), F.lit(dim)).alias("bucket"))
-               .agg(F.count(F.lit(1)).alias("c")))
-    from pyspark.sql import Window
-    norm = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
-    return buckets.select(id_col, F.col("bucket").cast("int").alias("bucket"),
-                          (F.col("c") / norm).alias("value"))
-
-
-def dense_ngram_vector(long: DataFrame, *, id_col: str = "record_id",
-                       dim: int = NGRAM_DIM) -> DataFrame:
-    """Long (id, bucket, value) -> (id, ngrams ARRAY<DOUBLE>(dim))."""
-    per_id = long.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("_m"))
-    return per_id.select(id_col, F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda j: F.coalesce(F.element_at(F.col("_m"), j), F.lit(0.0))).alias("ngrams"))
+    """T15 in long form: (id, bucket, value) for non-zero buckets, L2-normalized.
+    Map-only: no row leaves its partition."""
+    dense = df.select(id_col, ngram_vector(text_col, dim, sizes).alias("_v"))
+    return dense.select(id_col, F.posexplode("_v").alias("bucket", "value")).filter(F.col("value") > 0)
 
 
 def feature_vectors(df: DataFrame, *, vocabulary: list[str] | None = None,
                     id_col: str = "record_id", dim: int = NGRAM_DIM) -> DataFrame:
-    """(id, features ARRAY<DOUBLE>) = 8 scalars ++ ``dim`` n-gram values."""
+    """The input's columns and features ARRAY<DOUBLE> = 8 scalars ++ ``dim``
+    n-gram values, in one pass over the rows."""
     scal = surface_scalars(df, vocabulary=vocabulary)
-    ng = dense_ngram_vector(char_ngram_vectors(df, id_col=id_col, dim=dim), id_col=id_col, dim=dim)
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    return scal.join(ng, id_col, "left").select(
-        *[c for c in df.columns],
+    return scal.select(
+        *df.columns,
         F.concat(F.array(*[F.col(c).cast("double") for c in SCALAR_FEATURES]),
-                 F.coalesce(F.col("ngrams"), zeros)).alias("features"))
+                 ngram_vector("text", dim)).alias("features"))

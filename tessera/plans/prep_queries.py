@@ -706,14 +706,23 @@ def format_round_trip(spark, sf_dir):
     return files.union_all(out)
 
 
-@query("txt_scan")
+@query("txt_scan", oracle=f"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS line
+  FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS p FROM documents)),
+numbered AS (SELECT line, row_number() OVER (ORDER BY doc_id, k) - 1 AS idx FROM lines)
+SELECT 'line_' || CAST(idx AS VARCHAR) AS id, {S.strip_ws('line')} AS text
+FROM numbered WHERE {S.strip_ws('line')} <> ''
+""")
 def txt_scan(spark, sf_dir):
-    """Document texts written as a text file (one line per text line),
-    read back as one record per non-blank line with id = line_<index>."""
+    """Document texts, in the order of their ids, written as text files
+    (one line per text line), read back as one record per non-blank line with
+    id = line_<index> over all files."""
     from tessera.sources import files
     docs = tables.table(spark, sf_dir, "documents")
     path = files.scratch_path(spark, "lines") + ".txt"
-    docs.select("text").coalesce(1).write.mode("overwrite").text(path)
+    (docs.select("doc_id", "text").repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+     .select("text").write.mode("overwrite").text(path))
     return files.read_txt(spark, path).select("id", "text")
 
 
