@@ -217,8 +217,7 @@ drecs AS (
 
 @query("prepare_documents", oracle=f"""
 WITH {DOCS_PREPARED},
-cut AS (SELECT ord, record_id, {S.truncate('text', 10000)} AS text FROM dprep),
-keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM cut),
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
 SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5,
        '1.0' AS preprocessing_version
@@ -791,21 +790,19 @@ def raw_dump(spark, sf_dir):
 
 @query("prepare_once", oracle=f"""
 WITH {DOCS_PREPARED},
-cut AS (SELECT ord, record_id, {S.truncate('text', 10000)} AS text FROM dprep),
-keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM cut),
+keyed AS (SELECT *, md5({S.text_key('text')}) AS k FROM dprep),
 firsts AS (SELECT k, min(ord) AS ord FROM keyed GROUP BY k)
 SELECT record_id, CAST(length(text) AS INTEGER) AS text_length, md5(text) AS text_md5
 FROM keyed JOIN firsts USING (k, ord)
 """)
 def prepare_once(spark, sf_dir):
     """Idempotent prepare -- the second call finds the output and skips
-    the build; the result is read from the written table.  Texts end at 10,000
-    characters (T4), as in the SQL."""
+    the build; the result is read from the written table.  Texts are whole."""
     from tessera.sources import files
     path = files.scratch_path(spark, "prepared")
 
     def build():
-        records = prepare.prepare_records(tables.document_records(spark, sf_dir), max_text_length=10000)
+        records = prepare.prepare_records(tables.document_records(spark, sf_dir))
         return records.select("record_id", "text_length", F.md5("text").alias("text_md5"))
 
     files.prepare_once(build, path)
