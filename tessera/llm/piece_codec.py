@@ -8,7 +8,14 @@ space mark after another character, so merges never cross the start of a run
 of space marks, and a character that is in no longer piece stands alone.
 Texts are therefore cut there and the parts are encoded one by one, with a
 bounded memo per worker.  A vocabulary without that property is not cut there.
-Parts are cut once more between characters that no piece holds side by side.
+Parts are cut once more, into runs, between characters that no piece holds
+side by side.
+
+The unseen parts of a batch are merged together.  Runs of one symbol count
+are the rows of a matrix, and so are the agendas of their pairs' ranks; a
+round merges the best pair of every row, which leaves rows of one symbol less
+that join the runs of that count.  Symbols are integers.  Runs above
+``ROW_CHARS`` characters keep their agenda as a heap.
 
 Every Arrow batch is checked against the sentencepiece library; column
 ``agrees`` holds the outcome per row.
@@ -22,11 +29,11 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from operator import add
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,33 +41,17 @@ from pyspark.sql import functions as F
 from tessera.llm.common import whole_text
 
 SPACE = "▁"
-#: Strings whose ids a worker remembers at a time, twice over, and their longest.
-MEMO = 400_000
+#: Parts whose ids a worker remembers at a time, twice over, and their longest.
+MEMO = 200_000
 MEMO_CHARS = 64
-#: Longest part whose agenda is a plain list; longer ones keep it as a heap.
-LIST_CHARS = 32
+#: Longest run that is a row of a matrix; longer ones have a heap of their own.
+ROW_CHARS = 32
+#: Characters of the texts that are cut and merged together (or one text).
+CHUNK_CHARS = 1 << 20
 #: Place of a pair that is no piece, behind all others.
-NO_PIECE = 1 << 31
-
-
-class Memo(dict):
-    """Remembered results of a function of a string.  When full, it starts
-    anew and takes over from its former content what is asked for again."""
-
-    def __init__(self, function: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.function, self.limit, self.former = function, limit, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.former.get(key)
-        if found is None:
-            found = self.function(key)
-        if len(key) <= MEMO_CHARS:
-            if len(self) >= self.limit:
-                self.former = dict(self)
-                self.clear()
-            self[key] = found
-        return found
+NO_PIECE = (1 << 31) - 1
+#: Bits of a symbol in the number of a pair.
+SYMBOL_BITS = 24
 
 
 class PieceCodec:
@@ -103,8 +94,8 @@ class PieceCodec:
         self.ranks = {piece: place[score] for piece, score in self.scores.items() if len(piece) > 1}
         #: pairs of characters that some piece holds side by side
         self.adjacent = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
-        self.run_memo = Memo(self.run_ids, memo).__getitem__
-        self.part_memo = Memo(self.part_ids, memo).__getitem__
+        self.memo, self.known, self.former = memo, {}, {}
+        self._tables(place)
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         joined = set().union(*(p for p in self.ids if len(p) > 1))
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
@@ -112,29 +103,91 @@ class PieceCodec:
                                 (f"[{alone}]|" if alone else "")
                                 + f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+")
 
-    def merge(self, part: str) -> list[str]:
-        """Merge the symbols of one part by the agenda."""
-        if len(part) <= LIST_CHARS:
-            return self.merge_short(part)
-        return self.merge_long(part)
-
-    def merge_short(self, part: str) -> list[str]:
-        """The agenda is the list of the ranks of all adjacent pairs by
-        position; the first of the best is merged."""
-        symbols, rank = list(part), self.ranks.get
-        agenda = [rank(pair, NO_PIECE) for pair in map(add, part, part[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NO_PIECE:
+    def _tables(self, place: dict[float, int]) -> None:
+        """Symbols as integers: a piece is its id, a character that is no piece
+        stands behind all ids.  Sorted numbers of the pairs of symbols that
+        join to a piece, with the piece's rank and id; sorted numbers of the
+        pairs of characters of ``adjacent``."""
+        self.first_char = len(self.pieces)
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.first_char
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+
+        def symbol(s: str) -> int | None:
+            return int(self.symbol_of[ord(s)]) if len(s) == 1 else self.ids.get(s)
+
+        joins = {}
+        for piece in self.ranks:
+            for cut in range(1, len(piece)):
+                left, right = symbol(piece[:cut]), symbol(piece[cut:])
+                if left is not None and right is not None:
+                    joins[left << SYMBOL_BITS | right] = (place[self.scores[piece]], self.ids[piece])
+        codes = sorted(joins)
+        # one entry behind the last, so that every search ends inside the table
+        self.pair_codes = np.array([*codes, -1], dtype=np.int64)
+        self.pair_codes[-1] = np.iinfo(np.int64).max
+        self.pair_ranks = np.array([*(joins[c][0] for c in codes), NO_PIECE], dtype=np.int32)
+        self.pair_ids = np.array([*(joins[c][1] for c in codes), 0], dtype=np.int64)
+        self.side_by_side = np.array(
+            [*sorted(ord(a) << SYMBOL_BITS | ord(b) for a, b in self.adjacent),
+             np.iinfo(np.int64).max], dtype=np.int64)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the table of pairs and whether the pair is there."""
+        code = left << SYMBOL_BITS | right
+        at = np.searchsorted(self.pair_codes, code)
+        return at, self.pair_codes[at] == code
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        at, there = self._pairs(left, right)
+        return np.where(there, self.pair_ranks[at], np.int32(NO_PIECE))
+
+    def merge_rows(self, symbols: np.ndarray, starts: np.ndarray,
+                   lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Merge runs of at most ``ROW_CHARS`` symbols, given by their starts
+        and lengths in ``symbols``.  Returns, for every symbol count that is
+        left, the numbers of its runs and their symbols as a matrix."""
+        done = []
+        runs, rows = np.empty(0, np.int64), np.empty((0, 0), np.int64)
+        agenda = np.empty((0, 0), np.int32)
+        for n in range(int(lengths.max(initial=0)), 0, -1):
+            fresh = np.flatnonzero(lengths == n)
+            if len(fresh):
+                new = symbols[starts[fresh][:, None] + np.arange(n)]
+                new_agenda = self._ranks(new[:, :-1], new[:, 1:])
+                if len(runs):
+                    runs, rows = np.concatenate([runs, fresh]), np.concatenate([rows, new])
+                    agenda = np.concatenate([agenda, new_agenda])
+                else:
+                    runs, rows, agenda = fresh, new, new_agenda
+            if not len(runs):
+                continue
+            if n == 1:
+                done.append((runs, rows))
                 break
-            left = agenda.index(best)
-            del agenda[left]
-            pair = symbols[left] = symbols[left] + symbols.pop(left + 1)
-            if left:
-                agenda[left - 1] = rank(symbols[left - 1] + pair, NO_PIECE)
-            if left < len(agenda):
-                agenda[left] = rank(pair + symbols[left + 1], NO_PIECE)
-        return symbols
+            left = agenda.argmin(axis=1)
+            open_ = agenda[np.arange(len(runs)), left] != NO_PIECE
+            if not open_.all():
+                done.append((runs[~open_], rows[~open_]))
+                runs, rows, agenda, left = runs[open_], rows[open_], agenda[open_], left[open_]
+            m = len(runs)
+            at = np.arange(m)
+            place, _ = self._pairs(rows[at, left], rows[at, left + 1])
+            rows[at, left] = self.pair_ids[place]
+            keep = np.ones((m, n), bool)
+            keep[at, left + 1] = False
+            rows = rows[keep].reshape(m, n - 1)
+            keep = np.ones((m, n - 1), bool)
+            keep[at, left] = False
+            agenda = agenda[keep].reshape(m, n - 2)
+            has = left > 0
+            i, j = at[has], left[has]
+            agenda[i, j - 1] = self._ranks(rows[i, j - 1], rows[i, j])
+            has = left < n - 2
+            i, j = at[has], left[has]
+            agenda[i, j] = self._ranks(rows[i, j], rows[i, j + 1])
+        return done
 
     def merge_long(self, part: str) -> list[str]:
         """The agenda is a heap.  An entry is one number, rank and left
@@ -174,36 +227,106 @@ class PieceCodec:
                     heappush(agenda, r << 32 | prev)
         return [s for s in symbols if s]
 
-    def run_ids(self, run: str) -> bytes:
-        """Ids of a run without a cut as native unsigned 32-bit integers."""
+    def _as_ids(self, symbols: Iterable[int]) -> array:
+        """Ids of symbols: a character that is no piece becomes byte pieces."""
         out = array("I")
-        for symbol in self.merge(run):
-            i = self.ids.get(symbol)
-            if i is not None:
-                out.append(i)
+        for symbol in symbols:
+            if symbol < self.first_char:
+                out.append(symbol)
             elif self.byte_fallback:
-                out.extend(self.byte_ids[b] for b in symbol.encode("utf-8", "replace"))
+                out.extend(self.byte_ids[b] for b in
+                           chr(symbol - self.first_char).encode("utf-8", "replace"))
             else:
                 out.append(self.unk)
-        return out.tobytes()
-
-    def part_ids(self, part: str) -> bytes:
-        """Ids of a part: it is cut between characters that stand side by side
-        in no piece, as no merge crosses such a place."""
-        adjacent, memo, at, found = self.adjacent, self.run_memo, 0, []
-        for i in [i for i, pair in enumerate(map(add, part, part[1:]), 1) if pair not in adjacent]:
-            found.append(memo(part[at:i]))
-            at = i
-        found.append(memo(part[at:]))
-        return b"".join(found)
+        return out
 
-    def encode(self, text: str) -> array:
-        found = map(self.part_memo, self.parts.findall(self.library.normalize(text)))
-        out = array("I", [self.bos])
-        out.frombytes(b"".join(found))
-        out.append(self.eos)
+    def parts_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of non-empty parts as native unsigned 32-bit integers, all
+        parts merged together."""
+        if not parts:
+            return []
+        chars = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        part_ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        side = chars[:-1] << SYMBOL_BITS | chars[1:]
+        cut = np.ones(len(chars), bool)
+        cut[1:] = self.side_by_side[np.searchsorted(self.side_by_side, side)] != side
+        cut[part_ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(starts, append=len(chars))
+        symbols = self.symbol_of[chars]
+        long = np.flatnonzero(lengths > ROW_CHARS)
+        done = self.merge_rows(symbols, starts, np.where(lengths > ROW_CHARS, 0, lengths))
+        for run in long.tolist():
+            text = "".join(map(chr, chars[starts[run]:starts[run] + lengths[run]].tolist()))
+            merged = [self.ids[s] if s in self.ids else self.first_char + ord(s) for s in self.merge_long(text)]
+            done.append((np.array([run]), np.array([merged], np.int64)))
+        counts = np.zeros(len(starts), np.int64)
+        for runs, rows in done:
+            counts[runs] = rows.shape[1]
+        ends = np.cumsum(counts)
+        flat = np.empty(int(ends[-1]), np.int64)
+        for runs, rows in done:
+            flat[(ends[runs] - rows.shape[1])[:, None] + np.arange(rows.shape[1])] = rows
+        # the last run of a part ends where the next part's first run starts
+        bounds = ends[np.searchsorted(starts, part_ends) - 1]
+        blob, stops = flat.astype(np.uint32).tobytes(), bounds.tolist()
+        odd = np.zeros(len(parts), bool)
+        odd[np.searchsorted(bounds, np.flatnonzero(flat >= self.first_char), side="right")] = True
+        found, at = [], 0
+        for stop, strange in zip(stops, odd.tolist()):
+            found.append(self._as_ids(flat[at:stop].tolist()).tobytes() if strange else blob[4 * at:4 * stop])
+            at = stop
+        return found
+
+    def encode_chunk(self, texts: list[str]) -> list[array]:
+        """Ids of texts with begin and end.  Parts are remembered; a full memo
+        starts anew and takes over from its former content what is asked for
+        again."""
+        if len(self.known) >= self.memo:
+            self.former, self.known = self.known, {}
+        known, former = self.known, self.former
+        texts_parts, found, new = [], [], set()
+        for text in self.library.normalize(texts):
+            parts = self.parts.findall(text)
+            ids = list(map(known.get, parts))
+            if None in ids:
+                new.update([p for p, i in zip(parts, ids) if i is None])
+            else:
+                parts = None  # all of them known
+            texts_parts.append(parts)
+            found.append(ids)
+        if former:
+            again = {p: former[p] for p in new if p in former}
+            known.update(again)
+            new -= again.keys()
+        new = list(new)
+        known.update(zip(new, self.parts_ids(new)))
+        out = []
+        for parts, ids in zip(texts_parts, found):
+            whole = array("I", [self.bos])
+            whole.frombytes(b"".join(ids if parts is None else map(known.__getitem__, parts)))
+            whole.append(self.eos)
+            out.append(whole)
+        for part in new:
+            if len(part) > MEMO_CHARS:
+                del known[part]
         return out
 
+    def encode(self, text: str) -> array:
+        return self.encode_chunk([text])[0]
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[str, array]]:
+        """Texts with their ids, merged a chunk at a time."""
+        chunk, chars = [], 0
+        for text in texts:
+            if chunk and chars + len(text) > CHUNK_CHARS:
+                yield from zip(chunk, self.encode_chunk(chunk))
+                chunk, chars = [], 0
+            chunk.append(text)
+            chars += len(text)
+        if chunk:
+            yield from zip(chunk, self.encode_chunk(chunk))
+
     def decode(self, ids) -> str:
         """Text of ids: byte pieces in a row are read as UTF-8, each invalid
         byte as U+FFFD; the space that encoding adds in front is dropped, unless
@@ -229,20 +352,22 @@ def codec(path: str, memo: int = MEMO) -> PieceCodec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
-                 text_col: str = "text", check: bool = True, memo: int = MEMO) -> DataFrame:
+                 text_col: str = "text", check: bool = True, memo: int = MEMO,
+                 with_ids: bool = False) -> DataFrame:
     """One row per document: number of ids, digests of ids and of the decoded
-    text, and whether the library gives the same.
+    text, whether the library gives the same and, if asked for, the ids.
 
     Workers keep their memos after the task; ``memo`` bounds them, for jobs
     whose other stages need the memory."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_path, memo)
         for batch in batches:
-            counts, id_digests, text_digests, agrees = [], [], [], []
-            for text in batch["_text"]:
-                ids = c.encode(text)
+            counts, id_digests, text_digests, agrees, all_ids = [], [], [], [], []
+            for text, ids in c.encode_all(batch["_text"]):
                 decoded = c.decode(ids)
                 counts.append(len(ids))
+                if with_ids:
+                    all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                 le = ids if array("H", [1]).tobytes() == b"\x01\x00" else array("I", ids)
                 if le is not ids:
                     le.byteswap()
@@ -254,12 +379,13 @@ def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
                     agrees.append(theirs.tobytes() == ids.tobytes() and c.library.decode(theirs) == decoded)
                 else:
                     agrees.append(None)
-            yield pd.DataFrame({"_id": batch["_id"], "n_tokens": counts, "ids_sha256": id_digests,
-                                "decoded_sha256": text_digests,
-                                "agrees": pd.array(agrees, dtype="boolean")})
+            out = {"_id": batch["_id"], "n_tokens": counts, "ids_sha256": id_digests,
+                   "decoded_sha256": text_digests, "agrees": pd.array(agrees, dtype="boolean")}
+            yield pd.DataFrame(out | ({"ids": all_ids} if with_ids else {}))
 
     slim = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
     return slim.mapInPandas(
         rows, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
+        + (", ids array<int>" if with_ids else "")
     ).withColumnRenamed("_id", id_col)

@@ -300,10 +300,23 @@ def test_both_agendas_merge_alike():
     import random
 
     c, rnd = piece_codec.codec(tokenizer_path()), random.Random(5)
-    for alphabet in ("ab", "theraino▁", "aaa ▁▁ée\n", "日本0123"):
-        for n in range(0, 70):
-            part = "".join(rnd.choice(alphabet) for _ in range(n))
-            assert c.merge_short(part) == c.merge_long(part)
+    parts = ["".join(rnd.choice(alphabet) for _ in range(n))
+             for alphabet in ("ab", "theraino▁", "aaa ▁▁ée\n", "日本0123", "a🙂\x00")
+             for n in range(1, 70)]
+    for part, ids in zip(parts, c.parts_ids(parts), strict=True):
+        symbols = c.merge_long(part)
+        want = c._as_ids(c.ids.get(s, c.first_char + ord(s[0])) for s in symbols)
+        assert ids == want.tobytes()
+    assert c.parts_ids([]) == []
+
+
+def test_ids_of_texts_come_on_request(docs, rows):
+    import sentencepiece
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    got = by_row(piece_codec.encode_texts(docs, tokenizer_path(), with_ids=True))
+    for i, text, _, _ in rows:
+        assert sp.encode(text or "", add_bos=True, add_eos=True) in [r.ids for r in got[i]]
+        assert all(len(r.ids) == r.n_tokens for r in got[i])
 
 
 def test_fingerprints(docs, rows, none):
