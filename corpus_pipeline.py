@@ -47,9 +47,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every reading."""
+    """Ids, token counts and digests of every reading."""
     ship_package(spark)
-    return encode_texts(docs, tokenizer_path(), memo=ENCODE_MEMO)
+    return encode_texts(docs, tokenizer_path(), memo=ENCODE_MEMO, with_ids=True)
 
 
 STAGES = [
