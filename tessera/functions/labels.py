@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-
-def to_int_list(col) -> Column:
-    """NULL -> [], scalar -> [v], list -> list."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.cast("array<int>"), F.array().cast("array<int>"))
+from pyspark.sql.types import ArrayType
+
+
+def to_int_list(df: DataFrame, name: str) -> Column:
+    """NULL -> [], scalar -> [v], list -> list; the kind of the column
+    decides.  What is no integer within a list is NULL there; a scalar that is
+    no integer counts as NULL."""
+    none = F.array().cast("array<int>")
+    if isinstance(df.schema[name].dataType, ArrayType):
+        return F.coalesce(F.transform(F.col(name), lambda v: v.try_cast("int")), none)
+    value = F.col(name).try_cast("int")
+    return F.when(value.isNull(), none).otherwise(F.array(value))
 
 
 def multi_hot_width(df: DataFrame, labels_col: str) -> int:

@@ -215,6 +215,103 @@ def coverage_report(split: DataFrame, *, min_samples: dict[str, int] | None = No
             .unionByName(absent).unionByName(one).select(*out_cols))
 
 
+PARTITIONS = ("train", "val", "test")
+#: Rows that a regression task needs in val and in test.
+MIN_REGRESSION_ROWS = 2
+
+
+def _label_cells(split: DataFrame) -> DataFrame:
+    """Multi-label counts per (task, partition, label) with zeros: labels run
+    from 0 to the task's largest one and all partitions are there.  A label
+    counts once in a row.  The grid grows with the labels, not with the rows."""
+    rows = split.groupBy("task_name", "partition").agg(F.count(F.lit(1)).alias("rows"))
+    found = (split.select("task_name", "partition", F.explode(F.array_distinct("labels")).alias("label"))
+             .filter("label >= 0").groupBy("task_name", "partition", "label")
+             .agg(F.count(F.lit(1)).alias("positives")))
+    # a task without any positive label still has label 0, as a multi-hot row does
+    widths = rows.select("task_name").distinct().join(
+        found.groupBy("task_name").agg(F.max("label").alias("_last")), "task_name", "left")
+    parts = widths.withColumn("partition", F.explode(F.array(*map(F.lit, PARTITIONS)))).join(
+        rows, ["task_name", "partition"], "left").fillna(0, ["rows"])
+    cells = parts.withColumn("label", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).join(
+        found, ["task_name", "partition", "label"], "left").fillna(0, ["positives"])
+    total = cells.groupBy("task_name", "label").agg(F.sum("positives").alias("total"))
+    return (cells.join(total, ["task_name", "label"])
+            .withColumn("negatives", F.col("rows") - F.col("positives")).drop("_last"))
+
+
+def multilabel_summary(split: DataFrame) -> DataFrame:
+    """X7 (multi-label): per partition its rows, the number of labels, of labels
+    with a positive row, and of labels with a positive and a negative row.  An
+    empty partition has zero rows and no labels."""
+    flag = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    some = F.col("rows") > 0
+    return _label_cells(split).groupBy("task_name", "partition").agg(
+        F.max("rows").alias("n"), flag(some).alias("n_classes"),
+        flag(F.col("positives") > 0).alias("labels_with_positive"),
+        flag((F.col("positives") > 0) & (F.col("negatives") > 0)).alias("labels_with_both"))
+
+
+def multilabel_coverage(split: DataFrame, *, min_positive: int = 1, min_negative: int = 1,
+                        min_frequency: int = MIN_EVAL) -> DataFrame:
+    """X8 for multi-label tasks: one row per (task, val or test, label) with the
+    rule that decides it, and one row for an empty partition.
+
+    empty_partition (error); few_globally (warning: fewer positives in all
+    partitions than ``min_frequency``, the label is not held to the rule);
+    not_two_classes (warning: fewer than positives and negatives need);
+    needs_both (error in test, warning in val); covered (ok)."""
+    cells = _label_cells(split).filter(F.col("partition").isin("val", "test"))
+    lacks = (F.col("positives") < min_positive) | (F.col("negatives") < min_negative)
+    rule = (F.when(F.col("total") < min_frequency, "few_globally")
+            .when(F.col("total") < min_positive + min_negative, "not_two_classes")
+            .when(lacks, "needs_both").otherwise("covered"))
+    strict = F.when(F.col("partition") == "test", "error").otherwise("warning")
+    judged = cells.filter("rows > 0").withColumn("rule", rule).select(
+        "task_name", F.when(F.col("rule") == "covered", "ok").when(F.col("rule") == "needs_both", strict)
+        .otherwise("warning").alias("severity"), "rule", "partition", F.col("label").cast("int").alias("label"),
+        F.col("positives").alias("n"))
+    empty = cells.filter("rows = 0").select("task_name", "partition").distinct().select(
+        "task_name", F.lit("error").alias("severity"), F.lit("empty_partition").alias("rule"), "partition",
+        F.lit(None).cast("int").alias("label"), F.lit(0).cast("bigint").alias("n"))
+    return judged.unionByName(empty)
+
+
+def regression_coverage(split: DataFrame, *, min_rows: int = MIN_REGRESSION_ROWS) -> DataFrame:
+    """X8 for regression tasks: one row per (task, val or test): too_few (error)
+    below ``min_rows`` rows, an empty partition included, else covered (ok)."""
+    rows = split.groupBy("task_name", "partition").agg(F.count(F.lit(1)).alias("n"))
+    grid = rows.select("task_name").distinct().withColumn(
+        "partition", F.explode(F.array(F.lit("val"), F.lit("test")))).join(
+        rows, ["task_name", "partition"], "left").fillna(0, ["n"])
+    few = F.col("n") < min_rows
+    return grid.select(
+        "task_name", F.when(few, "error").otherwise("ok").alias("severity"),
+        F.when(few, "too_few").otherwise("covered").alias("rule"), "partition",
+        F.lit(None).cast("int").alias("label"), "n")
+
+
+def coverage_findings(split: DataFrame) -> DataFrame:
+    """X8 for the tasks of every kind in ``split``: errors and warnings."""
+    of = lambda kind: split.filter(F.col("label_type") == kind)
+    found = coverage_report(of("single_label")).unionByName(regression_coverage(of("regression")))
+    if "labels" in split.columns:
+        found = found.unionByName(multilabel_coverage(of("multi_label")))
+    return found.filter(F.col("severity") != "ok")
+
+
+def require_coverage(split: DataFrame, shown: int = 20) -> DataFrame:
+    """``split`` itself, or ValueError if a coverage rule is broken.  At
+    most ``shown`` errors are named; warnings do not stop."""
+    broken = coverage_findings(split).filter(F.col("severity") == "error").orderBy(
+        "task_name", "partition", "rule", "label").limit(shown).collect()
+    if broken:
+        raise ValueError("split lacks coverage: " + "; ".join(
+            f"{r.task_name}/{r.partition}: {r.rule}" + ("" if r.label is None else f" of {r.label}") + f" (n={r.n})"
+            for r in broken))
+    return split
+
+
 def label_evaluability(df: DataFrame, *, min_frequency: int = MIN_EVAL,
                        min_positive: int = 1, min_negative: int = 1) -> DataFrame:
     """F5 (multi-label): per label, global positives and whether the label can

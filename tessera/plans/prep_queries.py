@@ -506,8 +506,8 @@ prep AS (SELECT ord, record_id, task_name, labels, {S.truncate('text')} AS text
          FROM mrecs WHERE text <> '')"""
 
 
-@query("split_distribution_multi", oracle=f"""
-WITH RECURSIVE {MULTI_PREPARED},
+MULTI_SPLIT = f"""
+{MULTI_PREPARED},
 {components_cte('prep')},
 pos AS (SELECT DISTINCT task_name, component_id, unnest(labels) AS lab FROM comp),
 freq AS (SELECT task_name, lab, count(*) AS f FROM
@@ -521,7 +521,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY task_name, stratum
                        ORDER BY {S.seeded_hash(42, 'component_id')}, component_id) AS r,
                   count(*) OVER (PARTITION BY task_name, stratum) AS m FROM groups),
 split AS (SELECT c.*, {S.allocate('r', 'm')} AS partition
-          FROM comp c JOIN ranked USING (task_name, component_id)),
+          FROM comp c JOIN ranked USING (task_name, component_id))"""
+
+
+@query("split_distribution_multi", oracle=f"""
+WITH RECURSIVE {MULTI_SPLIT},
 part AS (SELECT task_name, partition, count(*) AS n_rows,
                 sum(CASE WHEN len(labels) > 0 THEN 1 ELSE 0 END) AS n_with_positive
          FROM split GROUP BY ALL),
@@ -541,6 +545,51 @@ def split_distribution_multi(spark, sf_dir):
         F.col("n_with_positive").cast("bigint").alias("n_with_positive"))
 
 
+# rows per cell of (partition, label); the task's labels are 0 to its largest
+MULTI_CELLS = """
+prows AS (SELECT p.partition, count(s.record_id) AS n_rows
+          FROM (VALUES ('train'), ('val'), ('test')) p(partition) LEFT JOIN split s USING (partition) GROUP BY ALL),
+onerow AS (SELECT DISTINCT record_id, partition, unnest(labels) AS label FROM split),
+cells AS (SELECT 'quality_toxic' AS task_name, p.partition, p.n_rows, l.label,
+                 (SELECT count(*) FROM onerow o WHERE o.partition = p.partition AND o.label = l.label) AS pos,
+                 (SELECT count(*) FROM onerow o WHERE o.label = l.label) AS total
+          FROM prows p, (SELECT unnest(range(0, (SELECT max(label) + 1 FROM onerow))) AS label) l)"""
+
+
+@query("split_label_summary", oracle=f"""
+WITH RECURSIVE {MULTI_SPLIT}, {MULTI_CELLS}
+SELECT task_name, partition, max(n_rows) AS n, count(*) FILTER (n_rows > 0) AS n_classes,
+       count(*) FILTER (pos > 0) AS labels_with_positive,
+       count(*) FILTER (pos > 0 AND pos < n_rows) AS labels_with_both
+FROM cells GROUP BY ALL
+""")
+def split_label_summary(spark, sf_dir):
+    """X7 multi-label: labels with positives, and with both, per partition."""
+    return splits.multilabel_summary(_multi_split(spark, sf_dir))
+
+
+@query("split_coverage_multi", oracle=f"""
+WITH RECURSIVE {MULTI_SPLIT}, {MULTI_CELLS},
+judged AS (SELECT *, CASE WHEN total < 5 THEN 'few_globally' WHEN total < 2 THEN 'not_two_classes'
+                          WHEN pos < 1 OR n_rows - pos < 1 THEN 'needs_both' ELSE 'covered' END AS rule
+           FROM cells WHERE partition <> 'train' AND n_rows > 0)
+SELECT task_name, CASE WHEN rule = 'covered' THEN 'ok' WHEN rule = 'needs_both' AND partition = 'test' THEN 'error'
+                       ELSE 'warning' END AS severity, rule, partition, CAST(label AS INTEGER) AS label, pos AS n
+FROM judged
+UNION ALL
+SELECT DISTINCT task_name, 'error', 'empty_partition', partition, CAST(NULL AS INTEGER), 0
+FROM cells WHERE partition <> 'train' AND n_rows = 0
+""")
+def split_coverage_multi(spark, sf_dir):
+    """X8 multi-label: every label of val and test with the rule that decides it."""
+    return splits.multilabel_coverage(_multi_split(spark, sf_dir))
+
+
+def _multi_split(spark, sf_dir):
+    p = prepare.prepare_records(tables.multilabel_records(spark, sf_dir), deduplicate=False)
+    return splits.group_split(leakage.connected_components(p))
+
+
 def _overlap_sql(src: str, check: str, severity: str) -> str:
     return f"""
 SELECT '{check}' AS "check", '{severity}' AS severity, a.partition AS partition_a,
@@ -821,8 +870,8 @@ prep AS (SELECT ord, record_id, task_name, label, {S.truncate('text')} AS text
          FROM recs WHERE text <> '')"""
 
 
-@query("split_distribution_regression", oracle=f"""
-WITH RECURSIVE {REGR_PREPARED},
+REGR_SPLIT = f"""
+{REGR_PREPARED},
 {components_cte('prep')},
 meds AS (SELECT task_name, component_id, median(label) AS med FROM comp GROUP BY ALL),
 strata AS (
@@ -839,7 +888,11 @@ ranked AS (
   FROM strata
 ),
 split AS (SELECT c.*, {S.allocate('r', 'm')} AS partition
-          FROM comp c JOIN ranked USING (task_name, component_id))
+          FROM comp c JOIN ranked USING (task_name, component_id))"""
+
+
+@query("split_distribution_regression", oracle=f"""
+WITH RECURSIVE {REGR_SPLIT}
 SELECT task_name, partition, round(min(label), 6) AS min_label, round(max(label), 6) AS max_label,
        round(avg(label), 6) AS mean_label, count(DISTINCT label) AS n_unique, count(*) AS n
 FROM split GROUP BY ALL
@@ -853,6 +906,19 @@ def split_distribution_regression(spark, sf_dir):
     return splits.regression_distribution(split)
 
 
+@query("split_coverage_regression", oracle=f"""
+WITH RECURSIVE {REGR_SPLIT}
+SELECT 'length' AS task_name, CASE WHEN count(s.record_id) < 2 THEN 'error' ELSE 'ok' END AS severity,
+       CASE WHEN count(s.record_id) < 2 THEN 'too_few' ELSE 'covered' END AS rule, p.partition,
+       CAST(NULL AS INTEGER) AS label, count(s.record_id) AS n
+FROM (VALUES ('val'), ('test')) p(partition) LEFT JOIN split s USING (partition) GROUP BY p.partition
+""")
+def split_coverage_regression(spark, sf_dir):
+    """X8 regression: rows of val and test against the least number."""
+    p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
+    return splits.regression_coverage(splits.group_split(leakage.connected_components(p)))
+
+
 @query("pair_regression_records", oracle=f"""
 WITH {PAIRS_SQL}
 SELECT 'sts_' || CAST(ord AS VARCHAR) AS record_id, ord, CAST(ord AS VARCHAR) AS pair_id,

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as VO
+from tessera.plans import sqlfrag as S
 from tessera.plans.registry import query
 from tessera.sources import tables
 
@@ -111,6 +112,30 @@ def norm_center(spark, sf_dir):
     return VO.to_long(VO.center(v), ["id", "layer"])
 
 
+@query("norm_train_only", oracle=f"""
+WITH {EV},
+ids AS (SELECT id, row_number() OVER (ORDER BY {S.seeded_hash(42, 'id')}, id) AS r, count(*) OVER () AS m
+        FROM (SELECT DISTINCT id FROM ev)),
+parts AS (SELECT id, {S.allocate('r', 'm', min_eval=None)} AS partition FROM ids),
+mu AS (SELECT layer, dim, avg(x) AS mu FROM ev JOIN parts USING (id) WHERE partition = 'train' GROUP BY ALL)
+SELECT id, layer, dim, partition, {R6.format('x - mu')} AS value
+FROM ev JOIN parts USING (id) JOIN mu USING (layer, dim)
+""")
+def norm_train_only(spark, sf_dir):
+    """V9 as fit and transform: means of the train rows alone are written as a
+    version of the state, read again and applied to the rows of all partitions."""
+    from tessera.operators import normalizer, splits
+    from tessera.sources import files
+    v = _vectors(spark, sf_dir).withColumn("vec", VO.V.finite("vec"))
+    ids = v.select("id").distinct().withColumn("task_name", F.lit("vectors"))
+    parts = splits.row_split(ids, stratify=False, id_col="id").select("id", "partition")
+    v = v.join(parts, "id")
+    path = files.scratch_path(spark, "normalizer")
+    normalizer.save(normalizer.fit(v.filter("partition = 'train'"), "center"), path, "train")
+    done = normalizer.transform(v, "center", normalizer.load(spark, path, "train"))
+    return VO.to_long(done, ["id", "layer", "partition"])
+
+
 @query("norm_l2", oracle=f"""
 WITH {EV}
 SELECT id, layer, dim,

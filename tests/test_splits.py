@@ -53,3 +53,64 @@ def test_regression_strata_quantiles_and_ties(spark):
     got = {r.component_id: r.stratum for r in splits.regression_strata(df).collect()}
     # medians 0,0,1,1,2,2,6,7,8,9 -> ranks 0,0,2,2,4,4,6,7,8,9 -> floor(5 * rank / 10)
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3, 8: 4, 9: 4}
+
+MULTI = "task_name string, partition string, labels array<int>, record_id string"
+
+
+def _multi(spark, counts):
+    """counts: (partition, labels, number of rows)."""
+    rows = [("t", part, labels, f"{part}{i}{n}") for i, (part, labels, k) in enumerate(counts) for n in range(k)]
+    return spark.createDataFrame(rows, MULTI)
+
+
+def test_multilabel_rules(spark):
+    split = _multi(spark, [("train", [0, 3], 6), ("train", [1, 1], 3), ("train", [], 2), ("train", None, 1),
+                           ("val", [0], 4), ("test", [3, 0], 2), ("test", [3], 1)])
+    rep = {(r.partition, r.label): (r.rule, r.severity, r.n) for r in splits.multilabel_coverage(split).collect()}
+    assert rep == {
+        ("val", 0): ("needs_both", "warning", 4),       # no negative row
+        ("val", 1): ("few_globally", "warning", 0),     # three rows; a label counts once in a row
+        ("val", 2): ("few_globally", "warning", 0),     # a label that no row has
+        ("val", 3): ("needs_both", "warning", 0),
+        ("test", 0): ("covered", "ok", 2),
+        ("test", 1): ("few_globally", "warning", 0),
+        ("test", 2): ("few_globally", "warning", 0),
+        ("test", 3): ("needs_both", "error", 3),
+    }
+    strict = splits.multilabel_coverage(split, min_frequency=3, min_positive=2, min_negative=2)
+    assert {r.label for r in strict.filter("rule = 'not_two_classes'").collect()} == {1}
+
+
+def test_multilabel_summary_and_empty_partition(spark):
+    split = _multi(spark, [("train", [0, 2], 3), ("train", [2], 1), ("test", [0], 2)])
+    got = {r.partition: (r.n, r.n_classes, r.labels_with_positive, r.labels_with_both)
+           for r in splits.multilabel_summary(split).collect()}
+    assert got == {"train": (4, 3, 2, 1), "val": (0, 0, 0, 0), "test": (2, 3, 1, 0)}
+    empty = splits.multilabel_coverage(split).filter("partition = 'val'").collect()
+    assert [(r.rule, r.severity, r.label, r.n) for r in empty] == [("empty_partition", "error", None, 0)]
+    assert splits.multilabel_coverage(_multi(spark, [])).count() == 0
+
+
+def test_regression_rules(spark):
+    rows = [("t", "train", 0.5, 1), ("t", "val", 0.1, 2), ("u", "val", 0.1, 3), ("u", "val", 0.2, 4),
+            ("u", "test", 0.1, 5), ("u", "test", 0.1, 6)]
+    got = {(r.task_name, r.partition): (r.rule, r.severity, r.n)
+           for r in splits.regression_coverage(_split(spark, rows)).collect()}
+    assert got == {("t", "val"): ("too_few", "error", 1), ("t", "test"): ("too_few", "error", 0),
+                   ("u", "val"): ("covered", "ok", 2), ("u", "test"): ("covered", "ok", 2)}
+
+
+def test_coverage_of_all_kinds_is_enforced(spark):
+    import pytest
+    kinds = "task_name string, label_type string, partition string, label double, labels array<int>"
+    good = [(f"s{k}", k, part, float(n % 2), [n % 2] if k == "multi_label" else None)
+            for k in ("single_label", "multi_label", "regression") for part in ("train", "val", "test")
+            for n in range(6)]
+    df = spark.createDataFrame(good, kinds)
+    assert splits.coverage_findings(df).count() == 0
+    assert splits.require_coverage(df) is df
+    for kind, rule in (("single_label", "empty_partition"), ("multi_label", "empty_partition"),
+                       ("regression", "too_few")):
+        broken = df.filter(~((F.col("label_type") == kind) & (F.col("partition") == "test")))
+        with pytest.raises(ValueError, match=f"s{kind}/test: {rule}"):
+            splits.require_coverage(broken)
