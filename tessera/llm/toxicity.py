@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,10 +55,44 @@ WORD_END = "$"
 
 _WORD = re.compile(r"[^\W_]+")
 # fixed values: marks of quotation, reporting words, words of address
-_QUOTES = "\"'«»„“”‘’‚"
+_CLOSED_BY = {'"': '"”', "'": "'’", "‘": "’'", "‚": "‘’'", "«": "»", "»": "«", "„": "“”\"", "“": '”"'}
+_SINGLE = "'‘’"
 _REPORTING = frozenset("said says wrote writes called quote quoted quotes cited sagte schrieb zitat "
                        "dijo escribió cita dit écrit citation".split())
 _ADDRESS = frozenset("you your youre du dich ihr sie euch tu te tú vos usted vous toi ton".split())
+_MARK = re.compile("[\"'«»„“”‘’‚\n]")
+#: A reporting word with a colon in the same sentence, up to the term.
+_REPORTED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_REPORTING))})(?!\w)[^.!?\n]*:[^.!?\n]*$")
+
+
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Disjoint, sorted spans between paired quotation marks.  Marks pair by
+    kind within a line, so that a lone mark changes nothing beyond it.  A mark
+    between letters is an apostrophe; a single mark opens only before a letter
+    that no letter precedes, and closes only where no letter follows."""
+    spans: list[tuple[int, int]] = []
+    opened: dict[str, int] = {}
+    for m in _MARK.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark == "\n":
+            opened.clear()
+            continue
+        before, after = text[at - 1:at].isalnum() if at else False, text[at + 1:at + 2].isalnum()
+        single = mark in _SINGLE
+        if single and before and after:
+            continue
+        kind = next((k for k in reversed(opened) if mark in _CLOSED_BY[k]), None)
+        if kind is not None and not (single and after):
+            spans.append((opened.pop(kind), at))
+        elif mark in _CLOSED_BY and (not single or after and not before):
+            opened[mark] = at
+    joined: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if joined and start <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+        else:
+            joined.append((start, end))
+    return joined
 
 
 def held_out(id_col: str) -> Column:
@@ -163,6 +198,7 @@ class FuzzyLexicon:
         low = text.lower()
         abuse = quoted = fuzzy = strongest = address = 0.0
         hits = 0
+        spans = quoted_spans(low)
         for m in _WORD.finditer(low):
             if m.group() not in hit:
                 continue
@@ -171,8 +207,8 @@ class FuzzyLexicon:
             left = low[max(0, m.start() - CONTEXT_CHARS):m.start()]
             right = low[m.end():m.end() + CONTEXT_CHARS]
             around = set(_WORD.findall(left)) | set(_WORD.findall(right))
-            opened = sum(left.count(q) for q in _QUOTES) % 2 == 1 and any(q in right for q in _QUOTES)
-            if opened or around & _REPORTING:
+            span = bisect_right(spans, (m.start(), 0)) - 1
+            if span >= 0 and m.start() < spans[span][1] or _REPORTED.search(left):
                 quoted += exact + near / 2
             else:
                 abuse += exact
