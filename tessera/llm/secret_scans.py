@@ -33,11 +33,11 @@ TOLD = ("owners", "repos", "rows", "found")
 
 #: Distinct characters that a random-looking value has at least.
 LIVE_DISTINCT = 10
-#: Owners, repositories and rows from which on a value is a copied example.
-#: Rows count, not occurrences: a row may repeat its own credential.
+#: Owners, or repositories of two owners or more, from which on a value is a
+#: copied example.  What one owner alone has is never an example, however many
+#: of its rows and repositories hold it.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOS = 6
-EXAMPLE_ROWS = 100
 
 SPAN_TYPE = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 JUDGED_TYPE = ("array<struct<start:bigint,rank:int,end:bigint,kind:string,class:string,"
@@ -125,8 +125,8 @@ def _with_verdicts(docs: DataFrame, text_col: str, owner_col: str, repo_col: str
                      F.sha2("s.value", 256).alias("_hash"),
                      looks_random(F.col("s.value")).alias("_random")))
     owners = saved(ownership(cands, "_hash", "_owner", "_repo"))
-    copied = ((F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
-              | (F.col("n_rows") >= EXAMPLE_ROWS))
+    copied = ((F.col("n_owners") >= EXAMPLE_OWNERS)
+              | ((F.col("n_owners") > 1) & (F.col("n_repos") >= EXAMPLE_REPOS)))
     judged = (join_by_key(cands, owners, "_hash", "n_found")
               .withColumn("class", F.when(copied, "example")
                           .when((F.col("n_owners") == 1) & F.col("_random"), "live")

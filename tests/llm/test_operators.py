@@ -98,8 +98,8 @@ def test_copied_values_are_examples(spark):
 def test_ownership_judges_generic_tokens(spark):
     two, hot, wide, own = ("Bq9Zt4Lm8Wp2Rk7Vb3Ny", "Cq9Zt4Lm8Wp2Rk7Vb3Ny", "Dq9Zt4Lm8Wp2Rk7Vb3Ny", "Eq9Zt4Lm8Wp2Rk7Vb3Ny")
     rows = [(0, f"see {two} here", "en", "a"), (1, f"see {two} here", "en", "b"), (2, f"{own} " * 300, "en", "a")]
-    rows += [(10 + k, f"see {hot} here", "en", "hot") for k in range(secret_scans.EXAMPLE_ROWS)]
-    rows += [(500 + k, f"see {wide} here", f"l{k}", "a") for k in range(secret_scans.EXAMPLE_REPOS)]
+    rows += [(10 + k, f"see {hot} here", f"l{k % 9}", "hot") for k in range(450)]
+    rows += [(500 + k, f"see {wide} here", f"l{k}", "ab"[k % 2]) for k in range(secret_scans.EXAMPLE_REPOS)]
     rows += [(600 + k, "see Fq9Zt4Lm8Wp2Rk7Vb3Ny here", f"l{k % 2}", "a") for k in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got, masked = by_row(secret_scans.scan_secrets(df)), by_row(secret_scans.redact_secrets(df))
@@ -110,12 +110,36 @@ def test_ownership_judges_generic_tokens(spark):
         assert masked[k][0].text == "see [secret] here"
     assert got[2][0].n_owned == 300 and own not in masked[2][0].text
     assert got[2][0].span_rows.split(",") == ["1"] * 300 and got[2][0].span_found.split(",") == ["300"] * 300
-    for k in (10, 500):
-        assert got[k][0].spans == "" and masked[k][0].text == next(r[1] for r in rows if r[0] == k)
+    # one owner's value is masked in every row, however many there are
+    for k in (10, 200, 459):
+        r = got[k][0]
+        assert (r.spans, r.span_owners, r.span_rows) == ("live:4:24", "1", "450")
+        assert masked[k][0].text == "see [secret] here"
+    assert got[500][0].spans == "" and masked[500][0].text == next(r[1] for r in rows if r[0] == 500)
     r = got[600][0]
     assert (r.spans, r.span_owners, r.span_repos, r.span_rows) == ("live:4:24", "1", "2", "5")
 
 
+def test_marks_of_quotation_pair_and_apostrophes_are_none():
+    inside = {
+        'he said "idiot" then': True, "sie rief „idiot“ laut": True, "il dit « idiot » alors": True,
+        "she wrote ‘idiot’ there": True, "they called 'idiot' at him": True, "“you idiot” he wrote": True,
+        "he said: you idiot": True, "Sie sagte: du idiot": True, "»idiot« rief er": True, "‚idiot‘ rief er": True,
+        "I don't like you idiot, you can't write": False, "it's true you idiot, that's all": False,
+        "l'homme est un idiot, c'est vrai qu'il": False, "geht's noch, du idiot, ich hab's satt": False,
+        "un po' di più, idiot, dell'altro": False, "I don’t like you idiot, you can’t write": False,
+        "what he says is rubbish, you idiot": False, "a 5\" pipe, idiot\nand 6\" more": False,
+        '"good" idiot "day"': False, "he said: no. you idiot": False, "the dogs' idiot and cats' food": False,
+        "": None,
+    }
+    lex = toxicity.FuzzyLexicon({"idiot": 2.0})
+    for text, quoted in inside.items():
+        spans = toxicity.quoted_spans(text.lower())
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        abuse, named = lex.features(text)[:2]
+        assert ((abuse > 0), (named > 0)) == {True: (False, True), False: (True, False), None: (False, False)}[quoted], text
+
+
 def test_redaction_keeps_rows(docs, rows):
     got = by_row(secret_scans.redact_secrets(docs).select("doc_id", "text"))
     assert sum(map(len, got.values())) == len(rows)
