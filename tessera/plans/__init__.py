@@ -4,6 +4,7 @@ Import order is registration order (records, vectors, metrics, reports,
 learning)."""
 
 from tessera.plans import prep_queries  # noqa: F401  (importing registers the queries)
+from tessera.plans import file_queries  # noqa: F401
 from tessera.plans import vector_queries  # noqa: F401
 from tessera.plans import metric_queries  # noqa: F401
 from tessera.plans import report_queries  # noqa: F401

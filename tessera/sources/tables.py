@@ -173,35 +173,45 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 
 def canonical_view(df: DataFrame, version: str = "1.0") -> DataFrame:
     """P11 + P12: record frame -> canonical shape with a ``metadata`` struct.
-    Style tracks carry ``y_style`` (labels for multi-label, else [label]);
-    tone / semantic tracks carry ``y_semantic``; pair rows get
-    ``pair_id`` = own id when absent and ``contrast_type`` = task name."""
-    is_pair = F.col("is_pair_task")
-    y_style = F.when(F.col("track") == "style",
-                     F.when(F.col("label_type") == "multi_label", F.col("labels"))
-                     .otherwise(F.array(F.col("label").cast("int"))))
-    y_sem = F.when(F.col("track") != "style", F.col("label"))
+    ``y_style`` (style tracks: the list of a multi-label row, else the scalar)
+    and ``y_semantic`` (other tracks) are VARIANT; rows with a second text get
+    ``pair_id`` = own id and ``contrast_type`` = task name."""
+    pair = F.col("is_pair_task") & (F.coalesce("text_pair", F.lit("")) != "")
+    style = F.col("track") == "style"
+    y_style = F.when(style & (F.col("label_type") == "multi_label"), F.col("labels").cast("variant")).when(
+        style, F.col("label").cast("variant"))
     meta = F.struct(
-        F.col("source").alias("source"), F.lit("").alias("domain"),
+        F.col("source").alias("source"), F.col("track").alias("domain"),
         F.col("language").alias("language"), F.lit("train").alias("split"),
-        F.when(is_pair, F.coalesce("pair_id", "record_id")).alias("pair_id"),
-        F.when(is_pair, F.col("task_name")).alias("contrast_type"),
+        F.when(pair, F.col("record_id")).alias("pair_id"),
+        F.when(pair, F.col("task_name")).alias("contrast_type"),
         F.lit(version).alias("preprocessing_version"),
-        F.length("text").cast("int").alias("text_length"),
+        F.length("text").cast("bigint").alias("text_length"),
         F.col("task_name").alias("task_name"), F.col("track").alias("track"),
         F.col("record_id").alias("record_id"))
-    return df.select("text", y_style.alias("y_style"), y_sem.alias("y_semantic"),
+    return df.select("text", y_style.alias("y_style"),
+                     F.when(~style, F.col("label").cast("variant")).alias("y_semantic"),
                      meta.alias("metadata"), *[c for c in df.columns if c != "text"])
 
 
 def probing_labels(df: DataFrame) -> DataFrame:
-    """The label a probe is trained on -- multi-label rows use
-    ``labels`` (else []), all others ``label``."""
-    return df.withColumn(
-        "probe_label",
-        F.when(F.col("label_type") == "multi_label",
-               F.coalesce(F.col("labels"), F.array().cast("array<int>")).cast("array<double>"))
-        .otherwise(F.array(F.col("label"))))
+    """``probe_label``, the label a probe is trained on, as an array.
+    Multi-label rows of the style track: non-empty ``labels``, else the list
+    ``y_style``, else []; other rows: [``label``], else the scalar ``y_style``
+    (style) or ``y_semantic``, else [NULL].  Frames without the two VARIANT
+    columns have no fallback."""
+    def fallback(name: str, dtype: str):
+        value = F.col(name) if name in df.columns else F.lit(None).cast("variant")
+        return F.try_variant_get(value, "$", dtype)
+
+    style = F.col("track") == "style"
+    none = F.array().cast("array<double>")
+    many = F.when(F.size("labels") > 0, F.col("labels").cast("array<double>")).otherwise(
+        F.coalesce(fallback("y_style", "array<double>"), none))
+    one = F.coalesce(F.col("label"), F.when(style, fallback("y_style", "double")).otherwise(
+        fallback("y_semantic", "double")))
+    return df.withColumn("probe_label", F.when(
+        F.col("label_type") == "multi_label", many).otherwise(F.array(one)))
 
 
 def pair_regression_records(df: DataFrame, *, text_a: str, text_b: str, score: str,
