@@ -10,6 +10,7 @@ component's largest-magnitude entry is positive.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -89,24 +90,33 @@ def whiten(vecs: DataFrame, k: int = PCA_COMPONENTS, vec_col: str = "vec") -> Da
             .withColumn(vec_col, F.zip_with("z", "_sd", lambda a, b: a / b)).drop("z", "_sd"))
 
 
-def null_space_matrices(dirs: DataFrame) -> DataFrame:
-    """Per layer P = I - W^T pinv(W W^T) W for the layer's directions W
-    (k x d).  Computed from the small direction table on the driver."""
-    spark = dirs.sparkSession
-    rows = []
-    for r in (dirs.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("k", "vec"))).alias("b"))
-              .collect()):
-        w = np.array([s["vec"] for s in r["b"]], dtype=np.float64)
-        p = np.eye(w.shape[1]) - w.T @ np.linalg.pinv(w @ w.T) @ w
-        rows.append((int(r["layer"]), [[float(x) for x in row] for row in p]))
-    return spark.createDataFrame(rows, "layer int, _P array<array<double>>")
+#: Directions whose singular value is below this share of the largest one count as dependent.
+RANK_TOLERANCE = 1e-8
+
+
+def direction_bases(dirs: DataFrame) -> DataFrame:
+    """(layer, ``_Q``): an orthonormal basis of the span of a layer's directions
+    (at most k vectors of length d, from a thin SVD of the small k x d table)."""
+    def basis(frame):
+        w = np.array([list(v) for v in frame.sort_values("k")["vec"]], dtype=np.float64)
+        _, size, rows = np.linalg.svd(w, full_matrices=False)
+        kept = rows[size > RANK_TOLERANCE * size.max()] if size.max() > 0 else rows[:0]
+        return pd.DataFrame({"layer": frame["layer"].iloc[:1], "_Q": [[list(map(float, q)) for q in kept]]})
+
+    return dirs.select("layer", "k", "vec").groupBy("layer").applyInPandas(
+        basis, "layer int, _Q array<array<double>>")
 
 
 def null_space_remove(vecs: DataFrame, dirs: DataFrame, vec_col: str = "vec") -> DataFrame:
-    """X P (P symmetric, so row i of P is column i)."""
-    j = vecs.join(F.broadcast(null_space_matrices(dirs)), "layer", "left")
-    return (j.withColumn(vec_col, F.when(F.col("_P").isNull(), F.col(vec_col))
-                         .otherwise(V.dots(vec_col, "_P"))).drop("_P"))
+    """X - sum of (x . q) q over the basis of the layer's directions, which
+    equals x (I - W^T pinv(W W^T) W) without a d x d matrix.  Layers without
+    directions stay as they are.  The joined table has one row per layer."""
+    j = vecs.join(F.broadcast(direction_bases(dirs)), "layer", "left")
+    j = j.withColumn("_Q", F.coalesce("_Q", F.array().cast("array<array<double>>")))
+    j = j.withColumn("_z", V.dots(vec_col, "_Q"))
+    along = F.aggregate(F.zip_with("_Q", "_z", lambda q, z: V.scale(q, z)),
+                        V.scale(vec_col, 0.0), lambda acc, x: V.add(acc, x))
+    return j.withColumn(vec_col, V.sub(vec_col, along)).drop("_Q", "_z")
 
 
 def build_directions(vecs: DataFrame, methods=("probe_weight", "mean_difference", "pca",

@@ -83,6 +83,31 @@ def group_labels(df: DataFrame) -> DataFrame:
 REGRESSION_STRATA = 5
 
 
+def group_medians(df: DataFrame, group_cols: list[str], value_col: str, out_col: str) -> DataFrame:
+    """Exact median per group (mean of the two middle values of an even
+    number); nulls do not count, a group of nulls alone has a null median.
+
+    Equal values become counts and the counts prefix sums over value buckets,
+    so a group that holds half of all rows is held by no single task."""
+    from tessera.operators.metrics import ordered_prefix_sum
+    from tessera.sources.files import materialize
+    counted = materialize(df.groupBy(*group_cols, F.col(value_col).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")), "medians")
+    held = counted.filter(F.col("_v").isNotNull())
+    sizes = counted.groupBy(*group_cols).agg(
+        F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"))
+    placed = ordered_prefix_sum(held, group_cols, "_v", "_c", "_less")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group_cols]
+    placed = sizes.alias("b").join(placed.alias("a"), same, "left").select("b.*", "a._v", "a._c", "a._less")
+
+    def holds(place):
+        return (F.col("_less") <= place) & (place < F.col("_less") + F.col("_c"))
+
+    lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    return placed.groupBy(*group_cols).agg(
+        ((F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2).alias(out_col))
+
+
 def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataFrame:
     """X4 + strata for regression: a component's label is the median of its
     rows; components are cut into ``n_strata`` quantile strata by the rank of
@@ -90,8 +115,7 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
     stratum = floor(n_strata * (#components with a smaller median) / m).
     The ranks come from a bucketed prefix sum, so no task sorts a whole task."""
     from tessera.operators.metrics import ordered_prefix_sum
-    med = df.groupBy("task_name", "component_id").agg(
-        F.percentile(F.col("label"), 0.5).alias("_med"))
+    med = group_medians(df, ["task_name", "component_id"], "label", "_med")
     per_val = med.groupBy("task_name", "_med").agg(F.count(F.lit(1)).alias("_c"))
     below = ordered_prefix_sum(per_val, ["task_name"], "_med", "_c", "_below")
     sizes = per_val.groupBy("task_name").agg(F.sum("_c").alias("_m"))

@@ -262,6 +262,22 @@ def project_out(spark, sf_dir):
     return VO.to_long(_projected(spark, sf_dir)[1], ["id", "layer"])
 
 
+@query("null_space_single", oracle=f"""
+WITH {MD},
+one AS (SELECT layer, dim, value AS w FROM md WHERE k = 0),
+sq AS (SELECT layer, sum(w * w) AS ww FROM one GROUP BY ALL),
+pr AS (SELECT e.id, e.layer, sum(e.x * one.w) AS c FROM ev e JOIN one USING (layer, dim) GROUP BY ALL)
+SELECT e.id, e.layer, e.dim, {R6.format('e.x - pr.c / sq.ww * one.w')} AS value
+FROM ev e JOIN one USING (layer, dim) JOIN sq USING (layer) JOIN pr USING (id, layer)
+""")
+def null_space_single(spark, sf_dir):
+    """V20 with one direction per layer, the first mean-difference direction."""
+    from tessera.operators import decompose
+    v = _vectors(spark, sf_dir)
+    first = VO.mean_difference(v).filter(F.col("k") == 0)
+    return VO.to_long(decompose.null_space_remove(v, first), ["id", "layer"])
+
+
 @query("cosine_drift", oracle=f"""
 WITH {PROJ},
 cs AS (SELECT id, layer, sum(x * y) / ((sqrt(sum(x * x)) + 1e-12) * (sqrt(sum(y * y)) + 1e-12)) AS c

@@ -114,3 +114,26 @@ def test_coverage_of_all_kinds_is_enforced(spark):
         broken = df.filter(~((F.col("label_type") == kind) & (F.col("partition") == "test")))
         with pytest.raises(ValueError, match=f"s{kind}/test: {rule}"):
             splits.require_coverage(broken)
+
+
+def test_group_medians_with_half_of_all_rows_in_one_group(spark):
+    import random
+    import statistics
+    rng = random.Random(3)
+    rows = [("t", 0 if i % 2 else i % 40, rng.choice([rng.random(), 0.5, None])) for i in range(4000)]
+    rows += [("u", 1, None), (None, 2, 4.0), (None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "task_name string, component_id long, label double").repartition(5)
+    got = {(r.task_name, r.component_id): r.m
+           for r in splits.group_medians(df, ["task_name", "component_id"], "label", "m").collect()}
+    held = {}
+    for task, comp, label in rows:
+        held.setdefault((task, comp), []).extend([] if label is None else [label])
+    assert got == {k: statistics.median(v) if v else None for k, v in held.items()}
+
+
+def test_group_medians_are_spread(spark):
+    df = spark.range(1000).selectExpr("'t' AS task_name", "1L AS component_id", "id * 1.0D AS label")
+    plan = splits.group_medians(df, ["task_name", "component_id"], "label", "m")
+    assert plan.first().m == 499.5
+    text = plan._jdf.queryExecution().executedPlan().toString().lower()
+    assert "percentile" not in text and "collect_list" not in text

@@ -42,6 +42,21 @@ def test_null_space_leaves_zero_projection(spark):
     assert np.abs(out @ w.T).max() < 1e-9
 
 
+def test_null_space_equals_the_projection_matrix(spark):
+    """Dependent and zero directions, and a layer without any."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((30, 6))
+    w = rng.standard_normal((2, 6))
+    w = np.vstack([w, w[0] - 2 * w[1], np.zeros(6)])
+    v = spark.createDataFrame([(i, layer, [float(a) for a in x[i]]) for i in range(30) for layer in (0, 1)],
+                              "id long, layer int, vec array<double>")
+    dirs = spark.createDataFrame([(0, k, [float(a) for a in w[k]]) for k in range(4)],
+                                 "layer int, k int, vec array<double>")
+    want = x @ (np.eye(6) - w.T @ np.linalg.pinv(w @ w.T, rcond=1e-12) @ w)
+    got = {(r.id, r.layer): r.vec for r in DC.null_space_remove(v, dirs).collect()}
+    assert all(np.allclose(got[i, 0], want[i], atol=1e-8) and np.allclose(got[i, 1], x[i]) for i in range(30))
+
+
 def test_center_and_scale_zero_variance(spark):
     rows = [(i, 0, 0, [float(i), 5.0]) for i in range(10)]
     v = spark.createDataFrame(rows, "id long, label int, layer int, vec array<double>")
