@@ -78,10 +78,12 @@ def scan_words(text: str, phrases: dict[str, str], vocabulary: dict[bytes, int])
     flat = b" " + b" ".join(words) + b" "
     for phrase, label in phrases.items():
         wanted = b" " + phrase.encode() + b" "
-        found = flat.find(wanted)
+        place, last, found = 0, 0, flat.find(wanted)
         while found >= 0:
-            places.append((flat.count(b" ", 0, found), label))
-            found = flat.find(wanted, found + 1)
+            # counted on from the place before, so long texts take linear time
+            place += flat.count(b" ", last, found)
+            places.append((place, label))
+            last, found = found, flat.find(wanted, found + 1)
     return len(words), places, at, which
 
 
