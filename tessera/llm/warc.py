@@ -12,9 +12,10 @@ digest.  After a failed check the reader looks for whichever comes first, a
 version line with a valid record or a gzip member that holds one, goes on from
 there, and logs the bytes passed over as a gap with the reason.
 
-Defined results: a null page is empty; a null url is an empty target; pages
-without an id are responses that others may not refer to; repeated rows with
-the id of a response are responses too; an empty table gives an empty result.
+Defined results: a null page is empty; a null url is an empty target; a page
+without an id revisits an equal page that has one, and is a response where none
+has; repeated rows with the id of a response are responses too; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,6 +41,8 @@ SEPARATOR = "\r\n\r\n"
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
 GZIP_MAGIC = b"\x1f\x8b\x08"
 INFLATE_BYTES = 1 << 16
+VERSION_LINE = re.compile(rb"WARC/[0-9.]{1,16}[ \t]{0,16}\r\n")
+START = re.compile(rb"WARC/|" + re.escape(GZIP_MAGIC))
 #: Smallest payload, in bytes, of which later copies become revisits.
 REVISIT_BYTES = 0
 #: Payload bytes per archive file, about; a file is read as one row.
@@ -83,8 +87,8 @@ def record_roles(digests: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFr
     best = digests.groupBy("payload_digest").agg(
         F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
     joined = join_by_key(digests, saved(best), "payload_digest", "n")
-    revisit = ((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()
-               & (F.col("page_id") != F.col("response_id")))
+    revisit = ((F.col("payload_bytes") >= least_bytes) & F.col("response_id").isNotNull()
+               & ~F.col("page_id").eqNullSafe(F.col("response_id")))
     return joined.select("page_id", "payload_digest", F.when(revisit, "revisit").otherwise("response")
                          .alias("record_type"), F.when(revisit, F.col("response_id")).alias("refers_to"))
 
@@ -129,25 +133,45 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
      .option("lineSep", EMPTY_MEMBER).option("maxRecordsPerFile", per_file).text(path))
 
 
-def _header(block: bytes) -> dict[str, str] | None:
+class _HeaderEnds:
+    """Place of the first blank line from an offset on.  The last answer holds
+    for every offset up to it, so a run of broken version lines is read once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.start, self.end = data, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.start <= at <= self.end:
+            found = self.data.find(b"\r\n\r\n", at)
+            self.start, self.end = at, found if found >= 0 else len(self.data)
+        return self.end if self.end < len(self.data) else -1
+
+
+def _header(data: bytes, at: int, cut: int) -> dict[str, str] | None:
+    """Fields of the lines from ``at`` to ``cut``; None at the first line
+    without a colon."""
     out = {}
-    for line in block.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    while at < cut:
+        end = data.find(b"\r\n", at, cut)
+        end = cut if end < 0 else end
+        name, colon, value = data[at:end].partition(b":")
         if not colon:
             return None
         out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        at = end + 2
     return out
 
 
-def _record(data: bytes, at: int):
+def _record(data: bytes, at: int, ends: _HeaderEnds):
     """(end, headers, payload) of the record at ``at``, or the reason why there
     is none."""
-    if data[at:at + 5] != b"WARC/":
+    line = VERSION_LINE.match(data, at)
+    if line is None:
         return "no version line"
-    cut = data.find(b"\r\n\r\n", at)
+    cut = ends(line.end() - 2)
     if cut < 0:
         return "no end of header"
-    headers = _header(data[at:cut])
+    headers = _header(data, line.end(), cut)
     if headers is None or not headers.get("content-length", "").isdigit():
         return "bad header"
     start = cut + 4
@@ -165,9 +189,9 @@ def _record(data: bytes, at: int):
 
 def salvage_plain(data: bytes):
     """Yield ("record", at, headers, payload) and ("gap", start, end, reason)."""
-    at = 0
+    at, ends = 0, _HeaderEnds(data)
     while at < len(data):
-        got = _record(data, at)
+        got = _record(data, at, ends)
         if not isinstance(got, str):
             yield "record", at, got[1], got[2]
             at = got[0]
@@ -179,7 +203,7 @@ def salvage_plain(data: bytes):
                 found = len(data)
                 break
             # a version line in the middle of a payload is no record
-            if not isinstance(_record(data, found), str):
+            if not isinstance(_record(data, found, ends), str):
                 break
             found += 1
         yield "gap", at, found, reason
@@ -199,29 +223,26 @@ def _member(data: bytes, at: int):
     return (min(fed, len(data)) - len(d.unused_data), b"".join(pieces)) if d.eof else None
 
 
-def _next(data: bytes, at: int):
+def _next(data: bytes, at: int, ends: _HeaderEnds):
     """(offset, member or None) of what first verifies from ``at`` on: a version
     line with a valid record or a gzip member that holds one."""
-    line, magic = data.find(b"WARC/", at), data.find(GZIP_MAGIC, at)
-    while line >= 0 or magic >= 0:
-        if magic < 0 or 0 <= line < magic:
-            if not isinstance(_record(data, line), str):
-                return line, None
-            line = data.find(b"WARC/", line + 1)
+    for start in START.finditer(data, at):
+        if start.group() != GZIP_MAGIC:
+            if not isinstance(_record(data, start.start(), ends), str):
+                return start.start(), None
         else:
-            got = _member(data, magic)
+            got = _member(data, start.start())
             if got is not None and any(x[0] == "record" for x in salvage_plain(got[1])):
-                return magic, got
-            magic = data.find(GZIP_MAGIC, magic + 1)
+                return start.start(), got
     return len(data), None
 
 
 def salvage(data: bytes):
     """Records and gaps of an archive of plain records, gzip members or both.
     Offsets are those of the file."""
-    at, got = 0, None
+    at, got, ends = 0, None, _HeaderEnds(data)
     while at < len(data):
-        plain = _record(data, at)
+        plain = _record(data, at, ends)
         if not isinstance(plain, str):
             yield "record", at, plain[1], plain[2]
             at = plain[0]
@@ -237,7 +258,7 @@ def salvage(data: bytes):
                     yield "gap", at, got[0], item[3]
             at, got = got[0], None
             continue
-        found, got = _next(data, at + 1)
+        found, got = _next(data, at + 1, ends)
         yield "gap", at, found, "no valid member" if packed else plain
         at = found
 

@@ -565,6 +565,37 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_pages_without_an_id_revisit(spark):
+    ship_package(spark)
+    pages = [(None, "a", "same"), (None, "b", "same"), (7, "c", "same"), (3, "d", "same"), (None, "e", "own"),
+             (None, "f", "own")]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_digest) for r in got) == sorted(
+        [(0, "revisit", 7, b32(b"same"))] * 2 + [(7, "response", 0, b32(b"same")), (3, "revisit", 7, b32(b"same"))]
+        + [(0, "response", 0, b32(b"own"))] * 2)
+
+
+@pytest.mark.parametrize("junk", [b"WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n", b"xWARC/1.1\r\n", b"WARC/", b"WARC/1.1\n"])
+def test_salvage_after_long_damage_is_linear(junk):
+    import time
+    size = 2_000_000
+    data = record(1, b"one") + junk * (size // len(junk)) + b"\r\n\r\n" + record(2, b"two")
+    began = time.process_time()
+    items = list(warc.salvage(data))
+    assert time.process_time() - began < 20
+    assert [x[3] for x in items if x[0] == "record"] == [b"one", b"two"]
+    assert sum(x[2] - x[1] for x in items if x[0] == "gap") == len(data) - len(record(1, b"one")) - len(record(2, b"two"))
+
+
+def test_license_places_in_a_long_text_are_linear():
+    import time
+    words = 400_000
+    began = time.process_time()
+    n, places, _, _ = license_scans.scan_words("mit license " * words, license_scans.PHRASES, {})
+    assert time.process_time() - began < 10
+    assert n == 2 * words and [p for p, _ in places] == list(range(0, 2 * words, 2))
+
+
 def record(n, body):
     return (f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Block-Digest: sha1:{b32(body)}\r\n"
             f"Content-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
