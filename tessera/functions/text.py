@@ -3,7 +3,9 @@
 Everything here is a plain ``Column -> Column`` function that stays inside
 whole-stage codegen, except Unicode NFKC normalization, which Spark has no
 built-in for: it runs as an Arrow ``pandas_udf`` and only sees rows that hold
-a non-ASCII character (ASCII text is NFKC-stable by definition).
+a non-ASCII character (ASCII text is NFKC-stable by definition).  The whole
+cleaning chain (``cleaned``) is one such function over all rows: its passes
+cost less there than as regular expressions over wide character classes.
 
 Regular expressions are written with explicit classes so that the Java
 engine and RE2 (used by the SQL oracle) agree character by character.
@@ -11,6 +13,7 @@ engine and RE2 (used by the SQL oracle) agree character by character.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -41,6 +44,9 @@ SENTENCE_END = "[.!?]"
 MAX_TEXT_LENGTH = 10000
 # ---------------------------------------------------------------------------
 
+#: The characters of WS_CLASS
+WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000")
 WS_RUN = f"[{WS_CLASS}]+"
 EDGE_WS = f"^[{WS_CLASS}]+|[{WS_CLASS}]+$"
 
@@ -67,6 +73,32 @@ def _make_nfkc():
 _nfkc = _make_nfkc()
 
 
+def _make_cleaned():
+    invisible = re.compile("[\0\u200b-\u200f\u202a-\u202e]")
+
+    def clean(t):
+        if t.isascii():
+            t = t.replace("\0", "")
+        else:
+            t = invisible.sub("", unicodedata.normalize("NFKC", t))
+        # str.split() breaks at runs of exactly the characters of WS_CLASS
+        return " ".join(t.split())
+
+    def clean_batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([clean(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return F.pandas_udf(clean_batch, T.StringType()).asNondeterministic()
+
+
+_cleaned = _make_cleaned()
+
+
+def cleaned(col) -> Column:
+    """T1 then T2 in one pass: NFKC, drop NUL and zero-width / bidi marks, runs
+    of whitespace to one space, strip.  NULL stays NULL."""
+    return _cleaned(_c(col))
+
+
 def is_ascii(col) -> Column:
     return _c(col).rlike(r"^[\x00-\x7F]*$")
 
@@ -78,7 +110,7 @@ def nfkc(col) -> Column:
 
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), EDGE_WS, "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def safe_text(col) -> Column:
@@ -104,9 +136,11 @@ def text_key(col) -> Column:
     return F.regexp_replace(F.lower(strip_ws(_c(col))), WS_RUN, " ")
 
 
-def key_hash(col) -> Column:
-    """Join key for text keys: md5 of the T3 key (texts reach 100k+ chars)."""
-    return F.md5(text_key(col))
+def key_hash(col, normalized: bool = False) -> Column:
+    """Join key for text keys: md5 of the T3 key (texts reach 100k+ chars).
+    ``normalized``: the text has no other whitespace than single spaces between
+    words, so the T3 key is its lower-case form (no regex pass)."""
+    return F.md5(F.lower(_c(col)) if normalized else text_key(col))
 
 
 def truncate(col, max_length: int | None = None) -> Column:
@@ -192,11 +226,19 @@ def first_text(a, b) -> Column:
     return F.coalesce(F.nullif(sa, F.lit("")), sb)
 
 
-def with_sentences(df, text_col: str = "text", out_col: str = "sentences"):
+def with_sentences(df, text_col: str = "text", out_col: str = "sentences", normalized: bool = False):
     """T5 as two projections: the split is materialized once and then read
     twice (an expression with lambdas is never shared by subexpression
-    elimination, so ``sentences()`` evaluates its split twice)."""
+    elimination, so ``sentences()`` evaluates its split twice).
+
+    ``normalized``: the text is cleaned and has single spaces only (``cleaned``),
+    so breaks are plain replacements by NUL, which such a text does not hold,
+    and no sentence is blank or has whitespace around it."""
     c = F.col(text_col)
+    if normalized:
+        for mark in ".!?":
+            c = F.replace(c, F.lit(mark + " "), F.lit(mark + "\0"))
+        return df.withColumn(out_col, F.split(c, "\0"))
     parts = F.split(c, f"(?<={SENTENCE_END})[{WS_CLASS}]+")
     kept = df.withColumn("_kept", F.filter(F.transform(parts, strip_ws), lambda s: s != ""))
     return kept.withColumn(out_col, F.when(F.size("_kept") > 0, F.col("_kept"))

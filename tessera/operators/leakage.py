@@ -13,47 +13,77 @@ min-label propagation over the bipartite (row, key) graph:
 * each round is two partial aggregates (min label per key, then per row) and
   one pointer-jumping join (label of my label), which roughly halves the
   remaining path length;
-* each round's labels are checkpointed to the cluster's checkpoint folder,
-  which cuts the lineage and survives executor loss;
+* the text keys are computed once: they are written to the checkpoint folder
+  with the columns that the caller keeps, and all later steps read that table;
+* each round's labels are written to the cluster's checkpoint folder, which
+  cuts the lineage and survives executor loss;
 * the loop stops when no label changed -- the only driver traffic is one
   count per round.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.sources.files import materialize
 
 PARTITIONS = ("train", "val", "test")
 
 
+#: Digest of an empty text.
+EMPTY_KEY = hashlib.md5(b"").hexdigest()
+
+
+def with_text_keys(df: DataFrame, *, normalized: bool = False) -> DataFrame:
+    """Add ``_text_key`` and ``_pair_key``, the hashed T3 keys of text and
+    text_pair; NULL for a missing or blank text.  ``normalized`` holds for
+    ``text`` (see ``text.key_hash``)."""
+    some = lambda key: F.nullif(key, F.lit(EMPTY_KEY))
+    return (df.withColumn("_text_key", some(tx.key_hash("text", normalized)))
+            .withColumn("_pair_key", some(tx.key_hash("text_pair"))))
+
+
+def _text_keys(df: DataFrame, *cols: str) -> DataFrame:
+    """(cols..., k) for every text key of ``with_text_keys``."""
+    return df.select(*cols, F.explode(F.array("_text_key", "_pair_key")).alias("k")).filter(F.col("k").isNotNull())
+
+
 def leakage_keys(df: DataFrame, id_col: str = "ord") -> DataFrame:
     """(id, k) for every non-empty text key of text / text_pair and every
     pair_id.  Empty keys are dropped (a whitespace-only ``text_pair`` would
     otherwise glue unrelated rows together)."""
-    t = df.select(F.col(id_col).alias("id"), tx.text_key("text").alias("_k"))
-    tp = df.filter(F.col("text_pair").isNotNull()).select(
-        F.col(id_col).alias("id"), tx.text_key("text_pair").alias("_k"))
-    texts = t.unionByName(tp).filter(F.col("_k") != "").select(
-        "id", F.concat(F.lit("t:"), F.md5("_k")).alias("k"))
+    if "_text_key" not in df.columns:
+        df = with_text_keys(df)
+    texts = _text_keys(df, id_col).select(F.col(id_col).alias("id"), F.concat(F.lit("t:"), "k").alias("k"))
     pairs = df.filter(F.col("pair_id").isNotNull() & (F.col("pair_id") != "")).select(
         F.col(id_col).alias("id"), F.concat(F.lit("p:"), F.col("pair_id")).alias("k"))
     return texts.unionByName(pairs).distinct()
 
 
-def connected_components(df: DataFrame, *, id_col: str = "ord",
-                         salts: int = 16) -> DataFrame:
-    """G1: add ``component_id`` = smallest ``id_col`` of the row's component."""
+def connected_components(df: DataFrame, *, id_col: str = "ord", salts: int = 16,
+                         normalized: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """G1: add ``component_id`` = smallest ``id_col`` of the row's component.
+
+    ``keep``: the columns of the result besides it (all); without the texts
+    the rows are small.  ``normalized``: see ``with_text_keys``."""
+    kept = list(df.columns if keep is None else keep)
+    # ``_id`` and ``_pair`` stand for columns that are not kept
+    keyed = materialize(with_text_keys(df, normalized=normalized).select(
+        *kept, F.col(id_col).alias("_id"), F.col("pair_id").alias("_pair"), "_text_key", "_pair_key"), "components")
     # every edge carries a salt from its row id: a key held by millions of rows
     # is joined in ``salts`` pieces against one-row-per-key tables replicated
     # per salt
-    edges = leakage_keys(df, id_col).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    slim = keyed.select("_id", F.col("_pair").alias("pair_id"), "_text_key", "_pair_key")
+    edges = leakage_keys(slim, "_id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
     salt_range = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     shared = (edges.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
               .filter(F.col("_n") > 1).select("k").withColumn("_salt", salt_range))
-    e = edges.join(shared, ["k", "_salt"], "left_semi").checkpoint(eager=True)
+    e = materialize(edges.join(shared, ["k", "_salt"], "left_semi"), "edges")
 
     labels = e.groupBy("id").agg(F.min("id").alias("c"))
     while True:
@@ -64,16 +94,16 @@ def connected_components(df: DataFrame, *, id_col: str = "ord",
             row_min.alias("b"), F.col("a.c") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"),
             F.least(F.col("a.c"), F.coalesce(F.col("b.c"), F.col("a.c"))).alias("c"))
-        new = jump.checkpoint(eager=True)
+        new = materialize(jump, "labels")
         changed = (new.alias("n").join(labels.alias("o"), "id")
                    .filter(F.col("n.c") != F.col("o.c")).limit(1).count())
         labels = new
         if changed == 0:
             break
 
-    comp = labels.select(F.col("id").alias(id_col), F.col("c").alias("component_id"))
-    return (df.join(comp, id_col, "left")
-            .withColumn("component_id", F.coalesce("component_id", F.col(id_col))))
+    comp = labels.select(F.col("id").alias("_id"), F.col("c").alias("component_id"))
+    return (keyed.select(*kept, "_id").join(comp, "_id", "left")
+            .withColumn("component_id", F.coalesce("component_id", "_id")).drop("_id"))
 
 
 def _overlap(keyed: DataFrame, check: str, severity: str) -> DataFrame:
@@ -96,11 +126,14 @@ def leakage_report(split: DataFrame) -> DataFrame:
     * duplicate_text (violation): normalized text / text_pair keys
     * pair_id (violation)
     * source_record (warning): ``source::record_id``
-    An empty result means the split is clean (``ok``)."""
-    texts = split.select("partition", tx.text_key("text").alias("key")).unionByName(
-        split.filter(F.col("text_pair").isNotNull())
-        .select("partition", tx.text_key("text_pair").alias("key")))
-    texts = texts.filter(F.col("key") != "").select("partition", F.md5("key").alias("key"))
+    An empty result means the split is clean (``ok``).  A split may bring the
+    columns of ``with_text_keys`` instead of the texts."""
+    if "_text_key" not in split.columns:
+        split = with_text_keys(split)
+    # every check reads the split twice
+    split = materialize(split.select(
+        "partition", "pair_id", "source", "record_id", "_text_key", "_pair_key"), "leakage")
+    texts = _text_keys(split, "partition").withColumnRenamed("k", "key")
     pairs = split.filter(F.col("pair_id").isNotNull() & (F.col("pair_id") != "")).select(
         "partition", F.col("pair_id").alias("key"))
     srcs = split.select("partition", F.concat_ws("::", F.coalesce("source", F.lit("")),

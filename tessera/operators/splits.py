@@ -16,6 +16,9 @@ the floor of one).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,22 +54,36 @@ def row_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PCT,
             .drop("_stratum", "_h", "_r", "_m"))
 
 
-def group_labels(df: DataFrame) -> DataFrame:
+LABEL_TYPES = ("single_label", "multi_label", "regression")
+
+
+def group_labels(df: DataFrame, label_types: Sequence[str] = LABEL_TYPES) -> DataFrame:
     """X4 + stratum per (task_name, component_id).
 
     Single-label: mode of ``label`` (lowest on ties).  Multi-label: the
-    globally rarest positive label present in the group.  Regression: 0."""
+    globally rarest positive label present in the group.  Regression: quantile
+    of the median.  ``label_types``: the kinds that ``df`` may hold."""
+    frames = []
+    if "single_label" in label_types:
+        frames.append(_mode_strata(df))
+    if "multi_label" in label_types and "labels" in df.columns:
+        frames.append(_rarest_strata(df))
+    if "regression" in label_types:
+        frames.append(regression_strata(df.filter(F.col("label_type") == "regression")))
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def _mode_strata(df: DataFrame) -> DataFrame:
     single = df.filter(F.col("label_type") == "single_label")
     counts = single.groupBy("task_name", "component_id", "label").agg(
         F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("task_name", "component_id").orderBy(F.desc("_n"), "label")
-    mode = (counts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return (counts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .select("task_name", "component_id",
                     F.col("label").cast("bigint").alias("stratum")))
 
-    regr = regression_strata(df.filter(F.col("label_type") == "regression"))
-    if "labels" not in df.columns:
-        return mode.unionByName(regr)
+
+def _rarest_strata(df: DataFrame) -> DataFrame:
     multi = df.filter(F.col("label_type") == "multi_label")
     pos = multi.select("task_name", "component_id", F.explode("labels").alias("lab"))
     freq = pos.groupBy("task_name", "lab").agg(F.count(F.lit(1)).alias("_f"))
@@ -74,10 +91,9 @@ def group_labels(df: DataFrame) -> DataFrame:
     rare = comp_pos.groupBy("task_name", "component_id").agg(
         F.min(F.struct("_f", "lab")).alias("_m")).select(
         "task_name", "component_id", F.col("_m.lab").cast("bigint").alias("stratum"))
-    multi_all = multi.select("task_name", "component_id").distinct().join(
+    return multi.select("task_name", "component_id").distinct().join(
         rare, ["task_name", "component_id"], "left").select(
         "task_name", "component_id", F.coalesce("stratum", F.lit(-1).cast("bigint")).alias("stratum"))
-    return mode.unionByName(multi_all).unionByName(regr)
 
 
 REGRESSION_STRATA = 5
@@ -115,8 +131,10 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
     stratum = floor(n_strata * (#components with a smaller median) / m).
     The ranks come from a bucketed prefix sum, so no task sorts a whole task."""
     from tessera.operators.metrics import ordered_prefix_sum
-    med = group_medians(df, ["task_name", "component_id"], "label", "_med")
-    per_val = med.groupBy("task_name", "_med").agg(F.count(F.lit(1)).alias("_c"))
+    from tessera.sources.files import materialize
+    # both tables are read several times
+    med = materialize(group_medians(df, ["task_name", "component_id"], "label", "_med"), "strata")
+    per_val = materialize(med.groupBy("task_name", "_med").agg(F.count(F.lit(1)).alias("_c")), "strata")
     below = ordered_prefix_sum(per_val, ["task_name"], "_med", "_c", "_below")
     sizes = per_val.groupBy("task_name").agg(F.sum("_c").alias("_m"))
     return (med.join(below.select("task_name", "_med", "_below"), ["task_name", "_med"])
@@ -128,12 +146,12 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
 
 def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PCT,
                 val_pct: int = VAL_PCT, min_eval: int = MIN_EVAL, seed: int = SEED,
-                salts: int = 16) -> DataFrame:
+                salts: int = 16, label_types: Sequence[str] = LABEL_TYPES) -> DataFrame:
     """X2 (stratify=False) / X3 (stratify=True) + X5: assign whole components
     to partitions; rows of one component never straddle partitions.
     Needs ``component_id`` (from ``connected_components``)."""
     if stratify:
-        groups = group_labels(df)
+        groups = group_labels(df, label_types)
     else:
         groups = df.select("task_name", "component_id").distinct().withColumn(
             "stratum", F.lit(0).cast("bigint"))

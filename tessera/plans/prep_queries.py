@@ -74,11 +74,22 @@ split AS (
 )"""
 
 
-def _quality_split(spark, sf_dir):
-    recs = tables.quality_records(spark, sf_dir)
-    prepared = prepare.prepare_records(recs, deduplicate=False)
-    comps = leakage.connected_components(prepared)
-    return splits.group_split(comps)
+#: Columns that splits and their reports read; texts are not carried along.
+SPLIT_COLUMNS = ("record_id", "ord", "task_name", "label_type", "label", "labels")
+
+
+def _components(records, keep=SPLIT_COLUMNS):
+    """Prepared records with their leakage components."""
+    prepared = prepare.prepare_records(records, deduplicate=False)
+    return leakage.connected_components(prepared, normalized=True, keep=keep)
+
+
+def _single_split(records, keep=SPLIT_COLUMNS):
+    return splits.group_split(_components(records, keep), label_types=("single_label",))
+
+
+def _quality_split(spark, sf_dir, keep=SPLIT_COLUMNS):
+    return _single_split(tables.quality_records(spark, sf_dir), keep)
 
 
 @query("split_distribution", oracle=f"""
@@ -270,7 +281,7 @@ FROM fixed
 """)
 def sentence_split(spark, sf_dir):
     """T5: sentences of every prepared document (whole texts)."""
-    p = tx.with_sentences(prepare.clean_records(tables.document_records(spark, sf_dir)))
+    p = tx.with_sentences(prepare.clean_records(tables.document_records(spark, sf_dir)), normalized=True)
     return (p.select("record_id", F.posexplode("sentences").alias("sentence_index", "s"))
             .select("record_id", "sentence_index", F.md5("s").alias("sentence_md5"),
                     F.length("s").alias("sentence_length")))
@@ -399,7 +410,7 @@ SELECT record_id, component_id FROM comp
 def leakage_components(spark, sf_dir):
     """G1: connected components over documents and conversation pairs linked
     by shared normalized texts (text or text_pair) and pair ids."""
-    return leakage.connected_components(_mixed(spark, sf_dir)).select(
+    return leakage.connected_components(_mixed(spark, sf_dir), normalized=True, keep=("record_id",)).select(
         "record_id", "component_id")
 
 
@@ -445,8 +456,7 @@ FROM comp c JOIN ranked USING (task_name, component_id)
 """)
 def split_groups_plain(spark, sf_dir):
     """Unstratified group split (shares are of components)."""
-    p = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
-    comps = leakage.connected_components(p)
+    comps = _components(tables.quality_records(spark, sf_dir))
     return splits.group_split(comps, stratify=False).select("record_id", "partition")
 
 
@@ -538,8 +548,7 @@ FROM lab JOIN part USING (task_name, partition)
 def split_distribution_multi(spark, sf_dir):
     """X3/X4/X7 multi-label: groups stratified by their rarest positive label;
     label frequency per partition."""
-    p = prepare.prepare_records(tables.multilabel_records(spark, sf_dir), deduplicate=False)
-    split = splits.group_split(leakage.connected_components(p))
+    split = _multi_split(spark, sf_dir)
     return splits.multilabel_distribution(split).select(
         "task_name", "partition", "label", "frequency", "n_rows",
         F.col("n_with_positive").cast("bigint").alias("n_with_positive"))
@@ -586,8 +595,7 @@ def split_coverage_multi(spark, sf_dir):
 
 
 def _multi_split(spark, sf_dir):
-    p = prepare.prepare_records(tables.multilabel_records(spark, sf_dir), deduplicate=False)
-    return splits.group_split(leakage.connected_components(p))
+    return splits.group_split(_components(tables.multilabel_records(spark, sf_dir)), label_types=("multi_label",))
 
 
 def _overlap_sql(src: str, check: str, severity: str) -> str:
@@ -626,8 +634,10 @@ split AS (SELECT record_id, text, CAST(NULL AS VARCHAR) AS text_pair, CAST(NULL
 def leakage_report(spark, sf_dir):
     """Overlap of texts and source ids between partitions of a
     plain row split of the documents (dedupe off, so duplicates leak)."""
-    p = prepare.clean_records(tables.document_records(spark, sf_dir))
-    return leakage.leakage_report(splits.row_split(p, stratify=False))
+    from tessera.sources import files
+    p = leakage.with_text_keys(prepare.clean_records(tables.document_records(spark, sf_dir)), normalized=True)
+    keyed = files.materialize(p.drop("text", "text_pair"), "keyed")
+    return leakage.leakage_report(splits.row_split(keyed, stratify=False))
 
 
 @query("leakage_pairs", oracle=f"""
@@ -663,9 +673,7 @@ prep AS (
 def split_coverage_combo(spark, sf_dir):
     """X8 on a four-class task (2*quality + toxic) whose rare class triggers
     coverage findings."""
-    p = prepare.prepare_records(tables.combo_records(spark, sf_dir), deduplicate=False)
-    split = splits.group_split(leakage.connected_components(p))
-    return splits.coverage_report(split)
+    return splits.coverage_report(_single_split(tables.combo_records(spark, sf_dir)))
 
 
 @query("split_distribution_combo", oracle=f"""
@@ -678,8 +686,7 @@ FROM split GROUP BY task_name, partition, CAST(label AS INTEGER)
 """)
 def split_distribution_combo(spark, sf_dir):
     """X3/X7 on the four-class task."""
-    p = prepare.prepare_records(tables.combo_records(spark, sf_dir), deduplicate=False)
-    return splits.class_distribution(splits.group_split(leakage.connected_components(p)))
+    return splits.class_distribution(_single_split(tables.combo_records(spark, sf_dir)))
 
 
 # --- file sources and sinks -------------------------------------------------------------
@@ -698,7 +705,7 @@ def partition_counts(spark, sf_dir):
     from functools import reduce as _reduce
 
     from tessera.sources import files
-    split = _quality_split(spark, sf_dir)
+    split = _quality_split(spark, sf_dir, keep=None)  # the export holds whole records
     root = files.scratch_path(spark, "partitions")
     files.export_partitions(split, root)
     frames = [files.load_partition(spark, root, track="tone", task_name="quality", partition=p)
@@ -901,9 +908,11 @@ def split_distribution_regression(spark, sf_dir):
     """X3/X4/X7 for a regression target (log10 of the length): groups
     stratified by quantile of their median; min / max / mean / distinct values
     per partition."""
-    p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
-    split = splits.group_split(leakage.connected_components(p))
-    return splits.regression_distribution(split)
+    return splits.regression_distribution(_regression_split(spark, sf_dir))
+
+
+def _regression_split(spark, sf_dir):
+    return splits.group_split(_components(tables.regression_records(spark, sf_dir)), label_types=("regression",))
 
 
 @query("split_coverage_regression", oracle=f"""
@@ -915,8 +924,7 @@ FROM (VALUES ('val'), ('test')) p(partition) LEFT JOIN split s USING (partition)
 """)
 def split_coverage_regression(spark, sf_dir):
     """X8 regression: rows of val and test against the least number."""
-    p = prepare.prepare_records(tables.regression_records(spark, sf_dir), deduplicate=False)
-    return splits.regression_coverage(splits.group_split(leakage.connected_components(p)))
+    return splits.regression_coverage(_regression_split(spark, sf_dir))
 
 
 @query("pair_regression_records", oracle=f"""

@@ -62,3 +62,44 @@ def test_hot_key_third_of_rows(spark):
     assert [r.component_id for r in hot] == [0]
     assert comp.filter(F.col("text") != "hot text").filter(
         F.col("component_id") != F.col("ord")).count() == 0
+
+
+def _counted(spark, rows):
+    """Rows whose text passes a function that counts its calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        calls.add(1)
+        return t
+
+    text = F.udf(seen, "string").asNondeterministic()("text")
+    return _pairs(spark, rows).withColumn("text", text), calls
+
+
+def test_split_reads_every_text_once(spark):
+    df, calls = _counted(spark, [(f"t{i % 37}", None, None) for i in range(100)])
+    comps = leakage.connected_components(df, keep=("record_id", "task_name", "label_type", "label"))
+    assert "text" not in comps.columns
+    split = splits.group_split(comps, label_types=("single_label",))
+    assert split.count() == 100 and split.groupBy("partition").count().count() == 3
+    assert calls.value == 100
+
+
+def test_report_reads_every_text_once(spark):
+    df, calls = _counted(spark, [(f"T{i % 5} ", f" t{i % 7}", None) for i in range(100)])
+    rep = leakage.leakage_report(df.withColumn("partition", F.element_at(
+        F.array(*map(F.lit, leakage.PARTITIONS)), (F.col("ord") % 3 + 1).cast("int"))))
+    assert {(r.check, r.n_shared) for r in rep.collect()} == {("duplicate_text", 7)}
+    assert calls.value == 100
+
+
+def test_keys_of_odd_rows(spark):
+    """Null and repeated ids, null and blank texts, keys of plain and of normalized texts."""
+    rows = [("r0", 1, "A b", None, None), ("r1", 2, "a  b ", " ", ""), ("r2", None, "a b", None, None),
+            ("r3", 4, None, None, "p"), ("r4", 4, "", " z", "p"), ("r5", 6, "Z", None, None), ("r6", 7, "q", None, "p")]
+    df = spark.createDataFrame(rows, "record_id string, ord long, text string, text_pair string, pair_id string")
+    got = {r.record_id: r.component_id for r in leakage.connected_components(df).collect()}
+    assert got == {"r0": 1, "r1": 1, "r2": None, "r3": 4, "r4": 4, "r5": 4, "r6": 4}
+    slim = leakage.connected_components(df, keep=("record_id",))
+    assert slim.columns == ["record_id", "component_id"]
+    assert {r.record_id: r.component_id for r in slim.collect()} == got

@@ -72,3 +72,22 @@ def test_top_frequency_and_unique_ratio(spark):
                      tx.token_unique_ratio(F.col("t")).alias("u")).collect()
     assert abs(rows[0].top - 0.6) < 1e-12 and abs(rows[0].u - 0.6) < 1e-12
     assert rows[1].top == 0.0 and rows[1].u == 0.0
+
+
+def test_cleaned_is_the_chain_of_its_steps(spark):
+    odd = ["", " ", None, "a\u0000b", "​ ‎", "x​  y", "ﬁ  ① ", "\u0085a\u001cb　", "İ̇ ẞ",
+           "é ‪c", "  q  ", "﻿z", "a​", "日　本", "tab\tnl\n"] + [
+           f"a{chr(c)}b" for c in [*range(0x21), *range(0x7F, 0xB0), *range(0x1680, 0x1682), *range(0x2000, 0x2070), 0x3000]]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    got = df.select("i", "t", tx.cleaned("t").alias("c"), tx.normalize_whitespace(tx.clean_text("t")).alias("w"),
+                    tx.strip_ws("t").alias("s")).collect()
+    assert all(r.c == r.w for r in got)
+    assert all(r.s == (None if r.t is None else r.t.strip()) for r in got)
+
+
+def test_normalized_sentences_and_keys(spark):
+    texts = ["", "Ab c. d? E! f", "a. . b.", "x.y z", "...", "! ? .", "ΟΔΟΣ. Σ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in tx.with_sentences(tx.with_sentences(df), out_col="n", normalized=True).select(
+            "sentences", "n", tx.key_hash("text").alias("a"), tx.key_hash("text", True).alias("b")).collect():
+        assert r.sentences == r.n and r.a == r.b
