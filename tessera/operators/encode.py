@@ -15,8 +15,10 @@ tokens.  A token's state is its hash bucket's row of the layers' matrices.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from tessera.session import ship_package
 N_LAYERS = 4
 DIM = 16
 SEED = 7
+#: Segments whose vectors a pooling task holds before it hands them on.
+POOL_ROWS = 4096
 
 
 def projection_matrix(*, n_layers: int = N_LAYERS, dim: int = DIM, buckets: int = surface.NGRAM_DIM,
@@ -90,31 +94,58 @@ def segment_means(states: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return np.where(lengths > 0, (sums[ends] - sums[starts]) / np.maximum(lengths, 1), sums[-1] / len(states))
 
 
+def token_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """``surface.ngram_bucket`` of every word, hashed once per distinct word."""
+    coded = words.dictionary_encode()
+    found = [int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % buckets for w in coded.dictionary.to_pylist()]
+    return np.array(found, dtype=np.int64)[coded.indices.to_numpy()]
+
+
 def sentence_pool(df: DataFrame, *, id_col: str = "record_id", text_col: str = "text",
-                  n_layers: int = N_LAYERS, dim: int = DIM) -> DataFrame:
+                  n_layers: int = N_LAYERS, dim: int = DIM, normalized: bool = False) -> DataFrame:
     """V7: (id, layer, seg, vec) -- one vector per sentence and layer; a text
-    without tokens has one zero vector per layer.
+    without tokens has one zero vector per layer.  ``normalized``: see
+    ``text.with_sentences``.
 
-    A segmented reduction inside the row: token buckets and sentence sizes are
-    arrays of a text, and its segments' means come from running sums over its
-    token states.  No token becomes a row and nothing is shuffled."""
+    A segmented reduction inside the row: the words of a text are cut once, by
+    sentence, and its segments' means come from running sums over its token
+    states.  No token becomes a row, nothing is shuffled, and at most
+    ``POOL_ROWS`` segments and one text are held at a time."""
     ship_package(df.sparkSession)
     weights = projection_matrix(n_layers=n_layers, dim=dim)
-
-    @F.pandas_udf("array<array<double>>")
-    def pooled(buckets: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = []
-        for own, lengths in zip(buckets, sizes):
-            if len(own) == 0:
-                out.append([np.zeros(weights.shape[1])])
-                continue
-            out.append(list(segment_means(weights[own], *segment_bounds(lengths, len(own)))))
-        return pd.Series(out)
+    width = weights.shape[1]
+
+    def packed(owners, held, ids):
+        sizes, vecs = list(map(len, held)), np.concatenate(held)
+        offsets = np.arange(len(vecs) + 1, dtype=np.int32) * width
+        return pa.RecordBatch.from_arrays([
+            ids.take(pa.array(np.repeat(owners, sizes))),
+            pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(vecs.ravel()))], [id_col, "seg", "_v"])
+
+    def pooled(batches):
+        for batch in batches:
+            texts, ids = batch.column("_words"), batch.column(id_col)
+            sentences, words = texts.offsets.to_numpy(), texts.values
+            cuts, own = words.offsets.to_numpy(), token_buckets(words.values, len(weights))
+            owners, held, n = [], [], 0
+            for i in range(len(texts)):
+                at = cuts[sentences[i]:sentences[i + 1] + 1]
+                start, end = at[0], at[-1]
+                held.append(np.zeros((1, width)) if start == end else segment_means(
+                    weights[own[start:end]], *segment_bounds(np.diff(at), end - start)))
+                owners.append(i)
+                n += len(held[-1])
+                if n >= POOL_ROWS:
+                    yield packed(owners, held, ids)
+                    owners, held, n = [], [], 0
+            if held:
+                yield packed(owners, held, ids)
 
     # a word token never straddles a sentence break (breaks are whitespace)
-    sent = tx.with_sentences(df.select(id_col, text_col), text_col, "_sent")
-    counted = sent.select(id_col, F.transform("_sent", lambda s: F.size(tx.tokens(s))).alias("_sizes"), F.transform(
-        tx.tokens(text_col), lambda t: surface.ngram_bucket(t).cast("int")).alias("_buckets"))
-    segments = counted.select(id_col, F.posexplode(pooled("_buckets", "_sizes")).alias("seg", "_v"))
+    sent = tx.with_sentences(df.select(id_col, text_col), text_col, "_sent", normalized)
+    cut = sent.select(id_col, F.transform("_sent", tx.tokens).alias("_words"))
+    segments = cut.mapInArrow(
+        pooled, f"`{id_col}` {cut.schema[id_col].dataType.simpleString()}, seg int, _v array<double>")
     return segments.select(id_col, F.posexplode(F.array(*[
         F.slice("_v", layer * dim + 1, dim) for layer in range(n_layers)])).alias("layer", "vec"), "seg")

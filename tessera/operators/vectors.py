@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
@@ -159,10 +159,20 @@ def to_long(df: DataFrame, id_cols: Sequence[str], vec_col: str = "vec",
     """(ids..., vec) -> (ids..., dim, value); values rounded for comparison."""
     e = df.select(*id_cols, F.posexplode(vec_col).alias("dim", value_col))
     if digits is not None:
-        e = e.withColumn(value_col, F.round(F.col(value_col), digits) + F.lit(0.0))
+        e = e.withColumn(value_col, rounded(F.col(value_col), digits) + F.lit(0.0))
     return e.withColumn("dim", F.col("dim").cast("int"))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``F.round`` of a double without a decimal number per value, except near
+    ties and for large values, where the product's rounding could decide."""
+    value = value.cast("double")
+    scaled = value * float(10 ** digits)
+    off_tie = F.abs(F.abs(scaled - F.rint(scaled)) - 0.5) > 1e-4
+    return F.when((F.abs(scaled) < 1e11) & off_tie, F.rint(scaled) / float(10 ** digits)).otherwise(
+        F.round(value, digits))
+
+
 # ---------------------------------------------------------------------------
 # concept directions (V14, V15, V22, V23) and interventions
 

@@ -75,7 +75,9 @@ def surface_baseline(spark, sf_dir):
     """M9 (+T16): logistic and SVM probes on the 264 surface features of the
     prepared, leakage-safe split documents (quality label)."""
     recs = prepare.prepare_records(tables.quality_records(spark, sf_dir), deduplicate=False)
-    split = splits.group_split(leakage.connected_components(recs))
+    comps = leakage.connected_components(recs, normalized=True, keep=(
+        "record_id", "ord", "task_name", "label_type", "label", "text"))
+    split = splits.group_split(comps, label_types=("single_label",))
     feats = surface.feature_vectors(split.select("record_id", "text", "label", "partition"))
     # both estimators read one feature table (built once)
     vecs = feats.select(F.col("record_id").alias("id"), F.lit(0).alias("layer"),
@@ -191,4 +193,4 @@ def pool_sentences(spark, sf_dir):
     """V7: sentence-level vectors per layer for every prepared document."""
     from tessera.operators import encode
     p = prepare.clean_records(tables.document_records(spark, sf_dir))
-    return VO.to_long(encode.sentence_pool(p), ["record_id", "layer", "seg"])
+    return VO.to_long(encode.sentence_pool(p, normalized=True), ["record_id", "layer", "seg"])

@@ -4,6 +4,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -100,3 +101,21 @@ def test_plugged_in_encoder(spark):
                              pair_col="text_pair")
     assert {(r.record_id, r.layer, r.vec[0]) for r in out.collect()} == {("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 2.0), ("b", 1, 0.0)}
     assert out.agg(F.count("vec")).first()[0] == 4
+
+
+def test_word_buckets_are_those_of_the_column(spark):
+    words = ["a", "B", "größe", "日本", "a", "İx"]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, w string")
+    want = [r[0] for r in df.orderBy("i").select(surface.ngram_bucket(F.col("w")).cast("int")).collect()]
+    assert encode.token_buckets(pa.array(words), surface.NGRAM_DIM).tolist() == want
+    assert encode.token_buckets(pa.array([], pa.string()), 256).tolist() == []
+
+
+def test_pooling_of_normalized_and_long_texts(spark):
+    long = " ".join(f"w{i % 97} v{i % 5}." for i in range(2 * encode.POOL_ROWS))
+    texts = ["", "Ab c. d? E! f", "a. . b.", "x.y z", "ΟΔΟΣ. Σ!", long]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "record_id string, text string").coalesce(1)
+    key = ["record_id", "layer", "seg"]
+    plain = encode.sentence_pool(df).orderBy(*key).collect()
+    assert plain == encode.sentence_pool(df, normalized=True).orderBy(*key).collect()
+    assert sum(r.record_id == "5" and r.layer == 0 for r in plain) == 2 * encode.POOL_ROWS
