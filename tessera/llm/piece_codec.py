@@ -34,7 +34,7 @@ from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +47,7 @@ MEMO_CHARS = 64
 #: Longest run that is a row of a matrix; longer ones have a heap of their own.
 ROW_CHARS = 32
 #: Characters of the texts that are cut and merged together (or one text).
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Place of a pair that is no piece, behind all others.
 NO_PIECE = (1 << 31) - 1
 #: Bits of a symbol in the number of a pair.
@@ -359,33 +359,47 @@ def encode_texts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id",
 
     Workers keep their memos after the task; ``memo`` bounds them, for jobs
     whose other stages need the memory."""
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
+              ("agrees", pa.bool_())]
+
+    def packed(owners: pa.Array, found: list[tuple], all_ids: list[np.ndarray]) -> pa.RecordBatch:
+        columns = [owners, *(pa.array(c, t) for c, (_, t) in zip(zip(*found), fields))]
+        names = ["_id", *(n for n, _ in fields)]
+        if with_ids:
+            ends = np.cumsum([0, *map(len, all_ids)], dtype=np.int64).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids))))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path, memo)
         for batch in batches:
-            counts, id_digests, text_digests, agrees, all_ids = [], [], [], [], []
-            for text, ids in c.encode_all(batch["_text"]):
-                decoded = c.decode(ids)
-                counts.append(len(ids))
+            owners, done, held = batch.column("_id"), 0, 0
+            found, all_ids = [], []
+            # texts become strings a chunk at a time, and results leave as often
+            for text, ids in c.encode_all(t.as_py() for t in batch.column("_text")):
+                decoded, agrees = c.decode(ids), None
                 if with_ids:
                     all_ids.append(np.frombuffer(ids, np.uint32).astype(np.int32))
                 le = ids if array("H", [1]).tobytes() == b"\x01\x00" else array("I", ids)
                 if le is not ids:
                     le.byteswap()
-                id_digests.append(hashlib.sha256(le.tobytes()).hexdigest())
-                text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if check:
                     # 32-bit integers on both sides
                     theirs = c.library.encode_as_numpy(text, add_bos=True, add_eos=True)
-                    agrees.append(theirs.tobytes() == ids.tobytes() and c.library.decode(theirs) == decoded)
-                else:
-                    agrees.append(None)
-            out = {"_id": batch["_id"], "n_tokens": counts, "ids_sha256": id_digests,
-                   "decoded_sha256": text_digests, "agrees": pd.array(agrees, dtype="boolean")}
-            yield pd.DataFrame(out | ({"ids": all_ids} if with_ids else {}))
+                    agrees = theirs.tobytes() == ids.tobytes() and c.library.decode(theirs) == decoded
+                found.append((len(ids), hashlib.sha256(le.tobytes()).hexdigest(),
+                              hashlib.sha256(decoded.encode()).hexdigest(), agrees))
+                held += len(text)
+                if held >= CHUNK_CHARS:
+                    yield packed(owners.slice(done, len(found)), found, all_ids)
+                    done, held, found, all_ids = done + len(found), 0, [], []
+            if found:
+                yield packed(owners.slice(done, len(found)), found, all_ids)
 
     slim = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    return slim.mapInPandas(
+    return slim.mapInArrow(
         rows, f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean"
         + (", ids array<int>" if with_ids else "")
     ).withColumnRenamed("_id", id_col)
