@@ -657,3 +657,15 @@ def test_round_trip_reports_gaps(spark, tmp_path):
 
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in llm.QUERIES] == [f"op{n}" for n in range(1, 11)]
+
+
+def test_texts_of_several_chunks_keep_their_ids(spark):
+    n = piece_codec.CHUNK_CHARS
+    texts = ["", "ab " * (n // 2), None, "x", "é日" * 10, "cd " * n, "tail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in piece_codec.encode_texts(df, tokenizer_path(), with_ids=True).collect()}
+    c = piece_codec.codec(tokenizer_path())
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert got[i].agrees and got[i].ids == c.library.encode(t or "", add_bos=True, add_eos=True)
+    assert "MapInArrow" in piece_codec.encode_texts(df, tokenizer_path())._jdf.queryExecution().executedPlan().toString()
