@@ -4,15 +4,19 @@ Rows are linked when they share a normalized text (of ``text`` or
 ``text_pair``, one namespace) or a ``pair_id``.  Components are found by
 min-label propagation over the bipartite (row, key) graph:
 
-* keys held by a single row connect nothing and are dropped up front, so on
-  typical data only duplicated texts and real pairs enter the loop;
-* the edge-to-key join is salted (edges by row id, the one-row-per-key
-  minimum replicated per salt), so a key shared by a third of all rows is
-  split over many tasks; the pointer-jumping join is left to AQE's skew
-  splitting (its build side is one row per node);
-* each round is two partial aggregates (min label per key, then per row) and
-  one pointer-jumping join (label of my label), which roughly halves the
-  remaining path length;
+* keys held by a single row connect nothing and are dropped up front; every
+  other key stands for the smallest row that holds it, its representative;
+* a row whose keys have one representative belongs to it; only rows with two
+  or more (bridges) link representatives, and only these links enter the loop.
+  Rows with one text and no pair have none, so there is no loop at all;
+* a key held by more than one row in 1,024 is joined by broadcast; within the
+  loop a representative's links are salted (its label replicated per salt), so
+  a key shared by a third of all rows is never held by one task; the
+  pointer-jumping join is left to AQE's skew splitting (its build side is one
+  row per node);
+* each round is two partial aggregates (min label per bridge, then per
+  representative) and one pointer-jumping join (label of my label), which
+  roughly halves the remaining path length;
 * the text keys are computed once: they are written to the checkpoint folder
   with the columns that the caller keeps, and all later steps read that table;
 * each round's labels are written to the cluster's checkpoint folder, which
@@ -26,10 +30,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators.ranking import join_spread
 from tessera.sources.files import materialize
 
 PARTITIONS = ("train", "val", "test")
@@ -59,10 +64,14 @@ def leakage_keys(df: DataFrame, id_col: str = "ord") -> DataFrame:
     otherwise glue unrelated rows together)."""
     if "_text_key" not in df.columns:
         df = with_text_keys(df)
-    texts = _text_keys(df, id_col).select(F.col(id_col).alias("id"), F.concat(F.lit("t:"), "k").alias("k"))
-    pairs = df.filter(F.col("pair_id").isNotNull() & (F.col("pair_id") != "")).select(
-        F.col(id_col).alias("id"), F.concat(F.lit("p:"), F.col("pair_id")).alias("k"))
-    return texts.unionByName(pairs).distinct()
+    return _edges(df, id_col).distinct()
+
+
+def _edges(df: DataFrame, id_col: str) -> DataFrame:
+    """``leakage_keys`` with repeats, in one pass over the rows."""
+    pair = F.when(F.col("pair_id") != "", F.concat(F.lit("p:"), F.col("pair_id")))
+    keys = F.array(F.concat(F.lit("t:"), "_text_key"), F.concat(F.lit("t:"), "_pair_key"), pair)
+    return df.select(F.col(id_col).alias("id"), F.explode(keys).alias("k")).filter(F.col("k").isNotNull())
 
 
 def connected_components(df: DataFrame, *, id_col: str = "ord", salts: int = 16,
@@ -75,21 +84,38 @@ def connected_components(df: DataFrame, *, id_col: str = "ord", salts: int = 16,
     # ``_id`` and ``_pair`` stand for columns that are not kept
     keyed = materialize(with_text_keys(df, normalized=normalized).select(
         *kept, F.col(id_col).alias("_id"), F.col("pair_id").alias("_pair"), "_text_key", "_pair_key"), "components")
-    # every edge carries a salt from its row id: a key held by millions of rows
-    # is joined in ``salts`` pieces against one-row-per-key tables replicated
-    # per salt
-    slim = keyed.select("_id", F.col("_pair").alias("pair_id"), "_text_key", "_pair_key")
-    edges = leakage_keys(slim, "_id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    salt_range = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    shared = (edges.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-              .filter(F.col("_n") > 1).select("k").withColumn("_salt", salt_range))
-    e = materialize(edges.join(shared, ["k", "_salt"], "left_semi"), "edges")
-
-    labels = e.groupBy("id").agg(F.min("id").alias("c"))
+    edges = _edges(keyed.select("_id", F.col("_pair").alias("pair_id"), "_text_key", "_pair_key"), "_id")
+    shared = materialize(edges.filter(F.col("id").isNotNull()).groupBy("k").agg(
+        F.min("id").alias("r"), F.max("id").alias("_hi"), F.count(F.lit(1)).alias("_n")).filter("r < _hi")
+        .drop("_hi"), "shared")
+    held = materialize(join_spread(edges, shared, ["k"], "_n").select("id", "r"), "edges")
+    tops = materialize(held.groupBy("id").agg(F.min("r").alias("r"), F.max("r").alias("_hi")), "tops")
+    bridges = tops.filter("r < _hi").select("id")
+    if not bridges.isEmpty():
+        links = held.join(bridges, "id", "left_semi").select(F.col("r").alias("id"), F.col("id").alias("k")).distinct()
+        labels = _least_reached(links, salts).select(F.col("id").alias("r"), "c", _salts(salts))
+        tops = (tops.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+                .join(labels, ["r", "_salt"], "left").withColumn("r", F.coalesce("c", "r")))
+    comp = tops.select(F.col("id").alias("_id"), F.col("r").alias("component_id"))
+    return (keyed.select(*kept, "_id").join(comp, "_id", "left")
+            .withColumn("component_id", F.coalesce("component_id", "_id")).drop("_id"))
+
+
+def _salts(salts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
+
+
+def _least_reached(links: DataFrame, salts: int) -> DataFrame:
+    """(id, c): the smallest id that every id of ``links`` (id, k) reaches.
+
+    An id may have links to many k, so its edges carry a salt and its label is
+    replicated per salt; a k has few ids."""
+    e = materialize(links.withColumn("_salt", F.pmod(F.xxhash64("k"), F.lit(salts))), "links")
+    labels = e.select("id", F.col("id").alias("c")).distinct()
     while True:
-        key_min = e.join(labels, "id").groupBy("k").agg(F.min("c").alias("kc"))
-        key_min = key_min.withColumn("_salt", salt_range)
-        row_min = e.join(key_min, ["k", "_salt"]).groupBy("id").agg(F.min("kc").alias("c"))
+        key_min = e.join(labels.select("id", "c", _salts(salts)), ["id", "_salt"]).groupBy("k").agg(
+            F.min("c").alias("kc"))
+        row_min = e.join(key_min, "k").groupBy("id").agg(F.min("kc").alias("c"))
         jump = row_min.alias("a").join(
             row_min.alias("b"), F.col("a.c") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"),
@@ -99,11 +125,7 @@ def connected_components(df: DataFrame, *, id_col: str = "ord", salts: int = 16,
                    .filter(F.col("n.c") != F.col("o.c")).limit(1).count())
         labels = new
         if changed == 0:
-            break
-
-    comp = labels.select(F.col("id").alias("_id"), F.col("c").alias("component_id"))
-    return (keyed.select(*kept, "_id").join(comp, "_id", "left")
-            .withColumn("component_id", F.coalesce("component_id", "_id")).drop("_id"))
+            return labels
 
 
 def _overlap(keyed: DataFrame, check: str, severity: str) -> DataFrame:

@@ -84,3 +84,25 @@ def first_n_by_order(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return (stage1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n)
             .drop("_salt", "_r1", "_r2"))
+
+
+#: A key is hot when it holds more than one row in this many.
+HOT_SHARE = 1024
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], count_col: str) -> DataFrame:
+    """Inner join of many rows with a materialized table of one small row per
+    key, whose ``count_col`` is the number of the key's rows in ``left``.
+
+    Hot keys, of which there are fewer than ``HOT_SHARE``, are joined by
+    broadcast, so none passes a shuffle; the rest is a plain join."""
+    keys = list(keys)
+    size = right.agg(F.sum(count_col).alias("total"), F.max(count_col).alias("most")).first()
+    slim = right.drop(count_col)
+    if not size["total"] or size["most"] * HOT_SHARE <= size["total"]:
+        return left.join(slim, keys)
+    is_hot = F.col(count_col) * HOT_SHARE > F.lit(size["total"])
+    hot = F.broadcast(right.filter(is_hot).drop(count_col))
+    rest = right.filter(~is_hot).drop(count_col)
+    cold = left.join(F.broadcast(right.filter(is_hot).select(*keys)), keys, "left_anti").join(rest, keys)
+    return left.join(hot, keys).unionByName(cold)

@@ -103,3 +103,29 @@ def test_keys_of_odd_rows(spark):
     slim = leakage.connected_components(df, keep=("record_id",))
     assert slim.columns == ["record_id", "component_id"]
     assert {r.record_id: r.component_id for r in slim.collect()} == got
+
+
+def test_rows_of_one_key_need_no_loop(spark, monkeypatch):
+    """Copies of one text alone are found without rounds of labels; bridges between texts need them."""
+    written = []
+
+    def noted(df, name, write=leakage.materialize):
+        written.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(leakage, "materialize", noted)
+    got = leakage.connected_components(_pairs(spark, [(f"t{i % 9}", None, None) for i in range(60)])).collect()
+    assert all(r.component_id == r.ord % 9 for r in got) and "labels" not in written
+    got = leakage.connected_components(_pairs(spark, [(f"t{i}", f"t{i + 1}", None) for i in range(40)])).collect()
+    assert {r.component_id for r in got} == {0} and "labels" in written
+
+
+def test_split_does_not_repeat_components(spark):
+    """A component's partition is not copied for the rows' join, also if it holds most rows."""
+    comps = spark.range(4000).selectExpr(
+        "id AS ord", "CAST(id AS string) AS record_id", "'t' AS task_name", "'single_label' AS label_type",
+        "CAST(id % 2 AS double) AS label", "IF(id < 1500, 0L, id) AS component_id")
+    split = splits.group_split(comps, label_types=("single_label",))
+    assert "generate" not in split._jdf.queryExecution().executedPlan().toString().lower()
+    assert split.count() == 4000
+    assert split.filter("component_id = 0").select("partition").distinct().count() == 1
