@@ -19,10 +19,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import hash_rank, seeded_hash
+from tessera.operators.ranking import hash_rank, join_spread, seeded_hash
+from tessera.sources.files import materialize
 
 TEST_PCT = 20
 VAL_PCT = 10
@@ -77,10 +78,10 @@ def _mode_strata(df: DataFrame) -> DataFrame:
     single = df.filter(F.col("label_type") == "single_label")
     counts = single.groupBy("task_name", "component_id", "label").agg(
         F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("task_name", "component_id").orderBy(F.desc("_n"), "label")
-    return (counts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select("task_name", "component_id",
-                    F.col("label").cast("bigint").alias("stratum")))
+    # the least of (-count, label); a NULL label sorts first
+    return (counts.groupBy("task_name", "component_id")
+            .agg(F.min(F.struct((-F.col("_n")).alias("_n"), "label")).alias("_m"))
+            .select("task_name", "component_id", F.col("_m.label").cast("bigint").alias("stratum")))
 
 
 def _rarest_strata(df: DataFrame) -> DataFrame:
@@ -103,12 +104,25 @@ def group_medians(df: DataFrame, group_cols: list[str], value_col: str, out_col:
     """Exact median per group (mean of the two middle values of an even
     number); nulls do not count, a group of nulls alone has a null median.
 
-    Equal values become counts and the counts prefix sums over value buckets,
-    so a group that holds half of all rows is held by no single task."""
-    from tessera.operators.metrics import ordered_prefix_sum
-    from tessera.sources.files import materialize
+    A group of one value has that median.  For the others equal values become
+    counts and the counts prefix sums over value buckets, so a group that holds
+    half of all rows is held by no single task."""
     counted = materialize(df.groupBy(*group_cols, F.col(value_col).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")), "medians")
+    ends = materialize(counted.groupBy(*group_cols).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "ends")
+    mixed = F.coalesce(F.col("_lo") < F.col("_hi"), F.lit(False))
+    one = ends.filter(~mixed).select(*group_cols, ((F.col("_lo") + F.col("_lo")) / 2).alias(out_col))
+    many = ends.filter(mixed).select(*group_cols)
+    if many.isEmpty():
+        return one
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group_cols]
+    counted = materialize(counted.alias("a").join(many.alias("b"), same, "left_semi"), "medians")
+    return one.unionByName(_middle_values(counted, group_cols, out_col))
+
+
+def _middle_values(counted: DataFrame, group_cols: list[str], out_col: str) -> DataFrame:
+    """Medians of counted values (``_v``, ``_c``) per group."""
+    from tessera.operators.metrics import ordered_prefix_sum
     held = counted.filter(F.col("_v").isNotNull())
     sizes = counted.groupBy(*group_cols).agg(
         F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))), F.lit(0)).alias("_n"))
@@ -131,7 +145,6 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
     stratum = floor(n_strata * (#components with a smaller median) / m).
     The ranks come from a bucketed prefix sum, so no task sorts a whole task."""
     from tessera.operators.metrics import ordered_prefix_sum
-    from tessera.sources.files import materialize
     # both tables are read several times
     med = materialize(group_medians(df, ["task_name", "component_id"], "label", "_med"), "strata")
     per_val = materialize(med.groupBy("task_name", "_med").agg(F.count(F.lit(1)).alias("_c")), "strata")
@@ -146,7 +159,7 @@ def regression_strata(df: DataFrame, n_strata: int = REGRESSION_STRATA) -> DataF
 
 def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PCT,
                 val_pct: int = VAL_PCT, min_eval: int = MIN_EVAL, seed: int = SEED,
-                salts: int = 16, label_types: Sequence[str] = LABEL_TYPES) -> DataFrame:
+                label_types: Sequence[str] = LABEL_TYPES) -> DataFrame:
     """X2 (stratify=False) / X3 (stratify=True) + X5: assign whole components
     to partitions; rows of one component never straddle partitions.
     Needs ``component_id`` (from ``connected_components``)."""
@@ -155,20 +168,17 @@ def group_split(df: DataFrame, *, stratify: bool = True, test_pct: int = TEST_PC
     else:
         groups = df.select("task_name", "component_id").distinct().withColumn(
             "stratum", F.lit(0).cast("bigint"))
-    groups = groups.withColumn("_h", seeded_hash(seed, "component_id"))
+    keys = ["task_name", "component_id"]
+    # the ranking reads its groups twice
+    groups = materialize(groups, "groups").withColumn("_h", seeded_hash(seed, "component_id"))
     ranked = hash_rank(groups, ["task_name", "stratum"], "_h", "component_id",
                        rank_col="_r", size_col="_m")
-    assigned = ranked.select(
-        "task_name", "component_id",
-        allocate(F.col("_r"), F.col("_m"), test_pct=test_pct, val_pct=val_pct,
-                 min_eval=min_eval).alias("partition"))
-    # salted join back: a component holding a third of all rows is spread
-    # over ``salts`` tasks (rows salted by their hash, the one-row-per-
-    # component assignment replicated per salt)
-    salt_src = [c for c in ("ord", "record_id", "id") if c in df.columns][:1] or df.columns
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salts)))
-    assigned = assigned.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(assigned, ["task_name", "component_id", "_salt"], "inner").drop("_salt")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    assigned = materialize(ranked.select(
+        *keys, allocate(F.col("_r"), F.col("_m"), test_pct=test_pct, val_pct=val_pct,
+                        min_eval=min_eval).alias("partition")).join(sizes, keys), "assigned")
+    # a component holding a third of all rows passes no shuffle
+    return join_spread(df, assigned, keys, "_rows")
 
 
 def class_distribution(split: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import leakage, prepare, splits
 from tessera.plans import sqlfrag as S
 from tessera.plans.registry import query
-from tessera.sources import tables
+from tessera.sources import files, tables
 
 # --- shared oracle CTEs ------------------------------------------------------
 
@@ -79,9 +79,11 @@ SPLIT_COLUMNS = ("record_id", "ord", "task_name", "label_type", "label", "labels
 
 
 def _components(records, keep=SPLIT_COLUMNS):
-    """Prepared records with their leakage components."""
+    """Prepared records with their leakage components, written once unless they
+    hold the texts: a split reads them several times."""
     prepared = prepare.prepare_records(records, deduplicate=False)
-    return leakage.connected_components(prepared, normalized=True, keep=keep)
+    comps = leakage.connected_components(prepared, normalized=True, keep=keep)
+    return comps if keep is None else files.materialize(comps, "components")
 
 
 def _single_split(records, keep=SPLIT_COLUMNS):

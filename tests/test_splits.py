@@ -137,3 +137,18 @@ def test_group_medians_are_spread(spark):
     assert plan.first().m == 499.5
     text = plan._jdf.queryExecution().executedPlan().toString().lower()
     assert "percentile" not in text and "collect_list" not in text
+
+
+def test_medians_of_equal_values_need_no_order(spark, monkeypatch):
+    """Groups of one value have it as their median without any prefix sum."""
+    from tessera.operators import metrics
+
+    def unexpected(*args, **kwargs):
+        raise AssertionError("prefix sum")
+
+    monkeypatch.setattr(metrics, "ordered_prefix_sum", unexpected)
+    df = spark.createDataFrame([("t", 1, 2.5), ("t", 1, 2.5), ("t", 2, None), ("t", 3, 0.1), (None, 4, 7.0)],
+                               "task_name string, component_id long, label double")
+    got = splits.group_medians(df, ["task_name", "component_id"], "label", "m").collect()
+    assert {(r.task_name, r.component_id): r.m for r in got} == {
+        ("t", 1): 2.5, ("t", 2): None, ("t", 3): 0.1, (None, 4): 7.0}
