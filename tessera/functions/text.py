@@ -17,6 +17,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,19 +76,25 @@ _nfkc = _make_nfkc()
 
 def _make_cleaned():
     invisible = re.compile("[\0\u200b-\u200f\u202a-\u202e]")
+    marks = ["\0", *map(chr, range(0x200B, 0x2010)), *map(chr, range(0x202A, 0x202F))]
 
     def clean(t):
-        if t.isascii():
+        if t is None:
+            return None
+        if not t.isascii():
+            t = unicodedata.normalize("NFKC", t)
+            # a search for each mark costs less than one pass of the expression
+            if any(m in t for m in marks):
+                t = invisible.sub("", t)
+        elif "\0" in t:
             t = t.replace("\0", "")
-        else:
-            t = invisible.sub("", unicodedata.normalize("NFKC", t))
         # str.split() breaks at runs of exactly the characters of WS_CLASS
         return " ".join(t.split())
 
-    def clean_batch(texts: pd.Series) -> pd.Series:
-        return pd.Series([clean(t) if isinstance(t, str) else None for t in texts], dtype=object)
+    def clean_batch(texts: pa.Array) -> pa.Array:
+        return pa.array(map(clean, texts.to_pylist()), pa.string(), size=len(texts))
 
-    return F.pandas_udf(clean_batch, T.StringType()).asNondeterministic()
+    return F.arrow_udf(clean_batch, T.StringType()).asNondeterministic()
 
 
 _cleaned = _make_cleaned()
@@ -114,8 +121,11 @@ def strip_ws(col) -> Column:
 
 
 def safe_text(col) -> Column:
-    """NULL -> '', cast to string, strip."""
-    return strip_ws(F.coalesce(_c(col).cast("string"), F.lit("")))
+    """NULL -> '', cast to string, strip.  Only texts with whitespace at
+    an end are stripped: that copies and indexes the whole text."""
+    c = F.coalesce(_c(col).cast("string"), F.lit(""))
+    return F.when(F.substring(c, 1, 1).isin(*WS_CHARS) | F.substring(c, -1, 1).isin(*WS_CHARS),
+                  strip_ws(c)).otherwise(c)
 
 
 def clean_text(col, *, unicode_normalize: bool = True) -> Column:
