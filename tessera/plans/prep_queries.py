@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -860,6 +862,7 @@ def prepare_once(spark, sf_dir):
     from tessera.sources import files
     path = files.scratch_path(spark, "prepared")
 
+    @cache  # preparing writes a table of its own
     def build():
         records = prepare.prepare_records(tables.document_records(spark, sf_dir))
         return records.select("record_id", "text_length", F.md5("text").alias("text_md5"))
