@@ -669,3 +669,25 @@ def test_texts_of_several_chunks_keep_their_ids(spark):
     for i, t in enumerate(texts):
         assert got[i].agrees and got[i].ids == c.library.encode(t or "", add_bos=True, add_eos=True)
     assert "MapInArrow" in piece_codec.encode_texts(df, tokenizer_path())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_are_cut_and_decoded_by_arrays():
+    import numpy as np
+
+    from tessera.llm.piece_codec import HashedCodes, PieceCodec
+    from tessera.llm.queries import tokenizer_path
+
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 1 << 45, 5000))
+    places = HashedCodes(codes)
+    assert (places.find(codes) == np.arange(len(codes))).all()
+    others = np.setdiff1d(rng.integers(0, 1 << 45, 5000), codes)
+    assert (places.find(others) == -1).all()
+    assert places.find(codes[:6].reshape(2, 3)).tolist() == [[0, 1, 2], [3, 4, 5]]
+    assert HashedCodes(codes[:0]).find(codes).tolist() == [-1] * len(codes)
+
+    c = PieceCodec(tokenizer_path())
+    odd = ["", "▁", "▁▁▁▁a▁▁b▁▁▁▁▁", "\n\n▁\n▁▁x\t\r", "a\0b▁c\n", "▁▁▁▁▁▁▁", "x▁▁▁▁▁▁\n▁y"]
+    assert [c.cut(t) for t in odd] == [c.parts.findall(t) for t in odd]
+    for ids in ([], [c.bos], [c.bos, c.eos], list(c.encode("  é \U0001F9FF\n a")), [c.unk, 300, c.byte_ids[0xC3]]):
+        assert c.decode(ids) == c.library.decode(ids)
