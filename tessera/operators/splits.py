@@ -220,13 +220,14 @@ def coverage_report(split: DataFrame, *, min_samples: dict[str, int] | None = No
     empty_partition (error, train/test); missing_in_train (error);
     below_min and absent (errors in val/test; a class with 0 rows raises both,
     as two rows); one_class (error, val/test hold a single class).  The
-    class x partition grid comes from exploding a literal array, not a join."""
+    class x partition grid comes from exploding a literal array, not a join.
+    The rows are counted once; all rules read the written counts."""
     mins = min_samples or MIN_PER_PARTITION
     parts = F.array(*[F.lit(p) for p in ("train", "val", "test")])
     min_of = F.create_map(*[x for p, n in mins.items() for x in (F.lit(p), F.lit(n))])
     lab = F.col("label").cast("int")
-    counts = split.groupBy("task_name", "partition", lab.alias("label")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counts = materialize(split.groupBy("task_name", "partition", lab.alias("label")).agg(
+        F.count(F.lit(1)).alias("n")), "counts")
     totals = counts.groupBy("task_name", "label").agg(F.sum("n").alias("total"))
     psize = counts.groupBy("task_name", "partition").agg(
         F.sum("n").alias("part_n"), F.count(F.lit(1)).alias("n_classes"))
@@ -275,11 +276,15 @@ MIN_REGRESSION_ROWS = 2
 def _label_cells(split: DataFrame) -> DataFrame:
     """Multi-label counts per (task, partition, label) with zeros: labels run
     from 0 to the task's largest one and all partitions are there.  A label
-    counts once in a row.  The grid grows with the labels, not with the rows."""
-    rows = split.groupBy("task_name", "partition").agg(F.count(F.lit(1)).alias("rows"))
-    found = (split.select("task_name", "partition", F.explode(F.array_distinct("labels")).alias("label"))
+    counts once in a row.  The grid grows with the labels, not with the rows.
+    The rows are read once: equal label sets become written counts."""
+    sets = materialize(split.groupBy(
+        "task_name", "partition", F.array_sort(F.array_distinct("labels")).alias("_set")).agg(
+        F.count(F.lit(1)).alias("_n")), "label-sets")
+    rows = sets.groupBy("task_name", "partition").agg(F.sum("_n").alias("rows"))
+    found = (sets.select("task_name", "partition", F.explode("_set").alias("label"), "_n")
              .filter("label >= 0").groupBy("task_name", "partition", "label")
-             .agg(F.count(F.lit(1)).alias("positives")))
+             .agg(F.sum("_n").alias("positives")))
     # a task without any positive label still has label 0, as a multi-hot row does
     widths = rows.select("task_name").distinct().join(
         found.groupBy("task_name").agg(F.max("label").alias("_last")), "task_name", "left")

@@ -152,3 +152,23 @@ def test_medians_of_equal_values_need_no_order(spark, monkeypatch):
     got = splits.group_medians(df, ["task_name", "component_id"], "label", "m").collect()
     assert {(r.task_name, r.component_id): r.m for r in got} == {
         ("t", 1): 2.5, ("t", 2): None, ("t", 3): 0.1, (None, 4): 7.0}
+
+
+def _read_count(spark, rows, schema, report):
+    """Rows of ``report`` and how many rows of its split were read for them."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(part):
+        read.add(1)
+        return part
+
+    split = spark.createDataFrame(rows, schema).withColumn("partition", seen.asNondeterministic()("partition"))
+    return report(split).collect(), read.value
+
+
+def test_coverage_report_reads_the_split_once(spark):
+    rows = [("t", part, float(n % 3), n) for part in ("train", "val", "test") for n in range(7)]
+    found, read = _read_count(spark, rows, "task_name string, partition string, label double, component_id long",
+                              splits.coverage_report)
+    assert read == len(rows) and found == []
