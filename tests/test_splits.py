@@ -172,3 +172,13 @@ def test_coverage_report_reads_the_split_once(spark):
     found, read = _read_count(spark, rows, "task_name string, partition string, label double, component_id long",
                               splits.coverage_report)
     assert read == len(rows) and found == []
+
+
+def test_multilabel_reports_read_the_split_once(spark):
+    rows = [("t", "train", [0, 2, 0], "a"), ("t", "train", [2, 0], "b"), ("t", "train", None, "c"),
+            ("t", "test", [None, 1, -1], "d"), ("t", "test", [], "e")]
+    found, read = _read_count(spark, rows, MULTI, splits.multilabel_summary)
+    assert read == len(rows)
+    assert {(r.partition, r.n, r.n_classes, r.labels_with_positive, r.labels_with_both) for r in found} == {
+        ("train", 3, 3, 2, 2), ("val", 0, 0, 0, 0), ("test", 2, 3, 1, 1)}
+    assert _read_count(spark, rows, MULTI, splits.multilabel_coverage)[1] == len(rows)
