@@ -77,19 +77,29 @@ _nfkc = _make_nfkc()
 def _make_cleaned():
     invisible = re.compile("[\0\u200b-\u200f\u202a-\u202e]")
     marks = ["\0", *map(chr, range(0x200B, 0x2010)), *map(chr, range(0x202A, 0x202F))]
+    # whitespace other than the space; NFKC makes the rest of WS_CHARS spaces
+    ascii_ws = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+    nfkc_ws = ascii_ws + "\x85\u1680\u2028\u2029"
 
     def clean(t):
         if t is None:
             return None
+        ws = ascii_ws
         if not t.isascii():
             t = unicodedata.normalize("NFKC", t)
             # a search for each mark costs less than one pass of the expression
             if any(m in t for m in marks):
                 t = invisible.sub("", t)
+            ws = nfkc_ws
         elif "\0" in t:
             t = t.replace("\0", "")
-        # str.split() breaks at runs of exactly the characters of WS_CLASS
-        return " ".join(t.split())
+        # as " ".join(t.split()), without a string for every word
+        for c in ws:
+            if c in t:
+                t = t.replace(c, " ")
+        while "  " in t:
+            t = t.replace("  ", " ")
+        return t.strip(" ")
 
     def clean_batch(texts: pa.Array) -> pa.Array:
         return pa.array(map(clean, texts.to_pylist()), pa.string(), size=len(texts))

@@ -91,3 +91,41 @@ def test_normalized_sentences_and_keys(spark):
     for r in tx.with_sentences(tx.with_sentences(df), out_col="n", normalized=True).select(
             "sentences", "n", tx.key_hash("text").alias("a"), tx.key_hash("text", True).alias("b")).collect():
         assert r.sentences == r.n and r.a == r.b
+
+
+def test_cleaning_equals_split_and_join_for_every_character(spark):
+    """NFKC, marks dropped, str.split() and " ".join(): every code point between
+    words, at the ends and in runs of mixed whitespace."""
+    import random
+    import unicodedata
+    marks = {0, *range(0x200B, 0x2010), *range(0x202A, 0x202F)}
+
+    def expected(t):
+        t = unicodedata.normalize("NFKC", t)
+        return " ".join("".join(c for c in t if ord(c) not in marks).split())
+
+    rng = random.Random(5)
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}" for c in chars[at:at + 1000]) for at in range(0, len(chars), 1000)]
+    texts += [f"{w}{w} x{w} {w}y {w}" for w in white]
+    texts += ["".join(rng.choice([*white, "\0", "​", "a", "é"]) for _ in range(rng.randrange(60)))
+              for _ in range(300)] + ["", " ", " " * 5000 + "z" + "\n \t" * 3000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", tx.cleaned("t").alias("o"))
+    assert {r.n: r.o for r in df.collect()} == {
+        n: None if t is None else expected(t) for n, t in enumerate(texts)}
+
+
+def test_cleaning_makes_no_string_per_word():
+    """A text of many words costs no list of them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    text = "abc def\n" * 250_000
+    clean = tx._cleaned.func
+    tracemalloc.start()
+    out = clean(pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [" ".join(text.split())]
+    assert peak < 6 * len(text)
