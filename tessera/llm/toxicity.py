@@ -26,9 +26,10 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -47,8 +48,14 @@ FUZZY_LETTERS = 5
 CONTEXT_CHARS = 60
 THRESHOLD = 0.3
 FEATURES = ("abuse", "quoted", "fuzzy", "strongest", "density", "address")
-STATES = 200_000
+#: Steps, states and nodes of states that an automaton holds.
+STATES = 300_000
+#: Words that an automaton remembers.
 WORDS = 200_000
+#: Rows taken from a batch at once.
+ROWS = 500
+#: Starts counted before they are handed on.
+STARTS = 150_000
 
 #: Marks a counted whole word; no letter or digit.
 WORD_END = "$"
@@ -95,126 +102,137 @@ def quoted_spans(text: str) -> list[tuple[int, int]]:
     return joined
 
 
-def held_out(id_col: str) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+def _places(text: str, word: str) -> Iterator[int]:
+    """Where a text has the word; letters and digits are what ``_WORD`` takes."""
+    at = text.find(word)
+    while at >= 0:
+        end = at + len(word)
+        if not (text[at - 1:at].isalnum() if at else False) and not text[end:end + 1].isalnum():
+            yield at
+        at = text.find(word, end)
 
 
-@dataclass
-class Node:
-    next: dict[str, Node] = field(default_factory=dict)
-    weight: float = 0.0
-    depth: int = 0
+def held_out(id_col: str) -> Column:
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
 class FuzzyLexicon:
-    """Trie of entries with weights, read through a lazily built automaton."""
+    """Trie of entries with weights, read through a lazily built automaton.
+
+    Trie nodes are numbers.  A state is the node that the letters read lead to
+    without edits (-1 if none; the trie has one at most) and the set of nodes
+    that they lead to with one edit."""
 
     def __init__(self, entries: dict[str, float]):
-        self.root = Node()
+        self.next: list[dict[str, int]] = [{}]
+        self.weight, self.depth = [0.0], [0]
         for entry, weight in entries.items():
-            node = self.root
+            node = 0
             for letter in entry:
-                if letter not in node.next:
-                    node.next[letter] = Node(depth=node.depth + 1)
-                node = node.next[letter]
-            node.weight = max(node.weight, weight)
+                child = self.next[node].get(letter)
+                if child is None:
+                    child = self.next[node][letter] = len(self.next)
+                    self.next.append({})
+                    self.weight.append(0.0)
+                    self.depth.append(self.depth[node] + 1)
+                node = child
+            self.weight[node] = max(self.weight[node], weight)
         self._clear()
-        self.memo: dict[str, tuple[float, float] | None] = {}
+        self.hits: dict[str, tuple[float, float]] = {}
+        self.misses: set[str] = set()
 
     def _clear(self) -> None:
-        self.steps: dict[tuple[int, str], int] = {}
-        self.numbers: dict[frozenset, int] = {}
-        self.states: list[tuple[list, float, float]] = []
-        self.start = self._number(self._closed({(id(self.root), 0): self.root}))
-
-    def _closed(self, pairs: dict) -> dict:
-        """Add the nodes reached by leaving out a letter of an entry."""
-        out = dict(pairs)
-        for (_, edits), node in pairs.items():
-            if edits == 0:
-                for child in node.next.values():
-                    out[id(child), 1] = child
-        # a node reached without edits covers the same node with one
-        return {k: n for k, n in out.items() if k[1] == 0 or (k[0], 0) not in out}
-
-    def _number(self, pairs: dict) -> int:
-        key = frozenset(pairs)
+        self.held = 0
+        self.steps: list[dict[str, int]] = []
+        self.numbers: dict[tuple[int, frozenset[int]], int] = {}
+        self.states: list[tuple[int, frozenset[int], float, float]] = []
+        self.start = self._number(0, set())
+
+    def _number(self, exact: int, near: set[int]) -> int:
+        """The state of these nodes and of those reached by leaving out a
+        letter of an entry."""
+        if exact >= 0:
+            near.update(self.next[exact].values())
+            # a node reached without edits covers the same node with one
+            near.discard(exact)
+        key = (exact, frozenset(near))
         got = self.numbers.get(key)
         if got is None:
             got = self.numbers[key] = len(self.states)
-            exact = max((n.weight for (_, e), n in pairs.items() if e == 0), default=0.0)
-            near = max((n.weight for (_, e), n in pairs.items()
-                        if e == 1 and n.depth >= FUZZY_LETTERS), default=0.0)
-            self.states.append(([(n, e) for (_, e), n in pairs.items()], exact, near))
+            weight, depth = self.weight, self.depth
+            self.states.append((*key, weight[exact] if exact >= 0 else 0.0,
+                                max((weight[n] for n in near if depth[n] >= FUZZY_LETTERS), default=0.0)))
+            self.steps.append({})
+            self.held += 1 + len(near)
         return got
 
     def _step(self, state: int, letter: str) -> int:
-        reached: dict = {}
-        for node, edits in self.states[state][0]:
-            child = node.next.get(letter)
-            if child is not None:
-                reached[id(child), edits] = child
-            if edits == 0:
-                reached[id(node), 1] = node  # one letter too many
-                for c, other in node.next.items():
-                    if c != letter:
-                        reached[id(other), 1] = other  # one letter changed
-        to = self._number(self._closed(reached)) if reached else -1
-        self.steps[state, letter] = to
-        return to
+        exact, near = self.states[state][:2]
+        children = self.next
+        reached = {child for n in near if (child := children[n].get(letter)) is not None}
+        to = -1
+        if exact >= 0:
+            to = children[exact].get(letter, -1)
+            reached.add(exact)  # one letter too many
+            reached.update(children[exact].values())  # one letter changed
+        got = self._number(to, reached) if to >= 0 or reached else -1
+        self.steps[state][letter] = got
+        self.held += 1
+        return got
 
     def match(self, word: str) -> tuple[float, float] | None:
         """(weight of entries that start the word, weight of entries within
         one edit of the whole word), or None."""
-        found = self.memo.get(word, 0)
-        if found != 0:
-            return found
-        if len(self.steps) > STATES:
-            self._clear()
-        if len(self.memo) > WORDS:
-            self.memo.clear()
+        found = self.hits.get(word)
+        if found is None and word not in self.misses:
+            if self.held > STATES:
+                self._clear()
+            if len(self.hits) + len(self.misses) > WORDS:
+                self.hits.clear()
+                self.misses.clear()
+            found = self._read(word)
+            if found is None:
+                self.misses.add(word)
+            else:
+                self.hits[word] = found
+        return found
+
+    def _read(self, word: str) -> tuple[float, float] | None:
         state, exact, steps, states = self.start, 0.0, self.steps, self.states
         for letter in word:
-            to = steps.get((state, letter))
+            to = steps[state].get(letter)
             state = self._step(state, letter) if to is None else to
             if state < 0:
                 break
-            if states[state][1] > exact:
-                exact = states[state][1]
-        near = states[state][2] if state >= 0 and not exact else 0.0
-        found = (exact, near) if exact or near else None
-        self.memo[word] = found
-        return found
+            if states[state][2] > exact:
+                exact = states[state][2]
+        near = states[state][3] if state >= 0 and not exact else 0.0
+        return (exact, near) if exact or near else None
 
     def features(self, text: str) -> list[float]:
         """Values of ``FEATURES`` for a text."""
-        words = _WORD.findall(text.lower())
+        low = text.lower()
+        words = _WORD.findall(low)
         match = self.match
-        hit = {w for w in set(words) if match(w)}
+        hit = {w: found for w in set(words).difference(self.misses) if (found := match(w))}
         if not hit:
             return [0.0] * len(FEATURES)
-        # offsets are needed now; lower-casing may change lengths, so it is
-        # done on the text as a whole again
-        low = text.lower()
         abuse = quoted = fuzzy = strongest = address = 0.0
-        hits = 0
         spans = quoted_spans(low)
-        for m in _WORD.finditer(low):
-            if m.group() not in hit:
-                continue
-            exact, near = match(m.group())
-            hits += 1
-            left = low[max(0, m.start() - CONTEXT_CHARS):m.start()]
-            right = low[m.end():m.end() + CONTEXT_CHARS]
-            around = set(_WORD.findall(left)) | set(_WORD.findall(right))
-            span = bisect_right(spans, (m.start(), 0)) - 1
-            if span >= 0 and m.start() < spans[span][1] or _REPORTED.search(left):
+        found = sorted((at, w) for w in hit for at in _places(low, w))
+        for start, word in found:
+            exact, near = hit[word]
+            end = start + len(word)
+            left, right = low[max(0, start - CONTEXT_CHARS):start], low[end:end + CONTEXT_CHARS]
+            span = bisect_right(spans, (start, 0)) - 1
+            if span >= 0 and start < spans[span][1] or ":" in left and _REPORTED.search(left):
                 quoted += exact + near / 2
             else:
                 abuse += exact
                 fuzzy += near
                 strongest = max(strongest, exact)
-            address += bool(around & _ADDRESS)
+            address += not (_ADDRESS.isdisjoint(_WORD.findall(left)) and _ADDRESS.isdisjoint(_WORD.findall(right)))
+        hits = len(found)
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), strongest,
                 math.sqrt(hits / len(words)), math.log1p(address)]
 
@@ -235,20 +253,20 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Word starts that mark toxic texts, with smoothed log-odds as weights, and
     the whole words under them that do, with the weight of their start: they add
     nothing to a word as it is spelled, but misspelled ones are near to them."""
-    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(batch["_text"], batch["label"], strict=True):
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for rows in _slices(batches):
+            for text, label in zip(rows["_text"].to_pylist(), rows["label"].to_pylist(), strict=True):
                 words = set(_WORD.findall(text.lower()))
                 counts[int(label > 0)].update({w[:k] for w in words for k in range(
                     START_LETTERS, min(len(w), END_LETTERS) + 1)})
                 counts[int(label > 0)].update(w + WORD_END for w in words if len(w) >= FUZZY_LETTERS)
-                if len(counts[0]) + len(counts[1]) > 300_000:
+                if len(counts[0]) + len(counts[1]) > STARTS:
                     yield _flat(counts)
                     counts = (Counter(), Counter())
-            yield _flat(counts)
+        yield _flat(counts)
 
-    sums = (train.mapInPandas(starts, "start string, toxic long, clean long")
+    sums = (train.mapInArrow(starts, "start string, toxic long, clean long")
             .groupBy("start").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1 = sum(v for k, v in n.items() if k > 0)
@@ -280,25 +298,30 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     return lexicon | forms
 
 
-def _flat(counts: tuple[Counter, Counter]) -> pd.DataFrame:
+def _flat(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     starts = sorted(counts[0].keys() | counts[1].keys())
-    return pd.DataFrame({"start": starts, "toxic": [counts[1][s] for s in starts],
-                         "clean": [counts[0][s] for s in starts]})
+    return pa.record_batch([pa.array(starts, pa.string()), pa.array([counts[1][s] for s in starts], pa.int64()),
+                            pa.array([counts[0][s] for s in starts], pa.int64())], ["start", "toxic", "clean"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that few texts are held as strings."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def with_features(rows: DataFrame, lexicon: dict[str, float], keep: list[str]) -> DataFrame:
     """Features of ``_text``, with the columns ``keep``."""
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = FuzzyLexicon(lexicon)
-        for batch in batches:
-            out = batch[keep].copy()
-            values = [known.features(t) for t in batch["_text"]]
-            for i, name in enumerate(FEATURES):
-                out[name] = [v[i] for v in values]
-            yield out
+        for some in _slices(batches):
+            values = np.array([known.features(t) for t in some["_text"].to_pylist()], dtype=np.float64)
+            yield pa.record_batch([*(some[k] for k in keep), *(pa.array(v) for v in values.T.copy())],
+                                  [*keep, *FEATURES])
 
     fields = [f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep]
-    return rows.select(*keep, "_text").mapInPandas(
+    return rows.select(*keep, "_text").mapInArrow(
         measured, ", ".join([*fields, *(f"{n} double" for n in FEATURES)]))
 
 
@@ -317,7 +340,8 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", limit: int = TRAIN_ROWS) -> ToxicityModel:
-    train = saved(training_rows(docs, labels, id_col, text_col, label_col, limit))
+    # its rows come from every part of the input; few parts are left for the passes of the fit
+    train = saved(training_rows(docs, labels, id_col, text_col, label_col, limit).hint("rebalance"))
     base = train.agg(F.avg((F.col("label") > 0).cast("double")), F.count(F.lit(1))).first()
     share = base[0] or 0.0
     if share in (0.0, 1.0):
@@ -342,7 +366,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, that the model does not reject."""
-    rejects = F.pandas_udf(_feature_batches(model), "double")
+    rejects = F.arrow_udf(_feature_batches(model), "double")
     return docs.withColumn("_toxic_score", rejects(whole_text(text_col))).filter(
         F.col("_toxic_score") < THRESHOLD).drop("_toxic_score")
 
@@ -350,11 +374,11 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text")
 def _feature_batches(model: ToxicityModel):
     lexicon, coefficients, intercept = model.lexicon, model.coefficients, model.intercept
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = FuzzyLexicon(lexicon)
         for batch in batches:
             z = [intercept + sum(c * v for c, v in zip(coefficients, known.features(t), strict=True))
-                 for t in batch]
-            yield pd.Series([1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x)))) for x in z], dtype="float64")
+                 for at in range(0, len(batch), ROWS) for t in batch.slice(at, ROWS).to_pylist()]
+            yield pa.array([1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, x)))) for x in z], pa.float64())
 
     return scores

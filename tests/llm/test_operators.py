@@ -280,6 +280,59 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_toxicity_ids_are_exact_beside_null_ids(spark):
+    ship_package(spark)
+    ids = [None, 2**53 + 1, 2**62 + 3, -(2**60) - 1]
+    d = spark.createDataFrame([(i, f"you idiot {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    model = toxicity.ToxicityModel({"idiot": 2.0}, [1.0] * len(toxicity.FEATURES), -3.0)
+    got = [r.doc_id for r in toxicity.score_toxicity(d.coalesce(1), model).collect()]
+    assert sorted(got, key=str) == sorted(ids, key=str)
+
+
+def test_toxicity_fit_gathers_its_rows_in_few_parts(spark, monkeypatch):
+    ship_package(spark)
+    rows = [(i, f"you idiot n{i}" if i % 3 == 0 else f"clean words n{i}", int(i % 3 == 0)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(64)
+    files, save = [], toxicity.saved
+
+    def counted(df):
+        out = save(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(toxicity, "saved", counted)
+    model = toxicity.fit_toxicity(d.select("doc_id", "text"), d.select("doc_id", "toxic"))
+    assert "idiot" in model.lexicon and max(files) <= 16, files
+
+
+def test_toxicity_features_by_brute_force():
+    import random
+    import re
+    rnd = random.Random(3)
+    entries = {"idiot": 2.0, "scum": 1.5, "stupid": 1.25, "läster": 1.0}
+    bits = ["idiot", "Idiots", "idi0t", "xidiot", "scum", "scumbag", "stpid", "stupidly", "läster", "LÄSTERN", "you",
+            "thyou", "du", "said", "he said:", "wrote", "and", "the", "don't", '"', "'", "„", "“", "«", "»", ".", "\n",
+            "_idiot_", "idiot_x", "idiotidiot", "a" * 57, "İdiot", "ß"]
+    lex, word = toxicity.FuzzyLexicon(entries), re.compile(r"[^\W_]+")
+    for _ in range(400):
+        text = rnd.choice((" ", " ", "", "-")).join(rnd.choices(bits, k=rnd.randint(0, 40)))
+        low, want, hits = text.lower(), [0.0] * 5, 0
+        spans = toxicity.quoted_spans(low)
+        for m in word.finditer(low):
+            if lex.match(m.group()) is None:
+                continue
+            exact, near = lex.match(m.group())
+            hits += 1
+            left, right = low[max(0, m.start() - 60):m.start()], low[m.end():m.end() + 60]
+            if any(a <= m.start() < b for a, b in spans) or toxicity._REPORTED.search(left):
+                want[1] += exact + near / 2
+            else:
+                want[0], want[2], want[3] = want[0] + exact, want[2] + near, max(want[3], exact)
+            want[4] += any(w in toxicity._ADDRESS for w in word.findall(left) + word.findall(right))
+        density = math.sqrt(hits / len(word.findall(low))) if hits else 0.0
+        assert lex.features(text) == pytest.approx([*map(math.log1p, want[:3]), want[3], density, math.log1p(want[4])]), text
+
+
 def test_toxicity_edges(spark, docs, none, rows):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
