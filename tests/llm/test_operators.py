@@ -333,6 +333,17 @@ def test_toxicity_features_by_brute_force():
         assert lex.features(text) == pytest.approx([*map(math.log1p, want[:3]), want[3], density, math.log1p(want[4])]), text
 
 
+def test_pipeline_drops_what_op3_rejects(spark):
+    ship_package(spark)
+    texts = [None, "", "a clean text", "you idiot", 'he said: "idiot"', "you idiots and idiot", "you id1ot"] * 200
+    d = spark.createDataFrame([(i, t, i % 3) for i, t in enumerate(texts)], "doc_id long, text string, other int")
+    model = toxicity.ToxicityModel({"idiot": 2.0}, [1.0, -2.0, 0.5, 1.0, 1.0, 0.0], -1.5)
+    scored = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, model).collect()}
+    kept = toxicity.drop_toxic(d.coalesce(1), model).collect()
+    assert 0 < len(kept) < len(texts)
+    assert sorted(kept) == sorted([r for r in d.collect() if not scored[r.doc_id]])
+
+
 def test_toxicity_edges(spark, docs, none, rows):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(docs, labels)
